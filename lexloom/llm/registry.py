@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from .decontamination import op7_benchmark_decontamination
+from .packing import op9_packing
 from .repetition import op2_repetition_coverage
 
 
 def queries() -> dict:
     return {
         "op2_repetition_coverage": op2_repetition_coverage,
+        "op7_benchmark_decontamination": op7_benchmark_decontamination,
+        "op9_packing": op9_packing,
     }
 
 
