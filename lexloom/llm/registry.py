@@ -5,15 +5,19 @@ from __future__ import annotations
 from .decontamination import op7_benchmark_decontamination
 from .packing import op9_packing
 from .repetition import op2_repetition_coverage
+from .toxicity import op8_toxicity
+from .url_filter import OP3_SQL, op3_url_filter
 
 
 def queries() -> dict:
     return {
         "op2_repetition_coverage": op2_repetition_coverage,
+        "op3_url_filter": op3_url_filter,
         "op7_benchmark_decontamination": op7_benchmark_decontamination,
+        "op8_toxicity": op8_toxicity,
         "op9_packing": op9_packing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_url_filter": OP3_SQL}
