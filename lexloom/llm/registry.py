@@ -5,6 +5,7 @@ from __future__ import annotations
 from .decontamination import op7_benchmark_decontamination
 from .language_id import op6_language_id
 from .language_model import op5_class_ngrams
+from .ngram_join import op4_ngram_join
 from .packing import op9_packing
 from .repetition import op2_repetition_coverage
 from .toxicity import op8_toxicity
@@ -15,6 +16,7 @@ def queries() -> dict:
     return {
         "op2_repetition_coverage": op2_repetition_coverage,
         "op3_url_filter": op3_url_filter,
+        "op4_ngram_join": op4_ngram_join,
         "op5_class_ngrams": op5_class_ngrams,
         "op6_language_id": op6_language_id,
         "op7_benchmark_decontamination": op7_benchmark_decontamination,
