@@ -5,6 +5,7 @@ from __future__ import annotations
 from .decontamination import op7_benchmark_decontamination
 from .language_id import op6_language_id
 from .language_model import op5_class_ngrams
+from .line_dedup import op1_line_dedup
 from .ngram_join import op4_ngram_join
 from .packing import op9_packing
 from .repetition import op2_repetition_coverage
@@ -14,6 +15,7 @@ from .url_filter import OP3_SQL, op3_url_filter
 
 def queries() -> dict:
     return {
+        "op1_line_dedup": op1_line_dedup,
         "op2_repetition_coverage": op2_repetition_coverage,
         "op3_url_filter": op3_url_filter,
         "op4_ngram_join": op4_ngram_join,
