@@ -147,8 +147,8 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return out
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with the removed lines cut out of the text; all other columns as they are."""
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None, **options) -> DataFrame:
+    """``docs`` with the removed lines cut out of the text; all other columns as they are, but ``length_col`` of a changed text."""
     gone = removed_lines(docs, id_col, text_col, **options)
     keyed = docs.withColumn("__tkey", F.xxhash64(docs[id_col], docs[text_col]))
     hit = bits.has(bits.build(gone.df, "tkey").df.scalar(), F.col("__tkey"))
@@ -157,7 +157,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lines = F.split(F.col(text_col), "\n", -1)
     stay = F.filter(F.transform(lines, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda p: ~F.array_contains(F.col("__gone"), p["i"]))
     text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(stay, lambda p: p["x"]), "\n"))
-    return keyed.where(~hit).select(docs.columns).unionByName(joined.withColumn(text_col, text).select(docs.columns))
+    changed = joined.withColumn(text_col, text)
+    if length_col in docs.columns:
+        kind = docs.schema[length_col].dataType
+        changed = changed.withColumn(length_col, F.when(F.col("__gone").isNull(), F.col(length_col)).otherwise(F.length(text_col).cast(kind)))
+    return keyed.where(~hit).select(docs.columns).unionByName(changed.select(docs.columns))
 
 
 def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

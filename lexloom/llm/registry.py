@@ -9,6 +9,7 @@ from .line_dedup import op1_line_dedup
 from .ngram_join import op4_ngram_join
 from .packing import op9_packing
 from .repetition import op2_repetition_coverage
+from .sharding import op10_sharding
 from .toxicity import op8_toxicity
 from .url_filter import OP3_SQL, op3_url_filter
 
@@ -24,6 +25,7 @@ def queries() -> dict:
         "op7_benchmark_decontamination": op7_benchmark_decontamination,
         "op8_toxicity": op8_toxicity,
         "op9_packing": op9_packing,
+        "op10_sharding": op10_sharding,
     }
 
 
