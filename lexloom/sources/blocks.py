@@ -74,7 +74,7 @@ def quotation_rows(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
 
 def html_text(html: Column) -> Column:
     """Text of a page: scripts, styles and tags out, common entities decoded, white space collapsed."""
-    bare = F.regexp_replace(html, r"(?is)<(script|style|noscript)\b.*?</\1\s*>", " ")
+    bare = F.regexp_replace(html, r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<noscript\b.*?</noscript\s*>", " ")
     bare = F.regexp_replace(F.regexp_replace(bare, r"(?s)<!--.*?-->", " "), r"(?s)<[^>]*>", " ")
     for name, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         bare = F.replace(bare, F.lit(name), F.lit(char))
