@@ -55,6 +55,11 @@ def parts(text: Column, p: Pattern) -> Column:
     return F.map_filter(all_, lambda _, v: v != "")
 
 
+def strip(x: Column) -> Column:
+    """Without white space at both ends (``trim`` takes spaces alone)."""
+    return F.regexp_replace(x, r"(?U)\A\s+|\s+\z", "")
+
+
 def between(text: Column, start: Column, end: Column) -> Column:
     """text[start:end] with both ends inside the text; empty if end <= start."""
     low = F.greatest(start, F.lit(0))

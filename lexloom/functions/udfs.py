@@ -7,20 +7,21 @@ from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff/Obershelp similarity."""
     return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
 
 
-@F.pandas_udf("array<struct<op:string,i1:int,i2:int,j1:int,j2:int>>")
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("op", T.StringType()), *(T.StructField(n, T.IntegerType()) for n in ("i1", "i2", "j1", "j2"))])))
 def sequence_opcodes(a: pd.Series, b: pd.Series) -> pd.Series:
     """The edits that turn one text into the other."""
     return pd.Series([None if x is None or y is None else [dict(zip(("op", "i1", "i2", "j1", "j2"), o)) for o in SequenceMatcher(None, x, y).get_opcodes()] for x, y in zip(a, b)])

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
-from ..functions.spans import between, spans
+from ..functions.spans import between, spans, strip
 
 BLOCK = 2000
 
@@ -90,8 +90,8 @@ def passages(text: Column, target_words: int | Column = 70) -> Column:
 
 def proposition(text: Column, at: Column, most: int = 600) -> Column:
     """The last sentence of the ``most`` characters before a citation."""
-    lead = F.trim(between(text, at - most, at))
-    parts = F.filter(F.transform(F.split(lead, r"(?U)(?<=[.!?])\s+|\n+", -1), lambda x: F.trim(x)), lambda x: x != "")
+    lead = strip(between(text, at - most, at))
+    parts = F.filter(F.transform(F.split(lead, r"(?U)(?<=[.!?])\s+|\n+", -1), strip), lambda x: x != "")
     return F.coalesce(F.try_element_at(parts, F.lit(-1)), lead)
 
 
@@ -127,6 +127,6 @@ def pincite_status(pincite: Column, source: Column, best_score: Column) -> Colum
 def markdown_chunks(docs: DataFrame, text_col: str = "text", id_col: str = "filename") -> DataFrame:
     """Headed sections of guidance files: chunk_id (hash of file, heading and body), heading, text."""
     heads = spans(F.col(text_col), P.Pattern(r"(?m)^#{1,6}[ \t]+[^\n]+$"))
-    pieces = F.transform(F.col("__h"), lambda h, i: F.struct(F.regexp_replace(h["text"], r"^#+[ \t]+", "").alias("heading"), F.trim(between(F.col(text_col), h["end"], F.coalesce(F.try_element_at(F.transform("__h", lambda x: x["start"]), i + 2), F.length(text_col)))).alias("text")))
+    pieces = F.transform(F.col("__h"), lambda h, i: F.struct(F.regexp_replace(h["text"], r"^#+[ \t]+", "").alias("heading"), strip(between(F.col(text_col), h["end"], F.coalesce(F.try_element_at(F.transform("__h", lambda x: x["start"]), i + 2), F.length(text_col)))).alias("text")))
     rows = docs.withColumn("__h", heads).select(F.col(id_col), F.explode_outer(pieces).alias("p")).where("p is not null")
     return rows.select(id_col, F.substring(F.sha2(F.concat_ws("\x1f", F.col(id_col), F.col("p.heading"), F.col("p.text")), 256), 1, 20).alias("chunk_id"), "p.heading", "p.text")
