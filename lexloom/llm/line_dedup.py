@@ -47,10 +47,17 @@ def char_shingles(off: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.
     return K.spans_hash(pre, at, np.minimum(at + width, np.repeat(b, n)), K._Q), first
 
 
-def line_sets(payload: bytes, width: int) -> np.ndarray:
-    data = np.frombuffer(payload, np.uint8)
-    span = np.array([0, len(data)])
-    return np.unique(char_shingles(span, data, span[:1], span[1:], width)[0])
+def line_sets(col: pa.Array, width: int) -> list[np.ndarray]:
+    """The shingle sets of a column of lines."""
+    out = []
+    for _, _, off, data in K.pieces(col):
+        key, first = char_shingles(off, data, off[:-1], off[1:], width)
+        for a, b in zip(first.tolist(), [*first[1:].tolist(), len(key)]):
+            s = np.sort(key[a:b])
+            new = np.ones(len(s), bool)
+            np.not_equal(s[1:], s[:-1], out=new[1:])
+            out.append(s[new])
+    return out
 
 
 class Lines:
@@ -113,10 +120,10 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 x = Lines(off, data)
                 hit = np.flatnonzero(bits.test(wanted.value, x.id))
                 new = [k for k in hit.tolist() if (i := int(x.id[k])) not in seen and not seen.add(i)]
-                yield _batch([x.id[new], pa.array([data[x.start[k] : x.end[k]].tobytes() for k in new], pa.binary())], ["id", "payload"])
+                yield _batch([x.id[new], pa.array([data[x.start[k] : x.end[k]].tobytes().decode("utf-8", "replace") for k in new], pa.string())], ["id", "payload"])
 
-    payload = src.mapInArrow(fetch, "id long, payload binary").groupBy("id").agg(F.first("payload").alias("payload"))
-    links = neardup.link(at.df.join(payload, "id"), threshold, lambda b: line_sets(b, width))
+    payload = src.mapInArrow(fetch, "id long, payload string").groupBy("id").agg(F.first("payload").alias("payload"))
+    links = neardup.link(at.df.join(payload, "id"), threshold, lambda col: line_sets(col, width))
     at.drop()
     root = neardup.components(links.df.select("id", "root"))
     links.drop()

@@ -74,35 +74,47 @@ def route(member: DataFrame, sizes: DataFrame, block: int = BLOCK) -> DataFrame:
     return with_blocks.groupBy("id").agg(F.array_sort(F.collect_list("hub")).alias("hubs"), F.collect_list(F.struct("hub", "nb", "own")).alias("at"))
 
 
-def runs(batches, keys: int) -> Iterator[list[pa.RecordBatch | pa.Table]]:
-    """Tables of one group each from batches sorted by their first ``keys`` columns."""
-    held, last = [], None
+class Group:
+    """The rows of one (hub, i, j), gathered over batches."""
+
+    def __init__(self, key: tuple[int, int, int]):
+        self.key, self.ids, self.own, self.sets, self.hubs = key, [], [], [], []
+
+
+def groups(batches, decode: Callable[[pa.Array], list[np.ndarray]]) -> Iterator[Group]:
+    """Groups from batches that are sorted by hub, i and j; payloads are decoded a batch at a time."""
+    held = None
     for batch in batches:
         n = batch.num_rows
         if not n:
             continue
-        cols = [batch.column(i).to_numpy() for i in range(keys)]
-        change = np.zeros(n, bool)
-        for c in cols:
-            change[1:] |= c[1:] != c[:-1]
-        cuts = [0, *np.flatnonzero(change).tolist(), n]
+        hub, i, j, own, ids = (batch.column(k).to_numpy() for k in range(5))
+        lists = batch.column(5)
+        off, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+        sets = decode(batch.column(6))
+        change = (hub[1:] != hub[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
+        cuts = [0, *(np.flatnonzero(change) + 1).tolist(), n]
         for a, b in zip(cuts[:-1], cuts[1:]):
-            key = tuple(int(c[a]) for c in cols)
-            if held and key != last:
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(batch.slice(a, b - a))
-            last = key
-    if held:
-        yield pa.Table.from_batches(held)
+            key = (int(hub[a]), int(i[a]), int(j[a]))
+            if held is None or held.key != key:
+                if held is not None:
+                    yield held
+                held = Group(key)
+            held.ids.append(ids[a:b])
+            held.own.append(own[a:b])
+            held.sets += sets[a:b]
+            held.hubs += [flat[off[k] : off[k + 1]] for k in range(a, b)]
+    if held is not None:
+        yield held
 
 
 def compare(sets: list[np.ndarray], threshold: float) -> np.ndarray:
     """A symmetric boolean matrix: Jaccard similarity of at least ``threshold`` (False on the diagonal)."""
     m, size = len(sets), np.array([len(s) for s in sets], np.int64)
     if m == 2:
-        inter = np.zeros((2, 2), np.int64)
-        inter[0, 1] = inter[1, 0] = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
+        both = np.sort(np.concatenate(sets))
+        n = int((both[1:] == both[:-1]).sum())
+        inter = np.array([[0, n], [n, 0]])
     else:
         h, who = np.concatenate(sets), np.repeat(np.arange(m), size)
         order = np.argsort(h, kind="stable")
@@ -138,45 +150,52 @@ def roots(near: np.ndarray) -> np.ndarray:
         label = new
 
 
-def link(routed: DataFrame, threshold: float, decode: Callable[[bytes], np.ndarray]) -> Table:
-    """(id, links, root). ``routed``: id, hubs, at, payload, which ``decode`` turns into a sorted set of hashes."""
+def link(routed: DataFrame, threshold: float, decode: Callable[[pa.Array], list[np.ndarray]]) -> Table:
+    """(id, links, root). ``routed``: id, hubs, at, payload; ``decode`` turns a column of payloads into sorted sets of hashes."""
     each = routed.select("id", "hubs", "payload", F.explode("at").alias("g"))
     other = F.explode(F.sequence(F.lit(0), F.col("g.nb") - 1)).alias("other")
     each = each.select("id", "hubs", "payload", F.col("g.hub").alias("hub"), F.col("g.own").alias("own"), other)
     each = each.select("hub", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "hubs", "payload")
 
     def run(batches):
-        for t in runs(batches, 3):
-            t = t.combine_chunks()
-            ids = t.column("id").to_numpy()
-            order = np.argsort(ids)
-            ids, hub, i, j = ids[order], t.column("hub")[0].as_py(), t.column("i")[0].as_py(), t.column("j")[0].as_py()
+        out: list[tuple] = []
+        for g in groups(batches, decode):
+            ids = np.concatenate(g.ids)
             if len(ids) < 2:
                 continue
-            own = t.column("own").to_numpy()[order]
-            sets = [decode(t.column("payload")[k].as_py()) for k in order.tolist()]
-            near = compare(sets, threshold)
+            hub, i, j = g.key
+            order = np.argsort(ids)
+            ids = ids[order]
+            near = compare([g.sets[k] for k in order.tolist()], threshold)
             if i != j:
+                own = np.concatenate(g.own)[order]
                 near &= own[:, None] != own[None, :]
-            if not near.any():
+            some = near.any(1)
+            if not some.any():
                 continue
-            lists = [t.column("hubs")[k].values.to_numpy() for k in order.tolist()]
-            lower = [x[x < hub] for x in lists]
-            names = np.unique(np.concatenate(lower))
+            lower = [x[x < hub] for x in (g.hubs[k] for k in order.tolist())]
             counted = near
-            if len(names):
+            if any(map(len, lower)):
+                names = np.unique(np.concatenate(lower))
                 z = np.zeros((len(ids), len(names)), np.float32)
                 for k, x in enumerate(lower):
                     z[k, np.searchsorted(names, x)] = 1
                 counted = near & (z @ z.T == 0)
-            root = ids[roots(near)]
-            some = near.any(1)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(counted.sum(1)[some].astype(np.int64)), pa.array(root[some])], ["id", "links", "root"])
+            out.append((ids[some], counted.sum(1)[some].astype(np.int64), ids[roots(near)][some]))
+            if len(out) >= 4096:
+                yield _links(out)
+                out = []
+        if out:
+            yield _links(out)
 
     grouped = each.repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j")
     return Table(grouped.mapInArrow(run, "id long, links long, root long"), "links")
 
 
+def _links(out: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["id", "links", "root"])
+
+
 def components(edges: DataFrame) -> Table:
     """(id, root) for every id of the edges (id, root) but the roots themselves; root is the least id of its component."""
     table = Table(edges.where("id != root").select(F.greatest("id", "root").alias("u"), F.least("id", "root").alias("v")).distinct(), "edges")

@@ -114,7 +114,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     at = Table(neardup.route(member.df, sizes, block), "routes")
     member.drop()
     sets = contents(docs, text_col, width, bits.local(at.df, "id"))
-    links = neardup.link(at.df.join(sets, "id"), threshold, lambda b: np.frombuffer(b, K.U64))
+    links = neardup.link(at.df.join(sets, "id"), threshold, lambda col: [np.frombuffer(x.as_buffer(), K.U64) for x in col])
     at.drop()
     root = neardup.components(links.df.select("id", "root"))
     counts = worded.groupBy("id").agg(F.min("doc_id").alias("first"), F.count("*").alias("n_copies"))
