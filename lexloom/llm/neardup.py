@@ -126,8 +126,9 @@ def compare(sets: list[np.ndarray], threshold: float) -> np.ndarray:
         keep = often[col]
         col, who = (np.cumsum(often) - 1)[col[keep]], who[keep]
         inter = np.zeros((m, m), np.float32)
-        width = max(64, (1 << 22) // max(m, 1))
-        for lo in range(0, int(often.sum()), width):
+        shared = int(often.sum())
+        width = max(64, min(shared, (1 << 22) // m))
+        for lo in range(0, shared, width):
             a, b = np.searchsorted(col, [lo, lo + width])
             x = np.zeros((m, width), np.float32)
             x[who[a:b], col[a:b] - lo] = 1
