@@ -30,7 +30,7 @@ from . import bits
 from . import kernel as K
 from .scratch import Table
 
-BLOCK = 1 << 19
+BLOCK = 1 << 17
 _A = (K.mix(np.arange(1, 513, dtype=K.U64) * K.U64(0xA24BAED4963EE407)) >> K.U64(32)).astype(np.uint32) | np.uint32(1)
 
 
