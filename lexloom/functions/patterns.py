@@ -26,6 +26,11 @@ REPORTER = Pattern(
     r"(?iuU)\b(\d{1,4})\s+(U\s{0,2}\.?\s{0,2}S\s{0,2}\.?|S\s{0,2}\.?\s{0,2}Ct\s{0,2}\.?|F\s{0,2}\.?\s{0,2}(?:Supp\s{0,2}\.?\s{0,2}(?:2d|3d)?|2d|3d)|F\s{0,2}\.|L\s{0,2}\.?\s{0,2}Ed\s{0,2}\.?\s{0,2}(?:2d)?)\s+(\d{1,6})\b",
     ("volume", "reporter", "page"),
 )
+STATE_REPORTERS = ("Ala.", "Ariz.", "Ark.", "Cal.", "Cal. 2d", "Cal. 3d", "Cal. 4th", "Cal. 5th", "Cal. App.", "Cal. App. 2d", "Cal. App. 3d", "Cal. App. 4th", "Cal. App. 5th", "Conn.", "Ga.", "Ill.", "Ill. 2d", "Ind.", "Iowa", "Kan.", "Ky.", "La.", "Mass.", "Md.", "Me.", "Mich.", "Minn.", "Mo.", "N.C.", "N.J.", "N.M.", "N.Y.", "N.Y.2d", "N.Y.3d", "Neb.", "Nev.", "Ohio St.", "Ohio St. 2d", "Ohio St. 3d", "Or.", "Pa.", "S.C.", "Tenn.", "Tex.", "Va.", "Vt.", "Wash.", "Wash. 2d", "Wis.", "Wis. 2d", "W. Va.")
+FEDERAL_REPORTERS = ("U.S.", "US", "S. Ct.", "L. Ed.", "L. Ed. 2d", "F.", "F.2d", "F.3d", "F.4th", "F. Supp.", "F. Supp. 2d", "F. Supp. 3d", "F. App'x", "Fed. Cl.", "A.", "A.2d", "A.3d", "P.", "P.2d", "P.3d", "N.E.", "N.E.2d", "N.E.3d", "N.W.", "N.W.2d", "S.E.", "S.E.2d", "S.W.", "S.W.2d", "S.W.3d", "So.", "So. 2d", "So. 3d", "N.Y.S.", "N.Y.S.2d", "N.Y.S.3d", "Cal. Rptr.", "Cal. Rptr. 2d", "Cal. Rptr. 3d")
+NOT_A_PARTY = ("See", "But", "Cf.", "Compare", "Accord", "Contra", "Also", "In", "The", "Under", "And", "With", "Id.", "Ibid.", "E.g.", "As")
+CODE_WORDS = ("Code Ann.", "Code", "Gen. Laws", "Gen. Stat.", "Comp. Laws", "Comp. Stat.", "Rev. Stat.", "Rev. Code", "Stat. Ann.", "Stat.", "Law")
+CONNECTORS = ("of", "the", "and", "for", "in", "ex", "rel.", "&", "de", "la")
 ID_PINCITE_AFTER = r"(?iuU)^\s*,?\s*at\s+\d"
 SIGNAL_BEFORE_ID = r"(?iuU)\b(?:see also|see generally|but see|but cf\.?|see|cf\.?|accord|compare|e\.g\.)\s*$"
 SENTENCE_END_BEFORE = r"(?U)[.!?][\"'”)\]]?\s*$"
@@ -62,3 +67,22 @@ BLUE_TYPES = ("brief", "motion", "pleading", "court_filing", "legal_memorandum",
 WHITE_TYPES = ("law_review", "law_review_article", "journal_article", "seminar_paper", "academic", "student_note")
 PERMITTED_SUPRA = ("journal_article", "book", "court_document", "administrative", "internet", "archival", "foreign_international_tribal", "ai_content", "unknown")
 SUBSTANTIVE = ("case", "statute", "regulation", "constitution", "journal_article")
+
+
+def _any(words: tuple[str, ...]) -> str:
+    """An alternation, longest first, with optional space after a period and at a space."""
+    import re
+
+    return "|".join(re.escape(w).replace(r"\ ", r"\s?").replace(r"\.", r"\.") for w in sorted(words, key=len, reverse=True))
+
+
+_WORD = r"(?:[A-Z][\w&'’-]*|[A-Z][A-Za-z]{0,3}\.|(?:[A-Z]\.)+)"
+_PARTY = rf"{_WORD}(?:,? (?:{_any(CONNECTORS)}|{_WORD})){{0,8}}"
+
+#: Case citations by a table of reporters: with or without a name, a pincite, a court and a year (also the year after the name).
+REPORTED_CASE = Pattern(
+    rf"(?U)(?:(?<![\w.])(?!(?:{_any(NOT_A_PARTY)})[ ])({_PARTY} v\. {_PARTY})(?: \((\d{{4}})\)|,) )?\b(\d{{1,4}}) ({_any(STATE_REPORTERS + FEDERAL_REPORTERS)})\s?(?<![\w])(\d{{1,6}})\b(?!\s+(?:U\.?S\.?C|C\.?F\.?R))(?:, (\d{{1,6}}(?:[-–]\d{{1,6}})?)\b(?! [A-Z]))?(?: \((?:[A-Z][a-z]{{2,8}}\.? \d{{1,2}}, (\d{{4}})|([^()]*?)\s?(\d{{4}}))\))?",
+    ("case_name", "inline_year", "volume", "reporter", "first_page", "pincite", "date_year", "court", "year"),
+)
+#: State statutes by the words their codes' names end in.
+STATE_LAW = Pattern(rf"(?U)\b((?:[A-Z][a-z]{{2,6}}\.|[A-Z]\.[A-Z]\.)(?: [A-Z][\w.&]*){{0,3}}? (?:{_any(CODE_WORDS)}))(?: (?:ch|tit)\. (\w+),)? §{{1,2}} ?([\w-]+(?:[.:][\w-]+)*)(?: \((?:[^()\d]*)(\d{{4}})\))?", ("code", "chapter", "section", "edition"))

@@ -17,7 +17,7 @@ from ..functions.spans import after, before, parts, rows_of, spans
 CITATION = "struct<start:int,end:int,text:string,source_type:string,components:map<string,string>>"
 
 #: In order of priority.
-SPECS = (("case", P.CASE), ("statute", P.STATUTE), ("regulation", P.REGULATION), ("constitution", P.CONSTITUTION), ("journal_article", P.JOURNAL), ("short_form", P.SHORT_FORM), ("short_form", P.ID), ("internet", P.URL))
+SPECS = (("case", P.REPORTED_CASE), ("statute", P.STATE_LAW), ("case", P.CASE), ("statute", P.STATUTE), ("regulation", P.REGULATION), ("constitution", P.CONSTITUTION), ("journal_article", P.JOURNAL), ("short_form", P.SHORT_FORM), ("short_form", P.ID), ("internet", P.URL))
 
 
 def neutralize(text: Column) -> Column:

@@ -82,9 +82,10 @@ def convert(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", sty
     full = F.filter("citations", lambda c: ~c["source_type"].isin("short_form", "internet"))
     df = df.select(F.col(id_col).alias("doc_id"), F.size(full).alias("n"), F.try_element_at(full, F.lit(1)).alias("c"))
     part = lambda n: F.col("c.components")[n]
-    year = F.regexp_extract(F.coalesce(part("court_year"), F.lit("")), r"(\d{4})\s*$", 1)
-    court = F.trim(F.regexp_replace(F.coalesce(part("court_year"), F.lit("")), r"\d{4}\s*$", ""))
-    fields = F.map_filter(F.map_concat(F.coalesce(F.map_filter("c.components", lambda k, v: ~k.isin("court_year", "symbol", "page")), F.create_map().cast("map<string,string>")), F.create_map(F.lit("year"), year, F.lit("court"), court, F.lit("constitution"), F.when(F.col("c.source_type") == "constitution", F.lit("U.S. Const.")).otherwise(F.lit("")))), lambda _, v: v.isNotNull() & (v != ""))
+    both_ = F.coalesce(part("court_year"), F.lit(""))
+    year = F.coalesce(part("year"), part("date_year"), part("inline_year"), F.regexp_extract(both_, r"(\d{4})\s*$", 1))
+    court = F.coalesce(part("court"), F.trim(F.regexp_replace(both_, r"\d{4}\s*$", "")))
+    fields = F.map_filter(F.map_concat(F.coalesce(F.map_filter("c.components", lambda k, v: ~k.isin("court_year", "symbol", "page", "year", "court", "date_year", "inline_year")), F.create_map().cast("map<string,string>")), F.create_map(F.lit("year"), year, F.lit("court"), court, F.lit("constitution"), F.when(F.col("c.source_type") == "constitution", F.lit("U.S. Const.")).otherwise(F.lit("")))), lambda _, v: v.isNotNull() & (v != ""))
     out = generate(df.withColumn("source_type", F.col("c.source_type")).withColumn("fields", fields), style=style)
     one = F.col("n") == 1
     return out.select("doc_id", F.when(one, F.col("source_type")).alias("source_type"), F.when(one, F.col("citation")).alias("citation"), F.when(one, F.col("missing")).otherwise(F.array().cast("array<string>")).alias("missing"), F.when(one, F.col("status")).otherwise(F.lit("not_one_citation")).alias("status"))
