@@ -7,21 +7,24 @@ from dataclasses import dataclass
 
 @dataclass(frozen=True)
 class Pattern:
+    """``needs``: a lower-case string without which a text (in lower case) has no match; it saves the scan."""
+
     regex: str
     parts: tuple[str, ...] = ()
+    needs: str = ""
 
 
 # Patterns and characters that results depend on.
 INVISIBLE = "\u200b\u200c\u200d\u2060\ufeff\u202a\u202b\u202c\u202d\u202e"
 BIDI = "\u202a\u202b\u202c\u202d\u202e"
-CASE = Pattern(r"(?U)([A-Z][^;\n]{1,100}?\s+v\.\s+[A-Z][^,;\n]{1,100}?),\s*(\d{1,4})\s+([A-Za-z][A-Za-z.\d ]{0,18}?)\s+(\d{1,6})(?:,\s*(\d{1,6}(?:[-–]\d{1,6})?))?\s*\(([^)]*\d{4})\)", ("case_name", "volume", "reporter", "first_page", "pincite", "court_year"))
-STATUTE = Pattern(r"(?iuU)\b(\d+)\s+(U\.?\s*S\.?\s*C\.?)\s*(§{1,2})\s*([\w.\-()]+)", ("title", "code", "symbol", "section"))
-REGULATION = Pattern(r"(?iuU)\b(\d+)\s+(C\.?\s*F\.?\s*R\.?)\s*(§{1,2})\s*([\w.\-()]+)", ("title", "code", "symbol", "section"))
-CONSTITUTION = Pattern(r"(?iuU)\bU\.S\. Const\.\s+((?:art\.|amend\.)\s+[IVXLCDM\d]+(?:,\s*§\s*\d+)?)", ("subdivision",))
+CASE = Pattern(r"(?U)([A-Z][^;\n]{1,100}?\s+v\.\s+[A-Z][^,;\n]{1,100}?),\s*(\d{1,4})\s+([A-Za-z][A-Za-z.\d ]{0,18}?)\s+(\d{1,6})(?:,\s*(\d{1,6}(?:[-–]\d{1,6})?))?\s*\(([^)]*\d{4})\)", ("case_name", "volume", "reporter", "first_page", "pincite", "court_year"), needs="v.")
+STATUTE = Pattern(r"(?iuU)\b(\d+)\s+(U\.?\s*S\.?\s*C\.?)\s*(§{1,2})\s*([\w.\-()]+)", ("title", "code", "symbol", "section"), needs="§")
+REGULATION = Pattern(r"(?iuU)\b(\d+)\s+(C\.?\s*F\.?\s*R\.?)\s*(§{1,2})\s*([\w.\-()]+)", ("title", "code", "symbol", "section"), needs="§")
+CONSTITUTION = Pattern(r"(?iuU)\bU\.S\. Const\.\s+((?:art\.|amend\.)\s+[IVXLCDM\d]+(?:,\s*§\s*\d+)?)", ("subdivision",), needs="const.")
 JOURNAL = Pattern(r"(?U)\b(\d{1,3})\s+([A-Z][A-Za-z.&'\- ]+L\.?\s*J\.?|[A-Z][A-Za-z.&'\- ]+L\.?\s*Rev\.?)\s+(\d{1,5})\b", ("volume", "journal", "page"))
 SHORT_FORM = Pattern(r"(?iuU)\b(supra|hereinafter)\b", ("form",))
 ID = Pattern(r"(?iuU)(?<!\w)(id)\.?(?!\w)", ("form",))
-URL = Pattern(r"(?U)https?://[^\s<>\])}]+")
+URL = Pattern(r"(?U)https?://[^\s<>\])}]+", needs="http")
 REPORTER = Pattern(
     r"(?iuU)\b(\d{1,4})\s+(U\s{0,2}\.?\s{0,2}S\s{0,2}\.?|S\s{0,2}\.?\s{0,2}Ct\s{0,2}\.?|F\s{0,2}\.?\s{0,2}(?:Supp\s{0,2}\.?\s{0,2}(?:2d|3d)?|2d|3d)|F\s{0,2}\.|L\s{0,2}\.?\s{0,2}Ed\s{0,2}\.?\s{0,2}(?:2d)?)\s+(\d{1,6})\b",
     ("volume", "reporter", "page"),
@@ -35,12 +38,12 @@ ID_PINCITE_AFTER = r"(?iuU)^\s*,?\s*at\s+\d"
 SIGNAL_BEFORE_ID = r"(?iuU)\b(?:see also|see generally|but see|but cf\.?|see|cf\.?|accord|compare|e\.g\.)\s*$"
 SENTENCE_END_BEFORE = r"(?U)[.!?][\"'”)\]]?\s*$"
 ID_WINDOW = 500
-SHORT_CASE = Pattern(r"(?U)\b([A-Z][A-Za-z0-9.&' -]{1,50}),\s*(\d{1,4})\s+(U\.S\.|F\.(?:2d|3d|Supp\.?(?: 2d| 3d)?))\s+at\s+(\d{1,6}(?:[-–—]\d{1,6})?)\b", ("name", "volume", "reporter", "pincite"))
+SHORT_CASE = Pattern(r"(?U)\b([A-Z][A-Za-z0-9.&' -]{1,50}),\s*(\d{1,4})\s+(U\.S\.|F\.(?:2d|3d|Supp\.?(?: 2d| 3d)?))\s+at\s+(\d{1,6}(?:[-–—]\d{1,6})?)\b", ("name", "volume", "reporter", "pincite"), needs="at")
 ID_FORM = Pattern(r"(?iuU)\bId\.(?:\s+at\s+\d{1,6}(?:[-–—]\d{1,6})?)?")
-SUPRA_NOTE = Pattern(r"(?iuU)\b([A-Z][A-Za-z0-9.&' -]{0,60}?),\s+supra\s+note\s+(\d+)(?:,\s*at\s+\d{1,6}(?:[-–—]\d{1,6})?)?", ("label", "note"))
-SUPRA = Pattern(r"(?iuU)\b([A-Z][A-Za-z0-9.&' -]{0,60}?),\s+supra(?:,\s*at\s+\d{1,6}(?:[-–—]\d{1,6})?)?", ("label",))
-STATUTORY_SHORT = Pattern(r"(?iuU)(?:(U\.?\s*S\.?\s*C\.?|C\.?\s*F\.?\s*R\.?)\s+)?(?<![A-Za-z.\d])§{1,2}\s*([\w.()\-]+)", ("code", "section"))
-HEREINAFTER = Pattern(r"(?iuU)\(hereinafter\s+[“\"]([^”\"]+)[”\"]\)", ("alias",))
+SUPRA_NOTE = Pattern(r"(?iuU)\b([A-Z][A-Za-z0-9.&' -]{0,60}?),\s+supra\s+note\s+(\d+)(?:,\s*at\s+\d{1,6}(?:[-–—]\d{1,6})?)?", ("label", "note"), needs="supra")
+SUPRA = Pattern(r"(?iuU)\b([A-Z][A-Za-z0-9.&' -]{0,60}?),\s+supra(?:,\s*at\s+\d{1,6}(?:[-–—]\d{1,6})?)?", ("label",), needs="supra")
+STATUTORY_SHORT = Pattern(r"(?iuU)(?:(U\.?\s*S\.?\s*C\.?|C\.?\s*F\.?\s*R\.?)\s+)?(?<![A-Za-z.\d])§{1,2}\s*([\w.()\-]+)", ("code", "section"), needs="§")
+HEREINAFTER = Pattern(r"(?iuU)\(hereinafter\s+[“\"]([^”\"]+)[”\"]\)", ("alias",), needs="(hereinafter")
 GAP_SENTENCE_BREAK = r"(?U)\.\s+[A-Z]"
 GAP_WORD = r"[A-Za-z]{3,}"
 GAP_AUTHORITY = r"(?U)\bv\.\s|\b\d{1,4}\s+(?:(?:[A-Z]\.){1,3}|[A-Z][a-z]{0,3}\.)|§|\bsupra\b|\bId\.\B"

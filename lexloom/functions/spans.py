@@ -29,7 +29,10 @@ def spans(text: Column, p: Pattern | Column) -> Column:
         one = F.struct(start.alias("start"), end.alias("end"), x["text"].alias("text"))
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
 
-    return F.when(text.isNull() | ~F.rlike(text, regex), F.array().cast(f"array<{SPAN}>")).otherwise(F.aggregate(step, zero, add, lambda a: a["out"]))
+    there = F.rlike(text, regex)
+    if isinstance(p, Pattern) and p.needs:
+        there = F.contains(F.lower(text), F.lit(p.needs)) & there
+    return F.when(text.isNull() | ~there, F.array().cast(f"array<{SPAN}>")).otherwise(F.aggregate(step, zero, add, lambda a: a["out"]))
 
 
 def rows_of(df: DataFrame, array: str, *keep: Column, at: str | None = None) -> DataFrame:

@@ -87,21 +87,11 @@ def with_occurrences(docs: DataFrame, text_col: str = "text") -> DataFrame:
         gap = F.when(i > 0, between(t, prev["end"], o["start"])).otherwise(F.lit(""))
         low = F.when(o["block_start"].isNotNull(), F.greatest(o["block_start"], o["start"] - 180)).otherwise(o["start"])
         high = F.when(o["block_end"].isNotNull(), F.least(o["block_end"], o["end"] + 30)).otherwise(o["end"])
-        prefix = before(t, o["start"], 260)
-        quoted = F.regexp_extract(prefix, P.QUOTED_BEFORE, 1)
         return F.struct(
             *[o[n].alias(n) for n in ("start", "end", "text", "source_type", "form", "components", "block_id", "note_id", "note_number")],
-            F.contains(gap, F.lit(";")).alias("gap_clause"), F.rlike(gap, F.lit(P.GAP_AUTHORITY)).alias("gap_authority"), F.contains(gap, F.lit("\n\n")).alias("gap_paragraph"),
-            (~F.rlike(gap, F.lit(P.GAP_SENTENCE_BREAK)) & ~F.rlike(gap, F.lit(P.GAP_WORD))).alias("gap_clean"), F.rlike(gap, F.lit(r"(?U)^\s*,\s*\z")).alias("gap_comma"),
             F.coalesce(F.try_element_at(F.filter("__breaks", lambda b: b["start"] >= o["end"]), F.lit(1))["end"], F.lit(FAR)).alias("break_end"),
             F.coalesce(F.try_element_at(F.filter("__semis", lambda s: s >= o["end"]), F.lit(1)), F.lit(FAR)).alias("semicolon"),
-            F.regexp_extract(before(t, o["start"], 24), P.EDGE_SIGNAL, 1).alias("signal"), F.rlike(before(t, o["start"], 180), F.lit(P.EDGE_QUOTE)).alias("quote_before"),
-            F.rlike(after(t, o["end"], 180), F.lit(P.EDGE_PARENTHETICAL)).alias("paren_after"),
-            F.regexp_extract(between(t, low, o["start"]), P.ARTICLE_BEFORE, 1).alias("author"), F.regexp_extract(between(t, low, o["start"]), P.ARTICLE_BEFORE, 2).alias("title"),
-            F.regexp_extract(between(t, o["end"], high), P.YEAR_AFTER, 1).alias("year"), F.contains(F.trim(quoted), F.lit(" ")).alias("quotes_words"),
-            (F.contains(F.lower(between(t, o["start"] - 120, o["end"] + 180)), F.lit("perma.cc")) | F.contains(F.lower(between(t, o["start"] - 120, o["end"] + 180)), F.lit("on file with author"))).alias("archived"),
-            (F.length(after(t, o["end"], 180)) - F.length(F.regexp_replace(after(t, o["end"], 180), r"(?U)^\s+", ""))).alias("paren_gap"),
-            F.rlike(after(t, o["end"], 180), F.lit(r"(?U)^\s*\(")).alias("paren_open"),
+            gap.alias("gap"), before(t, o["start"], 260).alias("lead"), after(t, o["end"], 180).alias("tail"), between(t, low, o["start"]).alias("block_lead"), between(t, o["end"], high).alias("block_tail"),
         )
 
     df = df.withColumn("occurrences", F.transform("__placed", facts))
@@ -125,9 +115,26 @@ def _key(o: DataFrame) -> tuple[Column, Column]:
     return key, display
 
 
+def _facts(rows: DataFrame) -> DataFrame:
+    """What the surroundings of each occurrence say, as flags and short strings; the surroundings themselves go."""
+    gap, lead, tail = F.col("gap"), F.col("lead"), F.col("tail")
+    last = lambda n: F.substring(lead, F.greatest(F.length(lead) - n, F.lit(0)) + 1, F.lit(n))
+    near = F.lower(F.concat(last(120), F.col("text"), tail))
+    bare = F.regexp_replace(tail, r"(?U)^\s+", "")
+    return rows.select(
+        "doc_id", "ord", "start", "end", "text", "source_type", "form", "components", "block_id", "note_id", "note_number", "break_end", "semicolon",
+        F.contains(gap, F.lit(";")).alias("gap_clause"), F.rlike(gap, F.lit(P.GAP_AUTHORITY)).alias("gap_authority"), F.contains(gap, F.lit("\n\n")).alias("gap_paragraph"),
+        (~F.rlike(gap, F.lit(P.GAP_SENTENCE_BREAK)) & ~F.rlike(gap, F.lit(P.GAP_WORD))).alias("gap_clean"), F.rlike(gap, F.lit(r"(?U)^\s*,\s*\z")).alias("gap_comma"),
+        F.regexp_extract(last(24), P.EDGE_SIGNAL, 1).alias("signal"), F.rlike(last(180), F.lit(P.EDGE_QUOTE)).alias("quote_before"), F.rlike(tail, F.lit(P.EDGE_PARENTHETICAL)).alias("paren_after"),
+        F.regexp_extract("block_lead", P.ARTICLE_BEFORE, 1).alias("author"), F.regexp_extract("block_lead", P.ARTICLE_BEFORE, 2).alias("title"), F.regexp_extract("block_tail", P.YEAR_AFTER, 1).alias("year"),
+        F.contains(F.trim(F.regexp_extract(lead, P.QUOTED_BEFORE, 1)), F.lit(" ")).alias("quotes_words"), (F.contains(near, F.lit("perma.cc")) | F.contains(near, F.lit("on file with author"))).alias("archived"),
+        (F.length(tail) - F.length(bare)).alias("paren_gap"), bare.startswith("(").alias("paren_open"),
+    )
+
+
 def occurrences(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """A row per occurrence: doc_id, ord (logical order), its facts, authority_id (of full citations), display, identity."""
-    rows = rows_of(with_occurrences(docs, text_col), "occurrences", F.col(id_col).alias("doc_id"), at="ord")
+    rows = _facts(rows_of(with_occurrences(docs, text_col), "occurrences", F.col(id_col).alias("doc_id"), at="ord"))
     key, display = _key(rows)
     full = F.col("form") == "full"
     rows = rows.withColumn("identity", F.when(full, key)).withColumn("display", F.when(full, display))

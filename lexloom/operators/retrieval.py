@@ -1,8 +1,8 @@
 """Ranking of guidance chunks and of vectors for queries, the best ``k`` each.
 
-Queries are a bounded set: they are dealt into blocks of at most ``BLOCK`` and
-each block is one literal array that every chunk is scored against in its row;
-so chunks are never shuffled, only the ranked rows are, after a local top-k.
+Queries are a stated set: they are dealt into blocks of about ``BLOCK``, and a block
+is what is broadcast (tokens) or read as one array (vectors). Chunks are scored
+where they are; only scores are shuffled, after local sums and a local top-k.
 """
 
 from __future__ import annotations
@@ -21,12 +21,11 @@ def tokens(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0)))
 
 
-def _query_blocks(queries: DataFrame, value: Column, block: int) -> list[DataFrame]:
+def _blocks(queries: DataFrame, block: int) -> list[DataFrame]:
+    """The queries in blocks of about ``block`` at most."""
     n = queries.count()
     deals = max(1, -(-n // block))
-    q = queries.select(F.col("query_id"), value.alias("q"))
-    parts = [q if deals == 1 else q.where(F.pmod(F.xxhash64("query_id"), F.lit(deals)) == i) for i in range(deals)]
-    return [p.agg(F.collect_list(F.struct("query_id", "q")).alias("queries")) for p in parts]
+    return [queries if deals == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(deals)) == i) for i in range(deals)]
 
 
 def _ranked(scored: DataFrame, k: int) -> DataFrame:
@@ -35,13 +34,21 @@ def _ranked(scored: DataFrame, k: int) -> DataFrame:
 
 
 def lexical_top_k(chunks: DataFrame, queries: DataFrame, k: int = 5, block: int = BLOCK) -> DataFrame:
-    """query_id, chunk_id, overlap, score, rank. ``chunks``: chunk_id, text; ``queries``: query_id, text. score = overlap / sqrt(|query| |chunk|)."""
+    """query_id, chunk_id, overlap, score, rank. ``chunks``: chunk_id, text; ``queries``: query_id, text. score = overlap / sqrt(|query| |chunk|).
+
+    A block of queries is broadcast as (token, queries that hold it); its size is
+    bounded by the block. A chunk's tokens look it up, and overlaps are summed
+    where the chunk is before anything is shuffled.
+    """
     if k <= 0:
         raise ValueError("k must be positive")
-    base, out = chunks.select("chunk_id", tokens(F.col("text")).alias("t")), None
-    for part in _query_blocks(queries, tokens(F.col("text")), block):
-        hits = base.withColumn("qs", part.scalar()).select("chunk_id", F.size("t").alias("n"), F.explode_outer(F.transform("qs", lambda q: F.struct(q["query_id"].alias("query_id"), F.size(q["q"]).alias("m"), F.size(F.array_intersect(F.col("t"), q["q"])).alias("overlap")))).alias("h"))
-        hits = hits.select("h.query_id", "chunk_id", F.col("h.overlap").alias("overlap"), (F.col("h.overlap") / F.sqrt(F.greatest(F.lit(1), F.col("h.m") * F.col("n")))).alias("score")).where("query_id is not null and overlap > 0")
+    base = chunks.select("chunk_id", tokens(F.col("text")).alias("t")).select("chunk_id", F.size("t").alias("n"), F.explode_outer("t").alias("token")).where("token is not null")
+    out = None
+    for part in _blocks(queries.select("query_id", tokens(F.col("text")).alias("q")), block):
+        lookup = part.select(F.struct("query_id", F.size("q").alias("m")).alias("q"), F.explode("q").alias("token")).groupBy("token").agg(F.collect_list("q").alias("qs"))
+        hits = base.join(F.broadcast(lookup), "token").select("chunk_id", "n", F.explode("qs").alias("q"))
+        hits = hits.groupBy("chunk_id", "q.query_id").agg(F.count("*").cast("int").alias("overlap"), F.max("n").alias("n"), F.max("q.m").alias("m"))
+        hits = hits.select("query_id", "chunk_id", "overlap", (F.col("overlap") / F.sqrt(F.greatest(F.lit(1), F.col("m") * F.col("n")))).alias("score"))
         out = hits if out is None else out.unionByName(hits)
     return _ranked(out, k)
 
@@ -53,8 +60,8 @@ def dot(a: Column, b: Column) -> Column:
 def vector_top_k(chunks: DataFrame, queries: DataFrame, k: int = 5, block: int = BLOCK) -> DataFrame:
     """query_id, chunk_id, score, rank by dot product. ``chunks``: chunk_id, v; ``queries``: query_id, v (arrays of floats)."""
     out = None
-    for part in _query_blocks(queries, F.col("v"), block):
-        hits = chunks.select("chunk_id", "v").withColumn("qs", part.scalar())
+    for part in _blocks(queries.select("query_id", F.col("v").alias("q")), block):
+        hits = chunks.select("chunk_id", "v").withColumn("qs", part.agg(F.collect_list(F.struct("query_id", "q"))).scalar())
         hits = hits.select("chunk_id", F.explode_outer(F.transform("qs", lambda q: F.struct(q["query_id"].alias("query_id"), dot(F.col("v"), q["q"]).alias("score")))).alias("h")).select("h.query_id", "chunk_id", F.col("h.score").alias("score")).where("query_id is not null")
         out = hits if out is None else out.unionByName(hits)
     return _ranked(out, k)
