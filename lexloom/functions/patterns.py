@@ -61,6 +61,10 @@ NUMBERED_NOTE = r"(?U)^\[(\d+)\]\s+"
 MARKDOWN_NOTE = r"(?U)^\[\^([^\]]+)\]:\s*"
 NOTE_REFERENCE = Pattern(r"(?U)\[(\d+)\]", ("note",))
 MARKDOWN_REFERENCE = Pattern(r"\[\^([^\]]+)\](?!:)", ("note",))
+MARKDOWN_DEFINITION = Pattern(r"(?mdU)^\[\^([^\]]+)\]:\s*(.*(?:\n(?: {2,}|\t).*)*)$", ("note", "body"))
+MARKDOWN_PARAGRAPH = Pattern(r"(?mdU)^(?!\s*$).+(?:\n(?!\s*$).+)*")
+MARKDOWN_LINK = Pattern(r"\[([^\]]+)\]\((https?://[^)\s]+)\)", ("label", "url"))
+HEADING_MARK = r"^#{1,6}\s+"
 SENTENCE = Pattern(r"(?dU)[^\n]+?(?:[!?](?=\s|$)|\.(?=\s|$)|$)")
 QUOTATION = Pattern(r"[“\"]([^”\"]+)[”\"]", ("quoted",))
 FILING_WORDS = r"(?iuU)\b(?:district|superior|bankruptcy) court\b|\bplaintiff\b|\bdefendant\b|\bmotion\b|\bpetitioner\b|\brespondent\b|\bon writ of certiorari\b|\bbrief (?:for|of)\b"

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.udfs import nfkc, sequence_ratio
-from .retrieval import comparison_text, overlap, passages, quote_status
+from .retrieval import comparison_text, nearby_quotes, overlap, passages, pincite_status, proposition, quote_status
 
 PARTIAL = 0.55
 
@@ -37,3 +37,20 @@ def rank_passages(df: DataFrame, k: int = 3) -> DataFrame:
     win = win.withColumn("combined_score", F.round(0.65 * F.col("token_overlap") + 0.35 * F.col("sequence_similarity"), 4))
     w = Window.partitionBy("id").orderBy(F.desc("combined_score"), "pos")
     return win.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("proposition", "pos")
+
+
+def case_evidence(citations: DataFrame, sources: DataFrame) -> DataFrame:
+    """Evidence for each citation (id, document, start, pincite, source_id) in its source (source_id, source_text).
+
+    id, quotation_status, quotation_score (the best of up to three quotations before it), pincite_status,
+    proposition, best_passage, best_score. The conclusion stays open.
+    """
+    j = citations.join(sources, "source_id")
+    base = j.select("id", "pincite", F.col("source_text").alias("source"), proposition(F.col("document"), F.col("start")).alias("proposition"), nearby_quotes(F.col("document"), F.col("start")).alias("quotes"))
+    quotes = base.select("id", F.posexplode("quotes").alias("k", "quote"), "source")
+    found = match_quotes(quotes.select(F.concat_ws("#", F.col("id").cast("string"), F.col("k").cast("string")).alias("id"), "quote", "source"))
+    keyed = quotes.select("id", F.concat_ws("#", F.col("id").cast("string"), F.col("k").cast("string")).alias("qid"))
+    best = keyed.join(found.withColumnRenamed("id", "qid"), "qid").groupBy("id").agg(F.max_by("status", "score").alias("quotation_status"), F.max("score").alias("quotation_score"))
+    ranked = rank_passages(base.select("id", "proposition", "source"), 1).select("id", F.col("passage").alias("best_passage"), F.col("combined_score").alias("best_score"))
+    out = base.join(best, "id", "left").join(ranked, "id", "left")
+    return out.select("id", F.coalesce("quotation_status", F.lit("not_supplied")).alias("quotation_status"), F.coalesce("quotation_score", F.lit(0.0)).alias("quotation_score"), pincite_status(F.col("pincite"), F.col("source"), F.coalesce("best_score", F.lit(0.0))).alias("pincite_status"), "proposition", "best_passage", "best_score", F.lit("not_determined").alias("conclusion"))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
-from ..functions.spans import between, rows_of, spans
+from ..functions.spans import rows_of, spans, strip
 
 BLOCK = "struct<start:int,end:int,kind:string,block_id:string,note_id:string,note_number:string,text:string>"
 
@@ -56,6 +56,36 @@ def block_rows(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id")
     return rows_of(with_blocks(docs, text_col), "blocks", F.col(id_col).alias("doc_id"), at="ord")
 
 
+def markdown_rows(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """Blocks of Markdown in text order: headings, block quotations, paragraphs, note definitions (numbered as they come) and links."""
+    text, none = F.coalesce(F.col(text_col), F.lit("")), F.lit(None).cast("string")
+    part = lambda s, p, k: F.regexp_extract(s["text"], p.regex, k)
+    lead = lambda x: F.length(x) - F.length(F.regexp_replace(x, r"(?U)\A\s+", ""))
+    df = docs.withColumn("__n", spans(text, P.MARKDOWN_DEFINITION))
+
+    def note(s, i):
+        body, name = part(s, P.MARKDOWN_DEFINITION, 2), part(s, P.MARKDOWN_DEFINITION, 1)
+        start = s["end"] - F.length(body) + lead(body)
+        return _block(start, start + F.length(strip(body)), "footnote", F.concat(F.lit("footnote:"), name, F.lit(":p:0")), name, (i + 1).cast("string"), strip(body))
+
+    body = F.filter(spans(text, P.MARKDOWN_PARAGRAPH), lambda s: ~F.exists(F.col("__n"), lambda n: (n["start"] <= s["start"]) & (s["start"] < n["end"])))
+
+    def block(s, i):
+        head = F.length(F.regexp_extract(s["text"], P.HEADING_MARK, 0))
+        quote = F.length(s["text"]) - F.length(F.regexp_replace(s["text"], r"\A[> ]+", ""))
+        cut = F.when(s["text"].startswith("#"), head).when(s["text"].startswith(">"), quote).otherwise(F.lit(0))
+        inner = F.substring(s["text"], cut + 1, F.length(s["text"]))
+        kind = F.when(s["text"].startswith("#"), "heading").when(s["text"].startswith(">"), "block_quotation").otherwise("paragraph")
+        name = F.concat(F.when(kind == "heading", "body:h:").when(kind == "block_quotation", "body:q:").otherwise("body:p:"), i.cast("string"))
+        return F.struct((s["start"] + cut).alias("start"), s["end"].alias("end"), kind.alias("kind"), name.alias("block_id"), none.alias("note_id"), none.alias("note_number"), inner.alias("text")).cast(BLOCK)
+
+    def link(s, i):
+        return _block(s["start"], s["end"], "hyperlink", F.concat(F.lit("link:"), i.cast("string")), none, none, part(s, P.MARKDOWN_LINK, 2))
+
+    all_ = F.array_sort(F.concat(F.transform("__n", note), F.transform(body, block), F.transform(spans(text, P.MARKDOWN_LINK), link)))
+    return rows_of(df.withColumn("__m", all_), "__m", F.col(id_col).alias("doc_id"), at="ord")
+
+
 def sentence_rows(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """Sentences of each block: doc_id, block_id, start, end, text, has_citation."""
     blocks = block_rows(docs, text_col, id_col)
