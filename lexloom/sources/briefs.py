@@ -10,10 +10,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_T, _B, _V, _P, _Y = "cast(l_suppkey % 50 + 1 as string)", "cast(l_partkey % 900 + 100 as string)", "cast(l_partkey % 400 + 10 as string)", "cast(l_suppkey % 300 + 1 as string)", "cast(1900 + l_partkey % 99 as string)"
+_T, _B, _V, _P, _Y = "cast(l_suppkey % 50 + 1 as string)", "cast((l_orderkey * 7 + l_partkey % 3) % 900 + 100 as string)", "cast((l_orderkey * 3 + l_partkey % 2) % 400 + 10 as string)", "cast(l_suppkey % 300 + 1 as string)", "cast(1900 + l_partkey % 99 as string)"
 _N = "CASE l_suppkey % 6 WHEN 0 THEN 'Smith' WHEN 1 THEN 'Baxter' WHEN 2 THEN 'Doe' WHEN 3 THEN 'Ortiz' WHEN 4 THEN 'Chen' ELSE 'Ward' END"
 _M = "CASE l_partkey % 5 WHEN 0 THEN 'Jones' WHEN 1 THEN 'State' WHEN 2 THEN 'Board' WHEN 3 THEN 'Cole' ELSE 'Union' END"
 
+# Sections and volumes come from the order and a small remainder, so that a brief cites some authorities again.
 #: kind -> (lead, citation, tail), each a list of SQL expressions that are concatenated.
 KINDS: dict[str, tuple[list[str], list[str], list[str]]] = {
     "statute_bad": (["'Plaintiff relies on '"], [_T, "' USC §'", _B], ["' here. '"]),
