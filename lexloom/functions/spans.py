@@ -35,6 +35,15 @@ def spans(text: Column, p: Pattern | Column) -> Column:
     return F.when(text.isNull() | ~there, F.array().cast(f"array<{SPAN}>")).otherwise(F.aggregate(step, zero, add, lambda a: a["out"]))
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value worked out once.
+
+    A column that a lambda refers to once is put into the lambda by Catalyst and
+    then worked out for every element; a lambda's own variable is not.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def rows_of(df: DataFrame, array: str, *keep: Column, at: str | None = None) -> DataFrame:
     """A row per element: the kept columns, the position (named ``at``) and the element's fields.
 

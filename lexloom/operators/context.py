@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.patterns import Pattern
-from ..functions.spans import apply_edits, between, rows_of, spans
+from ..functions.spans import apply_edits, between, let, rows_of, spans
 from .lint import with_issues
 
 # Patterns of the quick scan, of protected ranges, and of headings.
@@ -84,7 +84,7 @@ def document_context(docs: DataFrame, text_col: str = "text", id_col: str = "doc
     ends = F.transform(spans(t, Pattern(r"\n[ \t]*\n+")), lambda s: s["end"])
     df = df.withColumn("__b", F.array_distinct(F.concat(F.array(F.lit(0)), ends, F.array(n))))
     df = df.withColumn("__p", F.zip_with(F.slice("__b", F.lit(1), F.size("__b") - 1), F.slice("__b", F.lit(2), F.greatest(F.size("__b") - 1, F.lit(0))), lambda a, b: F.struct(a.alias("start"), b.alias("end"))))
-    hit = F.transform("__p", lambda p: F.exists("protected", lambda r: (r["start"] < p["end"]) & (p["start"] < r["end"])))
+    hit = let(F.col("protected"), lambda kept: F.transform("__p", lambda p: F.exists(kept, lambda r: (r["start"] < p["end"]) & (p["start"] < r["end"]))))
     df = df.withColumn("__hit", hit)
     at = F.filter(F.transform("__hit", lambda h, i: F.when(h, i)), lambda x: x.isNotNull())
     df = df.withColumn("__at", at)
@@ -107,12 +107,12 @@ def citation_tasks(docs: DataFrame, mode: str = "bluepages", text_col: str = "te
     df = with_issues(docs, mode, text_col)
     t = F.coalesce(F.col(text_col), F.lit(""))
 
-    def task(c):
-        issues = F.filter("issues", lambda i: (i["start"] < c["end"]) & (c["start"] < i["end"]))
+    def task(c, known):
+        issues = F.filter(known, lambda i: (i["start"] < c["end"]) & (c["start"] < i["end"]))
         low = F.greatest(c["start"] - reach, F.lit(0))
         return F.struct(c["start"].alias("start"), c["end"].alias("end"), c["text"].alias("citation_text"), c["source_type"].alias("source_type"), c["components"].alias("components"), between(t, low, c["end"] + reach).alias("context"), low.alias("context_start"), issues.alias("issues"))
 
-    rows = rows_of(df.withColumn("__task", F.transform("citations", task)), "__task", F.col(id_col).alias("doc_id"), at="task")
+    rows = rows_of(df.withColumn("__task", let(F.col("issues"), lambda known: F.transform("citations", lambda c: task(c, known)))), "__task", F.col(id_col).alias("doc_id"), at="task")
     return rows.withColumn("mode", F.lit(mode)).withColumn("prompt", F.to_json(F.struct("citation_text", "components", "context", "context_start", "end", "issues", "mode", "source_type", "start")))
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
-from ..functions.spans import after, before, between, parts, rows_of, spans
+from ..functions.spans import after, before, between, let, parts, rows_of, spans
 from ..functions.tables import squeezed
 from ..sources.blocks import with_blocks
 from .extract import neutralize, with_citations
@@ -49,8 +49,8 @@ def with_occurrences(docs: DataFrame, text_col: str = "text") -> DataFrame:
     # Section symbols short for a statute cited in full somewhere in the text; these don't occupy their place.
     sections = F.transform(F.filter("__acc", lambda a: a["source_type"].isin("statute", "regulation") & (a["form"] == "full")), lambda a: norm(a["components"]["section"]))
     df = df.withColumn("__sections", sections).withColumn("__new", F.transform(spans(t, P.STATUTORY_SHORT), lambda s: _occ(s, "statute", "statutory_short", parts(s["text"], P.STATUTORY_SHORT))))
-    fits = lambda c: F.array_contains(F.col("__sections"), norm(c["components"]["section"]))
-    df = df.withColumn("__short", F.filter(F.filter("__new", _free(F.col("__acc"))), fits))
+    short = let(F.col("__sections"), lambda known: F.filter(F.filter("__new", _free(F.col("__acc"))), lambda c: F.array_contains(known, norm(c["components"]["section"]))))
+    df = df.withColumn("__short", short)
     # Aliases, from their definition on.
     df = df.withColumn("definitions", F.transform(spans(t, P.HEREINAFTER), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.regexp_extract(s["text"], P.HEREINAFTER.regex, 1).alias("alias"))))
 
@@ -82,19 +82,20 @@ def with_occurrences(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     df = df.withColumn("__placed", F.transform("__acc", place)).withColumn("__placed", F.array_sort("__placed", order))
 
-    def facts(o, i):
+    def facts(o, i, breaks, semis):
         prev = F.try_element_at(F.col("__placed"), F.greatest(i, F.lit(1)))
         gap = F.when(i > 0, between(t, prev["end"], o["start"])).otherwise(F.lit(""))
         low = F.when(o["block_start"].isNotNull(), F.greatest(o["block_start"], o["start"] - 180)).otherwise(o["start"])
         high = F.when(o["block_end"].isNotNull(), F.least(o["block_end"], o["end"] + 30)).otherwise(o["end"])
         return F.struct(
             *[o[n].alias(n) for n in ("start", "end", "text", "source_type", "form", "components", "block_id", "note_id", "note_number")],
-            F.coalesce(F.try_element_at(F.filter("__breaks", lambda b: b["start"] >= o["end"]), F.lit(1))["end"], F.lit(FAR)).alias("break_end"),
-            F.coalesce(F.try_element_at(F.filter("__semis", lambda s: s >= o["end"]), F.lit(1)), F.lit(FAR)).alias("semicolon"),
+            F.coalesce(F.try_element_at(F.filter(breaks, lambda b: b["start"] >= o["end"]), F.lit(1))["end"], F.lit(FAR)).alias("break_end"),
+            F.coalesce(F.try_element_at(F.filter(semis, lambda s: s >= o["end"]), F.lit(1)), F.lit(FAR)).alias("semicolon"),
             gap.alias("gap"), before(t, o["start"], 260).alias("lead"), after(t, o["end"], 180).alias("tail"), between(t, low, o["start"]).alias("block_lead"), between(t, o["end"], high).alias("block_tail"),
         )
 
-    df = df.withColumn("occurrences", F.transform("__placed", facts))
+    bound = F.struct(F.col("__breaks").alias("breaks"), F.col("__semis").alias("semis"))
+    df = df.withColumn("occurrences", let(bound, lambda x: F.transform("__placed", lambda o, i: facts(o, i, x["breaks"], x["semis"]))))
     return df.drop(*[c for c in df.columns if c.startswith("__")])
 
 

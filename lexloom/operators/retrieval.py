@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
-from ..functions.spans import between, spans, strip
+from ..functions.spans import between, let, spans, strip
 
 BLOCK = 2000
 
@@ -83,16 +83,18 @@ def sentences(text: Column) -> Column:
 
 def passages(text: Column, target_words: int | Column = 70) -> Column:
     """Windows of up to three sentences that end once they hold ``target_words`` words."""
-    all_ = sentences(text)
 
-    def window(_, i):
-        def add(acc, s):
-            full = acc["n"] >= target_words
-            return F.when(full, acc).otherwise(F.struct((acc["n"] + F.size(F.split(s, " "))).alias("n"), F.concat(acc["x"], F.array(s)).alias("x")))
+    def all_windows(found):
+        def window(_, i):
+            def add(acc, s):
+                full = acc["n"] >= target_words
+                return F.when(full, acc).otherwise(F.struct((acc["n"] + F.size(F.split(s, " "))).alias("n"), F.concat(acc["x"], F.array(s)).alias("x")))
 
-        return F.aggregate(F.slice(all_, i + 1, F.lit(3)), F.struct(F.lit(0).alias("n"), F.array().cast("array<string>").alias("x")), add, lambda a: F.array_join(a["x"], " "))
+            return F.aggregate(F.slice(found, i + 1, F.lit(3)), F.struct(F.lit(0).alias("n"), F.array().cast("array<string>").alias("x")), add, lambda a: F.array_join(a["x"], " "))
 
-    return F.transform(all_, window)
+        return F.transform(found, window)
+
+    return let(sentences(text), all_windows)
 
 
 def proposition(text: Column, at: Column, most: int = 600) -> Column:
