@@ -9,7 +9,8 @@ pairs are verified on their full sets (see ``neardup``).
 Defined results: a null or empty text has no words; it is in a class by itself,
 has no links and is always kept. Rows of one doc_id are joined like any others.
 The class id is the least doc_id of the class (null ids count only if there is
-no other). Shingle sets are told apart by a 64-bit hash: among 10^9 different
+no other). Where ids are null or repeat, unlike classes can share it, so a class
+is told by its class_key, the least set id of its component. Shingle sets are told apart by a 64-bit hash: among 10^9 different
 texts two are taken for copies with a chance of 3%.
 """
 
@@ -101,8 +102,9 @@ def contents(docs: DataFrame, text_col: str, width: int, wanted: np.ndarray) ->
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, threshold: float = THRESHOLD, recall: float = RECALL, rows: int = ROWS, block: int = neardup.BLOCK) -> DataFrame:
-    """One row per row of ``docs``: doc_id, tkey, class_id, n_links, n_copies.
+    """One row per row of ``docs``: doc_id, tkey, class_id, class_key, n_links, n_copies.
 
+    class_key: names the class whatever the ids, null without words (a class by itself);
     n_links: different texts (shingle sets) that are similar to this one, null without words; n_copies: rows with this one's set.
     """
     bands = bands_for(threshold, recall, rows)
@@ -124,24 +126,24 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     links.drop()
     root.drop()
     classes = named.df.groupBy("root").agg(F.min("first").alias("class_id"))
-    info = named.df.join(classes, "root").select("id", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies")
+    info = named.df.join(classes, "root").select("id", "class_id", F.col("root").alias("class_key"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies")
     rows_ = sig.df.select("doc_id", "tkey", "id", "size")
-    some = rows_.where("size > 0").join(info, "id").select("doc_id", "tkey", "class_id", "n_links", "n_copies")
-    none = rows_.where("size = 0").select("doc_id", "tkey", F.col("doc_id").alias("class_id"), F.lit(None).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"))
+    some = rows_.where("size > 0").join(info, "id").select("doc_id", "tkey", "class_id", "class_key", "n_links", "n_copies")
+    none = rows_.where("size = 0").select("doc_id", "tkey", F.col("doc_id").alias("class_id"), F.lit(None).cast("long").alias("class_key"), F.lit(None).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"))
     return some.unionByName(none)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay: of each class the one of the least doc_id, and all without words.
+    """The rows of ``docs`` that stay: of each class the one of the least doc_id (null ids last), and all without words.
 
     Rows that repeat doc_id and text are one. Rows whose key misses the bit table
     of removed ones stay without a join; only the others are joined.
     """
     found = Table(similar_documents(docs, id_col, text_col), "similar")
     worded = found.df.where("n_links is not null")
-    kept = worded.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("class_id").agg(F.min("tkey").alias("stay"))
+    kept = worded.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("class_key").agg(F.min("tkey").alias("stay"))
     # A row is removed if another one of its class stays.
-    gone = Table(worded.join(kept, worded["class_id"].eqNullSafe(kept["class_id"])).where("tkey != stay").select("tkey").distinct(), "removed")
+    gone = Table(worded.join(kept, "class_key").where("tkey != stay").select("tkey").distinct(), "removed")
     repeats = not found.df.groupBy("tkey").count().where("count > 1").isEmpty()
     found.drop()
     out = docs.withColumn("__tkey", F.xxhash64(docs[id_col], docs[text_col]))
