@@ -3,7 +3,8 @@
 1. Log-odds of tokens between toxic and clean texts with an informative
    Dirichlet prior (a share of each token's own count). A token counts once for
    each pair of words around it, so copies of a text don't make its words terms
-   and a repeated word doesn't outweigh others. Tokens whose z-score is above
+   and a repeated word doesn't outweigh others (in learning only; in the scan
+   below every occurrence scores). Tokens whose z-score is above
    the one that ``false_terms`` of all tested tokens would reach by chance are
    terms with their log-odds as score; any other token
    scores the (negative) log-odds of not being a term.
@@ -105,17 +106,12 @@ def contexts(h: np.ndarray, w: K.Words) -> np.ndarray:
 
 
 def scan(off, data, m: ToxicityModel):
-    """Words of a piece, and (text, first, last, score, E) of its maximal segments.
-
-    A term that comes again between the same two words of a text scores there as any other token.
-    """
+    """Words of a piece, and (text, first, last, score, E) of its maximal segments; every occurrence of a term scores."""
     w = K.Words(off, data, K.ALNUM, lower=True)
     h = w.hashes()
     at = np.flatnonzero(K.member(h, m.terms))
     if not len(at):
         return w, []
-    _, first = np.unique(K.salted(contexts(h, w)[at], w.text[at]), return_index=True)
-    at = at[np.sort(first)]
     s = m.score[np.searchsorted(m.terms, h[at])]
     text = np.searchsorted(w.ptr, at, "right") - 1
     found, cuts = [], np.flatnonzero(np.diff(text)) + 1
