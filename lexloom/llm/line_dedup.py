@@ -4,7 +4,8 @@ Lines are split at \\n. A line's shingles are its runs of ``width`` characters (
 points); a shorter line is one shingle. Signatures, high-recall bands, exact
 verification and components are those of ``neardup``; equal lines are one item
 from the start. Of each component the first occurrence stays: the one of the
-least doc_id, then of the least line number.
+least doc_id, then of the least line number, then (where ids are null or repeat)
+of the least hash of doc_id and text, so that one occurrence stays whatever the ids.
 
 Defined results: a null text has no lines; lines without anything but white
 space are layout and always stay. Rows without a doc_id come last in the order.
@@ -90,23 +91,23 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def sign(batches):
         for batch in batches:
-            doc = batch.column(0).to_numpy()
+            doc, tkey = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for lo, hi, off, data in K.pieces(batch.column(2)):
                 x = Lines(off, data)
                 if not len(x.id):
                     continue
                 u, first, count = np.unique(x.id, return_index=True, return_counts=True)
-                # The first of each among this piece's equal lines, by document and number.
-                order = np.lexsort((x.number, doc[lo:hi][x.text], x.id))
+                # The first of each among this piece's equal lines, by document, number and text.
+                order = np.lexsort((tkey[lo:hi][x.text], x.number, doc[lo:hi][x.text], x.id))
                 best = order[np.cumsum(count) - count]
                 sel = np.sort(first)
                 shingle, ptr = char_shingles(off, data, x.start[sel], x.end[sel], width)
                 keys = neardup.band_keys(shingle, ptr, bands, rows)[np.argsort(x.id[sel])]
                 size = np.diff(np.append(ptr, len(shingle)))[np.argsort(x.id[sel])]
-                yield _batch([u, doc[lo:hi][x.text[best]], x.number[best].astype(np.int32), count.astype(np.int64), size.astype(np.int64), *[keys[:, b].copy() for b in range(bands)]], ["id", "doc", "line", "n", "size", *names])
+                yield _batch([u, doc[lo:hi][x.text[best]], x.number[best].astype(np.int32), tkey[lo:hi][x.text[best]], count.astype(np.int64), size.astype(np.int64), *[keys[:, b].copy() for b in range(bands)]], ["id", "doc", "line", "tkey", "n", "size", *names])
 
-    signed = src.mapInArrow(sign, "id long, doc long, line int, n long, size long, " + ", ".join(f"{n} long" for n in names))
-    once = signed.groupBy("id").agg(F.min("doc").alias("doc"), F.min_by("line", "doc").alias("line"), F.sum("n").alias("n"), F.max("size").alias("size"), *[F.max(n).alias(n) for n in names])
+    signed = src.mapInArrow(sign, "id long, doc long, line int, tkey long, n long, size long, " + ", ".join(f"{n} long" for n in names))
+    once = signed.groupBy("id").agg(F.min(F.struct("doc", "line", "tkey")).alias("kept"), F.sum("n").alias("n"), F.max("size").alias("size"), *[F.max(n).alias(n) for n in names])
     items = Table(once, "lines")
     member = neardup.members(items.df, bands)
     at = Table(neardup.route(member.df, items.df.select("id", "size"), block), "routes")
@@ -129,11 +130,11 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     links.drop()
 
     # Lines of which some occurrence goes: those that occur again, and all of a component.
-    first = items.df.select("id", "doc", "line", "n")
+    first = items.df.select("id", "kept", "n")
     inside = root.df.unionByName(root.df.select(F.col("root").alias("id"), "root")).distinct().join(first, "id")
-    best = inside.groupBy("root").agg(F.min(F.struct("doc", "line")).alias("kept"))
-    grouped = inside.join(best, "root").select("id", "kept")
-    again = first.where("n > 1").select("id", F.struct("doc", "line").alias("kept"))
+    best = inside.groupBy("root").agg(F.min("kept").alias("kept"))
+    grouped = inside.drop("kept").join(best, "root").select("id", "kept")
+    again = first.where("n > 1").select("id", "kept")
     decided = Table(again.unionByName(grouped).groupBy("id").agg(F.min("kept").alias("kept")), "decided")
     items.drop()
     root.drop()
@@ -148,7 +149,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 yield _batch([x.id[hit], doc[lo:hi][x.text[hit]], tkey[lo:hi][x.text[hit]], x.number[hit].astype(np.int32)], ["id", "doc", "tkey", "line"])
 
     seen = src.mapInArrow(occurrences, "id long, doc long, tkey long, line int").join(decided.df, "id")
-    gone = seen.where((F.col("doc") != F.col("kept.doc")) | (F.col("line") != F.col("kept.line")))
+    gone = seen.where((F.col("doc") != F.col("kept.doc")) | (F.col("line") != F.col("kept.line")) | (F.col("tkey") != F.col("kept.tkey")))
     out = Table(gone.groupBy("tkey").agg(F.array_sort(F.collect_set(F.struct("line", F.col("kept.doc").alias("kept_doc"), F.col("kept.line").alias("kept_line")))).alias("removed")), "removed-lines")
     decided.drop()
     return out
