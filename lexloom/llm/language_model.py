@@ -9,7 +9,7 @@
    seen or not. Unit bigrams of the whole training data are counted in a dense
    matrix per task, which bounds what reaches the driver to units squared.
 3. Exchange clustering: each unit moves to the class that raises the class
-   bigram likelihood most, until none moves or ``sweeps`` are done.
+   bigram likelihood most, until none moves (or, if given, ``sweeps`` are done).
 4. Class transitions and word emissions, both with add-k smoothing; an emission
    has room for one unknown word per class. The counts behind emissions are
    those of step 1, for all words.
@@ -26,6 +26,7 @@ results: a null or empty text is its end token alone; rows are scored one by one
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +46,7 @@ class ClassRules:
     head: int = 1024
     shapes: int = 256
     classes: int = 32
-    sweeps: int = 12
+    sweeps: int | None = None
     known: int = 1 << 18
     smooth: float = 0.1
 
@@ -124,8 +125,8 @@ def unit_bigrams(texts: DataFrame, head: np.ndarray, unit: np.ndarray, rules: Cl
     return m.reshape(units, units)
 
 
-def exchange(m: np.ndarray, classes: int, sweeps: int) -> np.ndarray:
-    """A class for each unit; unit 0 (the end token) keeps class 0 for itself."""
+def exchange(m: np.ndarray, classes: int, sweeps: int | None = None) -> np.ndarray:
+    """A class for each unit; unit 0 (the end token) keeps class 0 for itself. Without ``sweeps`` it goes on until none moves."""
     units = len(m)
     freq = m.sum(1) + m.sum(0)
     order = np.argsort(-freq[1:], kind="stable") + 1
@@ -139,7 +140,9 @@ def exchange(m: np.ndarray, classes: int, sweeps: int) -> np.ndarray:
     np.add.at(big, c, to)
     f = lambda x: x * np.log(np.maximum(x, 1.0))
     out, inn = m.sum(1).astype(float), m.sum(0).astype(float)
-    for _ in range(sweeps):
+    # Gains below what rounding can make up don't count, so every move raises the likelihood and the sweeps end.
+    least = max(1e-9, 64 * np.finfo(float).eps * float(f(float(m.sum()))))
+    for _ in count() if sweeps is None else range(sweeps):
         moved = 0
         for w in order:
             if not freq[w]:
@@ -159,7 +162,7 @@ def exchange(m: np.ndarray, classes: int, sweeps: int) -> np.ndarray:
             gain -= f(r + out[w]) - f(r) + f(s + inn[w]) - f(s)
             gain[0] = -np.inf
             new = int(np.argmax(gain))
-            if gain[new] <= gain[old] + 1e-9:
+            if gain[new] <= gain[old] + least:
                 new = int(old)
             big[new] += a
             big[:, new] += b
