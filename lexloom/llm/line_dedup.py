@@ -10,8 +10,9 @@ of the least hash of doc_id and text, so that one occurrence stays whatever the
 Defined results: a null text has no lines; lines without anything but white
 space are layout and always stay. Rows without a doc_id come last in the order.
 Rows that repeat doc_id and text get the same decision. A text that loses all
-its lines becomes an empty text, its row stays. Lines are told apart by a 64-bit
-hash of their bytes: among 10^9 different lines two are taken for equal with a
+its lines becomes an empty text; its row stays unless ``drop_emptied`` is asked for.
+Bytes that aren't UTF-8 count as U+FFFD. Columns of any other name pass through. Lines are told
+apart by a 64-bit hash: among 10^9 different lines two are taken for equal with a
 chance of 3%.
 """
 
@@ -25,159 +26,233 @@ from pyspark.sql import functions as F
 from . import bits, neardup
 from . import kernel as K
 from .ngram_join import bands_for
-from .scratch import Table
+from .scratch import Table, free
 
 WIDTH, THRESHOLD, RECALL, ROWS = 7, 0.8, 0.99, 4
+#: Bytes of text worked on at a time: small enough for the arrays to stay in a core's cache.
+PIECE = 1 << 17
 LAST = (1 << 63) - 1
 
 
-def code_points(data: np.ndarray) -> np.ndarray:
-    return np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32).astype(K.U64)
+#: A value per code point of the first plane; those beyond are worked out.
+_POINT = K.mix(np.arange(1, (1 << 16) + 1, dtype=K.U64))
 
 
-def char_shingles(off: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingle hashes of the given lines (ascending, not empty), and the first of each."""
-    lead = np.zeros(len(data) + 1, np.int64)
-    np.cumsum((data & 0xC0) != 0x80, out=lead[1:])
-    a, b = lead[start], lead[end]
-    cp = code_points(data)
-    pre = K.prefix(K.mix(cp + K.U64(1)), K._Q)
-    n = np.maximum(b - a - width + 1, 1)
-    first = np.cumsum(n) - n
-    at = np.arange(int(n.sum())) + np.repeat(a - first, n)
-    return K.spans_hash(pre, at, np.minimum(at + width, np.repeat(b, n)), K._Q), first
+def points(off: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The texts of a piece as code points and their offsets; bytes that aren't UTF-8 count as U+FFFD."""
+    if not len(data) or data.view(np.int8).min() >= 0:
+        return off, data
+    raw = data.tobytes()
+    try:
+        cp = np.frombuffer(raw.decode().encode("utf-32-le"), np.uint32)
+        return off - np.searchsorted(np.flatnonzero((data & 0xC0) == 0x80), off), cp
+    except UnicodeDecodeError:
+        each = [raw[a:b].decode("utf-8", "replace").encode("utf-32-le") for a, b in zip(off[:-1].tolist(), off[1:].tolist())]
+        return np.concatenate([[0], np.cumsum([len(x) // 4 for x in each])]).astype(np.int64), np.frombuffer(b"".join(each), np.uint32)
 
 
-def line_sets(col: pa.Array, width: int) -> list[np.ndarray]:
-    """The shingle sets of a column of lines."""
-    out = []
-    for _, _, off, data in K.pieces(col):
-        key, first = char_shingles(off, data, off[:-1], off[1:], width)
-        for a, b in zip(first.tolist(), [*first[1:].tolist(), len(key)]):
-            s = np.sort(key[a:b])
-            new = np.ones(len(s), bool)
-            np.not_equal(s[1:], s[:-1], out=new[1:])
-            out.append(s[new])
-    return out
+def point_prefix(cp: np.ndarray) -> np.ndarray:
+    """Prefix hashes over code points."""
+    if cp.dtype == np.uint8:
+        return K.prefix(np.take(_POINT, cp), K._Q)
+    v = np.take(_POINT, cp, mode="clip")
+    far = np.flatnonzero(cp >= len(_POINT))
+    v[far] = K.mix(cp[far].astype(K.U64) + K.U64(1))
+    return K.prefix(v, K._Q)
 
 
 class Lines:
-    """Lines of a piece with something else than white space: their ids, texts and numbers."""
+    """Lines of a piece with something else than white space: their ids (a hash of their code points), places and numbers."""
 
     def __init__(self, off: np.ndarray, data: np.ndarray):
-        start, end, ptr = K.lines(off, data)
-        inside = np.zeros(len(data) + 1, np.int64)
-        np.cumsum(np.take(K.SPACED, data), out=inside[1:])
-        at = np.flatnonzero(inside[end] > inside[start])
+        self.off, self.cp = points(off, data)
+        cp = self.cp
+        self.prefix = point_prefix(cp)
+        start, end, ptr = K.lines(self.off, cp)
+        inside = ~((cp == 32) | (cp - cp.dtype.type(9) <= 4))
+        # Behind a line that isn't empty there is nothing but line ends up to the next one.
+        some = np.flatnonzero(end > start)
+        at = some[np.bitwise_or.reduceat(inside.view(np.uint8), start[some]) > 0] if len(some) else some
         self.text = np.repeat(np.arange(len(ptr) - 1), np.diff(ptr))[at]
         self.number = at - ptr[self.text]
+        self.count = np.diff(ptr)
         self.start, self.end = start[at], end[at]
-        self.id = K.bytes_hash(data, self.start, self.end)
+        self.id = K.spans_hash(self.prefix, self.start, self.end, K._Q)
+
+    def line(self, k: int) -> str:
+        x = self.cp[self.start[k] : self.end[k]]
+        return x.tobytes().decode("latin-1" if x.dtype == np.uint8 else "utf-32-le", "replace")
+
+    def shingles(self, sel: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """32-bit shingle hashes of some lines (ascending), for signatures, and the first of each."""
+        return windows(self.prefix, self.start[sel], self.end[sel], width, lambda x, n: (x >> K.U64(32)).astype(np.uint32))
+
+
+def windows(pre: np.ndarray, start: np.ndarray, end: np.ndarray, width: int, finish) -> tuple[np.ndarray, np.ndarray]:
+    """A hash per run of ``width`` code points of each line (the whole of a shorter line), and the first of each line. ``finish(x, length)``."""
+    n, (_, down) = len(pre) - 1, K.powers(K._Q, len(pre))
+    long = end - start >= width
+    edge = np.zeros(n + 2, np.int8)
+    edge[start[long]] += 1
+    edge[end[long] - width + 1] -= 1
+    inside = np.cumsum(edge[:-1], dtype=np.int8).view(bool)
+    a, b = start[~long], end[~long]
+    short = finish((pre[b] - pre[a]) * down[a], b - a)
+    h = np.zeros(n + 1, short.dtype)
+    if n >= width:
+        h[: n - width + 1] = finish((pre[width:] - pre[:-width]) * down[: n - width + 1], width)
+    inside[a] = True
+    h[a] = short
+    size = np.maximum(end - start - width + 1, 1)
+    return h[inside], np.cumsum(size) - size
+
+
+def _whole(x: np.ndarray, n) -> np.ndarray:
+    return K.mix(x + (n.astype(K.U64) if isinstance(n, np.ndarray) else K.U64(n)) * K.U64(K._Q))
+
+
+def line_sets(col: pa.Array, width: int) -> list[np.ndarray]:
+    """The shingle sets (64-bit hashes) of a column of lines, none of them empty."""
+    out = []
+    for _, _, off, data in K.pieces(col, PIECE):
+        off, cp = points(off, data)
+        key, first = windows(point_prefix(cp), off[:-1], off[1:], width, _whole)
+        for a, b in zip(first.tolist(), [*first[1:].tolist(), len(key)]):
+            s = key[a:b]
+            s.sort()
+            new = s[1:] != s[:-1]
+            out.append(s if new.all() else np.append(s[:1], s[1:][new]))
+    return out
+
+
+class Known:
+    """Ids seen before, as far as a table of fixed size remembers them: one that is forgotten is only signed again."""
+
+    def __init__(self, log_slots: int = 16):
+        self.table, self.mask = np.zeros(1 << log_slots, K.U64), K.U64((1 << log_slots) - 1)
+
+    def new(self, ids: np.ndarray) -> np.ndarray:
+        at = (ids & self.mask).astype(np.int64)
+        out = self.table[at] != ids
+        self.table[at[out]] = ids[out]
+        return out
 
 
 def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc (the order of rows), tkey (names doc_id and text), text."""
-    return docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64(docs[id_col], docs[text_col]).alias("tkey"), docs[text_col].alias("text"))
+    """doc_id, doc (the order of rows), tkey (names doc_id and text), text."""
+    return docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[id_col].cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64(docs[id_col], docs[text_col]).alias("tkey"), docs[text_col].alias("text"))
 
 
-def _batch(arrays: list, names: list[str]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x.view(np.int64) if x.dtype == K.U64 else x) for x in arrays], names)
+def _signed(x: np.ndarray) -> pa.Array:
+    return pa.array(x.view(np.int64))
 
 
-def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, threshold: float = THRESHOLD, recall: float = RECALL, rows: int = ROWS, block: int = neardup.BLOCK) -> Table:
-    """tkey, removed: array of (line, kept_doc, kept_line), for the texts that lose a line."""
+class Removed:
+    """``lines``: (tkey, removed: array of (line, kept_doc, kept_line)) of the texts that lose a line; ``texts``: (doc_id, tkey, n_lines) of every row."""
+
+    def __init__(self, lines: Table, texts: DataFrame):
+        self.lines, self.texts = lines, texts
+
+
+def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, threshold: float = THRESHOLD, recall: float = RECALL, rows: int = ROWS, block: int = neardup.BLOCK) -> Removed:
+    """Reads every text twice: for ids and signatures of its lines, and for the lines that have candidates."""
     src, bands = _source(docs, id_col, text_col), bands_for(threshold, recall, rows)
-    names = [f"b{i}" for i in range(bands)]
+    kind = docs.schema[id_col].dataType.simpleString()
 
     def sign(batches):
+        """A row per text (line: number of lines), per line that isn't white (id), and per different line (size, buckets)."""
+        names, known = ["doc_id", "doc", "tkey", "line", "id", "size", "buckets"], Known()
         for batch in batches:
-            doc, tkey = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for lo, hi, off, data in K.pieces(batch.column(2)):
-                x = Lines(off, data)
-                if not len(x.id):
+            doc, tkey = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            no = lambda n, t: pa.nulls(n, t)
+            lists = pa.list_(pa.int64())
+            for lo, hi, off, data in K.pieces(batch.column(3), PIECE):
+                x, n = Lines(off, data), hi - lo
+                lines = np.where(batch.column(3).slice(lo, n).is_null().to_numpy(zero_copy_only=False), 0, x.count)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, n), pa.array(doc[lo:hi]), pa.array(tkey[lo:hi]), pa.array(lines.astype(np.int32)), no(n, pa.int64()), no(n, pa.int64()), no(n, lists)], names)
+                n = len(x.id)
+                if not n:
                     continue
-                u, first, count = np.unique(x.id, return_index=True, return_counts=True)
-                # The first of each among this piece's equal lines, by document, number and text.
-                order = np.lexsort((tkey[lo:hi][x.text], x.number, doc[lo:hi][x.text], x.id))
-                best = order[np.cumsum(count) - count]
+                yield pa.RecordBatch.from_arrays([no(n, batch.column(0).type), pa.array(doc[lo:hi][x.text]), pa.array(tkey[lo:hi][x.text]), pa.array(x.number.astype(np.int32)), _signed(x.id), no(n, pa.int64()), no(n, lists)], names)
+                _, first = np.unique(x.id, return_index=True)
                 sel = np.sort(first)
-                shingle, ptr = char_shingles(off, data, x.start[sel], x.end[sel], width)
-                keys = neardup.band_keys(shingle, ptr, bands, rows)[np.argsort(x.id[sel])]
-                size = np.diff(np.append(ptr, len(shingle)))[np.argsort(x.id[sel])]
-                yield _batch([u, doc[lo:hi][x.text[best]], x.number[best].astype(np.int32), tkey[lo:hi][x.text[best]], count.astype(np.int64), size.astype(np.int64), *[keys[:, b].copy() for b in range(bands)]], ["id", "doc", "line", "tkey", "n", "size", *names])
-
-    signed = src.mapInArrow(sign, "id long, doc long, line int, tkey long, n long, size long, " + ", ".join(f"{n} long" for n in names))
-    once = signed.groupBy("id").agg(F.min(F.struct("doc", "line", "tkey")).alias("kept"), F.sum("n").alias("n"), F.max("size").alias("size"), *[F.max(n).alias(n) for n in names])
-    items = Table(once, "lines")
-    member = neardup.members(items.df, bands)
-    at = Table(neardup.route(member.df, items.df.select("id", "size"), block), "routes")
+                sel = sel[known.new(x.id[sel])]
+                n = len(sel)
+                if not n:
+                    continue
+                shingle, ptr = x.shingles(sel, width)
+                keys = neardup.band_keys(shingle, ptr, bands, rows)
+                size = np.diff(np.append(ptr, len(shingle)))
+                buckets = pa.ListArray.from_arrays(np.arange(0, (n + 1) * bands, bands, dtype=np.int32), _signed(keys.reshape(-1)))
+                yield pa.RecordBatch.from_arrays([no(n, batch.column(0).type), no(n, pa.int64()), no(n, pa.int64()), no(n, pa.int32()), _signed(x.id[sel]), pa.array(size), buckets], names)
+
+    signed = Table(src.mapInArrow(sign, f"doc_id {kind}, doc long, tkey long, line int, id long, size long, buckets array<long>"), "lines")
+    signs = signed.df.where("size is not null")
+    occurrences = signed.df.where("id is not null and size is null").select("id", "doc", "tkey", "line")
+    member = neardup.members(signs.select("id", F.explode("buckets").alias("bucket")))
+    at = Table(neardup.route(member.df, signs.groupBy("id").agg(F.max("size").alias("size")), block), "routes")
     member.drop()
     wanted = docs.sparkSession.sparkContext.broadcast(bits.local(at.df, "id"))
 
     def fetch(batches):
-        seen: set[int] = set()
+        known = Known(20)
         for batch in batches:
-            for _, _, off, data in K.pieces(batch.column(2)):
+            for _, _, off, data in K.pieces(batch.column(0), PIECE):
                 x = Lines(off, data)
                 hit = np.flatnonzero(bits.test(wanted.value, x.id))
-                new = [k for k in hit.tolist() if (i := int(x.id[k])) not in seen and not seen.add(i)]
-                yield _batch([x.id[new], pa.array([data[x.start[k] : x.end[k]].tobytes().decode("utf-8", "replace") for k in new], pa.string())], ["id", "payload"])
+                hit = hit[np.unique(x.id[hit], return_index=True)[1]]
+                hit = hit[known.new(x.id[hit])]
+                yield pa.RecordBatch.from_arrays([_signed(x.id[hit]), pa.array([x.line(k) for k in hit.tolist()], pa.string())], ["id", "payload"])
 
-    payload = src.mapInArrow(fetch, "id long, payload string").groupBy("id").agg(F.first("payload").alias("payload"))
-    links = neardup.link(at.df.join(payload, "id"), threshold, lambda col: line_sets(col, width))
+    payload = src.select("text").mapInArrow(fetch, "id long, payload string").groupBy("id").agg(F.first("payload").alias("payload"))
+    links = neardup.link(at.df.join(payload, "id").drop("hubs"), threshold, lambda col: line_sets(col, width), counts=False)
     at.drop()
     root = neardup.components(links.df.select("id", "root"))
     links.drop()
 
     # Lines of which some occurrence goes: those that occur again, and all of a component.
-    first = items.df.select("id", "kept", "n")
-    inside = root.df.unionByName(root.df.select(F.col("root").alias("id"), "root")).distinct().join(first, "id")
-    best = inside.groupBy("root").agg(F.min("kept").alias("kept"))
-    grouped = inside.drop("kept").join(best, "root").select("id", "kept")
-    again = first.where("n > 1").select("id", "kept")
-    decided = Table(again.unionByName(grouped).groupBy("id").agg(F.min("kept").alias("kept")), "decided")
-    items.drop()
+    grouped = root.df.unionByName(root.df.select(F.col("root").alias("id"), "root")).distinct()
+    again = occurrences.groupBy("id").count().where("count > 1").select("id")
+    decided = Table(again.join(grouped, "id", "full").select("id", F.coalesce("root", "id").alias("root")), "decided")
     root.drop()
-    asked = docs.sparkSession.sparkContext.broadcast(bits.local(decided.df, "id"))
-
-    def occurrences(batches):
-        for batch in batches:
-            doc, tkey = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for lo, hi, off, data in K.pieces(batch.column(2)):
-                x = Lines(off, data)
-                hit = np.flatnonzero(bits.test(asked.value, x.id))
-                yield _batch([x.id[hit], doc[lo:hi][x.text[hit]], tkey[lo:hi][x.text[hit]], x.number[hit].astype(np.int32)], ["id", "doc", "tkey", "line"])
-
-    seen = src.mapInArrow(occurrences, "id long, doc long, tkey long, line int").join(decided.df, "id")
-    gone = seen.where((F.col("doc") != F.col("kept.doc")) | (F.col("line") != F.col("kept.line")) | (F.col("tkey") != F.col("kept.tkey")))
-    out = Table(gone.groupBy("tkey").agg(F.array_sort(F.collect_set(F.struct("line", F.col("kept.doc").alias("kept_doc"), F.col("kept.line").alias("kept_line")))).alias("removed")), "removed-lines")
+    hit = bits.has(bits.build(decided.df, "id").df.scalar(), F.col("id"))
+    seen = Table(occurrences.where(hit).join(decided.df, "id").select("root", F.struct("doc", "line", "tkey").alias("at")), "occurrences")
     decided.drop()
-    return out
-
-
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None, **options) -> DataFrame:
-    """``docs`` with the removed lines cut out of the text; all other columns as they are, but ``length_col`` of a changed text."""
-    gone = removed_lines(docs, id_col, text_col, **options)
-    keyed = docs.withColumn("__tkey", F.xxhash64(docs[id_col], docs[text_col]))
-    hit = bits.has(bits.build(gone.df, "tkey").df.scalar(), F.col("__tkey"))
+    kept = seen.df.groupBy("root").agg(F.min("at").alias("kept"))
+    gone = seen.df.join(kept, "root").where("at != kept")
+    removed = F.struct(F.col("at.line").alias("line"), F.col("kept.doc").alias("kept_doc"), F.col("kept.line").alias("kept_line"))
+    out = Table(gone.groupBy(F.col("at.tkey").alias("tkey")).agg(F.array_sort(F.collect_set(removed)).alias("removed")), "removed-lines")
+    seen.drop()
+    return Removed(out, signed.df.where("id is null").select("doc_id", "tkey", F.col("line").cast("long").alias("n_lines")))
+
+
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None, drop_emptied: bool = False, **options) -> DataFrame:
+    """``docs`` with the removed lines cut out of the text; all other columns as they are, but ``length_col`` of a changed text.
+
+    ``drop_emptied``: rows that lose lines and have nothing but white space left go; rows that had nothing else from the start stay.
+    """
+    gone = removed_lines(docs, id_col, text_col, **options).lines
+    key, cut = free(docs.columns, "tkey", "cut")
+    keyed = docs.withColumn(key, F.xxhash64(docs[id_col], docs[text_col]))
+    hit = bits.has(bits.build(gone.df, "tkey").df.scalar(), F.col(key))
     # Lines are numbered from 0; texts that miss the bit table lose nothing and skip the join.
-    joined = keyed.where(hit).join(gone.df.select(F.col("tkey").alias("__tkey"), F.col("removed.line").alias("__gone")), "__tkey", "left")
+    joined = keyed.where(hit).join(gone.df.select(F.col("tkey").alias(key), F.col("removed.line").alias(cut)), key, "left")
     lines = F.split(F.col(text_col), "\n", -1)
-    stay = F.filter(F.transform(lines, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda p: ~F.array_contains(F.col("__gone"), p["i"]))
-    text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(stay, lambda p: p["x"]), "\n"))
+    stay = F.filter(F.transform(lines, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda p: ~F.array_contains(F.col(cut), p["i"]))
+    text = F.when(F.col(cut).isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(stay, lambda p: p["x"]), "\n"))
     changed = joined.withColumn(text_col, text)
+    if drop_emptied:
+        changed = changed.where(F.col(cut).isNull() | F.col(text_col).rlike("[^\\x20\\x09-\\x0D]"))
     if length_col in docs.columns:
         kind = docs.schema[length_col].dataType
-        changed = changed.withColumn(length_col, F.when(F.col("__gone").isNull(), F.col(length_col)).otherwise(F.length(text_col).cast(kind)))
+        changed = changed.withColumn(length_col, F.when(F.col(cut).isNull(), F.col(length_col)).otherwise(F.length(text_col).cast(kind)))
     return keyed.where(~hit).select(docs.columns).unionByName(changed.select(docs.columns))
 
 
 def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_lines, n_removed, removed (line, and which line stands for it)."""
-    gone = removed_lines(docs, id_col, text_col, **options)
-    lines = F.when(docs[text_col].isNull(), F.lit(0)).otherwise(F.length(docs[text_col]) - F.length(F.replace(docs[text_col], F.lit("\n"), F.lit(""))) + 1)
-    base = docs.select(docs[id_col].alias("doc_id"), F.xxhash64(docs[id_col], docs[text_col]).alias("tkey"), lines.cast("long").alias("n_lines"))
-    out = base.join(gone.df, "tkey", "left")
+    found = removed_lines(docs, id_col, text_col, **options)
+    out = found.texts.join(found.lines.df, "tkey", "left")
     return out.select("doc_id", "n_lines", F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), "removed")
 
 

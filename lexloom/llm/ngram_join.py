@@ -9,7 +9,7 @@ pairs are verified on their full sets (see ``neardup``).
 Defined results: a null or empty text has no words; it is in a class by itself,
 has no links and is always kept. Rows of one doc_id are joined like any others.
 The class id is the least doc_id of the class (null ids count only if there is
-no other). Where ids are null or repeat, unlike classes can share it, so a class
+no other). Columns of any other name pass through ``keep_one``. Where ids are null or repeat, unlike classes can share it, so a class
 is told by its class_key, the least set id of its component. Shingle sets are told apart by a 64-bit hash: among 10^9 different
 texts two are taken for copies with a chance of 3%.
 """
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from . import bits, neardup
 from . import kernel as K
-from .scratch import Table
+from .scratch import Table, free
 
 WIDTH, THRESHOLD, RECALL, ROWS = 5, 0.8, 0.999, 6
 
@@ -110,8 +110,9 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     bands = bands_for(threshold, recall, rows)
     sig = Table(signatures(docs, id_col, text_col, width, bands, rows), "signatures")
     worded = sig.df.where("size > 0")
-    one = worded.groupBy("id").agg(F.min("doc_id").alias("first"), F.count("*").alias("n_copies"), F.max("size").alias("size"), *[F.max(f"b{i}").alias(f"b{i}") for i in range(bands)])
-    member = neardup.members(one, bands)
+    names = [f"b{i}" for i in range(bands)]
+    one = worded.groupBy("id").agg(*[F.max(n).alias(n) for n in names])
+    member = neardup.members(one.select("id", F.explode(F.array(*names)).alias("bucket")))
     sizes = worded.groupBy("id").agg(F.max("size").alias("size"))
     at = Table(neardup.route(member.df, sizes, block), "routes")
     member.drop()
@@ -136,27 +137,25 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay: of each class the one of the least doc_id (null ids last), and all without words.
 
-    Rows that repeat doc_id and text are one. Rows whose key misses the bit table
-    of removed ones stay without a join; only the others are joined.
+    Rows that repeat doc_id and text are one. Rows whose key misses the bit tables
+    of removed and of repeated ones stay without a shuffle; only the others are joined or deduplicated.
     """
     found = Table(similar_documents(docs, id_col, text_col), "similar")
     worded = found.df.where("n_links is not null")
     kept = worded.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("class_key").agg(F.min("tkey").alias("stay"))
     # A row is removed if another one of its class stays.
     gone = Table(worded.join(kept, "class_key").where("tkey != stay").select("tkey").distinct(), "removed")
-    repeats = not found.df.groupBy("tkey").count().where("count > 1").isEmpty()
+    repeated = Table(found.df.groupBy("tkey").count().where("count > 1").select("tkey"), "repeated")
     found.drop()
-    out = docs.withColumn("__tkey", F.xxhash64(docs[id_col], docs[text_col]))
-    if repeats:
-        out = out.dropDuplicates(["__tkey"])
-    return without(out, gone.df, "tkey").drop("__tkey")
-
-
-def without(rows: DataFrame, gone: DataFrame, col: str) -> DataFrame:
-    """Rows whose __tkey is not in ``gone``; only those that pass a bit table are joined."""
-    words = bits.build(gone, col).df.scalar()
-    hit = bits.has(words, F.col("__tkey"))
-    return rows.where(~hit).unionByName(rows.where(hit).join(gone.withColumnRenamed(col, "__tkey"), "__tkey", "left_anti").select(rows.columns))
+    key = free(docs.columns, "tkey")[0]
+    keyed = docs.withColumn(key, F.xxhash64(docs[id_col], docs[text_col]))
+    hit = bits.has(bits.build(gone.df, "tkey").df.scalar(), F.col(key))
+    stay = keyed.where(~hit).unionByName(keyed.where(hit).join(gone.df.withColumnRenamed("tkey", key), key, "left_anti").select(keyed.columns))
+    if not repeated.df.isEmpty():
+        hit = bits.has(bits.build(repeated.df, "tkey").df.scalar(), F.col(key))
+        stay = stay.where(~hit).unionByName(stay.where(hit).dropDuplicates([key]))
+    repeated.drop()
+    return stay.drop(key)
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

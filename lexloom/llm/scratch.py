@@ -1,7 +1,8 @@
 """Intermediate tables in the folder that all executors share.
 
 The folder is the one named by ``spark.checkpoint.dir``. Where that setting is
-absent (local tests) a folder is made once per session and set on the context.
+absent, a local session (as in tests) gets a folder of its own, once; on a cluster
+its absence is an error, since executors don't share machine-local folders.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ def shared_dir(spark: SparkSession) -> str:
         return found.rstrip("/")
     current = spark.sparkContext.getCheckpointDir()
     if current is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lexloom-"))
         current = spark.sparkContext.getCheckpointDir()
     return current.rstrip("/")
@@ -28,6 +31,17 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/lexloom/{name}-{uuid.uuid4().hex}"
 
 
+def free(names: list[str], *wanted: str) -> list[str]:
+    """``wanted``, with underscores in front of those that clash with a name that is there (in any case)."""
+    taken, out = {n.lower() for n in names}, []
+    for w in wanted:
+        while w.lower() in taken:
+            w = "_" + w
+        taken.add(w.lower())
+        out.append(w)
+    return out
+
+
 class Table:
     """A DataFrame written once; ``df`` reads it back and ``drop`` deletes it."""
 
