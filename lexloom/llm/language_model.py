@@ -4,18 +4,25 @@
 
 1. All words of all training texts are counted (hashes, counted per partition
    before the shuffle).
-2. Clustering units: the ``head`` most frequent words by themselves, every other
-   word by its ending (``shapes`` hashed groups), so that every word has a class,
-   seen or not. Unit bigrams of the whole training data are counted in a dense
-   matrix per task, which bounds what reaches the driver to units squared.
-3. Exchange clustering: each unit moves to the class that raises the class
-   bigram likelihood most, until none moves (or, if given, ``sweeps`` are done).
-4. Class transitions and word emissions, both with add-k smoothing; an emission
+2. Exchange clustering in two steps. First the ``head`` most frequent words, and
+   all others in groups by their ending (``shapes``): their bigrams of the whole training
+   data are counted in a dense matrix per task (units squared reach the driver),
+   and each unit moves to the class that raises the class bigram likelihood most,
+   until none moves (or, if given, ``sweeps`` are done).
+3. Then every other of the ``known`` most frequent words by itself: its counts of
+   classes to the left and to the right over all training texts (classes of step 2)
+   stay in a table, blocks of words to a row. A sweep is one job over it: each
+   block moves its words against the class tables of the sweep before, and the new
+   tables are the sum of what all blocks moved. Sweeps go on until none moves, or the
+   likelihood rises by less than ``rise`` of what the first one gained.
+   Words rarer than those, seen or not, share the class of their ending.
+4. Class transitions, counted over all training texts with the final classes, and
+   word emissions, both with add-k smoothing; an emission
    has room for one unknown word per class. The counts behind emissions are
    those of step 1, for all words.
 
-Scoring reads every text. Counts of the most frequent words (``known`` at most)
-are broadcast; rarer words go through a join on their hash.
+Scoring reads every text. Counts and classes of the ``known`` words are broadcast;
+counts of rarer words go through a join on their hash.
 
 Tokens: A-Z lower-cased, words ``[^\x20\x09-\x0D]+``, then one end token. Defined
 results: a null or empty text is its end token alone; rows are scored one by one
@@ -49,6 +56,11 @@ class ClassRules:
     sweeps: int | None = None
     known: int = 1 << 18
     smooth: float = 0.1
+    rise: float = 0.01
+
+
+#: Words of a block of the table of contexts.
+BLOCK_WORDS = 256
 
 
 def sequence(off, data, shapes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -179,14 +191,167 @@ def exchange(m: np.ndarray, classes: int, sweeps: int | None = None) -> np.ndarr
     return c
 
 
+def _classes(h: np.ndarray, shape: np.ndarray, words: np.ndarray, word_class: np.ndarray, group_class: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The class of each token; which tokens are among ``words``, and where there."""
+    c = group_class[shape]
+    at = np.flatnonzero(K.member(h, words))
+    i = np.searchsorted(words, h[at])
+    c[at] = word_class[i]
+    c[h == END] = 0
+    return c, at, i
+
+
+def context_counts(texts: DataFrame, words: np.ndarray, wanted: np.ndarray, word_class: np.ndarray, group_class: np.ndarray, classes: int) -> Table:
+    """(block, counts): for each block of ``words`` the counts (word, side, class) of the classes beside its ``wanted`` words."""
+    wide = 2 * classes
+    told = texts.sparkSession.sparkContext.broadcast((words, wanted, word_class, group_class))
+
+    def count_task(batches):
+        words, wanted, word_class, group_class = told.value
+        acc = np.zeros(len(words) * wide, np.int32)
+        for batch in batches:
+            for _, _, off, data in K.pieces(batch.column(0)):
+                h, s, first = sequence(off, data, len(group_class))
+                c, at, i = _classes(h, s, words, word_class, group_class)
+                some = wanted[i]
+                at, i = at[some], i[some]
+                before = np.empty_like(c)
+                before[1:] = c[:-1]
+                before[first] = 0
+                # A word is never the last token of its text, so there is a class to its right.
+                u, n = np.unique(np.concatenate([i * wide + before[at], i * wide + classes + c[at + 1]]), return_counts=True)
+                acc[u] += n.astype(np.int32)
+        cells = np.flatnonzero(acc)
+        block = cells // (BLOCK_WORDS * wide)
+        cut = np.flatnonzero(np.diff(block, prepend=-1, append=-1))
+        for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
+            yield pa.RecordBatch.from_arrays([pa.array(block[a : a + 1].astype(np.int32)), pa.array([(cells[a:b] % (BLOCK_WORDS * wide)).astype("<u4").tobytes()]), pa.array([acc[cells[a:b]].astype("<u4").tobytes()])], ["block", "cells", "n"])
+
+    def add(batches):
+        held, total = None, None
+        for batch in batches:
+            for block, cells, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                if block != held:
+                    if held is not None:
+                        yield pa.RecordBatch.from_arrays([pa.array([held], pa.int32()), pa.array([total.tobytes()])], ["block", "counts"])
+                    held, total = block, np.zeros(BLOCK_WORDS * wide, "<i8")
+                total[np.frombuffer(cells, "<u4")] += np.frombuffer(n, "<u4")
+        if held is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([held], pa.int32()), pa.array([total.tobytes()])], ["block", "counts"])
+
+    parts = texts.mapInArrow(count_task, "block int, cells binary, n binary").repartition("block").sortWithinPartitions("block")
+    return Table(parts.mapInArrow(add, "block int, counts binary"), "contexts")
+
+
+def _f(x: np.ndarray) -> np.ndarray:
+    return x * np.log(np.maximum(x, 1.0))
+
+
+def likelihood(left: np.ndarray, right: np.ndarray) -> float:
+    """What of the two-sided log likelihood depends on the classes; ``left``: (context, class), ``right``: (class, context)."""
+    return float(_f(left).sum() - _f(left.sum(0)).sum() + _f(right).sum() - _f(right.sum(1)).sum())
+
+
+def move(x: np.ndarray, c: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The best class of each word against fixed tables. ``x``: (words, side, class) counts; class 0 is the end token's alone."""
+    a, b = x[:, 0].astype(float), x[:, 1].astype(float)
+    na, nb, who = a.sum(1), b.sum(1), np.arange(len(c))
+    to = (_f(left[None] + a[:, :, None]) - _f(left)[None]).sum(1) - (_f(left.sum(0)[None] + na[:, None]) - _f(left.sum(0))[None])
+    to += (_f(right[None] + b[:, None, :]) - _f(right)[None]).sum(2) - (_f(right.sum(1)[None] + nb[:, None]) - _f(right.sum(1))[None])
+    # What staying is worth: the loss of taking the word out of its class.
+    la, lb = left[:, c].T, right[c]
+    stay = (_f(la) - _f(la - a)).sum(1) - (_f(la.sum(1)) - _f(la.sum(1) - na)) + (_f(lb) - _f(lb - b)).sum(1) - (_f(lb.sum(1)) - _f(lb.sum(1) - nb))
+    to[who, c] = stay
+    to[:, 0] = -np.inf
+    new = to.argmax(1)
+    return np.where(to[who, new] > stay + 1e-9 * (1 + np.abs(stay)), new, c)
+
+
+def moved(x: np.ndarray, old: np.ndarray, new: np.ndarray, left: np.ndarray, right: np.ndarray) -> None:
+    """Takes the words' counts from their old class to the new one in both tables."""
+    at = np.flatnonzero(old != new)
+    np.add.at(left.T, new[at], x[at, 0])
+    np.subtract.at(left.T, old[at], x[at, 0])
+    np.add.at(right, new[at], x[at, 1])
+    np.subtract.at(right, old[at], x[at, 1])
+
+
+def exchange_words(contexts: DataFrame, start: np.ndarray, big: np.ndarray, rules: ClassRules) -> np.ndarray:
+    """A class for each word, from ``start`` on; ``big``: class bigrams under ``start``."""
+    spark, k = contexts.sparkSession, rules.classes
+    best, left, right = start, big.astype(float), big.astype(float)
+    at, first = likelihood(left, right), None
+    for _ in count() if rules.sweeps is None else range(rules.sweeps):
+        told = spark.sparkContext.broadcast((start, best, left, right))
+
+        def sweep(batches, told=told):
+            start, c, left, right = told.value
+            left, right = left.copy(), right.copy()
+            dl, dr = np.zeros((k, k)), np.zeros((k, k))
+            for batch in batches:
+                for block, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
+                    x = np.frombuffer(raw.as_buffer(), "<i8").reshape(BLOCK_WORDS, 2, k)
+                    lo = block * BLOCK_WORDS
+                    old = c[lo : lo + BLOCK_WORDS]
+                    x = x[: len(old)]
+                    new = np.where(x.any((1, 2)), move(x, old, left, right), old)
+                    moved(x, old, new, left, right)
+                    moved(x, start[lo : lo + BLOCK_WORDS], new, dl, dr)
+                    yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([new.astype("<i4").tobytes()]), pa.array([None], pa.binary())], ["block", "c", "d"])
+            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([dl.tobytes()]), pa.array([dr.tobytes()])], ["block", "c", "d"])
+
+        # 4 bytes a known word and two tables a task come back.
+        got = contexts.mapInArrow(sweep, "block int, c binary, d binary").toArrow().to_pylist()
+        new, l, r = best.copy(), big.astype(float), big.astype(float)
+        for x in got:
+            if x["block"] < 0:
+                l += np.frombuffer(x["c"]).reshape(k, k)
+                r += np.frombuffer(x["d"]).reshape(k, k)
+            else:
+                lo = x["block"] * BLOCK_WORDS
+                new[lo : lo + BLOCK_WORDS] = np.frombuffer(x["c"], "<i4")[: len(new) - lo]
+        told.unpersist()
+        gain = likelihood(l, r) - at
+        if gain <= 0 or (new == best).all():
+            break
+        best, left, right, at = new, l, r, at + gain
+        first = first or gain
+        if gain < rules.rise * first:
+            break
+    return best
+
+
+def class_bigrams(texts: DataFrame, words: np.ndarray, word_class: np.ndarray, group_class: np.ndarray, classes: int) -> np.ndarray:
+    """Counts (class, next class) over all rows; a text begins after an end token."""
+    told = texts.sparkSession.sparkContext.broadcast((words, word_class, group_class))
+
+    def run(batches):
+        m = np.zeros(classes * classes, np.int64)
+        for batch in batches:
+            for _, _, off, data in K.pieces(batch.column(0)):
+                h, s, first = sequence(off, data, len(told.value[2]))
+                c, _, _ = _classes(h, s, *told.value)
+                before = np.empty_like(c)
+                before[1:] = c[:-1]
+                before[first] = 0
+                m += np.bincount(before * classes + c, minlength=classes * classes)
+        at = np.flatnonzero(m)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(m[at])], ["cell", "n"])
+
+    got = texts.mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    m = np.zeros(classes * classes, np.int64)
+    m[got.column("cell").to_numpy()] = got.column("n").to_numpy()
+    return m.reshape(classes, classes)
+
+
 @dataclass
 class ClassModel:
     total: int
     distinct: int
     words: np.ndarray  # sorted hashes of the most frequent words
     count_log: np.ndarray  # log10(count + smooth) of each
-    unit: np.ndarray  # their clustering units
-    classes: np.ndarray  # class of each unit
+    word_class: np.ndarray  # class of each
+    group_class: np.ndarray  # class of any other word, by its ending
     step: np.ndarray  # log10 of class transitions
     room: np.ndarray  # log10 of each class's emission denominator
     rules: ClassRules
@@ -194,7 +359,7 @@ class ClassModel:
 
 def fit(train: DataFrame, rules: ClassRules, counts: Table) -> tuple[ClassModel, int]:
     """The model, and the count from which on words are in it. ``counts``: the written word_counts of ``train``."""
-    table = counts.df
+    table, k = counts.df, rules.classes
     total, distinct = (int(x or 0) for x in table.agg(F.sum("n"), F.count("*")).first())
     # The least count that leaves at most ``known`` words; there are few different counts.
     seen, cut = 0, 1
@@ -214,25 +379,30 @@ def fit(train: DataFrame, rules: ClassRules, counts: Table) -> tuple[ClassModel,
     unit[rank] = 1 + np.arange(len(rank))
     is_head = unit < rules.head
     m = unit_bigrams(train, words[is_head], unit[is_head], rules)
-    c = exchange(m, rules.classes, rules.sweeps)
-    to, big = np.zeros((len(m), rules.classes)), np.zeros((rules.classes, rules.classes))
-    np.add.at(to.T, c, m.T)
-    np.add.at(big, c, to)
-    by_shape = {r[0]: r[1] for r in table.groupBy("shape").count().collect()}
-    distinct_of = np.zeros(rules.head + rules.shapes, np.int64)
-    for s, k in by_shape.items():
-        distinct_of[rules.head + s] = k
-    np.subtract.at(distinct_of, rules.head + shape[is_head], 1)
-    distinct_of[unit[is_head]] += 1
-    v = np.bincount(c, weights=distinct_of, minlength=rules.classes)
-    k = rules.smooth
-    step = np.log10((big + k) / (big.sum(1, keepdims=True) + k * rules.classes))
-    room = np.log10(big.sum(0) + k * (v + 1))
-    return ClassModel(total, distinct, words, np.log10(n + k), unit, c, step, room, rules), cut
+    c = exchange(m, k, rules.sweeps)
+    big = np.zeros((k, k), np.int64)
+    np.add.at(big, (c[:, None], c[None, :]), m)
+    group_class, word_class = c[rules.head :], c[unit]
+    if not is_head.all():
+        contexts = context_counts(train, words, ~is_head, word_class, group_class, k)
+        word_class = exchange_words(contexts.df, word_class, big, rules)
+        contexts.drop()
+        big = class_bigrams(train, words, word_class, group_class, k)
+    rare = np.zeros(rules.shapes, np.int64)
+    for r in table.groupBy("shape").count().collect():
+        rare[r[0]] = r[1]
+    np.subtract.at(rare, shape, 1)
+    v = np.bincount(word_class, minlength=k) + np.bincount(group_class, weights=rare, minlength=k)
+    step = np.log10((big + rules.smooth) / (big.sum(1, keepdims=True) + rules.smooth * k))
+    room = np.log10(big.sum(0) + rules.smooth * (v + 1))
+    return ClassModel(total, distinct, words, np.log10(n + rules.smooth), word_class, group_class, step, room, rules), cut
 
 
 def score_texts(docs: DataFrame, model: ClassModel, cut: int, counts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, n_known, base_score, score for each row."""
+    """doc_id, n_tokens, n_known, base_score, score for each row.
+
+    Rows are told apart by their partition and place in it: ``docs`` must be read from files.
+    """
     told = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -242,13 +412,9 @@ def score_texts(docs: DataFrame, model: ClassModel, cut: int, counts: DataFrame,
         for batch in batches:
             for lo, hi, off, data in K.pieces(batch.column(1)):
                 h, s, first = sequence(off, data, r.shapes)
-                u, logs = s + r.head, np.zeros(len(h))
-                known = K.member(h, m.words)
-                at = np.flatnonzero(known)
-                i = np.searchsorted(m.words, h[at])
-                u[at], logs[at] = m.unit[i], m.count_log[i]
-                u[h == END] = 0
-                c = m.classes[u]
+                c, at, i = _classes(h, s, m.words, m.word_class, m.group_class)
+                logs, known = np.zeros(len(h)), np.zeros(len(h), bool)
+                logs[at], known[at] = m.count_log[i], True
                 before = np.empty_like(c)
                 before[1:] = c[:-1]
                 before[first] = 0
@@ -283,16 +449,21 @@ def score_texts(docs: DataFrame, model: ClassModel, cut: int, counts: DataFrame,
     return whole.select("doc_id", "n_tokens", "n_known", (F.col("base") + F.col("tail") - F.col("n_tokens") * F.lit(float(denominator))).alias("base_score"), (F.col("model") + F.col("tail")).alias("score"))
 
 
-def class_ngrams(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", rules: ClassRules = ClassRules()) -> DataFrame:
-    """doc_id, n_tokens, n_known, train_tokens, base_score, score, perplexity; learned from the rows where ``learn`` holds."""
+def class_ngrams(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", rules: ClassRules = ClassRules(), written: bool = False) -> DataFrame:
+    """doc_id, n_tokens, n_known, train_tokens, base_score, score, perplexity; learned from the rows where ``learn`` holds.
+
+    ``written``: ``docs`` is read from files, so a task that is run again sees the same rows in the same order; else the
+    ids and texts are written first.
+    """
     train = docs.where(learn).select(docs[text_col])
     counts = Table(word_counts(train, rules), "word-counts")
     model, cut = fit(train, rules, counts)
-    out = score_texts(docs, model, cut, counts.df, id_col, text_col)
+    rows = docs.select(docs[id_col], docs[text_col])
+    out = score_texts(rows if written else Table(rows, "texts").df, model, cut, counts.df, id_col, text_col)
     return out.select("doc_id", "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))
 
 
 def op5_class_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    out = class_ngrams(docs, crc_mod(F.col("doc_id"), 10) != 0)
-    return out.withColumn("held_out", crc_mod(F.col("doc_id"), 10) == 0)
+    out = class_ngrams(docs, crc_mod(F.col("doc_id"), 10) != 0, written=True)
+    return out.select("doc_id", (crc_mod(F.col("doc_id"), 10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
