@@ -11,19 +11,24 @@ file, without a shuffle.
 A commit writes its manifest under a name of its own and renames it to the next
 version without overwriting, which fails if another writer was first; the loser
 of two appends tries again on the new version, the loser of two compactions gives up
-its output. Readers see whole versions only. Shards that only expired versions
-name are deleted by ``vacuum``; a lost task is written again by Spark's committer
-before any manifest names its file.
+its output. This needs a file system with an atomic rename (HDFS, local disks); on an
+object store without one, use a single writer. Readers see whole versions only, and a
+version that a reader has planned on stays readable: nothing but ``vacuum`` deletes,
+and it keeps versions for ``keep_seconds`` and files that no version names (a
+writer's under way, or one's that died) for ``orphan_seconds``. A lost task is
+written again by Spark's committer before any manifest names its file.
 
 The manifest has one entry per file: at a target of 512 MB, 100 TB are about
 200,000 entries. Rows keep all columns. Defined results: repeated rows, nulls, long and empty
 texts are stored as they are; an empty arrival commits a version without new
-shards; an empty store reads as an empty table.
+shards; an empty store reads as an empty table. An arrival must have the store's
+column names and types in their order (all columns can be null).
 """
 
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from dataclasses import asdict, dataclass
 
@@ -31,13 +36,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .scratch import delete, filesystem, new_path
+from .scratch import delete, filesystem, free, new_path
 
 
 class Conflict(RuntimeError):
     """Another writer committed the version first."""
 
 
+def nullable(schema: T.StructType) -> T.StructType:
+    """The schema as files have it: every column, field and element can be null."""
+    def of(t):
+        if isinstance(t, T.StructType):
+            return T.StructType([T.StructField(f.name, of(f.dataType)) for f in t.fields])
+        if isinstance(t, T.ArrayType):
+            return T.ArrayType(of(t.elementType))
+        return T.MapType(of(t.keyType), of(t.valueType)) if isinstance(t, T.MapType) else t
+
+    return of(schema)
+
+
 @dataclass(frozen=True)
 class Shard:
     file: str
@@ -80,7 +97,7 @@ class ShardStore:
         """Version base + 1 with these shards; Conflict if it exists."""
         jvm = self.spark.sparkContext._jvm
         to = f"{self.path}/manifest/v{base + 1:010d}.json"
-        text = json.dumps({"version": base + 1, "schema": json.loads(schema), "shards": [asdict(s) for s in shards]})
+        text = json.dumps({"version": base + 1, "time": time.time(), "schema": json.loads(schema), "shards": [asdict(s) for s in shards]})
         fs, temp = filesystem(self.spark, f"{self.path}/manifest/.{uuid.uuid4().hex}.tmp")
         stream = fs.create(temp, False)
         try:
@@ -100,16 +117,20 @@ class ShardStore:
 
     # Writing
 
-    def _write(self, df: DataFrame, level: int) -> list[Shard]:
+    def _write(self, df: DataFrame, level: int, split: bool = True) -> list[Shard]:
         """New files of ``df``, moved under data/ with names of their own."""
         folder = f"{self.path}/data/.{uuid.uuid4().hex}"
         writer = df.write.option("compression", "zstd")
-        if self.shard_rows:
+        if self.shard_rows and split:
             writer = writer.option("maxRecordsPerFile", self.shard_rows)
         writer.parquet(folder)
         fs, p = filesystem(self.spark, folder)
         files = [f for f in fs.listStatus(p) if f.getPath().getName().endswith(".parquet")]
-        rows = {r[0]: r[1] for r in self.spark.read.parquet(folder).groupBy(F.col("_metadata.file_name")).count().collect()} if files else {}
+        rows = {}
+        if files:
+            written = self.spark.read.schema(df.schema).parquet(folder)
+            name = written.metadataColumn("_metadata")["file_name"].alias("file")
+            rows = {r[0]: r[1] for r in written.select(name).groupBy("file").count().collect()}
         out = []
         for f in sorted(files, key=lambda f: f.getPath().getName()):
             name = f.getPath().getName()
@@ -120,17 +141,27 @@ class ShardStore:
         fs.delete(p, True)
         return out
 
+    def _fits(self, manifest: dict, schema: T.StructType) -> None:
+        if manifest["schema"] is not None and nullable(T.StructType.fromJson(manifest["schema"])) != schema:
+            raise ValueError(f"the store holds {T.StructType.fromJson(manifest['schema']).simpleString()}, not {schema.simpleString()}")
+
     def append(self, df: DataFrame, tries: int = 20) -> int:
+        schema = nullable(df.schema)
+        self._fits(self.manifest(), schema)
         new = self._write(df, 0)
-        for _ in range(tries):
-            m = self.manifest()
-            if m["schema"] is not None and T.StructType.fromJson(m["schema"]).fieldNames() != df.columns:
-                raise ValueError("columns differ from the store's")
-            try:
-                return self.commit(m["version"], [Shard(**s) for s in m["shards"]] + new, df.schema.json())
-            except Conflict:
-                continue
-        raise Conflict(self.path)
+        try:
+            for _ in range(tries):
+                m = self.manifest()
+                self._fits(m, schema)
+                try:
+                    return self.commit(m["version"], [Shard(**s) for s in m["shards"]] + new, schema.json())
+                except Conflict:
+                    continue
+            raise Conflict(self.path)
+        except (Conflict, ValueError):
+            for s in new:
+                delete(self.spark, f"{self.path}/data/{s.file}")
+            raise
 
     def tier(self, size: int) -> int:
         t, edge = 0, self.small
@@ -155,14 +186,14 @@ class ShardStore:
             out.append(run)
         return [r for r in out if len(r) >= self.fan or (len(r) > 1 and sum(s.bytes for s in r) >= self.target // 2)]
 
-    def compact(self, rounds: int = 10) -> int:
-        """Merges until no run is left; every round is one version."""
-        for _ in range(rounds):
+    def compact(self, tries: int = 20) -> int:
+        """Merges until no run is left (each round leaves fewer files); every round is one version. Conflict after ``tries`` lost races."""
+        while True:
             m = self.manifest()
             shards = [Shard(**s) for s in m["shards"]]
             runs = self.plan(shards)
             if not runs:
-                break
+                return m["version"]
             merged: list[Shard] = []
             schema = T.StructType.fromJson(m["schema"])
             frames = [self.spark.read.schema(schema).parquet(*[f"{self.path}/data/{s.file}" for s in r]).coalesce(1) for r in runs]
@@ -172,7 +203,7 @@ class ShardStore:
                 for f in frames[i + 1 : i + 64]:
                     whole = whole.union(f)
                 level = 1 + max(s.level for r in runs[i : i + 64] for s in r)
-                merged += self._write(whole, level)
+                merged += self._write(whole, level, split=False)
             gone = {s.file for r in runs for s in r}
             if sum(s.rows for s in merged) != sum(s.rows for r in runs for s in r):
                 raise RuntimeError("a merge changed the number of rows")
@@ -181,24 +212,31 @@ class ShardStore:
             except Conflict:
                 for s in merged:
                     delete(self.spark, f"{self.path}/data/{s.file}")
-                continue
-            self.vacuum()
-        return self.version()
-
-    def vacuum(self, keep_versions: int = 1) -> int:
-        """Deletes the versions before the last ``keep_versions`` and the shards that only they name.
-
-        Shards that no version ever named belong to a writer under way (or to one that died) and stay.
-        """
-        found = sorted(int(f.getPath().getName()[1:-5]) for f in self._list("manifest") if f.getPath().getName().startswith("v"))
-        old, kept = found[: -keep_versions or None], found[-keep_versions:]
-        named = {s.file for v in kept for s in self.shards(v)}
-        gone = {s.file for v in old for s in self.shards(v)} - named
-        for name in gone:
-            delete(self.spark, f"{self.path}/data/{name}")
+                tries -= 1
+                if not tries:
+                    raise
+
+    def vacuum(self, keep_seconds: float = 7 * 86_400, orphan_seconds: float = 86_400) -> int:
+        """Deletes the versions that a later one replaced more than ``keep_seconds`` ago, the shards that only they name, and
+        files that no version names from ``orphan_seconds`` after their last change on. Returns the number of files deleted."""
+        now, found = time.time(), {}
+        for f in self._list("manifest"):
+            name = f.getPath().getName()
+            if name.startswith("v") and name.endswith(".json"):
+                found[int(name[1:-5])] = self.manifest(int(name[1:-5]))
+        order = sorted(found)
+        old = [v for v, after in zip(order, order[1:]) if now - found[after].get("time", 0) >= keep_seconds]
+        named = {s["file"] for v in order if v not in set(old) for s in found[v]["shards"]}
+        expired = {s["file"] for v in old for s in found[v]["shards"]} - named
+        count = 0
+        for f in self._list("data"):
+            name = f.getPath().getName()
+            if name in expired or (name not in named and now - f.getModificationTime() / 1000 >= orphan_seconds):
+                delete(self.spark, f"{self.path}/data/{name}")
+                count += 1
         for v in old:
             delete(self.spark, f"{self.path}/manifest/v{v:010d}.json")
-        return len(gone)
+        return count
 
     def read(self, version: int | None = None) -> DataFrame:
         m = self.manifest(version)
@@ -210,21 +248,39 @@ class ShardStore:
         return self.spark.read.schema(schema).parquet(*[f"{self.path}/data/{s['file']}" for s in m["shards"]])
 
     def located(self) -> DataFrame:
-        """The rows of the last version with their shard: _shard, _shard_rows, _shard_bytes, _level, _version."""
-        version, shards = self.version(), self.shards()
-        info = self.spark.createDataFrame([(s.file, s.rows, s.bytes, s.level) for s in shards], "_shard string, _shard_rows long, _shard_bytes long, _level int")
-        rows = self.read(version).withColumn("_shard", F.col("_metadata.file_name"))
-        return rows.join(info, "_shard").withColumn("_version", F.lit(version).cast("long"))
+        """The rows of the last version and, as the last column, where each lies: a struct (file, rows, bytes, level, version)
+        named ``_shard``, with more underscores if that name is taken."""
+        m = self.manifest()
+        info = self.spark.createDataFrame([(s["file"], s["rows"], s["bytes"], s["level"], m["version"]) for s in m["shards"]], "file string, rows long, bytes long, level int, version long")
+        rows = self.read(m["version"])
+        place, key = free(rows.columns, "_shard", "_file")
+        if not m["shards"]:
+            return rows.withColumn(place, F.lit(None).cast(info.select(F.struct("*")).schema[0].dataType))
+        keyed = rows.withColumn(key, rows.metadataColumn("_metadata")["file_name"])
+        return keyed.join(info.select(F.col("file").alias(key), F.struct("*").alias(place)), key).drop(key)
 
 
-def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Appends the table's files as arrivals (in at most 16 groups), compacts after each, and tells where each document lies."""
+def op10_sharding(spark: SparkSession, sf_dir: str, arrival_bytes: int = 64 << 20, shard_bytes: int = 8 << 20, target_bytes: int = 128 << 20) -> DataFrame:
+    """Appends the table's files as arrivals of about ``arrival_bytes`` in shards of about ``shard_bytes``, compacts after every
+    four arrivals, and tells where each document lies. (Beyond 64 arrivals these grow, their shards don't.)"""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    store = ShardStore(spark, new_path(spark, "shards"), target_bytes=64 << 20, small_bytes=1 << 20, fan=4)
-    files = sorted(docs.inputFiles())
-    each = max(1, -(-len(files) // 16))
-    for i in range(0, len(files), each):
-        store.append(spark.read.schema(docs.schema).parquet(*files[i : i + each]))
-        store.compact()
-    rows = store.located()
-    return rows.select("doc_id", F.col("_shard").alias("shard"), F.col("_shard_rows").alias("shard_rows"), F.col("_shard_bytes").alias("shard_bytes"), F.col("_level").alias("level"), F.col("_version").alias("version"))
+    sizes = []
+    for f in sorted(docs.inputFiles()):
+        fs, path = filesystem(spark, f)
+        sizes.append((f, int(fs.getFileStatus(path).getLen())))
+    total, each = sum(n for _, n in sizes), 0
+    store = ShardStore(spark, new_path(spark, "shards"), target_bytes=target_bytes, small_bytes=1 << 20, fan=4, shard_rows=max(1, docs.count() * shard_bytes // max(1, total)))
+    arrivals = [[]]
+    for f, n in sizes:
+        if arrivals[-1] and each + n > max(arrival_bytes, total // 64):
+            arrivals.append([])
+            each = 0
+        arrivals[-1].append(f)
+        each += n
+    for k, files in enumerate(arrivals, 1):
+        store.append(spark.read.schema(docs.schema).parquet(*files) if files else docs)
+        if k % 4 == 0 or k == len(arrivals):
+            store.compact()
+            store.vacuum(keep_seconds=0)  # nobody else reads this store
+    at = store.located()
+    return at.select("doc_id", *[F.col(f"{at.columns[-1]}.{a}").alias(b) for a, b in (("file", "shard"), ("rows", "shard_rows"), ("bytes", "shard_bytes"), ("level", "level"), ("version", "version"))])
