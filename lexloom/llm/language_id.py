@@ -14,7 +14,7 @@ text counts as ``rejected``.
 
 Defined results: ``lang_pred`` is ``und`` with score 0 if the text is null or has no
 letter, or if nothing was learned; else the likeliest learned language and its
-calibrated probability. Null languages are not learned. Rows are judged one by
+calibrated probability. Null languages are not learned; more than 1,000 languages are an error. Rows are judged one by
 one, so repeated rows and ties by another column have no effect; equal
 probabilities go to the language that sorts first.
 """

@@ -38,8 +38,8 @@ class RepetitionRules:
 
 
 SCHEMA = (
-    "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, "
-    "dup_line_chars long, dup_ngram_chars array<long>, base_failed boolean, kept boolean"
+    "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, "
+    "n_lines long, dup_line_chars long, dup_ngram_chars array<long>"
 )
 
 

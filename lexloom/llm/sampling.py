@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Classes that are learned at most; the most frequent ones stay.
+#: More classes than this are an error, since a model's size grows with them (none is dropped in silence).
 MAX_CLASSES = 1000
 
 
@@ -18,10 +18,12 @@ def class_sample(rows: DataFrame, class_col: str, key_col: str, most: int) -> tu
     """Rows of ``rows`` by a hash of their key, about ``most`` of all classes together, and {class: rows in all / rows expected in the sample}.
 
     Each class gets an equal share of ``most`` and gives all its rows if it has
-    fewer. Only (class, count) pairs go to the driver. The choice depends on the
+    fewer. Only (class, count) pairs go to the driver, of at most MAX_CLASSES classes. The choice depends on the
     key alone, so it is the same on every run and whatever the partitions.
     """
-    counts = rows.where(F.col(class_col).isNotNull()).groupBy(class_col).count().orderBy(F.desc("count"), class_col).limit(MAX_CLASSES).collect()
+    counts = rows.where(F.col(class_col).isNotNull()).groupBy(class_col).count().limit(MAX_CLASSES + 1).collect()
+    if len(counts) > MAX_CLASSES:
+        raise ValueError(f"{class_col} has more than {MAX_CLASSES} values")
     if not counts:
         return rows.limit(0), {}
     share = most / len(counts)
