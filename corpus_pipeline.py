@@ -1,7 +1,15 @@
 """The corpus pipeline: toxicity, line dedup, n-gram join, decontamination, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
-return the columns of ``documents``. ``run`` applies them to ``documents``.
+return the columns of ``documents``, and columns beside these pass through. ``run``
+applies them to ``documents``.
+
+Defined results, in every stage: an empty table gives an empty table; null and empty
+texts are clean, have no lines to cut, no words to compare and no window to hit, so
+they stay (and are packed as their end token); rows without a doc_id are judged like
+others and come last where the least id stays; rows that repeat doc_id and text get
+the same decision, and one of them stays in the n-gram join; a text is read whole,
+whatever its length.
 """
 
 from __future__ import annotations
@@ -24,8 +32,9 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that another line stands for are cut out; n_chars follows the text. No document goes."""
-    return dedup_lines(docs, length_col="n_chars")
+    """Lines that another line stands for are cut out; n_chars follows the text. A document that loses all its lines that
+    way goes: every one of them stands elsewhere. One that was null, empty or blank from the start stays."""
+    return dedup_lines(docs, length_col="n_chars", drop_emptied=True)
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
