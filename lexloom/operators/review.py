@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions.spans import between
 
-PROHIBITED = ("good law", "controlling", "supports the proposition", "verified authority")
-
-
 def item_id(*values: Column) -> Column:
     """A stable id of what an item is, whatever else changes."""
     return F.sha2(F.concat_ws("\x1f", *[F.coalesce(v.cast("string"), F.lit("\x00")) for v in values]), 256)
@@ -72,28 +69,3 @@ def apply_revisions(events: DataFrame) -> DataFrame:
 
     out = log.select("session_id", F.aggregate("log", zero, add).alias("x"))
     return out.select("session_id", "x.revision", "x.conflicts", F.col("x.last.state").alias("state"), F.col("x.last.content").alias("content"), F.sha2(F.coalesce(F.col("x.last.content"), F.lit("")), 256).alias("content_sha256"))
-
-
-def validate_proposals(proposals: DataFrame, docs: DataFrame) -> DataFrame:
-    """Proposals (proposal_id, doc_id, citation_text, start, end, proposed, confidence, explanation, missing_facts, facts_used) with reasons against them; valid if none.
-
-    Tokens of the proposed text that hold a digit or a capital must be in the
-    citation or in the facts used; an abstention (null) needs missing facts.
-    """
-    d = docs.select("doc_id", F.col("text").alias("__text"))
-    p = proposals.join(d, "doc_id", "left")
-    material = lambda t: F.regexp_extract_all(F.coalesce(t, F.lit("")), F.lit(r"[A-Za-z0-9]*[A-Z0-9][A-Za-z0-9]*"), F.lit(0))
-    known = F.concat(material(F.col("citation_text")), F.flatten(F.transform(F.coalesce(F.map_values("facts_used"), F.array().cast("array<string>")), lambda v: material(v))))
-    new = F.array_except(F.transform(material(F.col("proposed")), lambda x: F.lower(x)), F.transform(known, lambda x: F.lower(x)))
-    said = F.lower(F.coalesce("explanation", F.lit("")))
-    reasons = F.filter(F.array(
-        F.when(F.col("__text").isNull(), F.lit("unknown_document")),
-        F.when(~F.coalesce((F.col("start") >= 0) & (F.col("end") > F.col("start")) & (F.col("end") <= F.length("__text")), F.lit(False)), F.lit("invalid_offsets")),
-        F.when(between(F.col("__text"), F.col("start"), F.col("end")) != F.col("citation_text"), F.lit("span_mismatch")),
-        F.when(F.exists(F.array(*[F.lit(x) for x in PROHIBITED]), lambda x: F.contains(said, x)), F.lit("prohibited_claim")),
-        F.when(F.col("proposed").isNotNull() & (F.size(new) > 0), F.lit("unsupported_material_content")),
-        F.when(F.col("proposed").isNull() & (F.coalesce(F.size("missing_facts"), F.lit(0)) == 0), F.lit("abstention_without_missing_facts")),
-        F.when(F.col("proposed").isNotNull() & (F.coalesce(F.size("missing_facts"), F.lit(0)) > 0), F.lit("proposal_with_missing_facts")),
-        F.when(~F.coalesce(F.col("confidence").isin("high", "medium", "low"), F.lit(False)), F.lit("invalid_confidence")),
-    ), lambda x: x.isNotNull())
-    return p.withColumn("reasons", reasons).withColumn("valid", F.size("reasons") == 0).drop("__text")
