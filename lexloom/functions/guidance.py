@@ -22,6 +22,61 @@ SOURCES = (
 )
 
 
+# Other names of source types, and which citation forms of each family the rules cover.
+SOURCE_ALIASES = {"internet_url": "internet", "website": "internet", "case_law": "case", "periodical": "journal_article", "short_forms": "short_form", "statutes": "statute", "regulations": "regulation"}
+COVERAGE = (
+    ("cases", "partial", ("full form", "short form", "Id.", "pincites")),
+    ("statutes", "partial", ("full form", "short form", "Id.")),
+    ("regulations", "partial", ("full form", "short form", "Id.")),
+    ("constitutions", "partial", ("recognition",)),
+    ("administrative_decisions_and_register_materials", "unsupported", ()),
+    ("books_and_treatises", "partial", ("supra", "hereinafter", "pincite review")),
+    ("journal_articles", "partial", ("recognition", "supra", "supra note", "pincites")),
+    ("newspapers_and_magazines", "unsupported", ()),
+    ("court_and_docket_documents", "partial", ("supra", "hereinafter")),
+    ("internet_sources_and_blogs", "partial", ("URL recognition", "Whitepages archive review")),
+    ("archival_sources", "partial", ("supra", "hereinafter")),
+    ("foreign_international_and_tribal", "unsupported", ()),
+    ("ai_generated_materials", "unsupported", ()),
+)
+
+#: What holds for every citation, in any mode, and in one mode.
+CORE = (
+    "Change only how a citation is written; never add a name, number, date or page that the text does not give.",
+    "A short form stands for one earlier authority. Where more than one fits, none is chosen.",
+    "Whether an authority is still in force or supports a statement is for a person to judge.",
+)
+GENERAL = ("Local court rules and a journal's own style go before these summaries.", "Check every quoted word and page against the source.")
+MODES = {
+    "bluepages": ("Citations stand in the text, as sentences or clauses.", "Names of cases are underlined or in italics."),
+    "whitepages": ("Citations stand in notes.", "An Id. or supra refers to notes by their number.", "Links need an archived copy or a copy on file."),
+}
+
+
+def knowledge_pack(spark: SparkSession, mode: str, source_types: list[str] | None = None) -> DataFrame:
+    """Rows (section, source_type, rule, content, required_facts): core, general and mode guidance, then each wanted source type in order.
+
+    Other names of source types are known; unknown ones are left out, but ValueError if none is left.
+    """
+    if mode not in MODES:
+        raise ValueError("mode must be bluepages or whitepages")
+    known = {s[0]: s for s in SOURCES}
+    wanted = list(known)
+    if source_types is not None:
+        plain = [SOURCE_ALIASES.get(x.strip().lower(), x.strip().lower()) for x in source_types]
+        wanted = list(dict.fromkeys(x for x in plain if x in known))
+        if not wanted:
+            raise ValueError(f"source types are {sorted(known)}")
+    rows = [(k, None, None, line, None) for k, lines in (("core", CORE), ("general", GENERAL), ("mode", MODES[mode])) for line in lines]
+    rows += [("source", x, known[x][1 if mode == "bluepages" else 2], known[x][3], list(known[x][4])) for x in wanted]
+    return spark.createDataFrame(rows, "section string, source_type string, rule string, content string, required_facts array<string>")
+
+
+def rule_coverage(spark: SparkSession) -> DataFrame:
+    """family, status, implemented_rules: what the rules cover of each family of sources (a tested part, never all of a manual)."""
+    return spark.createDataFrame([(f, s, list(r)) for f, s, r in COVERAGE], "family string, status string, implemented_rules array<string>")
+
+
 def source_guidance(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(a, b, c, d, list(e)) for a, b, c, d, e in SOURCES], "source_type string, bluepages_rule string, whitepages_rule string, template string, required_facts array<string>")
 

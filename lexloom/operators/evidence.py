@@ -5,28 +5,49 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.spans import between
 from ..functions.udfs import nfkc, sequence_ratio
-from .retrieval import comparison_text, nearby_quotes, overlap, passages, pincite_status, proposition, quote_status
+from .retrieval import comparison_text, dot, nearby_quotes, normalize_text, overlap, passages, pincite_status, proposition, quote_status
 
 PARTIAL = 0.55
 
 
-def match_quotes(df: DataFrame) -> DataFrame:
-    """``df`` (id, quote, source) with status (exact, normalized, partial, absent, not_supplied) and score.
+def match_quotes(df: DataFrame, around: int = 80) -> DataFrame:
+    """``df`` (id, quote, source) with status (exact, normalized, partial, absent, not_supplied), score and excerpt.
 
-    Only rows that need the sequence ratio go through Python.
+    The excerpt is the found text with ``around`` characters beside it (of the text that was compared), or the passage
+    that matches in part. Only rows that need the sequence ratio go through Python.
     """
     base = df.select("id", nfkc(F.coalesce("quote", F.lit(""))).alias("quote"), nfkc(F.coalesce("source", F.lit(""))).alias("source"))
     base = base.withColumn("status", quote_status(F.col("quote"), F.col("source")))
-    sure = base.where("status != 'compare'").select("id", "status", F.when(F.col("status") == "exact", 1.0).when(F.col("status") == "normalized", 0.98).otherwise(0.0).alias("score"))
+
+    def excerpt(quote, source):
+        at = F.call_function("locate", quote, source) - 1
+        return between(source, at - around, at + F.length(quote) + around)
+
+    found = F.when(F.col("status") == "exact", excerpt(normalize_text(F.col("quote")), normalize_text(F.col("source")))).when(F.col("status") == "normalized", excerpt(comparison_text(F.col("quote")), comparison_text(F.col("source")))).otherwise("")
+    sure = base.where("status != 'compare'").select("id", "status", F.when(F.col("status") == "exact", 1.0).when(F.col("status") == "normalized", 0.98).otherwise(0.0).alias("score"), found.alias("excerpt"))
     rest = base.where("status = 'compare'").withColumn("q", comparison_text(F.col("quote")))
     target = F.greatest(F.lit(12), F.size(F.split("q", " ")) + 8)
-    win = rest.select("id", "q", F.explode_outer(passages(F.col("source"), target)).alias("p"))
-    best = win.select("id", F.coalesce(sequence_ratio("q", comparison_text(F.col("p"))), F.lit(0.0)).alias("r")).groupBy("id").agg(F.max("r").alias("r"))
-    rest = best.select("id", F.when(F.col("r") >= PARTIAL, "partial").otherwise("absent").alias("status"), F.round("r", 4).alias("score"))
+    win = rest.select("id", "q", F.posexplode_outer(passages(F.col("source"), target)).alias("pos", "p"))
+    # Of equal ratios the first passage counts.
+    best = win.select("id", "pos", "p", F.coalesce(sequence_ratio("q", comparison_text(F.col("p"))), F.lit(0.0)).alias("r")).groupBy("id").agg(F.max("r").alias("r"), F.min_by("p", F.struct(-F.col("r"), F.col("pos"))).alias("p"))
+    partial = F.col("r") >= PARTIAL
+    rest = best.select("id", F.when(partial, "partial").otherwise("absent").alias("status"), F.round("r", 4).alias("score"), F.when(partial, F.col("p")).otherwise("").alias("excerpt"))
     return sure.unionByName(rest)
 
 
+def hybrid_scores(rows: DataFrame, lexical_weight: float = 0.5) -> DataFrame:
+    """``rows`` (lexical_score, query_vector, vector) with embedding_similarity, combined_score and scorer.
+
+    Vectors are of length one, so their similarity is their dot product. Where a vector is missing the lexical score
+    counts alone, and ``scorer`` says so.
+    """
+    sim = F.when(F.col("query_vector").isNotNull() & F.col("vector").isNotNull(), F.round(dot(F.col("query_vector"), F.col("vector")), 4))
+    both = F.round(lexical_weight * F.col("lexical_score") + (1 - lexical_weight) * dot(F.col("query_vector"), F.col("vector")), 4)
+    return rows.withColumns({"embedding_similarity": sim, "combined_score": F.when(sim.isNull(), F.col("lexical_score")).otherwise(both), "scorer": F.when(sim.isNull(), "lexical_fallback_hybrid_unavailable").otherwise("hybrid_local_embedding")})
+
+
 def rank_passages(df: DataFrame, k: int = 3) -> DataFrame:
     """``df`` (id, proposition, source): id, rank, passage, token_overlap, sequence_similarity, combined_score.
 

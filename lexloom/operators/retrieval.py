@@ -14,6 +14,21 @@ from ..functions import patterns as P
 from ..functions.spans import between, let, spans, strip
 
 BLOCK = 2000
+#: Rule chunks that are read as one array at a time.
+LIBRARY = 5000
+
+# Families of contextual rules, and the topics that guidance files group them into.
+FAMILY_TOPICS = {
+    "short forms: id.": "short_forms",
+    "short forms: cases": "short_forms",
+    "short forms: statutes and regulations": "short_forms",
+    "supra and hereinafter": "short_forms",
+    "signals": "signals_parentheticals",
+    "parentheticals": "signals_parentheticals",
+    "citation groups and ordering": "signals_parentheticals",
+    "internet sources": "internet_sources",
+}
+METADATA = ("mode", "source_type", "rule_family", "jurisdiction", "revision_date")
 
 
 def tokens(text: Column) -> Column:
@@ -53,6 +68,65 @@ def lexical_top_k(chunks: DataFrame, queries: DataFrame, k: int = 5, block: int
     return _ranked(out, k)
 
 
+def topic(family: Column) -> Column:
+    """The topic of a rule family; any other name stays."""
+    known = F.create_map(*[F.lit(x) for kv in FAMILY_TOPICS.items() for x in kv])
+    return F.coalesce(F.element_at(known, F.lower(F.trim(family))), family)
+
+
+def metadata_fits(chunk: Column, query: Column) -> Column:
+    """Does a chunk's metadata fit a query's; what a query leaves null or empty does not matter."""
+    asked = lambda n: F.coalesce(query[n], F.lit("")) != ""
+    any_of = lambda n, *free: ~asked(n) | chunk[n].isin(*free) | (chunk[n] == query[n])
+    family = ~asked("rule_family") | (chunk["rule_family"] == topic(query["rule_family"]))
+    return any_of("mode", "both") & any_of("source_type", "all") & family & any_of("jurisdiction", "general", "general_us") & (~asked("revision_date") | (chunk["revision_date"] == query["revision_date"]))
+
+
+def retrieve_rules(queries: DataFrame, library: DataFrame, k: int = 3, most: int = LIBRARY) -> DataFrame:
+    """query_id, chunk_id, score, rank: of the chunks whose metadata fits, the ``k`` best, also those without a common word.
+
+    ``queries``: query_id, text and METADATA (null: any); ``library``: chunk_id, heading, text and METADATA. The
+    library is read as arrays of at most about ``most`` chunks, one after the other, and only each query's best are kept.
+    """
+    if k <= 0:
+        raise ValueError("k must be positive")
+    chunks = library.select("chunk_id", tokens(F.concat_ws(" ", "heading", "text")).alias("t"), *METADATA)
+    deals = max(1, -(-chunks.count() // most))
+    asked = queries.select("query_id", tokens(F.col("text")).alias("q"), F.struct(*METADATA).alias("m"))
+    best = None
+    for i in range(deals):
+        part = chunks if deals == 1 else chunks.where(F.pmod(F.xxhash64("chunk_id"), F.lit(deals)) == i)
+        rows = asked.withColumn("lib", part.agg(F.collect_list(F.struct(*chunks.columns))).scalar())
+        score = lambda c: F.round(F.size(F.array_intersect(c["t"], F.col("q"))) / F.sqrt(F.greatest(F.lit(1), F.size("q") * F.size(c["t"]))), 8)
+        ranked = F.array_sort(F.transform(F.filter("lib", lambda c: metadata_fits(c, F.col("m"))), lambda c: F.struct((-score(c)).alias("n"), c["chunk_id"].alias("chunk_id"))))
+        hits = rows.select("query_id", F.explode_outer(F.slice(ranked, 1, k)).alias("h")).where("h is not null").select("query_id", "h.chunk_id", (-F.col("h.n")).alias("score"))
+        best = hits if best is None else best.unionByName(hits)
+    return _ranked(best, k)
+
+
+def wants_guidance(review_required: Column, ambiguous: Column, families: Column, mode_uncertain: Column, signals: Column, uncommon_type: Column | bool = False, asked: Column | bool = False, lacks_context: Column | bool = False, confidence: Column | float = 1.0, threshold: float = 0.7) -> Column:
+    """Is guidance worth fetching: any of nine reasons. ``families``: how many rule families have findings."""
+    out = F.lit(False)
+    for c in (review_required, ambiguous, families > 1, mode_uncertain, signals, uncommon_type, asked, lacks_context):
+        out = out | F.coalesce(F.lit(c) if isinstance(c, bool) else c, F.lit(False))
+    low = F.lit(confidence) if isinstance(confidence, float) else confidence
+    return out | F.coalesce(low < threshold, F.lit(False))
+
+
+def guidance_gate(docs: DataFrame, findings: DataFrame, resolutions: DataFrame, modes: DataFrame) -> DataFrame:
+    """doc_id, review_required, ambiguous, families, mode_uncertain, signals, wanted for every document.
+
+    ``findings``: doc_id, family, correction_level; ``resolutions``: doc_id, authority_id; ``modes``: doc_id, confidence.
+    """
+    f = findings.groupBy("doc_id").agg(F.bool_or(F.col("correction_level") == "review_required").alias("review_required"), F.countDistinct("family").alias("families"), F.bool_or(F.col("family").isin("signals", "parentheticals")).alias("signals"))
+    r = resolutions.groupBy("doc_id").agg(F.bool_or(F.col("authority_id").isNull()).alias("ambiguous"))
+    m = modes.groupBy("doc_id").agg(F.bool_or(F.col("confidence") == "low").alias("mode_uncertain"))
+    df = docs.select("doc_id").join(f, "doc_id", "left").join(r, "doc_id", "left").join(m, "doc_id", "left")
+    flags = {c: F.coalesce(c, F.lit(False)) for c in ("review_required", "ambiguous", "mode_uncertain", "signals")}
+    df = df.select("doc_id", flags["review_required"].alias("review_required"), flags["ambiguous"].alias("ambiguous"), F.coalesce("families", F.lit(0)).alias("families"), flags["mode_uncertain"].alias("mode_uncertain"), flags["signals"].alias("signals"))
+    return df.withColumn("wanted", wants_guidance(F.col("review_required"), F.col("ambiguous"), F.col("families"), F.col("mode_uncertain"), F.col("signals")))
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
