@@ -44,6 +44,9 @@ SUPRA_NOTE = Pattern(r"(?iuU)\b([A-Z][A-Za-z0-9.&' -]{0,60}?),\s+supra\s+note\s+
 SUPRA = Pattern(r"(?iuU)\b([A-Z][A-Za-z0-9.&' -]{0,60}?),\s+supra(?:,\s*at\s+\d{1,6}(?:[-–—]\d{1,6})?)?", ("label",), needs="supra")
 STATUTORY_SHORT = Pattern(r"(?iuU)(?:(U\.?\s*S\.?\s*C\.?|C\.?\s*F\.?\s*R\.?)\s+)?(?<![A-Za-z.\d])§{1,2}\s*([\w.()\-]+)", ("code", "section"), needs="§")
 HEREINAFTER = Pattern(r"(?iuU)\(hereinafter\s+[“\"]([^”\"]+)[”\"]\)", ("alias",), needs="(hereinafter")
+TRAILING_HEREINAFTER = r"(?iuU)\s*\(hereinafter\s+[“\"][^”\"]+[”\"]\)\s*\z"
+JOURNAL_AFTER = r"(?U)\A(?:,\s*(\d{1,6}(?:[-–]\d{1,6})?)(?!\d))?(?:\s*\((\d{4})\))?"
+NAME_BEFORE = r"(?U)([A-Z][\w.'’-]*),?\s*\z"
 GAP_SENTENCE_BREAK = r"(?U)\.\s+[A-Z]"
 GAP_WORD = r"[A-Za-z]{3,}"
 GAP_AUTHORITY = r"(?U)\bv\.\s|\b\d{1,4}\s+(?:(?:[A-Z]\.){1,3}|[A-Z][a-z]{0,3}\.)|§|\bsupra\b|\bId\.\B"

@@ -35,11 +35,30 @@ def id_gate(text: Column, start: Column, end: Column, prior: Column) -> Column:
     return pincite | signal | (boundary & (period | prior))
 
 
+def trim_hereinafter(text: Column) -> Column:
+    """A citation's text without a definition of an alias at its end: that is a clause of its own."""
+    return F.regexp_replace(text, P.TRAILING_HEREINAFTER, "")
+
+
+def _more(text: Column, s: Column, p: P.Pattern) -> Column:
+    """Parts that stand beside a match: pincite and year of an article, the name that a supra guesses at."""
+    keep = lambda m: F.map_filter(m, lambda _, v: v != "")
+    if p is P.JOURNAL:
+        tail = after(text, s["end"], 40)
+        return keep(F.create_map(F.lit("pincite"), F.regexp_extract(tail, P.JOURNAL_AFTER, 1), F.lit("year"), F.regexp_extract(tail, P.JOURNAL_AFTER, 2)))
+    if p is P.SHORT_FORM:
+        return keep(F.create_map(F.lit("antecedent_guess"), F.when(F.lower(s["text"]) == "supra", F.regexp_extract(before(text, s["start"], 40), P.NAME_BEFORE, 1)).otherwise("")))
+    return F.create_map().cast("map<string,string>")
+
+
 def candidates(text: Column, source_type: str, p: P.Pattern) -> Column:
     def one(s):
         raw = F.rtrim(s["text"], F.lit(".,;:")) if source_type == "internet" else s["text"]
         end = s["start"] + F.length(raw) if source_type == "internet" else s["end"]
-        return F.struct(s["start"].alias("start"), end.alias("end"), raw.alias("text"), F.lit(source_type).alias("source_type"), parts(s["text"], p).alias("components"), s["end"].alias("reach"))
+        named = parts(s["text"], p)
+        if p in (P.JOURNAL, P.SHORT_FORM):
+            named = F.map_concat(named, _more(text, s, p))
+        return F.struct(s["start"].alias("start"), end.alias("end"), raw.alias("text"), F.lit(source_type).alias("source_type"), named.alias("components"), s["end"].alias("reach"))
 
     return F.transform(spans(text, p), one)
 

@@ -33,12 +33,13 @@ def _free(acc: Column):
     return lambda c: ~F.exists(acc, lambda a: (a["start"] < c["end"]) & (c["start"] < a["end"]))
 
 
-def with_occurrences(docs: DataFrame, text_col: str = "text") -> DataFrame:
+def with_occurrences(docs: DataFrame, text_col: str = "text", surroundings: bool = True) -> DataFrame:
     """``docs`` with ``occurrences``: full citations and short forms with facts about their surroundings, in logical order.
 
-    A citation in a note stands where the note is referred to.
+    A citation in a note stands where the note is referred to. Without ``surroundings`` only what identifies an
+    authority is worked out: fields that are made inside a lambda are not pruned by Catalyst.
     """
-    df = with_blocks(with_citations(docs, text_col), text_col).withColumn("__t", neutralize(F.coalesce(F.col(text_col), F.lit(""))))
+    df = with_blocks(docs if "citations" in docs.columns else with_citations(docs, text_col), text_col).withColumn("__t", neutralize(F.coalesce(F.col(text_col), F.lit(""))))
     t = F.col("__t")
     full = F.transform(F.filter("citations", lambda c: c["source_type"] != "short_form"), lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["text"].alias("text"), c["source_type"].alias("source_type"), F.lit("full").alias("form"), c["components"].alias("components")).cast(OCC))
     df = df.withColumn("__acc", full)
@@ -89,9 +90,9 @@ def with_occurrences(docs: DataFrame, text_col: str = "text") -> DataFrame:
         high = F.when(o["block_end"].isNotNull(), F.least(o["block_end"], o["end"] + 30)).otherwise(o["end"])
         return F.struct(
             *[o[n].alias(n) for n in ("start", "end", "text", "source_type", "form", "components", "block_id", "note_id", "note_number")],
-            F.coalesce(F.try_element_at(F.filter(breaks, lambda b: b["start"] >= o["end"]), F.lit(1))["end"], F.lit(FAR)).alias("break_end"),
+            *([] if not surroundings else [F.coalesce(F.try_element_at(F.filter(breaks, lambda b: b["start"] >= o["end"]), F.lit(1))["end"], F.lit(FAR)).alias("break_end"),
             F.coalesce(F.try_element_at(F.filter(semis, lambda s: s >= o["end"]), F.lit(1)), F.lit(FAR)).alias("semicolon"),
-            gap.alias("gap"), before(t, o["start"], 260).alias("lead"), after(t, o["end"], 180).alias("tail"), between(t, low, o["start"]).alias("block_lead"), between(t, o["end"], high).alias("block_tail"),
+            gap.alias("gap"), before(t, o["start"], 260).alias("lead"), after(t, o["end"], 180).alias("tail")]), between(t, low, o["start"]).alias("block_lead"), between(t, o["end"], high).alias("block_tail"),
         )
 
     bound = F.struct(F.col("__breaks").alias("breaks"), F.col("__semis").alias("semis"))
@@ -116,6 +117,10 @@ def _key(o: DataFrame) -> tuple[Column, Column]:
     return key, display
 
 
+def _article(rows: DataFrame) -> list[Column]:
+    return [F.regexp_extract("block_lead", P.ARTICLE_BEFORE, 1).alias("author"), F.regexp_extract("block_lead", P.ARTICLE_BEFORE, 2).alias("title"), F.regexp_extract("block_tail", P.YEAR_AFTER, 1).alias("year")]
+
+
 def _facts(rows: DataFrame) -> DataFrame:
     """What the surroundings of each occurrence say, as flags and short strings; the surroundings themselves go."""
     gap, lead, tail = F.col("gap"), F.col("lead"), F.col("tail")
@@ -127,15 +132,27 @@ def _facts(rows: DataFrame) -> DataFrame:
         F.contains(gap, F.lit(";")).alias("gap_clause"), F.rlike(gap, F.lit(P.GAP_AUTHORITY)).alias("gap_authority"), F.contains(gap, F.lit("\n\n")).alias("gap_paragraph"),
         (~F.rlike(gap, F.lit(P.GAP_SENTENCE_BREAK)) & ~F.rlike(gap, F.lit(P.GAP_WORD))).alias("gap_clean"), F.rlike(gap, F.lit(r"(?U)^\s*,\s*\z")).alias("gap_comma"),
         F.regexp_extract(last(24), P.EDGE_SIGNAL, 1).alias("signal"), F.rlike(last(180), F.lit(P.EDGE_QUOTE)).alias("quote_before"), F.rlike(tail, F.lit(P.EDGE_PARENTHETICAL)).alias("paren_after"),
-        F.regexp_extract("block_lead", P.ARTICLE_BEFORE, 1).alias("author"), F.regexp_extract("block_lead", P.ARTICLE_BEFORE, 2).alias("title"), F.regexp_extract("block_tail", P.YEAR_AFTER, 1).alias("year"),
+        *_article(rows),
         F.contains(F.trim(F.regexp_extract(lead, P.QUOTED_BEFORE, 1)), F.lit(" ")).alias("quotes_words"), (F.contains(near, F.lit("perma.cc")) | F.contains(near, F.lit("on file with author"))).alias("archived"),
         (F.length(tail) - F.length(bare)).alias("paren_gap"), bare.startswith("(").alias("paren_open"),
     )
 
 
-def occurrences(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """A row per occurrence: doc_id, ord (logical order), its facts, authority_id (of full citations), display, identity."""
-    rows = _facts(rows_of(with_occurrences(docs, text_col), "occurrences", F.col(id_col).alias("doc_id"), at="ord"))
+def occurrences(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", surroundings: bool = True) -> DataFrame:
+    """A row per occurrence: doc_id, ord (logical order), its facts, authority_id (of full citations), display, identity.
+
+    Without ``surroundings`` the facts that edges and antecedents need are left out.
+    """
+    return occurrence_rows(with_occurrences(docs, text_col, surroundings), id_col, surroundings)
+
+
+def occurrence_rows(facts: DataFrame, id_col: str = "doc_id", surroundings: bool = True) -> DataFrame:
+    """The rows of ``occurrences`` from texts that ``with_occurrences`` has parsed already."""
+    rows = rows_of(facts, "occurrences", F.col(id_col).alias("doc_id"), at="ord")
+    if surroundings:
+        rows = _facts(rows)
+    else:
+        rows = rows.select("doc_id", "ord", "start", "end", "text", "source_type", "form", "components", "block_id", "note_id", "note_number", *_article(rows))
     key, display = _key(rows)
     full = F.col("form") == "full"
     rows = rows.withColumn("identity", F.when(full, key)).withColumn("display", F.when(full, display))
@@ -153,11 +170,26 @@ def authority_frequency(occ: DataFrame) -> DataFrame:
     return authorities(occ).groupBy("authority_id", "source_type").agg(F.count("*").alias("n_documents"), F.sum("n_occurrences").alias("n_occurrences"))
 
 
-def cocitation(occ: DataFrame) -> DataFrame:
-    """Pairs of authorities and the number of documents that cite both."""
-    a = authorities(occ).select("doc_id", F.col("authority_id").alias("left_id"))
-    b = a.withColumnRenamed("left_id", "right_id")
-    return a.join(b, "doc_id").where("left_id < right_id").groupBy("left_id", "right_id").agg(F.count("*").alias("n_documents"))
+def resources(occ: DataFrame) -> DataFrame:
+    """doc_id, ord, resource_id: full citations of one authority are one resource, numbered by where its first begins."""
+    full = occ.where("form = 'full'").select("doc_id", "ord", "start", "authority_id")
+    first = full.withColumn("at", F.min("start").over(Window.partitionBy("doc_id", "authority_id")))
+    rank = F.dense_rank().over(Window.partitionBy("doc_id").orderBy("at"))
+    return first.select("doc_id", "ord", F.concat(F.lit("resource-"), rank).alias("resource_id"))
+
+
+def cocitation(occ: DataFrame, most: int = 256) -> DataFrame:
+    """Pairs of authorities and the number of documents that cite both.
+
+    A document's authorities are one sorted array; each row pairs a run of ``most`` of them with the rest of the array, so
+    one document's pairs spread over rows and are summed in part before the shuffle. The pairs themselves grow with the square of the
+    authorities a document cites.
+    """
+    a = occ.where("form = 'full'").groupBy("doc_id").agg(F.array_sort(F.collect_set("authority_id")).alias("a"))
+    runs = a.select("a", F.explode(F.sequence(F.lit(0), F.floor((F.size("a") - 1) / most).cast("int"))).alias("run"))
+    left = runs.select("a", F.posexplode(F.slice("a", F.col("run") * most + 1, F.lit(most))).alias("i", "left_id"), "run")
+    pairs = left.select("left_id", F.explode(F.slice("a", F.col("run") * most + F.col("i") + 2, F.size("a"))).alias("right_id"))
+    return pairs.groupBy("left_id", "right_id").agg(F.count("*").alias("n_documents"))
 
 
 def neighbour_edges(occ: DataFrame) -> DataFrame:
@@ -177,15 +209,32 @@ def neighbour_edges(occ: DataFrame) -> DataFrame:
 
 
 def sentence_edges(occ: DataFrame) -> DataFrame:
-    """same_citation_sentence and same_citation_clause: a semicolon and no sentence break between two occurrences (in text order)."""
-    left = occ.where(F.col("semicolon") < F.col("break_end")).select("doc_id", F.col("ord").alias("source"), F.col("start").alias("l"), "semicolon", "break_end")
-    right = occ.select("doc_id", F.col("ord").alias("target"), F.col("start").alias("r"))
-    pairs = left.join(right, "doc_id").where("r > l and r > semicolon and r < break_end and source != target")
-    return pairs.select("doc_id", F.explode(F.array(F.lit("same_citation_sentence"), F.lit("same_citation_clause"))).alias("edge_type"), F.col("source").cast("string"), F.col("target").cast("string"))
+    """same_citation_sentence and same_citation_clause: a semicolon and no sentence break between two occurrences (in text order).
+
+    What an occurrence is joined with stands in one run of a document's occurrences in text order: it
+    begins behind its semicolon and ends at the next sentence break. Both ends are found by binary
+    search in the sorted starts, so the work is n log n and the edges.
+    """
+    x = F.struct("start", "ord", "semicolon", "break_end")
+    docs = occ.groupBy("doc_id").agg(F.array_sort(F.collect_list(x)).alias("x"), F.array_sort(F.collect_list("start")).alias("starts"), F.bool_or(F.col("semicolon") < F.col("break_end")).alias("some")).where("some")
+    bits = F.array(*[F.lit(1 << k) for k in range(30, -1, -1)])
+
+    def below(at: Column) -> Column:
+        """How many starts lie below a place."""
+        return F.aggregate(bits, F.lit(0), lambda n, step: F.when(F.coalesce(F.try_element_at(F.col("starts"), n + step) < at, F.lit(False)), n + step).otherwise(n))
+
+    def edges(o):
+        low = below(F.greatest(o["semicolon"], o["start"]) + 1)
+        run = F.slice(F.col("x"), low + 1, F.greatest(below(o["break_end"]) - low, F.lit(0)))
+        return F.transform(F.filter(run, lambda t: t["ord"] != o["ord"]), lambda t: F.struct(o["ord"].alias("source"), t["ord"].alias("target")))
+
+    found = F.flatten(F.transform(F.filter("x", lambda o: o["semicolon"] < o["break_end"]), edges))
+    pairs = docs.select("doc_id", F.explode_outer(found).alias("e")).where("e is not null")
+    return pairs.select("doc_id", F.explode(F.array(F.lit("same_citation_sentence"), F.lit("same_citation_clause"))).alias("edge_type"), F.col("e.source").cast("string").alias("source"), F.col("e.target").cast("string").alias("target"))
 
 
 def note_edges(occ: DataFrame) -> DataFrame:
-    """same_footnote: every two occurrences of one note, in logical order."""
+    """same_footnote: every two occurrences of one note, in logical order (all pairs, by definition; a note bounds them)."""
     a = occ.where("note_id is not null").select("doc_id", "note_id", F.col("ord").alias("source"))
     return a.join(a.withColumnRenamed("source", "target"), ["doc_id", "note_id"]).where("source < target").select("doc_id", F.lit("same_footnote").alias("edge_type"), F.col("source").cast("string"), F.col("target").cast("string"))
 

@@ -106,5 +106,5 @@ def summary(docs: DataFrame, mode: str = "bluepages", text_col: str = "text", id
         count("issues", lambda i: i["suggestion"].isNotNull() & (i["confidence"] == "high")).alias("autofixable_count"),
         *[count("citations", equal("source_type", k)).alias(f"n_{k}") for k in kinds],
         *[count("issues", equal("severity", s)).alias(f"n_{s}") for s in ("error", "warning", "info")],
-        *[count("issues", equal("correction_level", s)).alias(f"n_{s}") for s in ("safe_auto_fix", "review_required")],
+        *[count("issues", equal("correction_level", s)).alias(f"n_{s}") for s in ("safe_auto_fix", "suggested_fix", "review_required", "unsupported")],
     )

@@ -76,11 +76,17 @@ def supra_notes(occ: DataFrame) -> DataFrame:
 
 
 def supras(occ: DataFrame) -> DataFrame:
-    """By the label's last word in the name, author or title of a prior full citation of a permitted type."""
+    """By the label's last word in the name, author or title of a prior full citation of a permitted type.
+
+    A word that a name holds anywhere is a substring of one of its words, so only words that occur as labels
+    in the document are looked for: first whether the name holds any of them, then one row per label it holds.
+    """
     short = occ.where("form = 'supra'").select("doc_id", "ord", "form", F.element_at(F.split(norm(_c("label")), " "), -1).alias("word"))
+    asked = short.groupBy("doc_id").agg(F.collect_set("word").alias("words"))
     full = _full(occ).select("doc_id", "f_ord", "authority_id", "source_type", norm(F.concat_ws(" ", "display", "author", "title")).alias("searchable"))
+    held = full.join(asked, "doc_id").select("doc_id", "f_ord", "authority_id", "source_type", F.filter("words", lambda w: F.contains(F.col("searchable"), w)).alias("words")).where(F.size("words") > 0)
     ok = F.col("source_type").isin(*PERMITTED_SUPRA)
-    found = short.join(full, "doc_id").where("f_ord < ord").where(F.contains("searchable", "word")).select("doc_id", "ord", F.when(ok, F.col("authority_id")).alias("candidate"), (~ok).alias("barred"))
+    found = short.join(held.select("doc_id", "f_ord", "authority_id", "source_type", F.explode("words").alias("word")), ["doc_id", "word"]).where("f_ord < ord").select("doc_id", "ord", F.when(ok, F.col("authority_id")).alias("candidate"), (~ok).alias("barred"))
     none = F.when(F.coalesce(F.col("flag"), F.lit(False)), F.array(F.lit("source_type_does_not_permit_supra"))).otherwise(F.array(F.lit("no_legally_possible_prior_antecedent")))
     out = _decide(short, found, "prior_full_supra_permitted_authority", "multiple_plausible_supra_antecedents", none, "medium", always=F.col("barred"))
     # Here a barred source is told only if it leaves no candidate.
@@ -96,6 +102,14 @@ def alias_targets(docs_occ: DataFrame, occ: DataFrame, id_col: str = "doc_id") -
     return prior.groupBy("doc_id", "alias").agg(F.max_by("x", "at").alias("x")).select("doc_id", "alias", "x.authority_id", F.col("x.ord").alias("source"))
 
 
+def definition_edges(docs_occ: DataFrame, occ: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """hereinafter_definition: from the last full citation that ends before a definition to its authority, with the alias."""
+    defs = docs_occ.select(F.col(id_col).alias("doc_id"), F.explode_outer("definitions").alias("d")).where("d is not null").select("doc_id", F.col("d.start").alias("at"), F.col("d.alias").alias("alias"))
+    full = occ.where("form = 'full'").select("doc_id", "ord", F.col("end").alias("f_end"), "authority_id")
+    prior = defs.join(full, "doc_id").where("f_end <= at").groupBy("doc_id", "alias", "at").agg(F.max_by(F.struct("authority_id", "ord"), "ord").alias("x"))
+    return prior.select("doc_id", F.lit("hereinafter_definition").alias("edge_type"), F.col("x.ord").cast("string").alias("source"), F.col("x.authority_id").alias("target"), "alias")
+
+
 def hereinafters(occ: DataFrame, aliases: DataFrame) -> DataFrame:
     short = occ.where("form = 'hereinafter'").select("doc_id", "ord", "form", norm(_c("alias")).alias("alias"))
     found = short.join(aliases.select("doc_id", "alias", F.col("authority_id").alias("candidate")), ["doc_id", "alias"])
