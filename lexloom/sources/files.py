@@ -28,8 +28,15 @@ _DC = "{http://purl.org/dc/elements/1.1/}"
 
 
 def read_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """filename, mime_type (unknown), content of the files under a path."""
-    return spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path).select(F.element_at(F.split("path", "/"), -1).alias("filename"), F.lit(None).cast("string").alias("mime_type"), "content")
+    """filename, mime_type (unknown), length, content of the files under a path; the content of a file above the limit is null.
+
+    The reader fails on files of 2 GB, so contents above the limit are never asked for: the filter on ``length`` goes to the listing.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
+    name = [F.element_at(F.split("path", "/"), -1).alias("filename"), F.lit(None).cast("string").alias("mime_type"), F.col("length")]
+    small = files.where(F.col("length") <= MAX_BYTES).select(*name, "content")
+    large = files.where(F.col("length") > MAX_BYTES).select(*name, F.lit(None).cast("binary").alias("content"))
+    return small.unionByName(large)
 
 
 def from_base64(rows: DataFrame, col: str = "data") -> DataFrame:
@@ -114,14 +121,17 @@ def _docx(content: pd.Series) -> pd.DataFrame:
 
 
 def load_documents(files: DataFrame) -> DataFrame:
-    """filename, source_format, text, title, author, subject, sha256, error_code. ``files``: filename, mime_type, content.
+    """filename, source_format, text, title, author, subject, sha256, error_code. ``files``: filename, mime_type, content, and (as ``read_files`` gives it) length.
 
     PDF needs a parser that is not part of this library: such files get ``ocr_required``.
     """
-    size = F.coalesce(F.length("content"), F.lit(0))
+    size = F.coalesce(*([F.col("length")] if "length" in files.columns else []), F.length("content"), F.lit(0))
     df = files.withColumn("source_format", source_format(F.col("filename"), F.col("mime_type"))).withColumn("__size", size)
     usable = (F.col("__size") > 0) & (F.col("__size") <= MAX_BYTES)
-    df = df.withColumn("__x", _docx(F.when(usable & (F.col("source_format") == "docx"), F.col("content"))))
+    # Only packages go through Python; all other rows take the other branch.
+    package = F.coalesce(usable & (F.col("source_format") == "docx"), F.lit(False))
+    read = df.where(package).withColumn("__x", _docx(F.col("content")))
+    df = read.unionByName(df.where(~package).withColumn("__x", F.lit(None).cast(read.schema["__x"].dataType)))
     plain = F.col("source_format").isin("text", "markdown")
     raw = F.when(usable & plain & F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string"))
     text = F.coalesce(F.regexp_replace(raw, "^﻿", ""), F.col("__x.text"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import posixpath
 import re
 import zipfile
 from xml.sax.saxutils import escape
@@ -45,24 +46,48 @@ def _clean(t: str) -> str:
 
 
 def package_report(data: bytes, most: int = 250 * 1024 * 1024) -> dict:
-    """valid, errors, parts and bytes of a DOCX package: required parts, duplicate or unsafe names, size."""
-    errors = []
+    """valid, errors, parts and bytes of a DOCX package: required parts, duplicate, unsafe or linked names, size,
+    targets of relationships that are not there, and comments that are referred to but missing."""
+    errors, texts = [], {}
     try:
         with zipfile.ZipFile(io.BytesIO(data)) as z:
             infos = z.infolist()
-    except zipfile.BadZipFile:
+            if sum(i.file_size for i in infos) <= most:
+                texts = {i.filename: z.read(i).decode("utf-8", "replace") for i in infos if not i.flag_bits & 1 and i.filename.endswith((".rels", "document.xml", "comments.xml"))}
+    except (zipfile.BadZipFile, RuntimeError, NotImplementedError):
         return {"valid": False, "errors": ["not_a_package"], "parts": 0, "bytes": 0}
     names = [i.filename for i in infos]
     errors += [f"missing:{n}" for n in ("[Content_Types].xml", "word/document.xml") if n not in names]
     errors += [f"duplicate:{n}" for n in sorted({n for n in names if names.count(n) > 1})]
     errors += [f"unsafe:{n}" for n in names if n.startswith("/") or ".." in n.split("/") or "\\" in n]
     errors += [f"encrypted:{i.filename}" for i in infos if i.flag_bits & 1]
+    errors += [f"link:{i.filename}" for i in infos if (i.external_attr >> 16) & 0o170000 == 0o120000]
+    for name in sorted(n for n in texts if n.endswith(".rels")):
+        folder = name.rpartition("_rels/")[0]
+        for rel in re.findall(r"<Relationship\b[^>]*>", texts[name]):
+            target = re.search(r'\bTarget="([^"]*)"', rel)
+            if target and 'TargetMode="External"' not in rel:
+                path = target[1].lstrip("/") if target[1].startswith("/") else posixpath.normpath(folder + target[1])
+                if path not in names:
+                    errors.append(f"no_target:{path}")
+    asked = set(re.findall(r'<w:commentReference\b[^>]*w:id="([^"]*)"', texts.get("word/document.xml", "")))
+    there = set(re.findall(r'<w:comment\b[^>]*w:id="([^"]*)"', texts.get("word/comments.xml", "")))
+    errors += [f"no_comment:{i}" for i in sorted(asked - there)]
     size = sum(i.file_size for i in infos)
     if size > most:
         errors.append("too_large")
     return {"valid": not errors, "errors": errors, "parts": len(names), "bytes": size}
 
 
+@F.pandas_udf(T.StructType([T.StructField("valid", T.BooleanType()), T.StructField("errors", T.ArrayType(T.StringType())), T.StructField("parts", T.IntegerType()), T.StructField("bytes", T.LongType())]))
+def _report(content: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([package_report(bytes(c) if c is not None else b"") for c in content], columns=["valid", "errors", "parts", "bytes"])
+
+
+def with_package_report(packages: DataFrame, content_col: str = "content") -> DataFrame:
+    return packages.withColumn("package", _report(F.col(content_col)))
+
+
 @F.pandas_udf(T.BinaryType())
 def _tracked(text: pd.Series, edits: pd.Series) -> pd.Series:
     return pd.Series([tracked_docx(t or "", [(e["start"], e["end"], e["suggestion"]) for e in (x if x is not None else [])]) for t, x in zip(text, edits)])
