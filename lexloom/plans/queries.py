@@ -201,27 +201,27 @@ def _occ(spark, d) -> DataFrame:
 
 @query(_with(_OCC + 'SELECT doc_id, cast(ord AS BIGINT) AS ord, cast(s AS BIGINT) AS start, cast(e AS BIGINT) AS "end", form, source_type, authority_id FROM occ'))
 def graph_occurrences(spark, d):
-    return graph.occurrences(briefs(spark, d)).select("doc_id", "ord", "start", "end", "form", "source_type", "authority_id")
+    return graph.occurrences(briefs(spark, d), surroundings=False).select("doc_id", "ord", "start", "end", "form", "source_type", "authority_id")
 
 
 @query(_with(_OCC + "SELECT doc_id, authority_id, source_type, count(*) AS n_occurrences FROM occ WHERE form = 'full' GROUP BY ALL"))
 def authority_identity(spark, d):
-    return graph.authorities(graph.occurrences(briefs(spark, d))).select("doc_id", "authority_id", "source_type", "n_occurrences")
+    return graph.authorities(graph.occurrences(briefs(spark, d), surroundings=False)).select("doc_id", "authority_id", "source_type", "n_occurrences")
 
 
 @query(_with(_OCC + "SELECT authority_id, source_type, count(DISTINCT doc_id) AS n_documents, count(*) AS n_occurrences FROM occ WHERE form = 'full' GROUP BY ALL"))
 def authority_frequency(spark, d):
-    return graph.authority_frequency(graph.occurrences(briefs(spark, d)))
+    return graph.authority_frequency(graph.occurrences(briefs(spark, d), surroundings=False))
 
 
 @query(_with(_OCC + "SELECT authority_id, count(*) AS n_occurrences FROM occ WHERE form = 'full' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20"))
 def top_authorities(spark, d):
-    return graph.authority_frequency(graph.occurrences(briefs(spark, d))).select("authority_id", "n_occurrences").orderBy(F.desc("n_occurrences"), "authority_id").limit(20)
+    return graph.authority_frequency(graph.occurrences(briefs(spark, d), surroundings=False)).select("authority_id", "n_occurrences").orderBy(F.desc("n_occurrences"), "authority_id").limit(20)
 
 
 @query(_with(_OCC + ", a AS (SELECT DISTINCT doc_id, authority_id FROM occ WHERE form = 'full') SELECT x.authority_id AS left_id, y.authority_id AS right_id, count(*) AS n_documents FROM a x JOIN a y ON x.doc_id = y.doc_id AND x.authority_id < y.authority_id GROUP BY ALL"))
 def cocitation_pairs(spark, d):
-    return graph.cocitation(_occ(spark, d))
+    return graph.cocitation(graph.occurrences(briefs(spark, d), surroundings=False))
 
 
 @query(_with(_OCC + ", l AS (SELECT *, lag(ord) OVER (PARTITION BY doc_id, authority_id ORDER BY ord) AS prev FROM occ WHERE form = 'full') SELECT doc_id, 'full_citation_to_authority' AS edge_type, cast(ord AS VARCHAR) AS source, authority_id AS target FROM l UNION ALL SELECT doc_id, 'prior_occurrence', cast(ord AS VARCHAR), cast(prev AS VARCHAR) FROM l WHERE prev IS NOT NULL UNION ALL SELECT doc_id, 'later_occurrence', cast(prev AS VARCHAR), cast(ord AS VARCHAR) FROM l WHERE prev IS NOT NULL UNION ALL SELECT doc_id, 'immediately_preceding_occurrence', cast(ord AS VARCHAR), cast(ord - 1 AS VARCHAR) FROM occ WHERE ord > 0"))
@@ -231,7 +231,7 @@ def neighbour_edges(spark, d):
 
 @query(_with(_OCC + r", pairs AS (SELECT a.doc_id, a.ord AS source, b.ord AS target, substr(text, cast(a.e + 1 AS BIGINT), cast(greatest(b.s - a.e, 0) AS BIGINT)) AS gap FROM occ a JOIN occ b ON a.doc_id = b.doc_id AND b.s > a.s JOIN briefs t ON t.doc_id = a.doc_id) SELECT doc_id, unnest(['same_citation_sentence', 'same_citation_clause']) AS edge_type, cast(source AS VARCHAR) AS source, cast(target AS VARCHAR) AS target FROM pairs WHERE contains(gap, ';') AND NOT regexp_matches(gap, '\.\s+[A-Z]')"))
 def same_sentence_edges(spark, d):
-    return graph.sentence_edges(_occ(spark, d))
+    return graph.sentence_edges(graph.occurrences(briefs(spark, d)))
 
 
 @query(_with(_OCC + r""", f AS (SELECT o.*, substr(text, cast(greatest(s - 24, 0) + 1 AS BIGINT), cast(s - greatest(s - 24, 0) AS BIGINT)) AS p24, substr(text, cast(greatest(s - 180, 0) + 1 AS BIGINT), cast(s - greatest(s - 180, 0) AS BIGINT)) AS p180, substr(text, cast(e + 1 AS BIGINT), 180) AS x180 FROM occ o JOIN briefs USING (doc_id))
@@ -396,20 +396,42 @@ def html_to_text(spark, d):
     return spark.read.parquet(f"{d}/pages.parquet").select("page_id", html_text(F.col("html")).alias("text"))
 
 
-@query()
+_SENTENCES = r"list_filter(list_transform(string_split_regex(regexp_replace(text, '([.!?])\s+', '\1' || chr(10), 'g'), '\n+'), lambda x: trim(regexp_replace(translate(x, '—–', '--'), '\s+', ' ', 'g'))), lambda x: x <> '')"
+
+
+@query(f"WITH s AS (SELECT doc_id, {_SENTENCES} AS s FROM documents), w AS (SELECT doc_id, s, list_transform(s, lambda x: len(string_split(x, ' '))) AS n FROM s), p AS (SELECT doc_id, list_transform(range(1, len(s) + 1), lambda i: s[i] || CASE WHEN n[i] < 70 AND i < len(s) THEN ' ' || s[i + 1] || CASE WHEN n[i] + n[i + 1] < 70 AND i + 1 < len(s) THEN ' ' || s[i + 2] ELSE '' END ELSE '' END) AS p FROM w) SELECT doc_id, cast(len(p) AS BIGINT) AS n_passages, sha256(array_to_string(p, chr(10))) AS sha FROM p")
 def sliding_passages(spark, d):
     docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", retrieval.passages(F.col("text")).alias("p"))
     return docs.select("doc_id", F.size("p").alias("n_passages"), F.sha2(F.array_join("p", "\n"), 256).alias("sha"))
 
 
+_NORMAL = r"trim(regexp_replace(translate({}, '—–', '--'), '\s+', ' ', 'g'))"
+_PLAIN = r"trim(regexp_replace(regexp_replace(lower({}), '[^a-z0-9 ]+', ' ', 'g'), '\s+', ' ', 'g'))"
+_QUOTE = "CASE doc_id % 4 WHEN 0 THEN substr(text, 11, 60) WHEN 1 THEN replace(substr(text, 11, 60), ' ', ' - ') WHEN 2 THEN ' ' ELSE 'no such words ' || substr(text, 1, 30) END"
+
+
+@query(f"WITH q AS (SELECT doc_id, text, {_QUOTE} AS quote FROM documents), n AS (SELECT doc_id, quote, {_NORMAL.format('quote')} AS q, {_NORMAL.format('text')} AS s FROM q), c AS (SELECT *, {_PLAIN.format('q')} AS cq, {_PLAIN.format('s')} AS cs FROM n) SELECT doc_id, CASE WHEN trim(quote) = '' THEN 'not_supplied' WHEN contains(s, q) THEN 'exact' WHEN cq <> '' AND contains(cs, cq) THEN 'normalized' ELSE 'compare' END AS status FROM c")
+def quote_status(spark, d):
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    return docs.select("doc_id", retrieval.quote_status(F.expr(_QUOTE), F.col("text")).alias("status"))
+
+
 @query()
 def quote_match(spark, d):
     from ..operators.evidence import match_quotes
 
-    docs = spark.read.parquet(f"{d}/documents.parquet").where("lang = 'en'").select(F.col("doc_id").alias("id"), F.col("text").alias("source"), F.regexp_extract("text", r"(?s)([A-Z][a-z]+(?: [a-z]+){3,6})", 1).alias("quote"))
+    docs = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("id"), F.col("text").alias("source"), F.expr(_QUOTE).alias("quote"))
     return match_quotes(docs)
 
 
+@query()
+def passage_rank_ratio(spark, d):
+    from ..operators.evidence import rank_passages
+
+    docs = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("id"), F.col("text").alias("source"), F.substring("text", 21, 80).alias("proposition"))
+    return rank_passages(docs, 1)
+
+
 # Intervals, review, evaluation
 
 
@@ -443,24 +465,16 @@ def keyset_page(spark, d):
     return review.keyset_page(orders, "o_orderdate", "o_orderkey", 50, (datetime.datetime(1998, 1, 1), 100))
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id AS session_id, event_id % 3 AS base, event_type AS state, props AS content, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM events),
+f AS (SELECT session_id, r, cast(base = 0 AS BIGINT) AS revision, cast(base <> 0 AS BIGINT) AS conflicts, CASE WHEN base = 0 THEN state END AS state, CASE WHEN base = 0 THEN content END AS content FROM e WHERE r = 1
+  UNION ALL SELECT e.session_id, e.r, f.revision + cast(e.base = f.revision AS BIGINT), f.conflicts + cast(e.base <> f.revision AS BIGINT), CASE WHEN e.base = f.revision THEN e.state ELSE f.state END, CASE WHEN e.base = f.revision THEN e.content ELSE f.content END FROM f JOIN e ON e.session_id = f.session_id AND e.r = f.r + 1)
+SELECT session_id, revision, conflicts, state, content, sha256(coalesce(content, '')) AS content_sha256 FROM f QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY r DESC) = 1""")
 def revision_cas(spark, d):
     e = spark.read.parquet(f"{d}/events.parquet")
     log = e.select(F.col("user_id").alias("session_id"), F.col("event_id").alias("seq"), F.pmod(F.col("event_id"), F.lit(3)).alias("base_revision"), F.col("event_type").alias("state"), F.col("props").alias("content"))
     return review.apply_revisions(log)
 
 
-@query("WITH p AS (SELECT o_orderkey AS proposal_id, o_orderkey % 6 AS k FROM orders) SELECT proposal_id, k IN (0, 5) AS valid, CASE k WHEN 1 THEN 'span_mismatch' WHEN 2 THEN 'prohibited_claim' WHEN 3 THEN 'unsupported_material_content' WHEN 4 THEN 'abstention_without_missing_facts' ELSE '' END AS reasons FROM p")
-def proposal_validation(spark, d):
-    o = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("proposal_id"), (F.col("o_orderkey") % 6).alias("k")).persist()
-    docs = o.select(F.col("proposal_id").alias("doc_id"), F.lit("See 42 USC §1983 here.").alias("text"))
-    k = F.col("k")
-    p = o.select("proposal_id", F.col("proposal_id").alias("doc_id"), F.lit("42 USC §1983").alias("citation_text"), F.when(k == 1, 5).otherwise(4).alias("start"), F.when(k == 1, 17).otherwise(16).alias("end"),
-        F.when(k == 3, "42 U.S.C. § 1984").when(k.isin(4, 5), None).otherwise("42 USC § 1983").alias("proposed"), F.lit("high").alias("confidence"), F.when(k == 2, "This is good law.").otherwise("Spacing.").alias("explanation"),
-        F.when(k == 5, F.array(F.lit("year"))).otherwise(F.array().cast("array<string>")).alias("missing_facts"), F.create_map(F.lit("code"), F.lit("U.S.C.")).alias("facts_used"))
-    return review.validate_proposals(p, docs).select("proposal_id", "valid", F.array_join("reasons", ",").alias("reasons"))
-
-
 @query(_with(f"SELECT {_TYPE} AS source_type, count(*) AS n_gold, count(*) AS tp, cast(1.0 AS DOUBLE) AS precision, cast(1.0 AS DOUBLE) AS recall FROM cites GROUP BY 1"))
 def eval_precision_recall(spark, d):
     found = extract.citation_rows(briefs(spark, d)).select("doc_id", "start", "end", "source_type")
@@ -533,3 +547,6 @@ def events_windows(spark, d):
 @query("WITH l AS (SELECT user_id, ts, CASE WHEN lag(ts) OVER w IS NULL OR ts >= lag(ts) OVER w + INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM l) SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end, count(*) AS n FROM s GROUP BY user_id, k")
 def events_sessions(spark, d):
     return event_sessions(spark.read.parquet(f"{d}/events.parquet"))
+
+
+from . import review_queries  # noqa: E402,F401  (adds its queries)
