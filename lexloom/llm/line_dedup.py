@@ -108,7 +108,8 @@ def windows(pre: np.ndarray, start: np.ndarray, end: np.ndarray, width: int, fin
 
 
 def _whole(x: np.ndarray, n) -> np.ndarray:
-    return K.mix(x + (n.astype(K.U64) if isinstance(n, np.ndarray) else K.U64(n)) * K.U64(K._Q))
+    more = n.astype(K.U64) * K.U64(K._Q) if isinstance(n, np.ndarray) else K.U64(n * K._Q & (1 << 64) - 1)
+    return K.mix(x + more)
 
 
 def line_sets(col: pa.Array, width: int) -> list[np.ndarray]:
@@ -190,7 +191,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     signs = signed.df.where("size is not null")
     occurrences = signed.df.where("id is not null and size is null").select("id", "doc", "tkey", "line")
     member = neardup.members(signs.select("id", F.explode("buckets").alias("bucket")))
-    at = Table(neardup.route(member.df, signs.groupBy("id").agg(F.max("size").alias("size")), block), "routes")
+    at = neardup.route(member.df, signs.groupBy("id").agg(F.max("size").alias("size")), block)
     member.drop()
     wanted = docs.sparkSession.sparkContext.broadcast(bits.local(at.df, "id"))
 
@@ -218,11 +219,13 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     hit = bits.has(bits.build(decided.df, "id").df.scalar(), F.col("id"))
     seen = Table(occurrences.where(hit).join(decided.df, "id").select("root", F.struct("doc", "line", "tkey").alias("at")), "occurrences")
     decided.drop()
-    kept = seen.df.groupBy("root").agg(F.min("at").alias("kept"))
-    gone = seen.df.join(kept, "root").where("at != kept")
+    # A table of its own: in the join's stage nothing needs the rows of a root together, so Spark can split a common line.
+    kept = Table(seen.df.groupBy("root").agg(F.min("at").alias("kept")), "kept-lines")
+    gone = seen.df.join(kept.df, "root").where("at != kept")
     removed = F.struct(F.col("at.line").alias("line"), F.col("kept.doc").alias("kept_doc"), F.col("kept.line").alias("kept_line"))
     out = Table(gone.groupBy(F.col("at.tkey").alias("tkey")).agg(F.array_sort(F.collect_set(removed)).alias("removed")), "removed-lines")
     seen.drop()
+    kept.drop()
     return Removed(out, signed.df.where("id is null").select("doc_id", "tkey", F.col("line").cast("long").alias("n_lines")))
 
 

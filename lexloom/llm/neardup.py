@@ -66,16 +66,19 @@ def members(pairs: DataFrame) -> Table:
     return out
 
 
-def route(member: DataFrame, sizes: DataFrame, block: int = BLOCK, most: int = ITEMS) -> DataFrame:
+def route(member: DataFrame, sizes: DataFrame, block: int = BLOCK, most: int = ITEMS) -> Table:
     """(id, hubs, at): where an item is compared; at: (hub, blocks of the hub, its own block). ``sizes``: id, size."""
     sized = member.join(sizes, "id")
     per = sized.groupBy("hub").agg(F.sum("size").alias("size"), F.count("*").alias("items"))
     nb = F.least(F.greatest(F.ceil(F.col("size") / block), F.ceil(F.col("items") / most)), F.col("items")).cast("int")
-    # Only the few hubs that are dealt into blocks are joined back; all others have one block.
-    large = per.select("hub", nb.alias("nb")).where("nb > 1")
+    # Only the few hubs that are dealt into blocks are joined back; all others have one block. They are a table of
+    # their own, so that nothing in the join's stage needs the rows of a hub together and Spark can split a large one.
+    large = Table(per.select("hub", nb.alias("nb")).where("nb > 1"), "large-hubs")
     own = F.pmod(F.xxhash64("id", F.lit("block")), F.col("nb")).cast("int")
-    with_blocks = sized.join(large, "hub", "left").withColumn("nb", F.coalesce("nb", F.lit(1))).select("id", "hub", "nb", own.alias("own"))
-    return with_blocks.groupBy("id").agg(F.array_sort(F.collect_list("hub")).alias("hubs"), F.collect_list(F.struct("hub", "nb", "own")).alias("at"))
+    with_blocks = sized.join(large.df, "hub", "left").withColumn("nb", F.coalesce("nb", F.lit(1))).select("id", "hub", "nb", own.alias("own"))
+    out = Table(with_blocks.groupBy("id").agg(F.array_sort(F.collect_list("hub")).alias("hubs"), F.collect_list(F.struct("hub", "nb", "own")).alias("at")), "routes")
+    large.drop()
+    return out
 
 
 class Group:

@@ -114,7 +114,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     one = worded.groupBy("id").agg(*[F.max(n).alias(n) for n in names])
     member = neardup.members(one.select("id", F.explode(F.array(*names)).alias("bucket")))
     sizes = worded.groupBy("id").agg(F.max("size").alias("size"))
-    at = Table(neardup.route(member.df, sizes, block), "routes")
+    at = neardup.route(member.df, sizes, block)
     member.drop()
     sets = contents(docs, text_col, width, bits.local(at.df, "id"))
     links = neardup.link(at.df.join(sets, "id"), threshold, lambda col: [np.frombuffer(x.as_buffer(), K.U64) for x in col])
