@@ -23,7 +23,8 @@ case, and of all other non-ASCII characters.
 Defined results: null and empty texts have no segments and get the score of
 that statistic (0 terms). Without labels of both classes every score is the
 share of toxic labels (0 without labels). A doc_id that is labelled twice is
-toxic if any of its labels is. Labels other than 0 and 1 are left out.
+toxic if any of its labels is. Labels other than 0 and 1 are left out. Rows are scored one by one, so
+repeated rows and other columns have no effect. Every term counts; a model of more than ``max_terms`` is an error.
 """
 
 from __future__ import annotations
@@ -45,7 +46,7 @@ from .scratch import Table
 @dataclass(frozen=True)
 class ToxicityRules:
     sample_rows: int = 24_000
-    max_terms: int = 8192
+    max_terms: int = 1 << 20
     prior: float = 0.05
     false_terms: float = 0.5
     min_contexts: int = 3
@@ -170,10 +171,11 @@ def fit(docs: DataFrame, labels: DataFrame, rules: ToxicityRules = ToxicityRules
         counts.where(F.col("t") >= rules.min_contexts)
         .select("h", "t", "c", delta.alias("delta"), (delta / F.sqrt(1 / t + 1 / c)).alias("z"))
         .where(F.col("z") >= z_min)
-        .orderBy(F.desc("z"), "h")
-        .limit(rules.max_terms)
+        .limit(rules.max_terms + 1)
         .collect()
     )
+    if len(rows) > rules.max_terms:
+        raise ValueError(f"more than {rules.max_terms} terms: a model must fit a worker")
     h = np.array([r.h for r in rows], np.int64).view(K.U64)
     order = np.argsort(h)
     score = np.array([r.delta for r in rows])[order]
