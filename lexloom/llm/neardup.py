@@ -269,20 +269,26 @@ def _links(out: list[tuple]) -> pa.RecordBatch:
 
 
 def components(edges: DataFrame) -> Table:
-    """(id, root) for every id of the edges (id, root) but the roots themselves; root is the least id of its component."""
+    """(id, root) for every id of the edges (id, root) but the roots themselves; root is the least id of its component.
+
+    The least neighbours are a table of their own in each step: in the join's stage nothing needs the rows of an id
+    together, so Spark can split an id with many neighbours.
+    """
     table = Table(edges.where("id != root").select(F.greatest("id", "root").alias("u"), F.least("id", "root").alias("v")).distinct(), "edges")
     mark = lambda t: tuple(t.df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
     state = mark(table)
     while state[0]:
         both = table.df.union(table.df.select("v", "u"))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = Table(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "edges")
+        low = Table(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+        large = Table(both.where("v > u").join(low.df, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "edges")
         table.drop()
-        low = large.df.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.df.join(low, "u")
-        small = joined.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
+        low.drop()
+        low = Table(large.df.groupBy("u").agg(F.min("v").alias("m")), "least")
+        joined = large.df.join(low.df, "u")
+        small = joined.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.df.select("u", F.col("m").alias("v")))
         table = Table(small.distinct(), "edges")
         large.drop()
+        low.drop()
         before, state = state, mark(table)
         if state == before:
             break
