@@ -143,3 +143,8 @@ def latest_lookups(lookups: DataFrame, now: Column, ttl_seconds: int = 3600) ->
     w = Window.partitionBy("key").orderBy(F.desc("fetched_at"))
     fresh = lookups.where(F.col("fetched_at") >= now - F.make_interval(secs=F.lit(ttl_seconds)))
     return fresh.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+
+
+def lookup_cache(lookups: DataFrame, now: Column, ttl_seconds: int = 3600, entries: int = 32) -> DataFrame:
+    """What a cache of ``entries`` answers holds: of ``latest_lookups`` the newest, the oldest having made room."""
+    return latest_lookups(lookups, now, ttl_seconds).orderBy(F.desc("fetched_at"), "key").limit(entries)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .sessions import absolute_url
+
 
 def precision_recall(found: DataFrame, gold: DataFrame, keys: list[str], by: list[str] | None = None) -> DataFrame:
     """Set precision, recall and F1 over rows named by ``keys``, for each group of ``by``. Of two empty sets all are 1."""
@@ -32,6 +34,16 @@ def verification_status(status: Column, clusters: Column) -> Column:
     return F.when((status == 200) & (clusters == 1), "verified").when((status.isin(200, 300)) & (clusters > 1), "ambiguous").when((status == 404) | ((status == 200) & (clusters == 0)), "not_found").otherwise("unavailable")
 
 
+def verification_results(answers: DataFrame, base: str) -> DataFrame:
+    """``answers`` (citation, status, clusters: array<struct<case_name,absolute_url>>) with verified (200), ambiguous (300), and the
+    sorted distinct case_names and urls of the clusters; addresses without a host belong to ``base``."""
+    names = F.array_sort(F.array_distinct(F.filter(F.transform("clusters", lambda c: c["case_name"]), lambda x: F.coalesce(x, F.lit("")) != "")))
+    found = F.filter(F.transform("clusters", lambda c: c["absolute_url"]), lambda x: F.coalesce(x, F.lit("")) != "")
+    urls = F.array_sort(F.array_distinct(F.transform(found, lambda x: absolute_url(x, base))))
+    none = F.array().cast("array<string>")
+    return answers.withColumns({"verified": F.coalesce(F.col("status") == 200, F.lit(False)), "ambiguous": F.coalesce(F.col("status") == 300, F.lit(False)), "case_names": F.coalesce(names, none), "urls": F.coalesce(urls, none)})
+
+
 def certification_tiers(citations: DataFrame, lookups: DataFrame) -> DataFrame:
     """Tier of each citation: cases whose text is a lookup's key, or holds it, are source_matched if that was found.
 

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from ..functions import patterns as P
 from ..functions import tables
 from ..functions.spans import merge_touching, rows_of
-from ..operators import context, evaluate, extract, findings, formats, graph, lint, mode, reduce, resolve, retrieval, review
+from ..operators import context, evaluate, extract, findings, formats, graph, lint, mode, resolve, retrieval, review
 from ..sources.blocks import block_rows, html_text
 from ..sources.briefs import ORACLE_CTES, SOURCE_TYPE, briefs, segments
 from ..streaming.review import event_sessions, event_windows
@@ -514,22 +514,11 @@ def split_assignment(spark, d):
     return evaluate.assign_splits(spark.read.parquet(f"{d}/part.parquet").select("p_partkey"), "p_partkey", "17")
 
 
-@query()
-def focus_context(spark, d):
-    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text", F.floor(F.length("text") / 2).cast("int").alias("focus_start"), (F.floor(F.length("text") / 2) + 10).cast("int").alias("focus_end"))
-    return reduce.focus_context(docs).select("doc_id", "strategy", "saved_chars", F.length("context").alias("n"))
-
-
 @query(_with(_ISSUES + f"SELECT c.doc_id, cast(c.c_start AS BIGINT) AS start, {_TYPE} AS source_type, count(i.code) AS n_issues FROM cites c LEFT JOIN issues i ON c.doc_id = i.doc_id AND i.s < c.c_end AND c.c_start < i.e GROUP BY ALL"))
 def citation_tasks(spark, d):
     return context.citation_tasks(briefs(spark, d)).select("doc_id", "start", "source_type", F.size("issues").cast("long").alias("n_issues"))
 
 
-@query()
-def risk_scan(spark, d):
-    return context.risk_scan(briefs(spark, d)).select("doc_id", "corrected_text", "n_usc_abbreviation", "n_cfr_abbreviation", "n_id_short_form", "n_section_spacing")
-
-
 @query()
 def document_context(spark, d):
     docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))

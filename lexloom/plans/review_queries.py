@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import guidance, tables
-from ..operators import context, evidence, extract, findings, graph, lint, proposals, resolve, retrieval, review, scoring, sessions
-from ..sources import exports, files, sinks
+from ..operators import context, evaluate, evidence, extract, findings, formats, graph, lint, proposals, reduce, resolve, retrieval, review, scoring, sessions
+from ..operators import mode as modes
+from ..sources import blocks, exports, files, sinks
 from ..sources.briefs import briefs
 from . import seams
-from .queries import _ALIAS_TEXT, _AT, _ISSUES, _NOTES_TEXT, _OCC, _TYPE, _with, query
+from .queries import _ALIAS_TEXT, _AT, _ISSUES, _NORMAL, _OCC, _PLAIN, _TYPE, _with, query
 
 
 def _table(spark, d, name):
@@ -495,3 +496,176 @@ def correction_histogram(spark, d):
     return lint.summary(briefs(spark, d)).select("doc_id", "n_safe_auto_fix", "n_suggested_fix", "n_review_required", "n_unsupported")
 
 
+# More of texts: scans, contexts, blocks
+
+
+_SCANNED = "CASE kind WHEN 'statute_bad' THEN t || ' U.S.C. § ' || b WHEN 'invisible' THEN t || chr(8203) || 'U.S.C.' || chr(8203) || ' § ' || b WHEN 'regulation_bad' THEN t || ' C.F.R. §  § ' || b ELSE cite END"
+
+
+@query(_with(f"SELECT doc_id, string_agg(lead || {_SCANNED} || tail, '' ORDER BY ord) AS corrected_text, count(*) FILTER (kind = 'statute_bad') AS n_usc_abbreviation, count(*) FILTER (kind = 'regulation_bad') AS n_cfr_abbreviation, 0::BIGINT AS n_id_short_form, cast(sum(CASE kind WHEN 'statute_bad' THEN 1 WHEN 'invisible' THEN 1 WHEN 'regulation_bad' THEN 2 ELSE 0 END) AS BIGINT) AS n_section_spacing FROM segs GROUP BY doc_id"))
+def risk_scan(spark, d):
+    return context.risk_scan(briefs(spark, d)).select("doc_id", "corrected_text", "n_usc_abbreviation", "n_cfr_abbreviation", "n_id_short_form", "n_section_spacing")
+
+
+_FOCUS = r"""WITH t AS (SELECT doc_id, text, length(text) AS n, length(text) // 2 AS fs, length(text) // 2 + 10 AS fe, string_split_regex(text, '\n[ \t]*\n') AS parts, regexp_extract_all(text, '\n[ \t]*\n') AS gaps FROM documents WHERE text IS NOT NULL),
+s AS (SELECT *, list_transform(range(1, len(parts) + 1), lambda i: length(parts[i]) + coalesce(length(gaps[i]), 0)) AS sizes FROM t),
+e AS (SELECT *, list_transform(range(1, len(sizes) + 1), lambda i: list_sum(sizes[1:i])) AS ends FROM s),
+f AS (SELECT *, len(list_filter(ends, lambda x: x <= fs)) + 1 AS i FROM e),
+g AS (SELECT *, i > len(parts) AS nowhere, CASE WHEN i > 1 THEN ends[i - 1] ELSE 0 END AS ps, ends[i] AS pe, CASE WHEN i > 2 THEN ends[i - 2] ELSE 0 END AS ws, ends[least(i + 1, len(ends))] AS we FROM f),
+h AS (SELECT *, fs - ps AS lead, greatest(pe - fe, 0) AS tail, greatest(2400 - (fe - fs), 0) AS room FROM g),
+k AS (SELECT *, least(lead, room // 2 + greatest(0, room // 2 - tail)) AS a FROM h),
+m AS (SELECT *, least(tail, room - a) AS b FROM k),
+r AS (SELECT *, CASE WHEN n <= 2400 OR nowhere THEN n WHEN we - ws <= 2400 THEN we - ws ELSE least(fe + b, n) - (fs - a) END AS kept FROM m),
+z AS (SELECT *, n <= 2400 OR nowhere OR n - kept < 0.12 * n AS bypass FROM r)
+SELECT doc_id, CASE WHEN bypass THEN 'bypass' WHEN we - ws <= 2400 THEN 'neighbours' ELSE 'cut' END AS strategy, cast(CASE WHEN bypass THEN 0 ELSE n - kept END AS BIGINT) AS saved_chars, cast(CASE WHEN bypass THEN n ELSE kept END AS BIGINT) AS n FROM z"""
+
+
+@query(_FOCUS)
+def focus_context(spark, d):
+    docs = _table(spark, d, "documents").where("text is not null").select("doc_id", "text", F.floor(F.length("text") / 2).cast("int").alias("focus_start"), (F.floor(F.length("text") / 2) + 10).cast("int").alias("focus_end"))
+    return reduce.focus_context(docs).select("doc_id", "strategy", "saved_chars", F.length("context").alias("n"))
+
+
+@query(f"SELECT doc_id, sha256({_NORMAL.format('text')}) AS normal, sha256({_PLAIN.format(_NORMAL.format('text'))}) AS plain FROM documents")
+def normalized_texts(spark, d):
+    t = F.col("text")
+    return _table(spark, d, "documents").select("doc_id", F.sha2(retrieval.normalize_text(t), 256).alias("normal"), F.sha2(retrieval.comparison_text(t), 256).alias("plain"))
+
+
+_CLAIM = "concat('Alpha is one. Beta two! He said “quote number ', o_orderkey, '” and “second quote ', o_custkey, '” then “a third one here” and “the fourth of them”. Gamma ', o_orderkey, ' is three ')"
+
+
+@query(f"SELECT o_orderkey, 'Gamma ' || o_orderkey || ' is three' AS proposition, 'second quote ' || o_custkey || '|a third one here|the fourth of them' AS quotes FROM orders")
+def claims_before_citations(spark, d):
+    docs = _table(spark, d, "orders").select("o_orderkey", F.expr(_CLAIM).alias("t"))
+    at = F.length("t")
+    return docs.select("o_orderkey", retrieval.proposition(F.col("t"), at).alias("proposition"), F.array_join(retrieval.nearby_quotes(F.col("t"), at), "|").alias("quotes"))
+
+
+@query("SELECT o_orderkey AS id, 1::BIGINT AS rank, 'Beta ' || o_custkey || ' holds the office of keeper.' AS passage, 100::BIGINT AS score FROM orders WHERE o_orderkey % 10 = 0")
+def passage_ranking(spark, d):
+    words = "alpha " * 80
+    rows = _table(spark, d, "orders").where("o_orderkey % 10 = 0").select(F.col("o_orderkey").alias("id"), F.concat(F.lit("Beta "), F.col("o_custkey"), F.lit(" holds the office of keeper.")).alias("proposition"), F.concat(F.lit(f"Long {words}ends. "), F.lit(f"More {words}ends. "), F.lit("Beta "), F.col("o_custkey"), F.lit(" holds the office of keeper.")).alias("source"))
+    ranked = evidence.rank_passages(rows, 1)
+    return ranked.select("id", "rank", "passage", F.round(F.col("combined_score") * 100).cast("long").alias("score"))
+
+
+@query("SELECT o_orderkey AS id, CASE o_orderkey % 3 WHEN 0 THEN 'exact' WHEN 1 THEN 'normalized' ELSE 'not_supplied' END AS quotation_status, CASE o_orderkey % 2 WHEN 0 THEN 'confirmed_by_page_marker' ELSE 'not_supplied' END AS pincite_status, 'not_determined' AS conclusion FROM orders WHERE o_orderkey % 10 < 6")
+def case_evidence(spark, d):
+    k = F.col("o_orderkey")
+    said = F.when(k % 3 == 0, "It said “the court must hear them”. So ").when(k % 3 == 1, "It said “The court, must hear them”. So ").otherwise("It said nothing. So ")
+    cites = _table(spark, d, "orders").where("o_orderkey % 10 < 6").select(k.alias("id"), said.alias("document"), F.length(said).alias("start"), F.when(k % 2 == 0, "7").alias("pincite"), (k % 4).alias("source_id"))
+    sources = spark.createDataFrame([(i, "[7] In any case the court must hear them. Page 8 follows.") for i in range(4)], "source_id long, source_text string")
+    return evidence.case_evidence(cites, sources).select("id", "quotation_status", "pincite_status", "conclusion")
+
+
+_PROTECTED = "concat('Alpha beta ', o_orderkey % 400 + 10, ' U.S. ', o_custkey % 900 + 10, ' gamma delta omega supra end')"
+
+
+@query("WITH t AS (SELECT o_orderkey AS doc_id, length(cast(o_orderkey % 400 + 10 AS VARCHAR) || ' U.S. ' || cast(o_custkey % 900 + 10 AS VARCHAR)) AS n FROM orders) SELECT doc_id, 11 AS start, cast(11 + n AS BIGINT) AS \"end\", 'page_marker+case_citation' AS reason FROM t UNION ALL SELECT doc_id, 11 + n + length(' gamma delta omega '), 11 + n + length(' gamma delta omega supra'), 'short_form' FROM t")
+def protected_spans(spark, d):
+    docs = _table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.expr(_PROTECTED).alias("t"))
+    rows = docs.select("doc_id", F.explode(context.protected_ranges(F.col("t"))).alias("r"))
+    return rows.select("doc_id", "r.start", "r.end", "r.reason")
+
+
+@query("SELECT o_orderkey AS doc_id, pos::BIGINT AS pos, CASE WHEN o_orderkey % 2 = 0 THEN CASE pos WHEN 0 THEN 1 WHEN 1 THEN 0 ELSE 2 END ELSE CASE pos WHEN 0 THEN 1 WHEN 1 THEN 0 END END::BIGINT AS ix, pos = 0 AS matched FROM orders, (VALUES (0), (1), (2)) v(pos) WHERE o_orderkey % 5 = 0")
+def aligned_authorities(spark, d):
+    o = _table(spark, d, "orders").where("o_orderkey % 5 = 0")
+    cites = o.select(F.col("o_orderkey").alias("doc_id"), F.explode(F.array(*[F.struct(F.lit(i).alias("pos"), F.lit(t).alias("text")) for i, t in enumerate(("See 5 U.S. 6", "nothing", "none"))])).alias("c")).select("doc_id", "c.*")
+    rows = [F.struct(F.lit(i).alias("ix"), F.array(F.lit(v)).alias("variants")) for i, v in enumerate(("1 U.S. 2", "5 u.s. 6", "x"))]
+    known = o.select(F.col("o_orderkey").alias("doc_id"), F.explode(F.when(F.col("o_orderkey") % 2 == 0, F.array(*rows)).otherwise(F.array(*rows[:2]))).alias("a")).select("doc_id", "a.*")
+    return context.align_authorities(cites, known).select("doc_id", "pos", "ix", "matched")
+
+
+_UNRESOLVED = "concat('Id. at ', o_orderkey % 90 + 1, ' says so.', chr(10), 'Baxter, 5 U.S. at ', o_custkey % 90 + 1, ' agrees.', chr(10), 'Ortiz, supra, differs.')"
+
+
+@query("SELECT o_orderkey AS doc_id, code, family, 'error' AS severity, 'review_required' AS correction_level, 'whitepages' AS mode FROM orders, (VALUES ('ID_AMBIGUOUS_ANTECEDENT', 'short forms: Id.'), ('SHORT_CASE_UNRESOLVED', 'short forms: cases'), ('SUPRA_AMBIGUOUS_ANTECEDENT', 'supra and hereinafter')) v(code, family) WHERE o_orderkey % 8 = 0")
+def document_findings(spark, d):
+    docs = _table(spark, d, "orders").where("o_orderkey % 8 = 0").select(F.col("o_orderkey").alias("doc_id"), F.expr(_UNRESOLVED).alias("text"))
+    facts = graph.with_occurrences(docs)
+    occ = graph.occurrence_rows(facts).persist()
+    found = findings.findings(docs, occ, resolve.resolutions(occ, resolve.alias_targets(facts, occ)), "whitepages")
+    return found.select("doc_id", "code", "family", "severity", "correction_level", "mode")
+
+
+@query(_with(f"SELECT doc_id, 'INTERNET_ARCHIVE_REVIEW' AS code, {_AT}, 'Rule 18' AS rule FROM cites WHERE kind = 'internet'"))
+def lint_whitepages(spark, d):
+    return lint.issue_rows(briefs(spark, d), "whitepages").where("code = 'INTERNET_ARCHIVE_REVIEW'").select("doc_id", "code", "start", "end", "rule")
+
+
+@query(r"SELECT o_orderkey AS doc_id, ord::BIGINT AS ord, kind, CASE ord WHEN 0 THEN 'Head ' || o_orderkey WHEN 1 THEN 'A claim.[^a] More [site](https://x.org/' || o_orderkey || ') here.' WHEN 2 THEN 'https://x.org/' || o_orderkey WHEN 3 THEN 'quoted ' || o_custkey ELSE 'The note ' || o_orderkey END AS text, CASE WHEN ord = 4 THEN '1' END AS note_number FROM orders, (VALUES (0, 'heading'), (1, 'paragraph'), (2, 'hyperlink'), (3, 'block_quotation'), (4, 'footnote')) v(ord, kind)")
+def markdown_blocks(spark, d):
+    text = r"concat('# Head ', o_orderkey, '\n\nA claim.[^a] More [site](https://x.org/', o_orderkey, ') here.\n\n> quoted ', o_custkey, '\n\n[^a]: The note ', o_orderkey, '\n')"
+    docs = _table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.expr(text).alias("text"))
+    return blocks.markdown_rows(docs).select("doc_id", "ord", "kind", "text", "note_number")
+
+
+_SENT = "concat('First one here. Second cites 42 U.S.C. § 5 there! It said “quoted ', o_orderkey, ' words” last.')"
+
+
+@query("SELECT o_orderkey AS doc_id, text, has_citation FROM orders, LATERAL (SELECT 'First one here.' AS text, false AS has_citation UNION ALL SELECT 'Second cites 42 U.S.C.', true UNION ALL SELECT '§ 5 there!', false UNION ALL SELECT 'It said “quoted ' || o_orderkey || ' words” last.', false)")
+def block_sentences(spark, d):
+    docs = _table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.expr(_SENT).alias("text"))
+    return blocks.sentence_rows(docs).select("doc_id", "text", "has_citation")
+
+
+@query("SELECT o_orderkey AS doc_id, 58 AS start, cast(58 + length('“quoted ' || o_orderkey || ' words”') AS BIGINT) AS \"end\" FROM orders")
+def block_quotations(spark, d):
+    docs = _table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.expr(_SENT).alias("text"))
+    return blocks.quotation_rows(docs).select("doc_id", "start", "end")
+
+
+_MADE = {
+    "journal_article": ({"author": "A. Doe", "title": "Some <Title>", "volume": "9", "journal": "Harv. L. Rev.", "first_page": "100", "pincite": "12", "year": "1990"}, "A. Doe, Some &lt;Title&gt;, 9 Harv. L. Rev. 100, 12 (1990)"),
+    "regulation": ({"title": "8", "code": "cfr", "section": "§ 5.1", "year": "2020"}, "8 C.F.R. § 5.1 (2020)"),
+    "constitution": ({"constitution": "U.S. Const.", "subdivision": "amend. XIV"}, "U.S. Const. amend. XIV"),
+    "case": ({"case_name": "A v. B", "volume": "1", "reporter": "us", "first_page": "2", "year": "1990", "court": "9th Cir."}, "<i>A v. B</i>, 1 U.S. 2 (9th Cir. 1990)"),
+}
+
+
+@query("SELECT o_orderkey, kind, citation, status FROM orders, (VALUES " + ", ".join(f"('{k}', {_quoted(c)}, 'ok')" for k, (_, c) in _MADE.items()) + ", ('internet', NULL, 'missing_facts'), ('nonsense', NULL, 'unsupported_source_type')) v(kind, citation, status) WHERE o_orderkey % 20 = 0")
+def generated_html(spark, d):
+    fields = {k: v for k, (v, _) in _MADE.items()} | {"internet": {"title": "T"}, "nonsense": {"title": "T"}}
+    made = spark.createDataFrame([(k, v) for k, v in fields.items()], "kind string, fields map<string,string>")
+    rows = _table(spark, d, "orders").where("o_orderkey % 20 = 0").select("o_orderkey").join(F.broadcast(made))
+    return formats.generate(rows, type_col="kind", style="html").select("o_orderkey", "kind", "citation", "status")
+
+
+@query("SELECT o_orderkey, CASE k WHEN 1 THEN 'markdown' WHEN 3 THEN 'pdf' WHEN 4 THEN NULL ELSE 'text' END AS source_format, CASE k WHEN 0 THEN 'plain ' || o_orderkey WHEN 1 THEN '# head' END AS text, CASE k WHEN 2 THEN 'empty_document' WHEN 3 THEN 'ocr_required' WHEN 4 THEN 'unsupported_document_type' WHEN 5 THEN 'invalid_text_encoding' END AS error_code FROM (SELECT o_orderkey, o_orderkey % 6 AS k FROM orders)")
+def uploaded_files(spark, d):
+    k = F.col("o_orderkey") % 6
+    name = F.when(k == 0, "a.TXT").when(k == 1, "b.bin").when(k == 2, "c.txt").when(k == 3, "d.pdf").when(k == 4, "e.exe").otherwise("f.txt")
+    data = F.when(k == 0, F.base64(F.encode(F.concat(F.lit("﻿plain "), F.col("o_orderkey")), "UTF-8"))).when(k == 1, F.base64(F.encode(F.lit("# head"), "UTF-8"))).when(k == 2, F.lit("")).when(k == 5, F.base64(F.unhex(F.lit("ff00fe")))).otherwise(F.base64(F.encode(F.lit("x"), "UTF-8")))
+    rows = _table(spark, d, "orders").select("o_orderkey", name.alias("name"), F.when(k == 1, "text/markdown; charset=utf-8").alias("mime_type"), data.alias("data"))
+    rows = files.from_base64(rows).withColumn("filename", F.concat(F.col("o_orderkey").cast("string"), F.lit("-"), F.col("name")))
+    return files.load_documents(rows).select(F.split("filename", "-")[0].cast("long").alias("o_orderkey"), "source_format", "text", "error_code")
+
+
+@query("SELECT p_partkey FROM part WHERE p_partkey % 2 = 0 AND p_partkey % 3 <> 0 AND p_partkey % 5 NOT IN (0, 1)")
+def rule_sources(spark, d):
+    k = F.col("p_partkey")
+    rows = _table(spark, d, "part").select(k, (k % 2 == 0).alias("included"), (k % 3 != 0).alias("redistribution_allowed"), F.when(k % 5 == 0, " Proprietary ").when(k % 5 != 1, "CC0").alias("license"))
+    return files.rule_library(rows).select("p_partkey")
+
+
+@query("SELECT o_orderkey, o_orderkey % 3 = 0 AS verified, o_orderkey % 3 = 1 AS ambiguous, CASE WHEN o_orderkey % 3 = 2 THEN '' ELSE 'A v. B|C v. D' END AS case_names, CASE WHEN o_orderkey % 3 = 2 THEN '' ELSE 'https://b.org/op/' || o_orderkey || '|https://x.org/y' END AS urls FROM orders")
+def verification_results(spark, d):
+    k = F.col("o_orderkey")
+    one = lambda n, u: F.struct(F.lit(n).alias("case_name"), u.alias("absolute_url"))
+    many = F.array(one("C v. D", F.lit("https://x.org/y")), one("A v. B", F.concat(F.lit("op/"), k)), one("C v. D", F.concat(F.lit("/op/"), k)), one("", F.lit(None).cast("string")))
+    rows = _table(spark, d, "orders").select(k, F.when(k % 3 == 0, 200).when(k % 3 == 1, 300).otherwise(404).alias("status"), F.when(k % 3 != 2, many).alias("clusters"))
+    return evaluate.verification_results(rows, "https://b.org").select("o_orderkey", "verified", "ambiguous", F.array_join("case_names", "|").alias("case_names"), F.array_join("urls", "|").alias("urls"))
+
+
+@query("SELECT o_custkey AS key FROM (SELECT o_custkey, max(o_orderdate) AS t FROM orders WHERE o_orderdate >= TIMESTAMP '1998-01-01' - INTERVAL 4000 DAY GROUP BY 1) ORDER BY t DESC, o_custkey LIMIT 32")
+def cached_lookups(spark, d):
+    rows = _table(spark, d, "orders").select(F.col("o_custkey").alias("key"), F.col("o_orderdate").cast("timestamp").alias("fetched_at"))
+    return context.lookup_cache(rows, F.lit("1998-01-01").cast("timestamp"), 4000 * 86_400).select("key")
+
+
+@query("SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 4 = 0 THEN 'whitepages' ELSE 'bluepages' END AS mode FROM orders")
+def academic_mode(spark, d):
+    text = F.when(F.col("o_orderkey") % 4 == 0, "By Jane Doe\n\nThis article is for a law review.").otherwise("The plaintiff filed a motion in the district court.")
+    return modes.document_mode(_table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), text.alias("text"))).select("doc_id", "mode")
