@@ -669,3 +669,46 @@ def cached_lookups(spark, d):
 def academic_mode(spark, d):
     text = F.when(F.col("o_orderkey") % 4 == 0, "By Jane Doe\n\nThis article is for a law review.").otherwise("The plaintiff filed a motion in the district court.")
     return modes.document_mode(_table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), text.alias("text"))).select("doc_id", "mode")
+
+
+# A wider grammar than the briefs': state reporters and codes, dates, years behind names
+
+
+_V, _PG, _YR = "o_orderkey % 400 + 10", "o_custkey % 900 + 10", "1950 + o_orderkey % 60"
+_REP = "CASE o_orderkey % 5 WHEN 0 THEN 'Cal. App. 4th' WHEN 1 THEN 'N.E.2d' WHEN 2 THEN 'So. 3d' WHEN 3 THEN 'Mass.' ELSE 'F. Supp. 2d' END"
+_STATE_CASE = f"concat('As held, Smith & Sons v. Board of Trade, ', {_V}, ' ', {_REP}, ' ', {_PG}, CASE WHEN o_orderkey % 2 = 0 THEN concat(', ', {_PG} + 3) ELSE '' END, CASE o_orderkey % 3 WHEN 0 THEN concat(' (', {_YR}, ')') WHEN 1 THEN concat(' (9th Cir. ', {_YR}, ')') ELSE concat(' (June 24, ', {_YR}, ')') END, '. So it is.')"
+
+
+@query(f"SELECT o_orderkey AS doc_id, 'Smith & Sons v. Board of Trade' AS case_name, cast({_V} AS VARCHAR) AS volume, {_REP} AS reporter, cast({_PG} AS VARCHAR) AS first_page, CASE WHEN o_orderkey % 2 = 0 THEN cast({_PG} + 3 AS VARCHAR) END AS pincite, CASE o_orderkey % 3 WHEN 2 THEN NULL ELSE cast({_YR} AS VARCHAR) END AS year, CASE o_orderkey % 3 WHEN 2 THEN cast({_YR} AS VARCHAR) END AS date_year, CASE o_orderkey % 3 WHEN 1 THEN '9th Cir.' END AS court FROM orders")
+def extract_reported_cases(spark, d):
+    docs = _table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.expr(_STATE_CASE).alias("text"))
+    c = extract.citation_rows(docs).where("source_type = 'case'")
+    return c.select("doc_id", *[F.col("components")[n].alias(n) for n in ("case_name", "volume", "reporter", "first_page", "pincite", "year", "date_year", "court")])
+
+
+_STATE_LAW = f"concat('Under ', CASE o_orderkey % 3 WHEN 0 THEN 'Cal. Penal Code' WHEN 1 THEN 'N.Y. Gen. Laws' ELSE 'Tex. Stat. Ann.' END, CASE WHEN o_orderkey % 3 = 1 THEN concat(' ch. ', o_custkey % 90 + 1, ',') ELSE '' END, ' § ', {_V}, '.', {_PG}, CASE WHEN o_orderkey % 2 = 0 THEN concat(' (', {_YR}, ')') ELSE '' END, ' it is so.')"
+
+
+@query(f"SELECT o_orderkey AS doc_id, CASE o_orderkey % 3 WHEN 0 THEN 'Cal. Penal Code' WHEN 1 THEN 'N.Y. Gen. Laws' ELSE 'Tex. Stat. Ann.' END AS code, CASE WHEN o_orderkey % 3 = 1 THEN cast(o_custkey % 90 + 1 AS VARCHAR) END AS chapter, ({_V}) || '.' || ({_PG}) AS section, CASE WHEN o_orderkey % 2 = 0 THEN cast({_YR} AS VARCHAR) END AS edition FROM orders")
+def extract_state_statutes(spark, d):
+    docs = _table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.expr(_STATE_LAW).alias("text"))
+    c = extract.citation_rows(docs).where("source_type = 'statute'")
+    return c.select("doc_id", *[F.col("components")[n].alias(n) for n in ("code", "chapter", "section", "edition")])
+
+
+@query("SELECT o_orderkey AS doc_id, 'Doe v. Roe' AS case_name, cast(1950 + o_orderkey % 60 AS VARCHAR) AS inline_year, 'Cal. 4th' AS reporter FROM orders WHERE o_orderkey % 4 = 0")
+def extract_inline_years(spark, d):
+    text = F.expr("concat('See Doe v. Roe (', 1950 + o_orderkey % 60, ') 5 Cal. 4th 100.')")
+    c = extract.citation_rows(_table(spark, d, "orders").where("o_orderkey % 4 = 0").select(F.col("o_orderkey").alias("doc_id"), text.alias("text")))
+    return c.where("source_type = 'case'").select("doc_id", *[F.col("components")[n].alias(n) for n in ("case_name", "inline_year", "reporter")])
+
+
+@query("SELECT code, kind, severity FROM (VALUES " + ", ".join(f"('{r[0]}', 'lint', '{r[4]}')" for r in tables.LINT_RULES) + ", " + ", ".join(f"('{r[0]}', 'finding', '{r[2]}')" for r in tables.FINDING_RULES) + ") t(code, kind, severity)")
+def explained_rules(spark, d):
+    return tables.explained_rules(spark).select("code", "kind", "severity")
+
+
+@query("SELECT o_orderkey AS doc_id, 4::BIGINT AS blocks, 2::BIGINT AS paragraphs, 2::BIGINT AS footnotes, 3::BIGINT AS \"references\", cast(length('Body.[1] More.[2]' || chr(10) || chr(10) || 'Next ' || o_orderkey || '.[1]' || chr(10) || chr(10) || '[1] One.' || chr(10) || chr(10) || '[2] Two.') AS BIGINT) AS characters FROM orders")
+def document_outline(spark, d):
+    text = F.expr(r"concat('Body.[1] More.[2]\n\nNext ', o_orderkey, '.[1]\n\n[1] One.\n\n[2] Two.')")
+    return blocks.outline(_table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), text.alias("text")))

@@ -56,6 +56,13 @@ def block_rows(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id")
     return rows_of(with_blocks(docs, text_col), "blocks", F.col(id_col).alias("doc_id"), at="ord")
 
 
+def outline(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """doc_id, blocks, paragraphs, footnotes, references, characters of each text: one projection."""
+    df = with_blocks(docs, text_col)
+    count = lambda kind: F.size(F.filter("blocks", lambda b: b["kind"] == kind))
+    return df.select(F.col(id_col).alias("doc_id"), F.size("blocks").alias("blocks"), count("paragraph").alias("paragraphs"), count("footnote").alias("footnotes"), F.size("references").alias("references"), F.length(F.coalesce(F.col(text_col), F.lit(""))).alias("characters"))
+
+
 def markdown_rows(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """Blocks of Markdown in text order: headings, block quotations, paragraphs, note definitions (numbered as they come) and links."""
     text, none = F.coalesce(F.col(text_col), F.lit("")), F.lit(None).cast("string")

@@ -25,6 +25,7 @@ ERRORS = ("empty_document", "document_too_large", "invalid_text_encoding", "inva
 
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 _DC = "{http://purl.org/dc/elements/1.1/}"
+_R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 
 
 def read_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
@@ -54,7 +55,7 @@ def source_format(filename: Column, mime: Column) -> Column:
 
 
 def docx_text(data: bytes) -> dict:
-    """Text of a package in reading order (notes last, numbered from 1), its title, author and subject; ``error`` if it can't be read."""
+    """Text of a package in reading order (notes last, numbered from 1), its title, author and subject, and its links (text and address by the body's relationships); ``error`` if it can't be read."""
     try:
         with zipfile.ZipFile(io.BytesIO(data)) as z:
             names = set(z.namelist())
@@ -75,7 +76,8 @@ def docx_text(data: bytes) -> dict:
                     for k, n in enumerate(shown, 1):
                         number[kind, n.get(f"{_W}id")] = str(k)
                         notes.append((str(k), [t for p in n.findall(f"{_W}p") if (t := _paragraph(p, {})).strip()]))
-            parts, kinds = [], []
+            rels = {r.get("Id"): r.get("Target") for r in xml("word/_rels/document.xml.rels") if r.get("TargetMode") == "External"} if "word/_rels/document.xml.rels" in names else {}
+            parts, kinds, links = [], [], []
             body = xml("word/document.xml").find(f"{_W}body")
             for child in body if body is not None else ():
                 if child.tag == f"{_W}p":
@@ -88,15 +90,18 @@ def docx_text(data: bytes) -> dict:
                     rows = [["\n".join(_paragraph(p, {}) for p in cell.findall(f"{_W}p")) for cell in row.findall(f"{_W}tc")] for row in child.findall(f"{_W}tr")]
                     parts.append("\n".join("\t".join(r) for r in rows))
                     kinds.append("table")
+            for link in body.iter(f"{_W}hyperlink") if body is not None else ():
+                if link.get(f"{_R}id") in rels:
+                    links.append({"text": _paragraph(link, number), "url": rels[link.get(f"{_R}id")]})
             for k, texts in notes:
                 for t in texts:
                     parts.append(f"[{k}] {t}")
                     kinds.append("footnote")
             core = xml("docProps/core.xml") if "docProps/core.xml" in names else None
             meta = {n: core.findtext(f"{_DC}{t}") if core is not None else None for n, t in (("title", "title"), ("author", "creator"), ("subject", "subject"))}
-            return {"text": "\n\n".join(parts), "kinds": kinds, "error": None, **meta}
+            return {"text": "\n\n".join(parts), "kinds": kinds, "links": links, "error": None, **meta}
     except (zipfile.BadZipFile, KeyError, ValueError, ET.ParseError, RuntimeError):
-        return {"text": None, "kinds": None, "error": "invalid_docx", "title": None, "author": None, "subject": None}
+        return {"text": None, "kinds": None, "links": None, "error": "invalid_docx", "title": None, "author": None, "subject": None}
 
 
 def _paragraph(node, number: dict) -> str:
@@ -115,13 +120,13 @@ def _paragraph(node, number: dict) -> str:
     return "".join(out)
 
 
-@F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("kinds", T.ArrayType(T.StringType())), *(T.StructField(n, T.StringType()) for n in ("error", "title", "author", "subject"))]))
+@F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("kinds", T.ArrayType(T.StringType())), T.StructField("links", T.ArrayType(T.StructType([T.StructField("text", T.StringType()), T.StructField("url", T.StringType())]))), *(T.StructField(n, T.StringType()) for n in ("error", "title", "author", "subject"))]))
 def _docx(content: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([docx_text(bytes(x)) if x is not None else {"text": None, "kinds": None, "error": None, "title": None, "author": None, "subject": None} for x in content], columns=["text", "kinds", "error", "title", "author", "subject"])
+    return pd.DataFrame([docx_text(bytes(x)) if x is not None else {} for x in content], columns=["text", "kinds", "links", "error", "title", "author", "subject"])
 
 
 def load_documents(files: DataFrame) -> DataFrame:
-    """filename, source_format, text, title, author, subject, sha256, error_code. ``files``: filename, mime_type, content, and (as ``read_files`` gives it) length.
+    """filename, source_format, text, title, author, subject, links, sha256, error_code. ``files``: filename, mime_type, content, and (as ``read_files`` gives it) length.
 
     PDF needs a parser that is not part of this library: such files get ``ocr_required``.
     """
@@ -140,7 +145,7 @@ def load_documents(files: DataFrame) -> DataFrame:
         .when(plain & raw.isNull(), "invalid_text_encoding").when(F.col("__x.error").isNotNull(), F.col("__x.error")).when(F.trim(F.regexp_replace(text, r"\s+", " ")) == "", "empty_document")
     )
     ok = error.isNull()
-    return df.select("filename", "source_format", F.when(ok, text).alias("text"), "__x.title", "__x.author", "__x.subject", F.sha2("content", 256).alias("sha256"), error.alias("error_code"))
+    return df.select("filename", "source_format", F.when(ok, text).alias("text"), "__x.title", "__x.author", "__x.subject", "__x.links", F.sha2("content", 256).alias("sha256"), error.alias("error_code"))
 
 
 def pdf_notes(fragments: DataFrame) -> DataFrame:
@@ -151,12 +156,16 @@ def pdf_notes(fragments: DataFrame) -> DataFrame:
     return j.withColumn("note", F.when(low & small, "medium").when(low, "low")).drop("median")
 
 
-def read_jsonl(spark: SparkSession, path: str, schema: str, key: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """Rows of JSON lines (blank ones skipped), and the problems: lines that don't parse, keys that come twice."""
+def read_jsonl(spark: SparkSession, path: str, schema: str, key: str | None = None, allowed: dict[str, tuple] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Rows of JSON lines (blank ones skipped), and the problems: lines that don't parse, values that aren't ``allowed`` in their column, keys that come twice."""
     lines = spark.read.text(path).where(F.trim("value") != "")
     rows = lines.select("value", F.from_json("value", schema, {"mode": "PERMISSIVE"}).alias("r"))
     bad = rows.where(F.try_parse_json("value").isNull()).select(F.col("value").alias("what"), F.lit("invalid_json").alias("problem"))
     good = rows.where(F.try_parse_json("value").isNotNull()).select("r.*")
+    for name, values in (allowed or {}).items():
+        wrong = rows.where(F.try_parse_json("value").isNotNull() & ~F.coalesce(F.col(f"r.{name}").isin(*values), F.lit(False)))
+        bad = bad.unionByName(wrong.select(F.col("value").alias("what"), F.lit(f"not_allowed:{name}").alias("problem")))
+        good = good.where(F.coalesce(F.col(name).isin(*values), F.lit(False)))
     if key:
         twice = good.groupBy(key).count().where("count > 1").select(F.col(key).cast("string").alias("what"), F.lit("duplicate_key").alias("problem"))
         bad = bad.unionByName(twice)
