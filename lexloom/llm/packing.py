@@ -62,14 +62,15 @@ class Encoder:
 def plain_texts(off: np.ndarray, data: np.ndarray) -> np.ndarray:
     """Texts without characters from U+0280 on and without long runs."""
     n = len(off) - 1
-    far = np.zeros(len(data) + 1, np.int64)
-    np.cumsum((data >= 0xCA) | (data == 0x85), out=far[1:])
-    plain = far[off[1:]] == far[off[:-1]]
+    plain, owner = np.ones(n, bool), lambda at: np.searchsorted(off, at, "right") - 1
+    plain[owner(np.flatnonzero((data >= 0xCA) | (data == 0x85)))] = False
     # A long run has no change between space and other within LONG_RUN bytes.
     space = np.take(~K.SPACED, data)
-    change = np.union1d(np.flatnonzero(space[1:] != space[:-1]) + 1, off)
-    wide = np.flatnonzero(np.diff(change) >= LONG_RUN)
-    plain[np.minimum(np.searchsorted(off, change[wide], "right") - 1, n - 1)] = False
+    edge = np.zeros(len(data) + 1, bool)
+    np.not_equal(space[1:], space[:-1], out=edge[1:-1])
+    edge[off] = True
+    change = np.flatnonzero(edge)
+    plain[np.minimum(owner(change[:-1][np.diff(change) >= LONG_RUN]), n - 1)] = False
     return plain
 
 
