@@ -63,16 +63,25 @@ def with_occurrences(docs: DataFrame, text_col: str = "text", surroundings: bool
     empty = F.array().cast(f"array<{OCC}>")
     alias = F.aggregate(F.filter("__new", _free(F.col("__acc"))), empty, lambda acc, c: F.when(F.exists(acc, lambda a: (a["start"] < c["end"]) & (c["start"] < a["end"])), acc).otherwise(F.concat(acc, F.array(c))))
     df = df.withColumn("__acc", F.concat("__acc", "__short", alias))
-    df = df.withColumn("__breaks", F.transform(spans(t, P.Pattern(P.GAP_SENTENCE_BREAK)), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
-    df = df.withColumn("__semis", F.transform(spans(t, P.Pattern(";")), lambda s: s["start"]))
+    breaks, semis = F.array().cast("array<struct<start:int,end:int>>"), F.array().cast("array<int>")
+    if surroundings:
+        breaks = F.transform(spans(t, P.Pattern(P.GAP_SENTENCE_BREAK)), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
+        semis = F.transform(spans(t, P.Pattern(";")), lambda s: s["start"])
+    df = df.withColumn("__breaks", breaks).withColumn("__semis", semis)
 
+    # What a lambda's body names twice is worked out twice, so blocks, markers and moves are bound once each.
     def place(o):
         lead = F.length(o["text"]) - F.length(F.regexp_replace(o["text"], r"(?U)^\s+", ""))
-        at = F.try_element_at(F.filter("blocks", lambda b: (b["start"] <= o["start"] + lead) & (o["start"] + lead < b["end"]) & (o["end"] <= b["end"])), F.lit(1))
-        marker = F.array_min(F.transform(F.filter("references", lambda r: r["note_id"] == at["note_id"]), lambda r: r["start"]))
-        moved = at["note_id"].isNotNull() & marker.isNotNull()
-        key = [F.when(moved, marker).otherwise(o["start"]), F.when(moved, F.lit(1)).otherwise(F.lit(0)), F.when(moved, o["start"] - at["start"]).otherwise(F.lit(0))]
-        return F.struct(*[k.alias(f"k{i}") for i, k in enumerate(key)], o["start"].alias("start"), o["end"].alias("end"), *[o[n].alias(n) for n in ("text", "source_type", "form", "components")], at["block_id"].alias("block_id"), at["start"].alias("block_start"), at["end"].alias("block_end"), at["note_id"].alias("note_id"), at["note_number"].alias("note_number"))
+        start = o["start"]
+        found = let(start + lead, lambda first: F.try_element_at(F.filter("blocks", lambda b: (b["start"] <= first) & (first < b["end"]) & (o["end"] <= b["end"])), F.lit(1)))
+
+        def put(at):
+            marker = F.when(at["note_id"].isNotNull(), let(at["note_id"], lambda name: F.array_min(F.transform(F.filter("references", lambda r: r["note_id"] == name), lambda r: r["start"]))))
+            moved = lambda m: F.struct(F.coalesce(m, start).alias("k0"), m.isNotNull().cast("int").alias("k1"), F.when(m.isNotNull(), start - at["start"]).otherwise(F.lit(0)).alias("k2"))
+            rest = [start.alias("start"), o["end"].alias("end"), *[o[n].alias(n) for n in ("text", "source_type", "form", "components")], at["block_id"].alias("block_id"), at["start"].alias("block_start"), at["end"].alias("block_end"), at["note_id"].alias("note_id"), at["note_number"].alias("note_number")]
+            return let(let(marker, moved), lambda k: F.struct(*[k[n].alias(n) for n in ("k0", "k1", "k2")], *rest))
+
+        return let(found, put)
 
     # Maps can't be compared, so the order goes by the five numbers alone.
     def order(a, b):

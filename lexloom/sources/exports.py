@@ -94,7 +94,7 @@ def patch_docx(data: bytes, edits: list[tuple[int, int, str, str]]) -> dict:
         if b"<!DOCTYPE" in raw or b"<!ENTITY" in raw:
             return {"content": None, "error": "invalid_docx"}
         for prefix, uri in re.findall(rb'xmlns:([A-Za-z0-9]+)="([^"]+)"', raw):
-            if not re.fullmatch(rb"ns\d+", prefix):
+            if not re.match(rb"ns\d+\Z", prefix):
                 ET.register_namespace(prefix.decode(), uri.decode())
         root = ET.fromstring(raw)
         text, nodes = _nodes(root.find(f"{_W}body"))
