@@ -159,4 +159,19 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar_documents(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("tkey").fillna(0, ["n_links"])
+    return similar_documents(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("tkey", "class_key").fillna(0, ["n_links"])
+
+
+#: DuckDB: all pairs of different shingle sets that share a shingle, compared on their full sets; classes by a recursive walk.
+OP4_SQL = rf"""WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN NULL WHEN len(w) < {WIDTH} THEN [array_to_string(w, ' ')] ELSE list_sort(list_distinct(list_transform(range(1, len(w) - {WIDTH - 2}), lambda i: array_to_string(w[i:i + {WIDTH - 1}], ' ')))) END AS s FROM t),
+one AS (SELECT row_number() OVER (ORDER BY min(doc_id)) AS id, s, len(s) AS n, count(*) AS n_copies, min(doc_id) AS first FROM sets WHERE s IS NOT NULL GROUP BY s),
+x AS (SELECT id, n, unnest(s) AS g FROM one),
+pairs AS (SELECT a.id AS a, b.id AS b, count(*) AS shared, any_value(a.n) AS na, any_value(b.n) AS nb FROM x a JOIN x b ON a.g = b.g AND a.id <> b.id GROUP BY 1, 2),
+near AS (SELECT a, b FROM pairs WHERE shared >= {THRESHOLD} * (na + nb - shared) - 1e-9),
+walk AS (SELECT id AS a, id AS r FROM one UNION SELECT near.b, walk.r FROM walk JOIN near ON near.a = walk.a),
+root AS (SELECT a AS id, min(r) AS root FROM walk GROUP BY 1),
+class AS (SELECT root, min(first) AS class_id FROM root JOIN one USING (id) GROUP BY 1),
+links AS (SELECT a AS id, count(*) AS n_links FROM near GROUP BY 1),
+info AS (SELECT s, class_id, coalesce(n_links, 0) AS n_links, n_copies FROM one JOIN root USING (id) JOIN class USING (root) LEFT JOIN links USING (id))
+SELECT doc_id, class_id, n_links, n_copies FROM sets JOIN info USING (s) UNION ALL SELECT doc_id, doc_id, 0, 1 FROM sets WHERE s IS NULL"""

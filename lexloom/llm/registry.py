@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from .decontamination import op7_benchmark_decontamination
+from .decontamination import OP7_SQL, op7_benchmark_decontamination
 from .language_id import op6_language_id
 from .language_model import op5_class_ngrams
 from .line_dedup import op1_line_dedup
-from .ngram_join import op4_ngram_join
+from .ngram_join import OP4_SQL, op4_ngram_join
 from .packing import op9_packing
-from .repetition import op2_repetition_coverage
+from .repetition import OP2_SQL, op2_repetition_coverage
 from .sharding import op10_sharding
 from .toxicity import op8_toxicity
 from .url_filter import OP3_SQL, op3_url_filter
@@ -30,4 +30,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_filter": OP3_SQL}
+    return {"op2_repetition_coverage": OP2_SQL, "op3_url_filter": OP3_SQL, "op4_ngram_join": OP4_SQL, "op7_benchmark_decontamination": OP7_SQL}

@@ -17,6 +17,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import kernel as K
 
@@ -105,4 +106,36 @@ def repetition_coverage(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def op2_repetition_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repetition_coverage(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """The columns of SCHEMA, with a column per n-gram length in place of the array."""
+    out = repetition_coverage(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    cover = [F.col("dup_ngram_chars")[i].alias(f"dup_chars_{n}") for i, (n, _) in enumerate(RepetitionRules().coverage)]
+    return out.select(*[c for c in out.columns if c != "dup_ngram_chars"], *cover)
+
+
+def _op2_sql(r: RepetitionRules = RepetitionRules()) -> str:
+    """DuckDB: words with their place; a window's (by its 64-bit hash) earlier equals by row_number, what windows cover by a frame of as many words."""
+    sizes = sorted({n for n, _ in r.coverage} | {r.window})
+    leads = ", ".join(f"lead(word, {k}) OVER o AS l{k}" for k in range(1, sizes[-1]))
+    grams = ", ".join(f"CASE WHEN l{n - 1} IS NOT NULL THEN hash(word, {', '.join(f'l{k}' for k in range(1, n))}) END AS g{n}" for n in sizes)
+    flags = ", ".join(f"CASE WHEN g{n} IS NULL THEN 0 ELSE cast(row_number() OVER (PARTITION BY doc_id, g{n} ORDER BY i) > 1 AS INT) END AS later{n}" for n in sizes)
+    spread = ", ".join(f"max(later{n}) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) AS c{n}" for n, _ in r.coverage)
+    shares = ", ".join(f"coalesce(sum(length(word)) FILTER (c{n} = 1), 0)::BIGINT AS dup_chars_{n}" for n, _ in r.coverage)
+    high = " OR ".join(f"coalesce(dup_chars_{n}, 0) > {m} * wc" for n, m in r.coverage)
+    cols = ", ".join(f"coalesce(dup_chars_{n}, 0) AS dup_chars_{n}" for n, _ in r.coverage)
+    word = r"[^\x20\x09-\x0D]+"
+    return rf"""WITH t AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{word}') AS w FROM documents),
+u AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM t),
+p AS (SELECT *, {leads} FROM u WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+g AS (SELECT doc_id, i, word, {grams} FROM p),
+f AS (SELECT doc_id, i, word, {flags}, CASE WHEN g{r.window} IS NULL THEN 0 ELSE cast(count(*) OVER (PARTITION BY doc_id, g{r.window}) > 1 AS INT) END AS again FROM g),
+c AS (SELECT doc_id, word, {spread}, max(again) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN {r.window - 1} PRECEDING AND CURRENT ROW) AS repeat FROM f),
+a AS (SELECT doc_id, count(*) AS n_words, sum(length(word))::BIGINT AS word_chars, sum(repeat)::BIGINT AS n_repeat_words, {shares} FROM c GROUP BY doc_id),
+x AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM t),
+y AS (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id, line ORDER BY k) > 1 AS later FROM x WHERE regexp_matches(line, '{word}')),
+l AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (later) AS n_dup_lines, coalesce(sum(length(array_to_string(regexp_extract_all(line, '{word}'), ''))) FILTER (later), 0)::BIGINT AS dup_line_chars FROM y GROUP BY doc_id),
+j AS (SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars, (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines, coalesce(dup_line_chars, 0) AS dup_line_chars, {cols}, greatest(coalesce(word_chars, 0), 1) AS wc FROM t LEFT JOIN a USING (doc_id) LEFT JOIN l USING (doc_id)),
+b AS (SELECT *, n_words < {r.min_words} OR 100 * n_repeat_words > {r.base_percent} * n_words AS base_failed FROM j)
+SELECT * EXCLUDE (wc), NOT (base_failed OR n_symbols > {r.symbol_share} * wc OR n_dup_lines > {r.line_share} * greatest(n_lines, 1) OR dup_line_chars > {r.line_chars} * wc OR {high}) AS kept FROM b"""
+
+
+OP2_SQL = _op2_sql()
