@@ -95,4 +95,4 @@ REPORTED_CASE = Pattern(
     ("case_name", "inline_year", "volume", "reporter", "first_page", "pincite", "date_year", "court", "year"),
 )
 #: State statutes by the words their codes' names end in.
-STATE_LAW = Pattern(rf"(?U)\b((?:[A-Z][a-z]{{2,6}}\.|[A-Z]\.[A-Z]\.)(?: [A-Z][\w.&]*){{0,3}}? (?:{_any(CODE_WORDS)}))(?: (?:ch|tit)\. (\w+),)? §{{1,2}} ?([\w-]+(?:[.:][\w-]+)*)(?: \((?:[^()\d]*)(\d{{4}})\))?", ("code", "chapter", "section", "edition"))
+STATE_LAW = Pattern(rf"(?U)\b((?:[A-Z][a-z]{{2,6}}\.|[A-Z]\.[A-Z]\.)(?: [A-Z][\w.&]*){{0,3}}? (?:{_any(CODE_WORDS)}))(?: (?:ch|tit)\. (\w+),)? §{{1,2}} ?([\w-]+(?:[.:][\w-]+)*)(?: \((?:[^()\d]*)(\d{{4}})\))?", ("code", "chapter", "section", "edition"), needs="§")
