@@ -12,6 +12,7 @@ from .repetition import OP2_SQL, op2_repetition_coverage
 from .sharding import op10_sharding
 from .toxicity import op8_toxicity
 from .url_filter import OP3_SQL, op3_url_filter
+from .vector_codes import OP13_SQL, op13_vector_codes
 
 
 def queries() -> dict:
@@ -26,8 +27,9 @@ def queries() -> dict:
         "op8_toxicity": op8_toxicity,
         "op9_packing": op9_packing,
         "op10_sharding": op10_sharding,
+        "op13_vector_codes": op13_vector_codes,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_repetition_coverage": OP2_SQL, "op3_url_filter": OP3_SQL, "op4_ngram_join": OP4_SQL, "op7_benchmark_decontamination": OP7_SQL}
+    return {"op2_repetition_coverage": OP2_SQL, "op3_url_filter": OP3_SQL, "op4_ngram_join": OP4_SQL, "op7_benchmark_decontamination": OP7_SQL, "op13_vector_codes": OP13_SQL}
