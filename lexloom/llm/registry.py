@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontamination import OP7_SQL, op7_benchmark_decontamination
+from .embedding_dedup import OP12_SQL, op12_embedding_dedup
 from .hard_negatives import OP11_SQL, op11_hard_negatives
 from .language_id import op6_language_id
 from .language_model import op5_class_ngrams
@@ -29,9 +30,10 @@ def queries() -> dict:
         "op9_packing": op9_packing,
         "op10_sharding": op10_sharding,
         "op11_hard_negatives": op11_hard_negatives,
+        "op12_embedding_dedup": op12_embedding_dedup,
         "op13_vector_codes": op13_vector_codes,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_repetition_coverage": OP2_SQL, "op3_url_filter": OP3_SQL, "op4_ngram_join": OP4_SQL, "op7_benchmark_decontamination": OP7_SQL, "op11_hard_negatives": OP11_SQL, "op13_vector_codes": OP13_SQL}
+    return {"op2_repetition_coverage": OP2_SQL, "op3_url_filter": OP3_SQL, "op4_ngram_join": OP4_SQL, "op7_benchmark_decontamination": OP7_SQL, "op11_hard_negatives": OP11_SQL, "op12_embedding_dedup": OP12_SQL, "op13_vector_codes": OP13_SQL}
