@@ -7,9 +7,9 @@ trained together with the table by stochastic gradient descent in numpy. Because
 the mean and the softmax's input are both linear, scoring uses one table of
 (bucket, language) products and needs a sum per text.
 
-Learning uses about ``sample_rows`` labelled rows (equal shares per language;
-their whole texts, hashed on the executors), fewer where texts are so long that these would hold
-more than ``sample_chars`` characters: that bounds what reaches the driver. A fifth of them is kept out of
+Learning uses at most ``sample_rows`` labelled rows (equal shares per language; rows that repeat id and text
+count once; whole texts, hashed on the executors), and no more of a language once its texts have its share of
+``sample_chars`` characters: that bounds what reaches the driver. A fifth of them is kept out of
 training for a temperature (by likelihood) and for the confidence below which a
 text counts as ``rejected``.
 
@@ -96,9 +96,8 @@ def has_letter(off: np.ndarray, data: np.ndarray) -> np.ndarray:
 def fit(docs: DataFrame, rules: LanguageRules = LanguageRules()) -> LanguageModel:
     """``docs``: doc_id, text, lang of the rows to learn from."""
     docs = docs.select("doc_id", "text", "lang").where("lang is not null and text is not null")
-    mean = docs.agg(F.avg(F.length("text"))).first()[0] or 1.0
-    chosen, weight = class_sample(docs, "lang", "doc_id", max(1, min(rules.sample_rows, int(rules.sample_chars / max(mean, 1.0)))))
-    langs, buckets = sorted(weight), 1 << rules.log_buckets
+    chosen, counts = class_sample(docs, "lang", ["doc_id", "text"], rules.sample_rows, "text", rules.sample_chars)
+    langs, buckets = sorted(counts), 1 << rules.log_buckets
     if not langs:
         return LanguageModel([], np.zeros((buckets, 0), np.float32), np.zeros(0), 1.0, 0.0, rules.log_buckets)
 
@@ -111,7 +110,7 @@ def fit(docs: DataFrame, rules: LanguageRules = LanguageRules()) -> LanguageMode
                 kind = pa.int32()
                 yield pa.RecordBatch.from_arrays([batch.column(1).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(cut), pa.array((u % buckets).astype(np.int32), kind)), pa.ListArray.from_arrays(pa.array(cut), pa.array(n.astype(np.int32), kind))], ["lang", "b", "n"])
 
-    # About sample_chars characters at most, each of which begins two pieces.
+    # Each character begins two pieces, and a text has as many different pieces as there are buckets at most.
     got = chosen.select("text", "lang").mapInArrow(features, "lang string, b array<int>, n array<int>").toArrow()
     code = {x: i for i, x in enumerate(langs)}
     y, rows = [], []

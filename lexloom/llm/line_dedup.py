@@ -18,6 +18,8 @@ chance of 3%.
 
 from __future__ import annotations
 
+from itertools import compress
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -229,6 +231,19 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return Removed(out, signed.df.where("id is null").select("doc_id", "tkey", F.col("line").cast("long").alias("n_lines")))
 
 
+@F.arrow_udf("string")
+def without_lines(text: pa.Array, cut: pa.Array) -> pa.Array:
+    """Texts without the lines whose numbers (from 0) are given; a text without a list as it is."""
+    out = text.cast(pa.binary()).to_pylist()
+    for i in np.flatnonzero(cut.is_valid().to_numpy(zero_copy_only=False)).tolist():
+        if out[i] is not None:
+            lines = out[i].split(b"\n")
+            keep = np.ones(len(lines), bool)
+            keep[cut[i].values.to_numpy()] = False
+            out[i] = b"\n".join(compress(lines, keep.tolist()))
+    return pa.array(out, pa.binary()).view(pa.string())
+
+
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None, drop_emptied: bool = False, **options) -> DataFrame:
     """``docs`` with the removed lines cut out of the text; all other columns as they are, but ``length_col`` of a changed text.
 
@@ -240,10 +255,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     hit = bits.has(bits.build(gone.df, "tkey").df.scalar(), F.col(key))
     # Lines are numbered from 0; texts that miss the bit table lose nothing and skip the join.
     joined = keyed.where(hit).join(gone.df.select(F.col("tkey").alias(key), F.col("removed.line").alias(cut)), key, "left")
-    lines = F.split(F.col(text_col), "\n", -1)
-    stay = F.filter(F.transform(lines, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda p: ~F.array_contains(F.col(cut), p["i"]))
-    text = F.when(F.col(cut).isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(stay, lambda p: p["x"]), "\n"))
-    changed = joined.withColumn(text_col, text)
+    changed = joined.withColumn(text_col, without_lines(F.col(text_col), F.col(cut)))
     if drop_emptied:
         changed = changed.where(F.col(cut).isNull() | F.col(text_col).rlike("[^\\x20\\x09-\\x0D]"))
     if length_col in docs.columns:

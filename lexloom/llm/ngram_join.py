@@ -9,7 +9,8 @@ pairs are verified on their full sets (see ``neardup``).
 Defined results: a null or empty text has no words; it is in a class by itself,
 has no links and is always kept. Rows of one doc_id are joined like any others.
 The class id is the least doc_id of the class (null ids count only if there is
-no other). Columns of any other name pass through ``keep_one``. Where ids are null or repeat, unlike classes can share it, so a class
+no other). Of rows with words that repeat doc_id and text, ``keep_one`` keeps the one whose columns come first in
+order (nulls first; columns without an order by their JSON text); rows without words all stay, repeated or not. Columns of any other name pass through it. Where ids are null or repeat, unlike classes can share it, so a class
 is told by its class_key, the least set id of its component. Shingle sets are told apart by a 64-bit hash: among 10^9 different
 texts two are taken for copies with a chance of 3%.
 """
@@ -18,7 +19,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bits, neardup
@@ -134,28 +135,36 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return some.unionByName(none)
 
 
+def in_order(df: DataFrame) -> Column:
+    """All columns as one value with an order; a column that has none (it holds a map or a variant) as JSON."""
+    unordered = lambda t: "map<" in t or "variant" in t
+    return F.struct(*[F.to_json(F.struct(F.col(f"`{f.name}`"))) if unordered(f.dataType.simpleString()) else F.col(f"`{f.name}`") for f in df.schema.fields])
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay: of each class the one of the least doc_id (null ids last), and all without words.
 
-    Rows that repeat doc_id and text are one. Rows whose key misses the bit tables
-    of removed and of repeated ones stay without a shuffle; only the others are joined or deduplicated.
+    Rows with words that repeat doc_id and text are one: the first in the order of all their columns stays.
+    Rows whose key misses the bit tables of removed and of repeated ones stay without a shuffle; only the others are joined or grouped.
     """
     found = Table(similar_documents(docs, id_col, text_col), "similar")
     worded = found.df.where("n_links is not null")
     kept = worded.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("class_key").agg(F.min("tkey").alias("stay"))
     # A row is removed if another one of its class stays.
     gone = Table(worded.join(kept, "class_key").where("tkey != stay").select("tkey").distinct(), "removed")
-    repeated = Table(found.df.groupBy("tkey").count().where("count > 1").select("tkey"), "repeated")
+    repeated = Table(worded.groupBy("tkey").count().where("count > 1").select("tkey"), "repeated")
     found.drop()
-    key = free(docs.columns, "tkey")[0]
+    key, many = free(docs.columns, "tkey", "many")
     keyed = docs.withColumn(key, F.xxhash64(docs[id_col], docs[text_col]))
     hit = bits.has(bits.build(gone.df, "tkey").df.scalar(), F.col(key))
     stay = keyed.where(~hit).unionByName(keyed.where(hit).join(gone.df.withColumnRenamed("tkey", key), key, "left_anti").select(keyed.columns))
     if not repeated.df.isEmpty():
         hit = bits.has(bits.build(repeated.df, "tkey").df.scalar(), F.col(key))
-        stay = stay.where(~hit).unionByName(stay.where(hit).dropDuplicates([key]))
-    repeated.drop()
-    return stay.drop(key)
+        told = stay.where(hit).join(repeated.df.select(F.col("tkey").alias(key), F.lit(True).alias(many)), key, "left")
+        one = told.where(F.col(many)).groupBy(key).agg(F.min_by(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]), in_order(docs)).alias("row"))
+        one = one.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)])
+        return stay.where(~hit).select(docs.columns).unionByName(told.where(F.col(many).isNull()).select(docs.columns)).unionByName(one)
+    return stay.select(docs.columns)
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

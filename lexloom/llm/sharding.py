@@ -119,26 +119,36 @@ class ShardStore:
 
     def _write(self, df: DataFrame, level: int, split: bool = True) -> list[Shard]:
         """New files of ``df``, moved under data/ with names of their own."""
+        return self._write_parts(df, None, level, split).get(None, [])
+
+    def _write_parts(self, df: DataFrame, column: str | None, level: int, split: bool = True) -> dict:
+        """New files by the value of ``column``, in one job; the files don't hold that column."""
         folder = f"{self.path}/data/.{uuid.uuid4().hex}"
         writer = df.write.option("compression", "zstd")
         if self.shard_rows and split:
             writer = writer.option("maxRecordsPerFile", self.shard_rows)
-        writer.parquet(folder)
+        (writer if column is None else writer.partitionBy(column)).parquet(folder)
         fs, p = filesystem(self.spark, folder)
-        files = [f for f in fs.listStatus(p) if f.getPath().getName().endswith(".parquet")]
-        rows = {}
-        if files:
-            written = self.spark.read.schema(df.schema).parquet(folder)
-            name = written.metadataColumn("_metadata")["file_name"].alias("file")
+        parts = {None: folder} if column is None else {int(f.getPath().getName().partition("=")[2]): f.getPath().toString() for f in fs.listStatus(p) if "=" in f.getPath().getName()}
+        rows, schema = {}, df.drop(column).schema if column else df.schema
+        if any(f.getPath().getName().endswith(".parquet") for part in parts.values() for f in fs.listStatus(filesystem(self.spark, part)[1])):
+            written = self.spark.read.schema(schema).parquet(*parts.values())
+            # A task gives its files in different folders the same name.
+            name = F.substring_index(written.metadataColumn("_metadata")["file_path"], "/", -2).alias("file")
             rows = {r[0]: r[1] for r in written.select(name).groupBy("file").count().collect()}
-        out = []
+        out = {k: self._move(part, rows, level) for k, part in parts.items()}
+        fs.delete(p, True)
+        return out
+
+    def _move(self, folder: str, rows: dict, level: int) -> list[Shard]:
+        fs, p = filesystem(self.spark, folder)
+        files, out = [f for f in fs.listStatus(p) if f.getPath().getName().endswith(".parquet")], []
         for f in sorted(files, key=lambda f: f.getPath().getName()):
-            name = f.getPath().getName()
-            if rows.get(name, 0):
+            n = rows.get(f"{p.getName()}/{f.getPath().getName()}", 0)
+            if n:
                 new = f"{uuid.uuid4().hex}.parquet"
                 fs.rename(f.getPath(), filesystem(self.spark, f"{self.path}/data/{new}")[1])
-                out.append(Shard(new, int(f.getLen()), rows[name], level))
-        fs.delete(p, True)
+                out.append(Shard(new, int(f.getLen()), n, level))
         return out
 
     def _fits(self, manifest: dict, schema: T.StructType) -> None:
@@ -148,7 +158,21 @@ class ShardStore:
     def append(self, df: DataFrame, tries: int = 20) -> int:
         schema = nullable(df.schema)
         self._fits(self.manifest(), schema)
-        new = self._write(df, 0)
+        return self._add(self._write(df, 0), schema, tries)
+
+    def append_arrivals(self, df: DataFrame, column: str, arrived=None, tries: int = 20) -> int:
+        """Arrivals named by the integer ``column`` (not part of their rows): written by one job, then committed one by one in
+        their order; ``arrived`` is called after each. The last version."""
+        schema = nullable(df.drop(column).schema)
+        self._fits(self.manifest(), schema)
+        version = self.version()
+        for k, new in sorted(self._write_parts(df, column, 0).items()):
+            version = self._add(new, schema, tries)
+            if arrived:
+                arrived(k)
+        return version
+
+    def _add(self, new: list[Shard], schema: T.StructType, tries: int) -> int:
         try:
             for _ in range(tries):
                 m = self.manifest()
@@ -248,10 +272,10 @@ class ShardStore:
         return self.spark.read.schema(schema).parquet(*[f"{self.path}/data/{s['file']}" for s in m["shards"]])
 
     def located(self) -> DataFrame:
-        """The rows of the last version and, as the last column, where each lies: a struct (file, rows, bytes, level, version)
+        """The rows of the last version and, as the last column, where each lies: a struct (file, rows, bytes, level, version, tier)
         named ``_shard``, with more underscores if that name is taken."""
         m = self.manifest()
-        info = self.spark.createDataFrame([(s["file"], s["rows"], s["bytes"], s["level"], m["version"]) for s in m["shards"]], "file string, rows long, bytes long, level int, version long")
+        info = self.spark.createDataFrame([(s["file"], s["rows"], s["bytes"], s["level"], m["version"], self.tier(s["bytes"])) for s in m["shards"]], "file string, rows long, bytes long, level int, version long, tier int")
         rows = self.read(m["version"])
         place, key = free(rows.columns, "_shard", "_file")
         if not m["shards"]:
@@ -260,27 +284,34 @@ class ShardStore:
         return keyed.join(info.select(F.col("file").alias(key), F.struct("*").alias(place)), key).drop(key)
 
 
-def op10_sharding(spark: SparkSession, sf_dir: str, arrival_bytes: int = 64 << 20, shard_bytes: int = 8 << 20, target_bytes: int = 128 << 20) -> DataFrame:
-    """Appends the table's files as arrivals of about ``arrival_bytes`` in shards of about ``shard_bytes``, compacts after every
-    four arrivals, and tells where each document lies. (Beyond 64 arrivals these grow, their shards don't.)"""
+def deal(docs: DataFrame, arrivals: int, column: str) -> DataFrame:
+    """``docs`` with the number of an arrival: a task's rows go in runs to as many arrivals as it takes for the tasks to fill all
+    (one, where there are more tasks than arrivals)."""
+    rows, tasks = docs.count(), max(1, docs.rdd.getNumPartitions())
+    runs = -(-arrivals // tasks)
+    place = F.monotonically_increasing_id()
+    run = F.least(F.floor(place.bitwiseAND(F.lit((1 << 33) - 1)) / F.lit(max(1, -(-rows // (tasks * runs))))), F.lit(runs - 1))
+    return docs.withColumn(column, F.pmod(F.shiftright(place, 33) * runs + run, F.lit(arrivals)).cast("int"))
+
+
+def op10_sharding(spark: SparkSession, sf_dir: str, arrivals: int = 16, shard_bytes: int = 8 << 20, target_bytes: int = 128 << 20) -> DataFrame:
+    """Appends the table in ``arrivals`` portions, in shards of about ``shard_bytes`` at most, compacts after every
+    four of them, and tells where each document lies: the shard with its rows, bytes, level (merges behind it) and tier, and the version."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    sizes = []
-    for f in sorted(docs.inputFiles()):
+    total = 0
+    for f in docs.inputFiles():
         fs, path = filesystem(spark, f)
-        sizes.append((f, int(fs.getFileStatus(path).getLen())))
-    total, each = sum(n for _, n in sizes), 0
-    store = ShardStore(spark, new_path(spark, "shards"), target_bytes=target_bytes, small_bytes=1 << 20, fan=4, shard_rows=max(1, docs.count() * shard_bytes // max(1, total)))
-    arrivals = [[]]
-    for f, n in sizes:
-        if arrivals[-1] and each + n > max(arrival_bytes, total // 64):
-            arrivals.append([])
-            each = 0
-        arrivals[-1].append(f)
-        each += n
-    for k, files in enumerate(arrivals, 1):
-        store.append(spark.read.schema(docs.schema).parquet(*files) if files else docs)
-        if k % 4 == 0 or k == len(arrivals):
+        total += int(fs.getFileStatus(path).getLen())
+    store = ShardStore(spark, new_path(spark, "shards"), target_bytes=target_bytes, small_bytes=32 << 10, fan=4, shard_rows=max(1, docs.count() * shard_bytes // max(1, total)))
+    column = free(docs.columns, "arrival")[0]
+
+    def arrived(k: int) -> None:
+        if k % 4 == 3 or k == arrivals - 1:
             store.compact()
-            store.vacuum(keep_seconds=0)  # nobody else reads this store
+            store.vacuum(keep_seconds=0, orphan_seconds=86_400)  # nobody else reads this store
+
+    store.append_arrivals(deal(docs, arrivals, column), column, arrived)
+    if not store.version():
+        store.append(docs)
     at = store.located()
-    return at.select("doc_id", *[F.col(f"{at.columns[-1]}.{a}").alias(b) for a, b in (("file", "shard"), ("rows", "shard_rows"), ("bytes", "shard_bytes"), ("level", "level"), ("version", "version"))])
+    return at.select("doc_id", *[F.col(f"{at.columns[-1]}.{a}").alias(b) for a, b in (("file", "shard"), ("rows", "shard_rows"), ("bytes", "shard_bytes"), ("level", "level"), ("version", "version"), ("tier", "tier"))])

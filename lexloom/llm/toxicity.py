@@ -16,7 +16,8 @@
    text's statistic, the sum of -ln E over its significant segments, is turned
    into a probability by a logistic fit on the sample.
 
-Learning uses a bounded sample of labelled rows (``sample_rows``); scoring reads
+Learning uses a bounded sample of labelled rows (``sample_rows`` at most, and no more
+of a class once its texts have half of ``sample_chars`` characters); rows that repeat id and text count once there. Scoring reads
 every whole text. Tokens are runs of ASCII letters and digits, folded to lower
 case, and of all other non-ASCII characters.
 
@@ -46,6 +47,7 @@ from .scratch import Table
 @dataclass(frozen=True)
 class ToxicityRules:
     sample_rows: int = 24_000
+    sample_chars: int = 1 << 28
     max_terms: int = 1 << 20
     prior: float = 0.05
     false_terms: float = 0.5
@@ -135,12 +137,16 @@ def statistic(texts: int, found, significant: float) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, rules: ToxicityRules = ToxicityRules()) -> ToxicityModel:
     """``docs``: doc_id, text; ``labels``: doc_id, toxic; both only of rows to learn from."""
     labels = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    chosen, weight = class_sample(labels, "toxic", "doc_id", rules.sample_rows)
+    chosen, marked = class_sample(labels, "toxic", ["doc_id"], rules.sample_rows)
     empty = ToxicityModel(np.zeros(0, K.U64), np.zeros(0), 0.0, 1.0, 1.0, -30.0, 0.0, rules.significant)
-    if set(weight) != {0, 1}:
-        return ToxicityModel(**vars(empty) | {"a": 30.0 if 1 in weight else -30.0})
-    # The sample's size is bounded by sample_rows, so broadcasting it is safe at any scale.
-    table = Table(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic"), "toxicity")
+    if set(marked) != {0, 1}:
+        return ToxicityModel(**vars(empty) | {"a": 30.0 if 1 in marked else -30.0})
+    # The sample's size is bounded by sample_rows, so broadcasting it is safe at any scale. Many documents may share an id:
+    # those that have a sampled label are sampled again, by id and text.
+    named = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    chosen, texts = class_sample(named, "toxic", ["doc_id", "text"], rules.sample_rows, "text", rules.sample_chars)
+    table = Table(chosen.select("text", "toxic"), "toxicity")
+    weight = {k: n / kept * (texts[k][0] / texts[k][1] if k in texts else 1.0) for k, (n, kept) in marked.items()}
 
     def tokens(batches):
         for batch in batches:
@@ -162,7 +168,7 @@ def fit(docs: DataFrame, labels: DataFrame, rules: ToxicityRules = ToxicityRules
     z_min = NormalDist().inv_cdf(1 - min(0.4, rules.false_terms / max(tested, 1)))
     if not nt or not nc:
         table.drop()
-        return ToxicityModel(**vars(empty) | {"a": math.log(weight[1] / weight[0])})
+        return ToxicityModel(**vars(empty) | {"a": math.log(marked[1][0] / marked[0][0])})
     prior = F.lit(rules.prior) * (F.col("t") + F.col("c"))
     t, c = F.col("t") + prior, F.col("c") + prior
     nt_, nc_ = nt + rules.prior * (nt + nc), nc + rules.prior * (nt + nc)
@@ -186,23 +192,32 @@ def fit(docs: DataFrame, labels: DataFrame, rules: ToxicityRules = ToxicityRules
     m = ToxicityModel(h[order], score, other, _lambda(p_clean, score, other), 1.0, 0.0, 0.0, rules.significant)
 
     def segments(batches):
+        """Words and maximal segments of the clean texts."""
+        n = e = 0
         for batch in batches:
+            clean = batch.column(1).to_numpy() == 0
             for lo, hi, off, data in K.pieces(batch.column(0)):
                 w, found = scan(off, data, m)
-                es = [[] for _ in range(hi - lo)]
-                for x in found:
-                    es[x[0]].append(x[4])
-                yield pa.RecordBatch.from_arrays([batch.column(1).slice(lo, hi - lo), pa.array(w.count, pa.int64()), pa.array(es, pa.list_(pa.float64()))], ["y", "n", "e"])
+                n += int(w.count[clean[lo:hi]].sum())
+                e += sum(1 for x in found if clean[lo + x[0]])
+        yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([e])], ["n", "e"])
 
-    seen = table.df.mapInArrow(segments, "y int, n long, e array<double>").collect()
-    table.drop()
-    clean = [r for r in seen if not r.y]
     low = math.exp(-m.lam * float(score.min())) if len(score) else 1.0
-    expected = sum(r.n for r in clean) * low
-    m.k = (sum(len(r.e) for r in clean) + 0.5) / max(expected, 1e-9)
-    x = np.array([sum(-math.log(max(m.k * e, 1e-300)) for e in r.e if m.k * e < rules.significant) for r in seen])
-    y = np.array([r.y for r in seen], float)
-    wt = np.array([weight[r.y] for r in seen])
+    n, e = (int(x or 0) for x in table.df.select("text", "toxic").mapInArrow(segments, "n long, e long").agg(F.sum("n"), F.sum("e")).first())
+    m.k = (e + 0.5) / max(n * low, 1e-9)
+
+    def statistics(batches):
+        for batch in batches:
+            for lo, hi, off, data in K.pieces(batch.column(0)):
+                yield pa.RecordBatch.from_arrays([batch.column(1).slice(lo, hi - lo), pa.array(statistic(hi - lo, scan(off, data, m)[1], rules.significant))], ["y", "x"])
+
+    # A label and a number for each text of the sample.
+    seen = table.df.mapInArrow(statistics, "y int, x double").toArrow()
+    table.drop()
+    x, y = seen.column("x").to_numpy(), seen.column("y").to_numpy().astype(float)
+    order = np.lexsort((x, y))  # the order of arrival is not fixed
+    x, y = x[order], y[order]
+    wt = np.where(y == 1, weight[1], weight[0])
     m.a, m.b = _logistic(x, y, wt)
     return m
 
