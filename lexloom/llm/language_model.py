@@ -11,10 +11,11 @@
    until none moves (or, if given, ``sweeps`` are done).
 3. Then every other of the ``known`` most frequent words by itself: its counts of
    classes to the left and to the right over all training texts (classes of step 2)
-   stay in a table, blocks of words to a row. A sweep is one job over it: each
-   block moves its words against the class tables of the sweep before, and the new
-   tables are the sum of what all blocks moved. Sweeps go on until none moves, or the
-   likelihood rises by less than ``rise`` of what the first one gained.
+   stay in a table, blocks of words to a row. A sweep is one job over it: every second
+   word (then the others) moves against the class tables of the sweep before, and the new
+   tables are the sum of what moved, so the result is the same whatever the partitions. A sweep that would lower the
+   likelihood is not taken, and fewer words move at once from then on. Sweeps go on until a turn of all words
+   raises the likelihood by no more than ``rise`` of what the first one gained.
    Words rarer than those, seen or not, share the class of their ending.
 4. Class transitions, counted over all training texts with the final classes, and
    word emissions, both with add-k smoothing; an emission
@@ -61,6 +62,8 @@ class ClassRules:
 
 #: Words of a block of the table of contexts.
 BLOCK_WORDS = 256
+#: Sweeps end when even one of so many parts of the words can't move together without a loss.
+MOST_PARTS = 64
 
 
 def sequence(off, data, shapes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -277,47 +280,56 @@ def moved(x: np.ndarray, old: np.ndarray, new: np.ndarray, left: np.ndarray, rig
 
 
 def exchange_words(contexts: DataFrame, start: np.ndarray, big: np.ndarray, rules: ClassRules) -> np.ndarray:
-    """A class for each word, from ``start`` on; ``big``: class bigrams under ``start``."""
+    """A class for each word, from ``start`` on; ``big``: class bigrams under ``start``.
+
+    A sweep moves one of ``parts`` interleaved parts of the words, each word against the tables as the sweep found them, so its result
+    is the same however words lie in tasks. A sweep that would lower the likelihood is not taken; parts are then halved.
+    """
     spark, k = contexts.sparkSession, rules.classes
     best, left, right = start, big.astype(float), big.astype(float)
-    at, first = likelihood(left, right), None
-    for _ in count() if rules.sweeps is None else range(rules.sweeps):
-        told = spark.sparkContext.broadcast((start, best, left, right))
+    at, first, parts, done, gained = likelihood(left, right), None, 2, 0, 0.0
+    limit = np.inf if rules.sweeps is None else rules.sweeps
+    for sweep_no in count():
+        if sweep_no >= limit or parts > MOST_PARTS:
+            break
+        told = spark.sparkContext.broadcast((best, left, right))
 
-        def sweep(batches, told=told):
-            start, c, left, right = told.value
-            left, right = left.copy(), right.copy()
+        def sweep(batches, told=told, parts=parts, part=done):
+            c, left, right = told.value
             dl, dr = np.zeros((k, k)), np.zeros((k, k))
             for batch in batches:
                 for block, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
-                    x = np.frombuffer(raw.as_buffer(), "<i8").reshape(BLOCK_WORDS, 2, k)
                     lo = block * BLOCK_WORDS
-                    old = c[lo : lo + BLOCK_WORDS]
-                    x = x[: len(old)]
+                    at = np.arange(lo + (part - lo) % parts, min(lo + BLOCK_WORDS, len(c)), parts)
+                    x = np.frombuffer(raw.as_buffer(), "<i8").reshape(BLOCK_WORDS, 2, k)[at - lo]
+                    old = c[at]
                     new = np.where(x.any((1, 2)), move(x, old, left, right), old)
-                    moved(x, old, new, left, right)
-                    moved(x, start[lo : lo + BLOCK_WORDS], new, dl, dr)
-                    yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([new.astype("<i4").tobytes()]), pa.array([None], pa.binary())], ["block", "c", "d"])
-            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([dl.tobytes()]), pa.array([dr.tobytes()])], ["block", "c", "d"])
-
-        # 4 bytes a known word and two tables a task come back.
-        got = contexts.mapInArrow(sweep, "block int, c binary, d binary").toArrow().to_pylist()
-        new, l, r = best.copy(), big.astype(float), big.astype(float)
-        for x in got:
-            if x["block"] < 0:
-                l += np.frombuffer(x["c"]).reshape(k, k)
-                r += np.frombuffer(x["d"]).reshape(k, k)
+                    moved(x, old, new, dl, dr)
+                    to = np.flatnonzero(new != old)
+                    if len(to):
+                        yield pa.RecordBatch.from_arrays([pa.array([at[to].astype("<i4").tobytes()]), pa.array([new[to].astype("<i4").tobytes()]), pa.array([False])], ["a", "b", "tables"])
+            yield pa.RecordBatch.from_arrays([pa.array([dl.tobytes()]), pa.array([dr.tobytes()]), pa.array([True])], ["a", "b", "tables"])
+
+        # 8 bytes a word that moves and two tables a task come back. Counts are whole numbers, so their sums don't depend on the order.
+        new, l, r = best.copy(), left.copy(), right.copy()
+        for x in contexts.mapInArrow(sweep, "a binary, b binary, tables boolean").toArrow().to_pylist():
+            if x["tables"]:
+                l += np.frombuffer(x["a"]).reshape(k, k)
+                r += np.frombuffer(x["b"]).reshape(k, k)
             else:
-                lo = x["block"] * BLOCK_WORDS
-                new[lo : lo + BLOCK_WORDS] = np.frombuffer(x["c"], "<i4")[: len(new) - lo]
+                new[np.frombuffer(x["a"], "<i4")] = np.frombuffer(x["b"], "<i4")
         told.unpersist()
         gain = likelihood(l, r) - at
-        if gain <= 0 or (new == best).all():
-            break
+        if gain < 0:
+            parts, done, gained = parts * 2, 0, 0.0
+            continue
         best, left, right, at = new, l, r, at + gain
-        first = first or gain
-        if gain < rules.rise * first:
-            break
+        done, gained = done + 1, gained + gain
+        if done == parts:  # every word had its turn
+            first = first or gained
+            if gained <= rules.rise * first:
+                break
+            done, gained = 0, 0.0
     return best
 
 

@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import bits, neardup
 from . import kernel as K
@@ -231,8 +232,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return Removed(out, signed.df.where("id is null").select("doc_id", "tkey", F.col("line").cast("long").alias("n_lines")))
 
 
-@F.arrow_udf("string")
-def without_lines(text: pa.Array, cut: pa.Array) -> pa.Array:
+def cut_out(text: pa.Array, cut: pa.Array) -> pa.Array:
     """Texts without the lines whose numbers (from 0) are given; a text without a list as it is."""
     out = text.cast(pa.binary()).to_pylist()
     for i in np.flatnonzero(cut.is_valid().to_numpy(zero_copy_only=False)).tolist():
@@ -244,6 +244,9 @@ def without_lines(text: pa.Array, cut: pa.Array) -> pa.Array:
     return pa.array(out, pa.binary()).view(pa.string())
 
 
+without_lines = F.arrow_udf(cut_out, T.StringType())
+
+
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None, drop_emptied: bool = False, **options) -> DataFrame:
     """``docs`` with the removed lines cut out of the text; all other columns as they are, but ``length_col`` of a changed text.
 
