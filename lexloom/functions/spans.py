@@ -13,6 +13,36 @@ from pyspark.sql import functions as F
 from .patterns import Pattern
 
 SPAN = "struct<start:int,end:int,text:string>"
+#: Matches that are summed up at a time.
+RUN = 64
+#: Code points in a piece of a text that is cut once, so that a short part of it needn't be looked for from its beginning.
+PIECE = 1024
+
+
+def written(function: str, *args: Column | str) -> Column:
+    """A call of a SQL function; a string is a SQL lambda over the function's own variables.
+
+    A lambda that needs no other Column is written as text where it is used often: building an
+    expression node by node from Python takes longer than most texts take to parse.
+    """
+    return F.call_function(function, *[F.expr(x) if isinstance(x, str) else x for x in args])
+
+
+def bound(body: str, **values: Column) -> Column:
+    """``body`` (SQL) over ``x``, a struct of the values, each worked out once."""
+    one = F.call_function("named_struct", *[c for k, v in values.items() for c in (F.lit(k), v)])
+    return F.element_at(written("transform", F.array(one), f"x -> {body}"), 1)
+
+
+_STEP = "(g, m) -> named_struct('gap', length(g), 'len', length(m), 'text', m)"
+#: Appending copies an array, so matches are summed up in runs, and the runs among themselves.
+_PLACED = f"""steps -> aggregate(
+  transform(sequence(0, cast(floor((size(steps) - 1) / {RUN}) as int)), k -> aggregate(slice(steps, k * {RUN} + 1, {RUN}),
+    named_struct('at', 0, 'out', cast(array() as array<{SPAN}>)),
+    (acc, x) -> named_struct('at', acc.at + x.gap + x.len, 'out', concat(acc.out, array(named_struct('start', acc.at + x.gap, 'end', acc.at + x.gap + x.len, 'text', x.text)))))),
+  named_struct('at', 0, 'out', cast(array() as array<array<{SPAN}>>)),
+  (acc, r) -> named_struct('at', acc.at + r.at, 'out', concat(acc.out, array(transform(r.out, x -> named_struct('start', x.start + acc.at, 'end', x.end + acc.at, 'text', x.text))))),
+  acc -> flatten(acc.out))"""
 
 
 def spans(text: Column, p: Pattern | Column) -> Column:
@@ -20,19 +50,11 @@ def spans(text: Column, p: Pattern | Column) -> Column:
     regex = F.lit(p.regex) if isinstance(p, Pattern) else p
     found = F.regexp_extract_all(text, regex, F.lit(0))
     gaps = F.call_function("split", text, regex, F.lit(-1))
-    step = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.struct(F.length(g).alias("gap"), F.length(m).alias("len"), m.alias("text")))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
-
-    def add(acc, x):
-        start = acc["at"] + x["gap"]
-        end = start + x["len"]
-        one = F.struct(start.alias("start"), end.alias("end"), x["text"].alias("text"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
-
+    step = written("zip_with", F.slice(gaps, 1, F.size(found)), found, _STEP)
     there = F.rlike(text, regex)
     if isinstance(p, Pattern) and p.needs:
         there = F.contains(F.lower(text), F.lit(p.needs)) & there
-    return F.when(text.isNull() | ~there, F.array().cast(f"array<{SPAN}>")).otherwise(F.aggregate(step, zero, add, lambda a: a["out"]))
+    return F.when(text.isNull() | ~there, F.array().cast(f"array<{SPAN}>")).otherwise(F.element_at(written("transform", F.array(step), _PLACED), 1))
 
 
 def let(value: Column, body) -> Column:
@@ -64,7 +86,7 @@ def parts(text: Column, p: Pattern) -> Column:
     if not p.parts:
         return F.create_map().cast("map<string,string>")
     all_ = F.create_map(*[x for n in p.parts for x in (F.lit(n), part(text, p, n))])
-    return F.map_filter(all_, lambda _, v: v != "")
+    return written("map_filter", all_, "(k, v) -> v != ''")
 
 
 def strip(x: Column) -> Column:
@@ -86,6 +108,40 @@ def after(text: Column, at: Column, n: int) -> Column:
     return between(text, at, at + n)
 
 
+def pieces(text: Column) -> Column:
+    """The text in pieces of PIECE code points, for ``within``."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+
+
+_FIRST = f"cast(floor(greatest(x.a, 0) / {PIECE}) as int)"
+_WITHIN = f"substring(array_join(slice(x.cut, {_FIRST} + 1, greatest(cast(floor((x.b - 1) / {PIECE}) as int) - {_FIRST} + 1, 0)), ''), greatest(x.a, 0) - {_FIRST} * {PIECE} + 1, greatest(x.b - greatest(x.a, 0), 0))"
+
+
+def within(cut: Column, start: Column, end: Column) -> Column:
+    """``between`` on a text in pieces: the work is that of the pieces it lies in, wherever they are."""
+    return bound(_WITHIN, cut=cut, a=start, b=end)
+
+
+#: A binary search in x.held, of fewer than 2^25 elements.
+_BELOW = "aggregate(array(" + ", ".join(str(1 << k) for k in range(24, -1, -1)) + "), 0, (n, step) -> if(coalesce(try_element_at(x.held, n + step){field} < x.at, false), n + step, n))"
+
+
+def below(ordered: Column, at: Column, field: str | None = None) -> Column:
+    """How many elements of a sorted array (of fewer than 2^25) lie below a value: a binary search."""
+    return bound(_BELOW.format(field=f".{field}" if field else ""), held=ordered, at=at)
+
+
+def in_order(items: Column) -> Column:
+    """Start and end of disjoint spans, sorted, behind one that lies before all, for ``hit``."""
+    first = F.expr("array(named_struct('start', -1, 'end', -1))")
+    return F.array_sort(F.concat(first, written("transform", items, "x -> named_struct('start', x.start, 'end', x.end)")))
+
+
+def hit(ordered: Column, start: Column, end: Column) -> Column:
+    """Does [start, end) overlap one of the spans? Of those that begin before its end, the last one ends last."""
+    return bound(f"element_at(x.held, {_BELOW.format(field='.start')}).end > x.a", held=ordered, a=start, at=end)
+
+
 def overlaps(a: Column, b: Column) -> Column:
     return (a["start"] < b["end"]) & (b["start"] < a["end"])
 
@@ -106,14 +162,26 @@ def merge_touching(items: Column) -> Column:
 
 def apply_edits(text: Column, edits: Column) -> Column:
     """struct<text, applied>: edits (start, end, suggestion, ...) from right to left; one that reaches into an edit already made is skipped."""
-    ordered = F.reverse(F.array_sort(edits))
     kind = "array<struct<start:int,end:int,suggestion:string>>"
-    zero = F.struct(text.alias("text"), (F.length(text) + 1).alias("bound"), F.array().cast(kind).alias("applied"))
 
-    def add(acc, e):
-        new = F.concat(F.substring(acc["text"], F.lit(1), e["start"]), e["suggestion"], F.substring(acc["text"], e["end"] + 1, F.length(acc["text"])))
-        one = F.struct(e["start"].alias("start"), e["end"].alias("end"), e["suggestion"].alias("suggestion"))
-        done = F.struct(new.alias("text"), e["start"].alias("bound"), F.concat(F.array(one), acc["applied"]).alias("applied"))
-        return F.when(e["end"] <= acc["bound"], done).otherwise(acc)
+    def chosen(ordered):
+        zero = F.struct(F.lit(2147483647).alias("bound"), F.array().cast(kind).alias("applied"))
+
+        def add(acc, e):
+            one = F.struct(e["start"].alias("start"), e["end"].alias("end"), e["suggestion"].alias("suggestion"))
+            return F.when(e["end"] <= acc["bound"], F.struct(e["start"].alias("bound"), F.concat(F.array(one), acc["applied"]).alias("applied"))).otherwise(acc)
+
+        # Mostly no edit reaches into the next one, and then all are made.
+        apart = ~F.exists(F.transform(ordered, lambda e, i: e["end"] > F.coalesce(F.try_element_at(ordered, i + 2)["start"], F.lit(2147483647))), lambda x: x)
+        plain = F.transform(ordered, lambda e: F.struct(e["start"].alias("start"), e["end"].alias("end"), e["suggestion"].alias("suggestion"))).cast(kind)
+        return F.when(apart, plain).otherwise(F.aggregate(F.reverse(ordered), zero, add, lambda a: a["applied"]))
+
+    def made(x):
+        def new(e, i):
+            return F.concat(within(x["cut"], F.when(i > 0, F.try_element_at(x["applied"], F.greatest(i, F.lit(1)))["end"]).otherwise(F.lit(0)), e["start"]), e["suggestion"])
+
+        last = F.coalesce(F.try_element_at(x["applied"], F.lit(-1))["end"], F.lit(0))
+        whole = F.concat(F.array_join(F.transform(x["applied"], new), ""), within(x["cut"], last, F.length(text)))
+        return F.struct(F.when(F.size(x["applied"]) > 0, whole).otherwise(text).alias("text"), x["applied"].alias("applied"))
 
-    return F.aggregate(ordered, zero, add, lambda a: F.struct(a["text"].alias("text"), a["applied"].alias("applied")))
+    return let(F.struct(pieces(text).alias("cut"), let(F.array_sort(edits), chosen).alias("applied")), made)

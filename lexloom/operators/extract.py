@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import tables
-from ..functions.spans import after, before, parts, rows_of, spans
+from ..functions.spans import below, hit, in_order, let, parts, pieces, rows_of, spans, within
 
 CITATION = "struct<start:int,end:int,text:string,source_type:string,components:map<string,string>>"
 
@@ -25,13 +25,13 @@ def neutralize(text: Column) -> Column:
     return F.translate(text, P.INVISIBLE, " " * len(P.INVISIBLE))
 
 
-def id_gate(text: Column, start: Column, end: Column, prior: Column) -> Column:
-    """Does an id token stand where a citation can: with a pincite, after a signal, or at a sentence's start with a period or a prior citation."""
-    lead = before(text, start, 60)
-    pincite = F.rlike(after(text, end, 40), F.lit(P.ID_PINCITE_AFTER))
+def id_gate(cut: Column, start: Column, end: Column, prior: Column) -> Column:
+    """Does an id token stand where a citation can: with a pincite, after a signal, or at a sentence's start with a period or a prior citation. ``cut``: the text in pieces."""
+    lead = within(cut, start - 60, start)
+    pincite = F.rlike(within(cut, end, end + 40), F.lit(P.ID_PINCITE_AFTER))
     signal = F.rlike(lead, F.lit(P.SIGNAL_BEFORE_ID))
     boundary = (F.regexp_replace(lead, r"(?U)\s", "") == "") | F.rlike(lead, F.lit(P.SENTENCE_END_BEFORE))
-    period = F.substring(text, end, F.lit(1)) == "."
+    period = within(cut, end - 1, end) == "."
     return pincite | signal | (boundary & (period | prior))
 
 
@@ -40,51 +40,57 @@ def trim_hereinafter(text: Column) -> Column:
     return F.regexp_replace(text, P.TRAILING_HEREINAFTER, "")
 
 
-def _more(text: Column, s: Column, p: P.Pattern) -> Column:
+def _more(cut: Column, s: Column, p: P.Pattern) -> Column:
     """Parts that stand beside a match: pincite and year of an article, the name that a supra guesses at."""
     keep = lambda m: F.map_filter(m, lambda _, v: v != "")
     if p is P.JOURNAL:
-        tail = after(text, s["end"], 40)
+        tail = within(cut, s["end"], s["end"] + 40)
         return keep(F.create_map(F.lit("pincite"), F.regexp_extract(tail, P.JOURNAL_AFTER, 1), F.lit("year"), F.regexp_extract(tail, P.JOURNAL_AFTER, 2)))
     if p is P.SHORT_FORM:
-        return keep(F.create_map(F.lit("antecedent_guess"), F.when(F.lower(s["text"]) == "supra", F.regexp_extract(before(text, s["start"], 40), P.NAME_BEFORE, 1)).otherwise("")))
+        return keep(F.create_map(F.lit("antecedent_guess"), F.when(F.lower(s["text"]) == "supra", F.regexp_extract(within(cut, s["start"] - 40, s["start"]), P.NAME_BEFORE, 1)).otherwise("")))
     return F.create_map().cast("map<string,string>")
 
 
-def candidates(text: Column, source_type: str, p: P.Pattern) -> Column:
-    def one(s):
-        raw = F.rtrim(s["text"], F.lit(".,;:")) if source_type == "internet" else s["text"]
-        end = s["start"] + F.length(raw) if source_type == "internet" else s["end"]
-        named = parts(s["text"], p)
-        if p in (P.JOURNAL, P.SHORT_FORM):
-            named = F.map_concat(named, _more(text, s, p))
-        return F.struct(s["start"].alias("start"), end.alias("end"), raw.alias("text"), F.lit(source_type).alias("source_type"), named.alias("components"), s["end"].alias("reach"))
+def candidates(text: Column, source_type: str, p: P.Pattern, cut: Column | None = None) -> Column:
+    """The matches of a pattern as citations, with where the match itself ends (``reach``). ``cut``: the text in pieces, if at hand."""
 
-    return F.transform(spans(text, p), one)
+    def all_(cut):
+        def one(s):
+            raw = F.rtrim(s["text"], F.lit(".,;:")) if source_type == "internet" else s["text"]
+            end = s["start"] + F.length(raw) if source_type == "internet" else s["end"]
+            named = parts(s["text"], p)
+            if p in (P.JOURNAL, P.SHORT_FORM):
+                named = F.map_concat(named, _more(cut, s, p))
+            return F.struct(s["start"].alias("start"), end.alias("end"), raw.alias("text"), F.lit(source_type).alias("source_type"), named.alias("components"), s["end"].alias("reach"))
 
+        return F.transform(spans(text, p), one)
 
-def _fits(acc: Column, gated: bool):
-    """The test of a candidate against the citations accepted so far."""
-
-    def test(c):
-        free = ~F.exists(acc, lambda a: (a["start"] < c["reach"]) & (c["start"] < a["end"]))
-        if not gated:
-            return free
-        prior = F.exists(acc, lambda a: a["source_type"].isin(*P.SUBSTANTIVE) & (a["end"] >= c["start"] - P.ID_WINDOW) & (a["end"] <= c["start"]))
-        return free & id_gate(F.col("__t"), c["start"], c["end"], prior)
-
-    return test
+    return let(pieces(text) if cut is None else cut, all_) if p in (P.JOURNAL, P.SHORT_FORM) else all_(None)
 
 
 def with_citations(docs: DataFrame, text_col: str = "text", out: str = "citations") -> DataFrame:
-    """``docs`` with an array of CITATION, ordered by (start, end)."""
-    df = docs.withColumn("__t", neutralize(F.coalesce(F.col(text_col), F.lit("")))).withColumn("__acc", F.array().cast(f"array<{CITATION}>"))
+    """``docs`` with an array of CITATION, ordered by (start, end).
+
+    Accepted citations don't overlap, so a candidate is held against them, sorted, by a binary search.
+    """
+    df = docs.withColumn("__t", neutralize(F.coalesce(F.col(text_col), F.lit("")))).withColumns({"__cut": pieces(F.col("__t")), "__acc": F.array().cast(f"array<{CITATION}>")})
+    plain = lambda c: F.struct(*[c[n].alias(n) for n in ("start", "end", "text", "source_type", "components")])
     for kind, p in SPECS:
-        df = df.withColumn("__new", candidates(F.col("__t"), kind, p))
-        kept = F.transform(F.filter(F.col("__new"), _fits(F.col("__acc"), p is P.ID)), lambda c: F.struct(*[c[n].alias(n) for n in ("start", "end", "text", "source_type", "components")]))
+        ends = F.filter("__acc", lambda a: a["source_type"].isin(*P.SUBSTANTIVE)) if p is P.ID else F.array().cast(f"array<{CITATION}>")
+        held = F.struct(in_order(F.col("__acc")).alias("spans"), F.array_sort(F.concat(F.array(F.lit(-(1 << 30))), F.transform(ends, lambda a: a["end"]))).alias("ends"), F.col("__cut").alias("cut"))
+        df = df.withColumns({"__new": candidates(F.col("__t"), kind, p, F.col("__cut")), "__held": held})
+
+        def fits(x, c, gated=p is P.ID):
+            free = ~hit(x["spans"], c["start"], c["reach"])
+            if not gated:
+                return free
+            prior = F.element_at(x["ends"], below(x["ends"], c["start"] + 1)) >= c["start"] - P.ID_WINDOW
+            return free & id_gate(x["cut"], c["start"], c["end"], prior)
+
+        kept = let(F.col("__held"), lambda x: F.transform(F.filter("__new", lambda c: fits(x, c)), plain))
         df = df.withColumn("__acc", F.concat(F.col("__acc"), kept))
     order = F.array_sort(F.col("__acc"), lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(a["end"] - b["end"]))
-    return df.withColumn(out, order).drop("__t", "__acc", "__new")
+    return df.withColumn(out, order).drop("__t", "__acc", "__new", "__held", "__cut")
 
 
 def matches(docs: DataFrame, p: P.Pattern, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:

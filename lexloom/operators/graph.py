@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
-from ..functions.spans import after, before, between, let, parts, rows_of, spans
+from ..functions.spans import below, hit, in_order, let, parts, pieces, rows_of, spans, within
 from ..functions.tables import squeezed
 from ..sources.blocks import with_blocks
 from .extract import neutralize, with_citations
@@ -29,10 +29,6 @@ def _occ(s: Column, source_type: str, form: str, components: Column) -> Column:
     return F.struct(s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("text"), F.lit(source_type).alias("source_type"), F.lit(form).alias("form"), components.alias("components")).cast(OCC)
 
 
-def _free(acc: Column):
-    return lambda c: ~F.exists(acc, lambda a: (a["start"] < c["end"]) & (c["start"] < a["end"]))
-
-
 def with_occurrences(docs: DataFrame, text_col: str = "text", surroundings: bool = True) -> DataFrame:
     """``docs`` with ``occurrences``: full citations and short forms with facts about their surroundings, in logical order.
 
@@ -43,14 +39,16 @@ def with_occurrences(docs: DataFrame, text_col: str = "text", surroundings: bool
     t = F.col("__t")
     full = F.transform(F.filter("citations", lambda c: c["source_type"] != "short_form"), lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["text"].alias("text"), c["source_type"].alias("source_type"), F.lit("full").alias("form"), c["components"].alias("components")).cast(OCC))
     df = df.withColumn("__acc", full)
+    free = lambda new, held: let(held, lambda x: F.filter(new, lambda c: ~hit(x, c["start"], c["end"])))
     for p, kind, form in ((P.SUPRA_NOTE, "short_form", "supra_note"), (P.SHORT_CASE, "case", "short_case"), (P.ID_FORM, "short_form", "id"), (P.SUPRA, "short_form", "supra")):
         build = (lambda p, kind, form: lambda s: _occ(s, kind, form, parts(s["text"], p)))(p, kind, form)
-        df = df.withColumn("__new", F.transform(spans(t, p), build))
-        df = df.withColumn("__acc", F.concat("__acc", F.filter("__new", _free(F.col("__acc")))))
+        df = df.withColumns({"__new": F.transform(spans(t, p), build), "__held": in_order(F.col("__acc"))})
+        df = df.withColumn("__acc", F.concat("__acc", free(F.col("__new"), F.col("__held"))))
     # Section symbols short for a statute cited in full somewhere in the text; these don't occupy their place.
     sections = F.transform(F.filter("__acc", lambda a: a["source_type"].isin("statute", "regulation") & (a["form"] == "full")), lambda a: norm(a["components"]["section"]))
-    df = df.withColumn("__sections", sections).withColumn("__new", F.transform(spans(t, P.STATUTORY_SHORT), lambda s: _occ(s, "statute", "statutory_short", parts(s["text"], P.STATUTORY_SHORT))))
-    short = let(F.col("__sections"), lambda known: F.filter(F.filter("__new", _free(F.col("__acc"))), lambda c: F.array_contains(known, norm(c["components"]["section"]))))
+    df = df.withColumns({"__sections": F.array_sort(F.array_distinct(sections)), "__held": in_order(F.col("__acc")), "__new": F.transform(spans(t, P.STATUTORY_SHORT), lambda s: _occ(s, "statute", "statutory_short", parts(s["text"], P.STATUTORY_SHORT)))})
+    is_known = lambda known, x: F.coalesce(F.try_element_at(known, below(known, x) + 1) == x, F.lit(False))
+    short = let(F.col("__sections"), lambda known: F.filter(free(F.col("__new"), F.col("__held")), lambda c: is_known(known, norm(c["components"]["section"]))))
     df = df.withColumn("__short", short)
     # Aliases, from their definition on.
     df = df.withColumn("definitions", F.transform(spans(t, P.HEREINAFTER), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.regexp_extract(s["text"], P.HEREINAFTER.regex, 1).alias("alias"))))
@@ -59,10 +57,10 @@ def with_occurrences(docs: DataFrame, text_col: str = "text", surroundings: bool
         found = spans(t, F.concat(F.lit(r"(?U)\b\Q"), d["alias"], F.lit(r"\E\b")))
         return F.transform(F.filter(found, lambda s: s["start"] >= d["end"]), lambda s: _occ(s, "short_form", "hereinafter", F.create_map(F.lit("alias"), d["alias"])))
 
-    df = df.withColumn("__new", F.when(F.size("definitions") > 0, F.flatten(F.transform("definitions", uses))).otherwise(F.array().cast(f"array<{OCC}>")))
+    # What one alias has taken is not free for the next one's uses.
     empty = F.array().cast(f"array<{OCC}>")
-    alias = F.aggregate(F.filter("__new", _free(F.col("__acc"))), empty, lambda acc, c: F.when(F.exists(acc, lambda a: (a["start"] < c["end"]) & (c["start"] < a["end"])), acc).otherwise(F.concat(acc, F.array(c))))
-    df = df.withColumn("__acc", F.concat("__acc", "__short", alias))
+    alias = F.aggregate("definitions", F.struct(F.col("__held").alias("held"), empty.alias("out")), lambda acc, d: let(free(uses(d), acc["held"]), lambda new: F.struct(F.array_sort(F.concat(acc["held"], F.transform(new, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"))))).alias("held"), F.concat(acc["out"], new).alias("out"))), lambda acc: acc["out"])
+    df = df.withColumn("__acc", F.concat("__acc", "__short", F.when(F.size("definitions") > 0, alias).otherwise(empty)))
     breaks, semis = F.array().cast("array<struct<start:int,end:int>>"), F.array().cast("array<int>")
     if surroundings:
         breaks = F.transform(spans(t, P.Pattern(P.GAP_SENTENCE_BREAK)), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
@@ -70,18 +68,24 @@ def with_occurrences(docs: DataFrame, text_col: str = "text", surroundings: bool
     df = df.withColumn("__breaks", breaks).withColumn("__semis", semis)
 
     # What a lambda's body names twice is worked out twice, so blocks, markers and moves are bound once each.
-    def place(o):
+    # Blocks lie apart and in order: only the last one that begins before an occurrence can hold it.
+    df = df.withColumn("__refs", F.array_sort(F.transform("references", lambda r: F.struct(r["note_id"].alias("note_id"), r["start"].alias("start")))))
+
+    def place(o, blocks, refs):
         lead = F.length(o["text"]) - F.length(F.regexp_replace(o["text"], r"(?U)^\s+", ""))
         start = o["start"]
-        found = let(start + lead, lambda first: F.try_element_at(F.filter("blocks", lambda b: (b["start"] <= first) & (first < b["end"]) & (o["end"] <= b["end"])), F.lit(1)))
+
+        def inside(first):
+            last = let(below(blocks, first + 1, "start"), lambda k: F.when(k > 0, F.try_element_at(blocks, F.greatest(k, F.lit(1)))))
+            return let(last, lambda b: F.when((first < b["end"]) & (o["end"] <= b["end"]), b))
 
         def put(at):
-            marker = F.when(at["note_id"].isNotNull(), let(at["note_id"], lambda name: F.array_min(F.transform(F.filter("references", lambda r: r["note_id"] == name), lambda r: r["start"]))))
+            marker = F.when(at["note_id"].isNotNull(), let(F.try_element_at(refs, below(refs, at["note_id"], "note_id") + 1), lambda r: F.when(r["note_id"] == at["note_id"], r["start"])))
             moved = lambda m: F.struct(F.coalesce(m, start).alias("k0"), m.isNotNull().cast("int").alias("k1"), F.when(m.isNotNull(), start - at["start"]).otherwise(F.lit(0)).alias("k2"))
             rest = [start.alias("start"), o["end"].alias("end"), *[o[n].alias(n) for n in ("text", "source_type", "form", "components")], at["block_id"].alias("block_id"), at["start"].alias("block_start"), at["end"].alias("block_end"), at["note_id"].alias("note_id"), at["note_number"].alias("note_number")]
             return let(let(marker, moved), lambda k: F.struct(*[k[n].alias(n) for n in ("k0", "k1", "k2")], *rest))
 
-        return let(found, put)
+        return let(let(start + lead, inside), put)
 
     # Maps can't be compared, so the order goes by the five numbers alone.
     def order(a, b):
@@ -90,22 +94,24 @@ def with_occurrences(docs: DataFrame, text_col: str = "text", surroundings: bool
             out = F.when(a[n] != b[n], a[n] - b[n]).otherwise(out)
         return out
 
-    df = df.withColumn("__placed", F.transform("__acc", place)).withColumn("__placed", F.array_sort("__placed", order))
+    around = F.struct(F.transform("blocks", lambda b: F.struct(*[b[n].alias(n) for n in ("start", "end", "block_id", "note_id", "note_number")])).alias("blocks"), F.col("__refs").alias("refs"))
+    df = df.withColumn("__placed", let(around, lambda x: F.transform("__acc", lambda o: place(o, x["blocks"], x["refs"])))).withColumn("__placed", F.array_sort("__placed", order))
 
-    def facts(o, i, breaks, semis):
-        prev = F.try_element_at(F.col("__placed"), F.greatest(i, F.lit(1)))
-        gap = F.when(i > 0, between(t, prev["end"], o["start"])).otherwise(F.lit(""))
+    def facts(o, i, x):
+        breaks, semis, cut = x["breaks"], x["semis"], x["cut"]
+        prev = F.try_element_at(x["placed"], F.greatest(i, F.lit(1)))
+        gap = F.when(i > 0, within(cut, prev["end"], o["start"])).otherwise(F.lit(""))
         low = F.when(o["block_start"].isNotNull(), F.greatest(o["block_start"], o["start"] - 180)).otherwise(o["start"])
         high = F.when(o["block_end"].isNotNull(), F.least(o["block_end"], o["end"] + 30)).otherwise(o["end"])
         return F.struct(
             *[o[n].alias(n) for n in ("start", "end", "text", "source_type", "form", "components", "block_id", "note_id", "note_number")],
-            *([] if not surroundings else [F.coalesce(F.try_element_at(F.filter(breaks, lambda b: b["start"] >= o["end"]), F.lit(1))["end"], F.lit(FAR)).alias("break_end"),
-            F.coalesce(F.try_element_at(F.filter(semis, lambda s: s >= o["end"]), F.lit(1)), F.lit(FAR)).alias("semicolon"),
-            gap.alias("gap"), before(t, o["start"], 260).alias("lead"), after(t, o["end"], 180).alias("tail")]), between(t, low, o["start"]).alias("block_lead"), between(t, o["end"], high).alias("block_tail"),
+            *([] if not surroundings else [F.coalesce(F.try_element_at(breaks, below(breaks, o["end"], "start") + 1)["end"], F.lit(FAR)).alias("break_end"),
+            F.coalesce(F.try_element_at(semis, below(semis, o["end"]) + 1), F.lit(FAR)).alias("semicolon"),
+            gap.alias("gap"), within(cut, o["start"] - 260, o["start"]).alias("lead"), within(cut, o["end"], o["end"] + 180).alias("tail")]), within(cut, low, o["start"]).alias("block_lead"), within(cut, o["end"], high).alias("block_tail"),
         )
 
-    bound = F.struct(F.col("__breaks").alias("breaks"), F.col("__semis").alias("semis"))
-    df = df.withColumn("occurrences", let(bound, lambda x: F.transform("__placed", lambda o, i: facts(o, i, x["breaks"], x["semis"]))))
+    bound = F.struct(F.col("__breaks").alias("breaks"), F.col("__semis").alias("semis"), F.col("__placed").alias("placed"), pieces(t).alias("cut"))
+    df = df.withColumn("occurrences", let(bound, lambda x: F.transform(x["placed"], lambda o, i: facts(o, i, x))))
     return df.drop(*[c for c in df.columns if c.startswith("__")])
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
-from ..functions.spans import apply_edits, between, let, part, rows_of, spans
+from ..functions.spans import apply_edits, below, let, part, pieces, rows_of, spans, within
 from ..functions.tables import LINT_RULES
 from .extract import canonical_reporter, neutralize, with_citations
 
@@ -56,7 +56,8 @@ def with_issues(docs: DataFrame, mode: str = "bluepages", text_col: str = "text"
     ids = F.filter(cites, lambda c: (c["source_type"] == "short_form") & (_form(c) == "id"))
     token = lambda c: F.regexp_extract(c["text"], r"(?iU)^id\.?", 0)
     small = F.transform(F.filter(ids, lambda c: (token(c) != "") & (token(c) != "Id.")), lambda c: _issue("SHORT_FORM_CAPITALIZATION", mode, c["start"], c["start"] + F.length(token(c)), token(c), "high", F.lit("Id.")))
-    orphans = let(ends, lambda known: F.filter(ids, lambda c: ~F.exists(known, lambda e: (e < c["start"]) & (c["start"] - e <= P.ID_WINDOW))))
+    far = F.array(F.lit(-(1 << 30)))
+    orphans = let(F.array_sort(F.concat(far, ends)), lambda known: F.filter(ids, lambda c: F.element_at(known, below(known, c["start"])) < c["start"] - P.ID_WINDOW))
     surface = lambda c: F.coalesce(F.nullif(F.regexp_extract(c["text"], r"^[A-Za-z]+\.?", 0), F.lit("")), F.lit("Id."))
     orphan = F.transform(orphans, lambda c: _issue("SHORT_FORM_ORPHAN_ID", mode, c["start"], c["end"], c["text"], "high", None, F.concat(F.lit("“"), surface(c), F.lit("” must unambiguously refer to the immediately preceding authority."))))
     loose = F.transform(F.filter(cites, lambda c: (c["source_type"] == "short_form") & _form(c).isin("supra", "short_case", "reference")), lambda c: _issue("SHORT_FORM_UNRESOLVED", mode, c["start"], c["end"], c["text"], "high"))
@@ -68,11 +69,12 @@ def with_issues(docs: DataFrame, mode: str = "bluepages", text_col: str = "text"
         small, orphan, loose, pin,
     ]
     if mode == "whitepages":
-        near = lambda c: F.lower(between(t, c["start"] - 120, c["end"] + 160))
-        bare = F.filter(cites, lambda c: (c["source_type"] == "internet") & ~F.contains(near(c), F.lit("perma.cc")) & ~F.contains(near(c), F.lit("on file with author")))
+        near = lambda cut, c: F.lower(within(cut, c["start"] - 120, c["end"] + 160))
+        bare = let(pieces(t), lambda cut: F.filter(cites, lambda c: (c["source_type"] == "internet") & ~F.contains(near(cut, c), F.lit("perma.cc")) & ~F.contains(near(cut, c), F.lit("on file with author"))))
         groups.append(F.transform(bare, lambda c: _issue("INTERNET_ARCHIVE_REVIEW", mode, c["start"], c["end"], c["text"], "medium")))
-    # Structs sort by their fields in order: start, end, code.
-    return df.withColumn("issues", F.array_sort(F.array_distinct(F.concat(*groups)))).drop("__t")
+    # Structs sort by their fields in order: start, end, code. Equal ones then stand side by side.
+    once = lambda x: F.filter(x, lambda i, k: (k == 0) | (i != F.element_at(x, F.greatest(k, F.lit(1)))))
+    return df.withColumn("issues", let(F.array_sort(F.concat(*groups)), once)).drop("__t")
 
 
 def issue_rows(docs: DataFrame, mode: str = "bluepages", text_col: str = "text", id_col: str = "doc_id") -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.patterns import PERMITTED_SUPRA
 from ..functions.tables import squeezed
 from .graph import norm
+from .spanjoin import asof_join
 
 RESULT = ["doc_id", "ord", "form", "authority_id", "method", "confidence", "reasons"]
 
@@ -94,20 +95,24 @@ def supras(occ: DataFrame) -> DataFrame:
     return out.withColumn("reasons", keep)
 
 
+def _defined(docs_occ: DataFrame, occ: DataFrame, id_col: str) -> DataFrame:
+    """Each definition of an alias with the last full citation (in logical order) that ends before it: doc_id, at, alias, authority_id, source."""
+    defs = docs_occ.select(F.col(id_col).alias("doc_id"), F.explode_outer("definitions").alias("d")).where("d is not null").select("doc_id", F.col("d.start").alias("at"), F.col("d.alias").alias("alias"))
+    full = occ.where("form = 'full'").select("doc_id", "ord", F.col("end").alias("f_end"), "authority_id")
+    prior = asof_join(defs, full, ["doc_id"], "at", "f_end", rank=["ord"]).where("right_ord is not null")
+    return prior.select("doc_id", "at", "alias", F.col("right_authority_id").alias("authority_id"), F.col("right_ord").alias("source"))
+
+
 def alias_targets(docs_occ: DataFrame, occ: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """doc_id, alias, authority_id, source: of each alias the last definition; it means the last full citation that ends before it. ``docs_occ``: from with_occurrences."""
-    defs = docs_occ.select(F.col(id_col).alias("doc_id"), F.explode_outer("definitions").alias("d")).where("d is not null").select("doc_id", F.col("d.start").alias("at"), norm(F.col("d.alias")).alias("alias"))
-    full = occ.where("form = 'full'").select("doc_id", "ord", F.col("end").alias("f_end"), "authority_id")
-    prior = defs.join(full, "doc_id").where("f_end <= at").groupBy("doc_id", "alias", "at").agg(F.max_by(F.struct("authority_id", "ord"), "ord").alias("x"))
-    return prior.groupBy("doc_id", "alias").agg(F.max_by("x", "at").alias("x")).select("doc_id", "alias", "x.authority_id", F.col("x.ord").alias("source"))
+    prior = _defined(docs_occ, occ, id_col).withColumn("alias", norm(F.col("alias")))
+    return prior.groupBy("doc_id", "alias").agg(F.max_by(F.struct("authority_id", "source"), "at").alias("x")).select("doc_id", "alias", "x.authority_id", "x.source")
 
 
 def definition_edges(docs_occ: DataFrame, occ: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """hereinafter_definition: from the last full citation that ends before a definition to its authority, with the alias."""
-    defs = docs_occ.select(F.col(id_col).alias("doc_id"), F.explode_outer("definitions").alias("d")).where("d is not null").select("doc_id", F.col("d.start").alias("at"), F.col("d.alias").alias("alias"))
-    full = occ.where("form = 'full'").select("doc_id", "ord", F.col("end").alias("f_end"), "authority_id")
-    prior = defs.join(full, "doc_id").where("f_end <= at").groupBy("doc_id", "alias", "at").agg(F.max_by(F.struct("authority_id", "ord"), "ord").alias("x"))
-    return prior.select("doc_id", F.lit("hereinafter_definition").alias("edge_type"), F.col("x.ord").cast("string").alias("source"), F.col("x.authority_id").alias("target"), "alias")
+    prior = _defined(docs_occ, occ, id_col).dropDuplicates(["doc_id", "alias", "at"])
+    return prior.select("doc_id", F.lit("hereinafter_definition").alias("edge_type"), F.col("source").cast("string").alias("source"), F.col("authority_id").alias("target"), "alias")
 
 
 def hereinafters(occ: DataFrame, aliases: DataFrame) -> DataFrame:

@@ -538,4 +538,4 @@ def events_sessions(spark, d):
     return event_sessions(spark.read.parquet(f"{d}/events.parquet"))
 
 
-from . import review_queries  # noqa: E402,F401  (adds its queries)
+from . import join_queries, review_queries  # noqa: E402,F401  (they add their queries)

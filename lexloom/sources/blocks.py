@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
-from ..functions.spans import rows_of, spans, strip
+from ..functions.spans import below, hit, in_order, let, rows_of, spans, strip
 
 BLOCK = "struct<start:int,end:int,kind:string,block_id:string,note_id:string,note_number:string,text:string>"
 
@@ -27,12 +27,12 @@ def with_blocks(docs: DataFrame, text_col: str = "text") -> DataFrame:
     marked = F.transform(para, lambda s: F.struct(s.alias("s"), lead(s, P.NUMBERED_NOTE).alias("num"), lead(s, P.MARKDOWN_NOTE).alias("md")))
     df = df.withColumn("__marked", marked)
 
-    def one(x, i):
+    def one(x, i, marks):
         s = x["s"]
         num, md = F.length(x["num"]), F.length(x["md"])
         n = F.regexp_extract(s["text"], P.NUMBERED_NOTE, 1)
         name = F.regexp_extract(s["text"], P.MARKDOWN_NOTE, 1)
-        order = F.size(F.filter(F.slice(F.col("__marked"), 1, i + 1), lambda m: (F.length(m["num"]) == 0) & (F.length(m["md"]) > 0)))
+        order = below(marks, s["start"] + 1)
         cut = lambda k: F.substring(s["text"], k + 1, F.length(s["text"]))
         numbered = _block(s["start"] + num, s["end"], "footnote", F.concat(F.lit("footnote:"), n, F.lit(":p:0")), n, n, cut(num))
         markdown = _block(s["start"] + md, s["end"], "footnote", F.concat(F.lit("footnote:"), name, F.lit(":p:0")), name, order.cast("string"), cut(md))
@@ -43,10 +43,12 @@ def with_blocks(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     def refs(p):
         name = lambda s: F.regexp_extract(s["text"], p.regex, 1)
-        found = F.filter(spans(text, p), lambda s: ~F.exists(F.col("__notes"), lambda m: (m["s"]["start"] <= s["start"]) & (s["start"] < m["s"]["end"])))
+        found = let(F.col("__notes"), lambda held: F.filter(spans(text, p), lambda s: ~hit(held, s["start"], s["start"] + 1)))
         return F.transform(found, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), name(s).alias("note_id")))
 
-    df = df.withColumn("__notes", notes).withColumn("blocks", F.transform(F.col("__marked"), one))
+    # Where the notes of Markdown's form begin, in order: they are numbered as they come.
+    marks = F.transform(F.filter("__marked", lambda m: (F.length(m["num"]) == 0) & (F.length(m["md"]) > 0)), lambda m: m["s"]["start"])
+    df = df.withColumns({"__notes": in_order(F.transform(notes, lambda m: m["s"])), "blocks": let(marks, lambda held: F.transform("__marked", lambda x, i: one(x, i, held)))})
     df = df.withColumn("references", F.concat(refs(P.NOTE_REFERENCE), refs(P.MARKDOWN_REFERENCE)))
     return df.drop("__para", "__marked", "__notes")
 
@@ -75,7 +77,7 @@ def markdown_rows(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id
         start = s["end"] - F.length(body) + lead(body)
         return _block(start, start + F.length(strip(body)), "footnote", F.concat(F.lit("footnote:"), name, F.lit(":p:0")), name, (i + 1).cast("string"), strip(body))
 
-    body = F.filter(spans(text, P.MARKDOWN_PARAGRAPH), lambda s: ~F.exists(F.col("__n"), lambda n: (n["start"] <= s["start"]) & (s["start"] < n["end"])))
+    body = let(in_order(F.col("__n")), lambda held: F.filter(spans(text, P.MARKDOWN_PARAGRAPH), lambda s: ~hit(held, s["start"], s["start"] + 1)))
 
     def block(s, i):
         head = F.length(F.regexp_extract(s["text"], P.HEADING_MARK, 0))

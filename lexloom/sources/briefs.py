@@ -68,8 +68,7 @@ briefs AS (SELECT doc_id, string_agg(lead || cite || tail, '' ORDER BY ord) AS t
 
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spark.read.parquet(f"{sf_dir}/lineitem.parquet").createOrReplaceTempView("lineitem")
-    return spark.sql(SEGMENTS_SQL)
+    return spark.sql(SEGMENTS_SQL.replace("FROM lineitem", "FROM {lineitem}"), lineitem=spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
 
 
 def briefs(spark: SparkSession, sf_dir: str) -> DataFrame:
