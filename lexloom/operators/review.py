@@ -52,20 +52,34 @@ def keyset_page(rows: DataFrame, order: str, key: str, limit: int, after: tuple
     return rows.orderBy(F.desc(order), F.desc(key)).limit(limit + 1)
 
 
-def apply_revisions(events: DataFrame) -> DataFrame:
-    """Compare-and-set over an append-only log (session_id, seq, base_revision, state, content).
+#: What a session's log leads to; ``last_seq`` is that of the update that holds.
+REVISION = "revision long, conflicts long, last_seq long, state string, content string"
 
-    An update holds if its base is the number of updates that held before it. Sequences
-    without a stale write need one window; stale writes are found by a fold per session.
+
+def apply_revisions(events: DataFrame, state: DataFrame | None = None, key: str = "session_id") -> DataFrame:
+    """Compare-and-set over an append-only log (session_id, seq, base_revision, state, content): session_id and REVISION.
+
+    An update holds if its base is the number of updates that held before it; the others are conflicts. ``state``: what earlier
+    events of these sessions led to. A session's log is folded in one row, of two numbers an event (a session bounds
+    them); the content of the update that holds is then joined by its number. Of events that repeat a number the first in order counts first.
     """
-    item = "struct<seq:bigint,base_revision:bigint,state:string,content:string>"
-    log = events.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct(F.col("seq").cast("long").alias("seq"), F.col("base_revision").cast("long").alias("base_revision"), F.col("state"), F.col("content")))).alias("log"))
-    zero = F.struct(F.lit(0).cast("long").alias("revision"), F.lit(0).cast("long").alias("conflicts"), F.lit(None).cast(item).alias("last"))
+    numbers = F.struct(F.col("seq").cast("long").alias("seq"), F.col("base_revision").cast("long").alias("base"))
+    log = events.groupBy(key).agg(F.array_sort(F.collect_list(numbers)).alias("log"))
+    old = (events.limit(0).select(key, *[F.lit(None).cast(t).alias(n) for n, t in (x.split() for x in REVISION.split(", "))]) if state is None else state.select(key, *[x.split()[0] for x in REVISION.split(", ")]))
+    both = log.join(old, key, "left")
+    zero = F.struct(F.coalesce("revision", F.lit(0)).cast("long").alias("revision"), F.coalesce("conflicts", F.lit(0)).cast("long").alias("conflicts"), F.lit(None).cast("long").alias("last"), F.lit(None).cast("long").alias("base"))
 
     def add(acc, e):
-        ok = F.struct((acc["revision"] + 1).alias("revision"), acc["conflicts"].alias("conflicts"), e.cast(item).alias("last"))
-        bad = F.struct(acc["revision"].alias("revision"), (acc["conflicts"] + 1).alias("conflicts"), acc["last"].alias("last"))
-        return F.when(e["base_revision"] == acc["revision"], ok).otherwise(bad)
+        ok = F.struct((acc["revision"] + 1).alias("revision"), acc["conflicts"].alias("conflicts"), e["seq"].alias("last"), e["base"].alias("base"))
+        return F.when(e["base"] == acc["revision"], ok).otherwise(acc.withField("conflicts", acc["conflicts"] + 1))
+
+    x = both.select(key, F.aggregate("log", zero, add).alias("x"), F.struct("last_seq", "state", "content").alias("old"))
+    held = events.groupBy(key, F.col("seq").cast("long").alias("last"), F.col("base_revision").cast("long").alias("base")).agg(F.min(F.struct("state", "content")).alias("new"))
+    x = x.select(key, "x.*", "old").join(held, [key, "last", "base"], "left")
+    pick = lambda n: F.when(F.col("last").isNotNull(), F.col(f"new.{n}")).otherwise(F.col(f"old.{n}")).alias(n)
+    return x.select(key, "revision", "conflicts", F.coalesce("last", F.col("old.last_seq")).alias("last_seq"), pick("state"), pick("content"))
+
 
-    out = log.select("session_id", F.aggregate("log", zero, add).alias("x"))
-    return out.select("session_id", "x.revision", "x.conflicts", F.col("x.last.state").alias("state"), F.col("x.last.content").alias("content"), F.sha2(F.coalesce(F.col("x.last.content"), F.lit("")), 256).alias("content_sha256"))
+def revisions(events: DataFrame) -> DataFrame:
+    """``apply_revisions`` of a whole log with the hash of each content."""
+    return apply_revisions(events).drop("last_seq").withColumn("content_sha256", F.sha2(F.coalesce("content", F.lit("")), 256))

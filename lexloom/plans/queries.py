@@ -472,7 +472,7 @@ SELECT session_id, revision, conflicts, state, content, sha256(coalesce(content,
 def revision_cas(spark, d):
     e = spark.read.parquet(f"{d}/events.parquet")
     log = e.select(F.col("user_id").alias("session_id"), F.col("event_id").alias("seq"), F.pmod(F.col("event_id"), F.lit(3)).alias("base_revision"), F.col("event_type").alias("state"), F.col("props").alias("content"))
-    return review.apply_revisions(log)
+    return review.revisions(log)
 
 
 @query(_with(f"SELECT {_TYPE} AS source_type, count(*) AS n_gold, count(*) AS tp, cast(1.0 AS DOUBLE) AS precision, cast(1.0 AS DOUBLE) AS recall FROM cites GROUP BY 1"))
