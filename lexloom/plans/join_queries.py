@@ -1,4 +1,4 @@
-"""Queries of span and as-of joins over whole tables, with their SQL."""
+"""Queries of span and as-of joins, the stored index and keyed state over whole tables, with their SQL."""
 
 from __future__ import annotations
 
@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 from ..functions.patterns import Pattern
 from ..functions.spans import rows_of, spans
 from ..operators.spanjoin import asof_join, nested, span_join
-from .queries import query
+from ..sources.paths import shared_path
+from ..sources.rule_index import RuleIndex
+from ..streaming.state import revise, revision_table
+from .queries import SQL, query
 
 _SHIPMENTS = """s AS (SELECT l_suppkey, l_returnflag AS flag, date_diff('day', DATE '1990-01-01', cast(l_shipdate AS DATE)) AS a, date_diff('day', DATE '1990-01-01', cast(l_shipdate AS DATE)) + cast(l_quantity AS BIGINT) AS b FROM lineitem)"""
 
@@ -60,7 +63,7 @@ def events_asof(spark, d):
     return found.select("event_id", F.col("right_click_id").alias("click_id"), F.col("right_us").alias("click_us"))
 
 
-@query("""WITH s AS (SELECT o_orderkey AS id, o_custkey, date_diff('day', DATE '1990-01-01', cast(o_orderdate AS DATE)) AS a, date_diff('day', DATE '1990-01-01', cast(o_orderdate AS DATE)) + cast(o_totalprice // 5000 AS BIGINT) AS b FROM orders),
+@query("""WITH s AS (SELECT o_orderkey AS id, o_custkey, date_diff('day', DATE '1990-01-01', cast(o_orderdate AS DATE)) AS a, date_diff('day', DATE '1990-01-01', cast(o_orderdate AS DATE)) + cast(floor(o_totalprice / 5000) AS BIGINT) AS b FROM orders),
 p AS (SELECT x.id, y.id AS parent, row_number() OVER (PARTITION BY x.id ORDER BY y.b - y.a, CASE WHEN y.b - y.a = x.b - x.a THEN -y.id ELSE y.id END) AS k FROM s x JOIN s y ON x.o_custkey = y.o_custkey AND y.a <= x.a AND x.b <= y.b AND x.id <> y.id AND (y.b - y.a > x.b - x.a OR y.id < x.id))
 SELECT id, parent AS parent_id FROM s LEFT JOIN (SELECT id, parent FROM p WHERE k = 1) USING (id)""")
 def nested_spans(spark, d):
@@ -68,3 +71,27 @@ def nested_spans(spark, d):
     day = F.date_diff(F.col("o_orderdate").cast("date"), F.lit("1990-01-01").cast("date")).cast("long")
     o = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("id"), "o_custkey", day.alias("start"), (day + F.floor(F.col("o_totalprice") / 5000)).alias("end"))
     return nested(o, ["o_custkey"]).select("id", "parent_id")
+
+
+@query(SQL["lexical_retrieval_topk"])
+def indexed_topk(spark, d):
+    """The best documents of each benchmark item from a stored index over all documents."""
+    chunks = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("chunk_id"), "text")
+    items = spark.read.parquet(f"{d}/benchmark.parquet").select(F.col("item_id").alias("query_id"), "text")
+    return RuleIndex.build(chunks, shared_path(spark, "index")).search(items).select("query_id", "chunk_id", "overlap", "rank")
+
+
+@query("""WITH l AS (SELECT user_id AS session_id, event_id AS seq, event_id % 3 AS base, event_type AS state FROM events), r AS (
+SELECT session_id, list(base ORDER BY seq) AS bases, list(seq ORDER BY seq) AS seqs, list(state ORDER BY seq) AS states FROM l GROUP BY 1),
+f AS (SELECT session_id, states, len(bases) AS n, list_reduce(list_prepend({'r': 0::BIGINT, 'i': 0::BIGINT, 'b': 0::BIGINT}, list_transform(list_zip(range(1, len(bases) + 1), bases), lambda z: {'r': 0::BIGINT, 'i': z[1]::BIGINT, 'b': z[2]::BIGINT})), lambda a, x: CASE WHEN x.b = a.r THEN {'r': a.r + 1, 'i': x.i, 'b': 0::BIGINT} ELSE a END) AS x FROM r)
+SELECT session_id, x.r AS revision, n - x.r AS conflicts, states[x.i] AS state FROM f""")
+def revisions_by_batches(spark, d):
+    """Compare-and-set revisions kept in a keyed table over several numbered batches: those of the whole log at once."""
+    e = spark.read.parquet(f"{d}/events.parquet")
+    log = e.select(F.col("user_id").alias("session_id"), F.col("event_id").alias("seq"), F.pmod("event_id", F.lit(3)).alias("base_revision"), F.col("event_type").alias("state"), F.col("props").alias("content"))
+    ends = log.agg(F.expr("approx_percentile(seq, array(0.34, 0.67, 1.0))").alias("e"), F.max("seq").alias("m")).first()
+    table, low = revision_table(spark, shared_path(spark, "revisions"), buckets=8), -1
+    for batch, high in enumerate([*ends["e"][:2], ends["m"]]):
+        revise(table, log.where((F.col("seq") > low) & (F.col("seq") <= high)), batch)
+        low = high
+    return table.read().select("session_id", "revision", "conflicts", "state")
