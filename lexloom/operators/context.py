@@ -139,8 +139,8 @@ def align_authorities(citations: DataFrame, authorities: DataFrame) -> DataFrame
 
 
 def latest_lookups(lookups: DataFrame, now: Column, ttl_seconds: int = 3600) -> DataFrame:
-    """Of each key the newest answer that is not older than the time to live (key, fetched_at, ...)."""
-    w = Window.partitionBy("key").orderBy(F.desc("fetched_at"))
+    """Of each key the newest answer that is not older than the time to live (key, fetched_at, ...); of answers of one time always the same one."""
+    w = Window.partitionBy("key").orderBy(F.desc("fetched_at"), F.xxhash64(*lookups.columns))
     fresh = lookups.where(F.col("fetched_at") >= now - F.make_interval(secs=F.lit(ttl_seconds)))
     return fresh.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 

@@ -122,24 +122,41 @@ def rules_for_documents(spark, d):
     return retrieval.retrieve_rules(docs, spark.createDataFrame(_LIBRARY, _LIB_SCHEMA)).select("query_id", "chunk_id", F.round(F.col("score") * 1e6).cast("long").alias("score"), "rank")
 
 
-@query("WITH f AS (SELECT l_orderkey AS doc_id, bool_or(l_returnflag = 'R') AS review_required, count(DISTINCT l_partkey % 5) AS families, bool_or(l_partkey % 5 < 2) AS signals FROM lineitem WHERE l_linenumber <= 2 GROUP BY 1), g AS (SELECT o_orderkey AS doc_id, coalesce(review_required, false) AS review_required, o_orderkey % 5 = 0 AS ambiguous, coalesce(families, 0) AS families, o_orderkey % 7 = 0 AS mode_uncertain, coalesce(signals, false) AS signals FROM orders LEFT JOIN f ON doc_id = o_orderkey) SELECT *, review_required OR ambiguous OR families > 1 OR mode_uncertain OR signals AS wanted FROM g")
+@query("WITH f AS (SELECT l_orderkey AS doc_id, bool_or(l_returnflag = 'R') AS review_required, count(DISTINCT l_partkey % 5) AS families, bool_or(l_partkey % 5 < 2) AS signals FROM lineitem GROUP BY 1), g AS (SELECT o_orderkey AS doc_id, coalesce(review_required, false) AS review_required, o_orderkey % 5 = 0 AS ambiguous, coalesce(families, 0) AS families, o_orderkey % 7 = 0 AS mode_uncertain, coalesce(signals, false) AS signals FROM orders LEFT JOIN f ON doc_id = o_orderkey) SELECT *, review_required OR ambiguous OR families > 1 OR mode_uncertain OR signals AS wanted FROM g")
 def guidance_gate(spark, d):
     docs = _table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"))
     mode = F.when(F.col("l_partkey") % 5 == 0, "signals").when(F.col("l_partkey") % 5 == 1, "parentheticals").otherwise((F.col("l_partkey") % 5).cast("string"))
-    found = _table(spark, d, "lineitem").where("l_linenumber <= 2").select(F.col("l_orderkey").alias("doc_id"), mode.alias("family"), F.when(F.col("l_returnflag") == "R", "review_required").otherwise("suggested_fix").alias("correction_level"))
+    found = _table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), mode.alias("family"), F.when(F.col("l_returnflag") == "R", "review_required").otherwise("suggested_fix").alias("correction_level"))
     resolved = docs.select("doc_id", F.when(F.col("doc_id") % 5 != 0, "a").alias("authority_id"))
     modes = docs.select("doc_id", F.when(F.col("doc_id") % 7 == 0, "low").otherwise("high").alias("confidence"))
     return retrieval.guidance_gate(docs, found, resolved, modes)
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({_quoted(f)}, {_quoted(s)}, {_quoted('; '.join(r))})" for f, s, r in guidance.COVERAGE) + ") t(family, status, rules)")
+_FAMILY = ", ".join(f"({i}, {_quoted(f)}, {_quoted(s)}, {_quoted('; '.join(r))})" for i, (f, s, r) in enumerate(guidance.COVERAGE))
+
+
+@query(f"""SELECT family, status, rules, count(o_orderkey) AS n_orders
+FROM (VALUES {_FAMILY}) t(i, family, status, rules) LEFT JOIN orders ON o_custkey % {len(guidance.COVERAGE)} = i GROUP BY ALL""")
 def rule_coverage(spark, d):
-    return guidance.rule_coverage(spark).select("family", "status", F.array_join("implemented_rules", "; ").alias("rules"))
+    """What the rules cover of each family of sources, with the orders that fall to the family."""
+    family = F.element_at(F.array(*[F.lit(f) for f, _, _ in guidance.COVERAGE]), (F.col("o_custkey") % len(guidance.COVERAGE) + 1).cast("int"))
+    asked = _table(spark, d, "orders").groupBy(family.alias("family")).agg(F.count("*").alias("n"))
+    told = guidance.rule_coverage(spark).join(asked, "family", "left")
+    return told.select("family", "status", F.array_join("implemented_rules", "; ").alias("rules"), F.coalesce("n", F.lit(0)).alias("n_orders"))
+
 
+_PACK = [(k, "cast(NULL AS VARCHAR)", x) for k, xs in (("core", guidance.CORE), ("general", guidance.GENERAL), ("mode", guidance.MODES["whitepages"])) for x in xs]
+_PACK += [("source", _quoted(s[0]), s[3]) for s in guidance.SOURCES if s[0] in ("case", "internet")]
+_PACK_ROWS = ", ".join(f"('{k}', {t}, {_quoted(x)})" for k, t, x in _PACK)
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{k}', cast(NULL AS VARCHAR), {_quoted(x)})" for k, xs in (("core", guidance.CORE), ("general", guidance.GENERAL), ("mode", guidance.MODES["whitepages"])) for x in xs) + ", " + ", ".join(f"('source', {_quoted(s[0])}, {_quoted(s[3])})" for s in guidance.SOURCES if s[0] in ("case", "internet")) + ") t(section, source_type, content)")
+
+@query(_with(f"""SELECT section, t.source_type, content, n_citations FROM (VALUES {_PACK_ROWS}) t(section, source_type, content)
+LEFT JOIN (SELECT {_TYPE} AS source_type, count(*) AS n_citations FROM cites GROUP BY 1) n ON n.source_type = t.source_type"""))
 def knowledge_pack(spark, d):
-    return guidance.knowledge_pack(spark, "whitepages", ["Website", "case_law", "nonsense"]).select("section", "source_type", "content")
+    """The guidance for two types of sources, with how often the briefs cite them."""
+    cited = extract.citation_rows(briefs(spark, d)).groupBy("source_type").agg(F.count("*").alias("n_citations"))
+    pack = guidance.knowledge_pack(spark, "whitepages", ["Website", "case_law", "nonsense"])
+    return pack.join(cited, "source_type", "left").select("section", "source_type", "content", "n_citations")
 
 
 @query("WITH p AS (SELECT a.vec_id, (a.vec_id % 97) / 97.0 AS lexical_score, CASE WHEN a.vec_id % 5 <> 0 THEN list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: cast(z[1] AS DOUBLE) * cast(z[2] AS DOUBLE))) END AS similarity FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id // 2) SELECT vec_id, CASE WHEN similarity IS NULL THEN 'lexical_fallback_hybrid_unavailable' ELSE 'hybrid_local_embedding' END AS scorer, cast(round(100 * CASE WHEN similarity IS NULL THEN lexical_score ELSE round(0.5 * lexical_score + 0.5 * similarity, 4) END) AS BIGINT) AS score FROM p")
@@ -507,7 +524,7 @@ def risk_scan(spark, d):
     return context.risk_scan(briefs(spark, d)).select("doc_id", "corrected_text", "n_usc_abbreviation", "n_cfr_abbreviation", "n_id_short_form", "n_section_spacing")
 
 
-_FOCUS = r"""WITH t AS (SELECT doc_id, text, length(text) AS n, length(text) // 2 AS fs, length(text) // 2 + 10 AS fe, string_split_regex(text, '\n[ \t]*\n') AS parts, regexp_extract_all(text, '\n[ \t]*\n') AS gaps FROM documents WHERE text IS NOT NULL),
+_FOCUS = r"""WITH t AS (SELECT doc_id, text, length(text) AS n, length(text) // 2 AS fs, length(text) // 2 + 10 AS fe, string_split_regex(text, '\n[ \t]*\n') AS parts, regexp_extract_all(text, '\n[ \t]*\n') AS gaps FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)),
 s AS (SELECT *, list_transform(range(1, len(parts) + 1), lambda i: length(parts[i]) + coalesce(length(gaps[i]), 0)) AS sizes FROM t),
 e AS (SELECT *, list_transform(range(1, len(sizes) + 1), lambda i: list_sum(sizes[1:i])) AS ends FROM s),
 f AS (SELECT *, len(list_filter(ends, lambda x: x <= fs)) + 1 AS i FROM e),
@@ -522,7 +539,8 @@ SELECT doc_id, CASE WHEN bypass THEN 'bypass' WHEN we - ws <= 2400 THEN 'neighbo
 
 @query(_FOCUS)
 def focus_context(spark, d):
-    docs = _table(spark, d, "documents").where("text is not null").select("doc_id", "text", F.floor(F.length("text") / 2).cast("int").alias("focus_start"), (F.floor(F.length("text") / 2) + 10).cast("int").alias("focus_end"))
+    texts = _table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs = texts.select("doc_id", "text", F.floor(F.length("text") / 2).cast("int").alias("focus_start"), (F.floor(F.length("text") / 2) + 10).cast("int").alias("focus_end"))
     return reduce.focus_context(docs).select("doc_id", "strategy", "saved_chars", F.length("context").alias("n"))
 
 
@@ -542,19 +560,19 @@ def claims_before_citations(spark, d):
     return docs.select("o_orderkey", retrieval.proposition(F.col("t"), at).alias("proposition"), F.array_join(retrieval.nearby_quotes(F.col("t"), at), "|").alias("quotes"))
 
 
-@query("SELECT o_orderkey AS id, 1::BIGINT AS rank, 'Beta ' || o_custkey || ' holds the office of keeper.' AS passage, 100::BIGINT AS score FROM orders WHERE o_orderkey % 10 = 0")
+@query("SELECT o_orderkey AS id, 1::BIGINT AS rank, 'Beta ' || o_custkey || ' holds the office of keeper.' AS passage, 100::BIGINT AS score FROM orders")
 def passage_ranking(spark, d):
     words = "alpha " * 80
-    rows = _table(spark, d, "orders").where("o_orderkey % 10 = 0").select(F.col("o_orderkey").alias("id"), F.concat(F.lit("Beta "), F.col("o_custkey"), F.lit(" holds the office of keeper.")).alias("proposition"), F.concat(F.lit(f"Long {words}ends. "), F.lit(f"More {words}ends. "), F.lit("Beta "), F.col("o_custkey"), F.lit(" holds the office of keeper.")).alias("source"))
+    rows = _table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.concat(F.lit("Beta "), F.col("o_custkey"), F.lit(" holds the office of keeper.")).alias("proposition"), F.concat(F.lit(f"Long {words}ends. "), F.lit(f"More {words}ends. "), F.lit("Beta "), F.col("o_custkey"), F.lit(" holds the office of keeper.")).alias("source"))
     ranked = evidence.rank_passages(rows, 1)
     return ranked.select("id", "rank", "passage", F.round(F.col("combined_score") * 100).cast("long").alias("score"))
 
 
-@query("SELECT o_orderkey AS id, CASE o_orderkey % 3 WHEN 0 THEN 'exact' WHEN 1 THEN 'normalized' ELSE 'not_supplied' END AS quotation_status, CASE o_orderkey % 2 WHEN 0 THEN 'confirmed_by_page_marker' ELSE 'not_supplied' END AS pincite_status, 'not_determined' AS conclusion FROM orders WHERE o_orderkey % 10 < 6")
+@query("SELECT o_orderkey AS id, CASE o_orderkey % 3 WHEN 0 THEN 'exact' WHEN 1 THEN 'normalized' ELSE 'not_supplied' END AS quotation_status, CASE o_orderkey % 2 WHEN 0 THEN 'confirmed_by_page_marker' ELSE 'not_supplied' END AS pincite_status, 'not_determined' AS conclusion FROM orders")
 def case_evidence(spark, d):
     k = F.col("o_orderkey")
     said = F.when(k % 3 == 0, "It said “the court must hear them”. So ").when(k % 3 == 1, "It said “The court, must hear them”. So ").otherwise("It said nothing. So ")
-    cites = _table(spark, d, "orders").where("o_orderkey % 10 < 6").select(k.alias("id"), said.alias("document"), F.length(said).alias("start"), F.when(k % 2 == 0, "7").alias("pincite"), (k % 4).alias("source_id"))
+    cites = _table(spark, d, "orders").select(k.alias("id"), said.alias("document"), F.length(said).alias("start"), F.when(k % 2 == 0, "7").alias("pincite"), (k % 4).alias("source_id"))
     sources = spark.createDataFrame([(i, "[7] In any case the court must hear them. Page 8 follows.") for i in range(4)], "source_id long, source_text string")
     return evidence.case_evidence(cites, sources).select("id", "quotation_status", "pincite_status", "conclusion")
 
@@ -569,9 +587,9 @@ def protected_spans(spark, d):
     return rows.select("doc_id", "r.start", "r.end", "r.reason")
 
 
-@query("SELECT o_orderkey AS doc_id, pos::BIGINT AS pos, CASE WHEN o_orderkey % 2 = 0 THEN CASE pos WHEN 0 THEN 1 WHEN 1 THEN 0 ELSE 2 END ELSE CASE pos WHEN 0 THEN 1 WHEN 1 THEN 0 END END::BIGINT AS ix, pos = 0 AS matched FROM orders, (VALUES (0), (1), (2)) v(pos) WHERE o_orderkey % 5 = 0")
+@query("SELECT o_orderkey AS doc_id, pos::BIGINT AS pos, CASE WHEN o_orderkey % 2 = 0 THEN CASE pos WHEN 0 THEN 1 WHEN 1 THEN 0 ELSE 2 END ELSE CASE pos WHEN 0 THEN 1 WHEN 1 THEN 0 END END::BIGINT AS ix, pos = 0 AS matched FROM orders, (VALUES (0), (1), (2)) v(pos)")
 def aligned_authorities(spark, d):
-    o = _table(spark, d, "orders").where("o_orderkey % 5 = 0")
+    o = _table(spark, d, "orders")
     cites = o.select(F.col("o_orderkey").alias("doc_id"), F.explode(F.array(*[F.struct(F.lit(i).alias("pos"), F.lit(t).alias("text")) for i, t in enumerate(("See 5 U.S. 6", "nothing", "none"))])).alias("c")).select("doc_id", "c.*")
     rows = [F.struct(F.lit(i).alias("ix"), F.array(F.lit(v)).alias("variants")) for i, v in enumerate(("1 U.S. 2", "5 u.s. 6", "x"))]
     known = o.select(F.col("o_orderkey").alias("doc_id"), F.explode(F.when(F.col("o_orderkey") % 2 == 0, F.array(*rows)).otherwise(F.array(*rows[:2]))).alias("a")).select("doc_id", "a.*")
@@ -581,9 +599,9 @@ def aligned_authorities(spark, d):
 _UNRESOLVED = "concat('Id. at ', o_orderkey % 90 + 1, ' says so.', chr(10), 'Baxter, 5 U.S. at ', o_custkey % 90 + 1, ' agrees.', chr(10), 'Ortiz, supra, differs.')"
 
 
-@query("SELECT o_orderkey AS doc_id, code, family, 'error' AS severity, 'review_required' AS correction_level, 'whitepages' AS mode FROM orders, (VALUES ('ID_AMBIGUOUS_ANTECEDENT', 'short forms: Id.'), ('SHORT_CASE_UNRESOLVED', 'short forms: cases'), ('SUPRA_AMBIGUOUS_ANTECEDENT', 'supra and hereinafter')) v(code, family) WHERE o_orderkey % 8 = 0")
+@query("SELECT o_orderkey AS doc_id, code, family, 'error' AS severity, 'review_required' AS correction_level, 'whitepages' AS mode FROM orders, (VALUES ('ID_AMBIGUOUS_ANTECEDENT', 'short forms: Id.'), ('SHORT_CASE_UNRESOLVED', 'short forms: cases'), ('SUPRA_AMBIGUOUS_ANTECEDENT', 'supra and hereinafter')) v(code, family)")
 def document_findings(spark, d):
-    docs = _table(spark, d, "orders").where("o_orderkey % 8 = 0").select(F.col("o_orderkey").alias("doc_id"), F.expr(_UNRESOLVED).alias("text"))
+    docs = _table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.expr(_UNRESOLVED).alias("text"))
     facts = graph.with_occurrences(docs)
     occ = graph.occurrence_rows(facts).persist()
     found = findings.findings(docs, occ, resolve.resolutions(occ, resolve.alias_targets(facts, occ)), "whitepages")
@@ -625,11 +643,11 @@ _MADE = {
 }
 
 
-@query("SELECT o_orderkey, kind, citation, status FROM orders, (VALUES " + ", ".join(f"('{k}', {_quoted(c)}, 'ok')" for k, (_, c) in _MADE.items()) + ", ('internet', NULL, 'missing_facts'), ('nonsense', NULL, 'unsupported_source_type')) v(kind, citation, status) WHERE o_orderkey % 20 = 0")
+@query("SELECT o_orderkey, kind, citation, status FROM orders, (VALUES " + ", ".join(f"('{k}', {_quoted(c)}, 'ok')" for k, (_, c) in _MADE.items()) + ", ('internet', NULL, 'missing_facts'), ('nonsense', NULL, 'unsupported_source_type')) v(kind, citation, status)")
 def generated_html(spark, d):
     fields = {k: v for k, (v, _) in _MADE.items()} | {"internet": {"title": "T"}, "nonsense": {"title": "T"}}
     made = spark.createDataFrame([(k, v) for k, v in fields.items()], "kind string, fields map<string,string>")
-    rows = _table(spark, d, "orders").where("o_orderkey % 20 = 0").select("o_orderkey").join(F.broadcast(made))
+    rows = _table(spark, d, "orders").select("o_orderkey").join(F.broadcast(made))
     return formats.generate(rows, type_col="kind", style="html").select("o_orderkey", "kind", "citation", "status")
 
 
@@ -696,16 +714,22 @@ def extract_state_statutes(spark, d):
     return c.select("doc_id", *[F.col("components")[n].alias(n) for n in ("code", "chapter", "section", "edition")])
 
 
-@query("SELECT o_orderkey AS doc_id, 'Doe v. Roe' AS case_name, cast(1950 + o_orderkey % 60 AS VARCHAR) AS inline_year, 'Cal. 4th' AS reporter FROM orders WHERE o_orderkey % 4 = 0")
+@query("SELECT o_orderkey AS doc_id, 'Doe v. Roe' AS case_name, cast(1950 + o_orderkey % 60 AS VARCHAR) AS inline_year, 'Cal. 4th' AS reporter FROM orders")
 def extract_inline_years(spark, d):
     text = F.expr("concat('See Doe v. Roe (', 1950 + o_orderkey % 60, ') 5 Cal. 4th 100.')")
-    c = extract.citation_rows(_table(spark, d, "orders").where("o_orderkey % 4 = 0").select(F.col("o_orderkey").alias("doc_id"), text.alias("text")))
+    c = extract.citation_rows(_table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), text.alias("text")))
     return c.where("source_type = 'case'").select("doc_id", *[F.col("components")[n].alias(n) for n in ("case_name", "inline_year", "reporter")])
 
 
-@query("SELECT code, kind, severity FROM (VALUES " + ", ".join(f"('{r[0]}', 'lint', '{r[4]}')" for r in tables.LINT_RULES) + ", " + ", ".join(f"('{r[0]}', 'finding', '{r[2]}')" for r in tables.FINDING_RULES) + ") t(code, kind, severity)")
+_RULES = ", ".join([*[f"('{r[0]}', 'lint', '{r[4]}')" for r in tables.LINT_RULES], *[f"('{r[0]}', 'finding', '{r[2]}')" for r in tables.FINDING_RULES]])
+
+
+@query(_with(_ISSUES + f"""SELECT code, kind, severity, coalesce(n, 0) AS n_issues FROM (VALUES {_RULES}) t(code, kind, severity)
+LEFT JOIN (SELECT code, count(*) AS n FROM issues GROUP BY 1) USING (code)"""))
 def explained_rules(spark, d):
-    return tables.explained_rules(spark).select("code", "kind", "severity")
+    """Every rule, with the issues that it has in the briefs."""
+    had = lint.issue_rows(briefs(spark, d)).groupBy("code").agg(F.count("*").alias("n"))
+    return tables.explained_rules(spark).join(had, "code", "left").select("code", "kind", "severity", F.coalesce("n", F.lit(0)).alias("n_issues"))
 
 
 @query("SELECT o_orderkey AS doc_id, 4::BIGINT AS blocks, 2::BIGINT AS paragraphs, 2::BIGINT AS footnotes, 3::BIGINT AS \"references\", cast(length('Body.[1] More.[2]' || chr(10) || chr(10) || 'Next ' || o_orderkey || '.[1]' || chr(10) || chr(10) || '[1] One.' || chr(10) || chr(10) || '[2] Two.') AS BIGINT) AS characters FROM orders")
