@@ -73,6 +73,20 @@ def assign_splits(rows: DataFrame, group: str, seed: str) -> DataFrame:
     return rows.join(ranked.select(group, split.alias("split")), group)
 
 
+def hash_rank(rows: DataFrame, key: list[str], seed: str, out: str = "position") -> DataFrame:
+    """``rows`` with their place, from 0, in the order of sha256(seed:key): a seeded shuffle. Keys are strings joined by ``|``.
+
+    As in ``assign_splits`` places come from counts per hash prefix, so rows are sorted a 4096th at a time. Rows of one key lie side by side.
+    """
+    h = F.sha2(F.concat(F.lit(f"{seed}:"), F.concat_ws("|", *[F.col(k).cast("string") for k in key])), 256)
+    g = rows.withColumn("__h", h).withColumn("__p", F.substring("__h", 1, 3))
+    sizes = g.groupBy("__p").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before")
+    # At most 4096 prefixes, so this side is bounded.
+    ranked = g.withColumn("__r", F.row_number().over(Window.partitionBy("__p").orderBy("__h")) - 1).join(F.broadcast(sizes.select("__p", before)), "__p")
+    return ranked.withColumn(out, (F.col("__before") + F.col("__r")).cast("long")).drop("__h", "__p", "__r", "__before")
+
+
 def quality_report(applied: DataFrame, citations: DataFrame) -> DataFrame:
     """Edits outside every citation's range, over all documents: n_edits, n_outside (a safe fixer has none)."""
     hit = applied.alias("a").join(citations.select("doc_id", F.col("start").alias("cs"), F.col("end").alias("ce")), "doc_id", "left").withColumn("inside", (F.col("start") < F.col("ce")) & (F.col("cs") < F.col("end")))

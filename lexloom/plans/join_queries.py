@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions.patterns import Pattern
 from ..functions.spans import rows_of, spans
+from ..operators import lint, retrieval
 from ..operators.spanjoin import asof_join, nested, span_join
+from ..sources import sinks
+from ..sources.briefs import briefs
 from ..sources.paths import shared_path
 from ..sources.rule_index import RuleIndex
 from ..streaming.state import revise, revision_table
-from .queries import SQL, query
+from . import inference, seams
+from .queries import _ISSUES, SQL, _with, query
 
 _SHIPMENTS = """s AS (SELECT l_suppkey, l_returnflag AS flag, date_diff('day', DATE '1990-01-01', cast(l_shipdate AS DATE)) AS a, date_diff('day', DATE '1990-01-01', cast(l_shipdate AS DATE)) + cast(l_quantity AS BIGINT) AS b FROM lineitem)"""
 
@@ -95,3 +100,68 @@ def revisions_by_batches(spark, d):
         revise(table, log.where((F.col("seq") > low) & (F.col("seq") <= high)), batch)
         low = high
     return table.read().select("session_id", "revision", "conflicts", "state")
+
+
+def toy_ranker():
+    """A stand-in for a model of its own weights: a linear score of a text's length and of how often it says e and a, in numpy."""
+    weights = np.array([-1.0, 40.0, 20.0])
+
+    def score(batch):
+        features = np.array([[len(t or ""), (t or "").count("e"), (t or "").count("a")] for t in batch.column(1).to_pylist()], float).reshape(-1, 3)
+        return (features @ weights).tolist()
+
+    return score
+
+
+_RANKED = SQL["lexical_retrieval_topk"]
+
+
+@query(f"""WITH k AS ({_RANKED}), s AS (SELECT query_id, chunk_id, rank AS old_rank, -1.0 * length(text) + 40.0 * (length(text) - length(replace(text, 'e', ''))) + 20.0 * (length(text) - length(replace(text, 'a', ''))) AS score FROM k JOIN documents ON doc_id = chunk_id)
+SELECT query_id, chunk_id, cast(score AS BIGINT) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, old_rank) AS rank FROM s""")
+def model_reranking(spark, d):
+    """The best documents of each benchmark item, ordered anew by a model that runs on the executors."""
+    docs = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("chunk_id"), "text")
+    items = spark.read.parquet(f"{d}/benchmark.parquet").select(F.col("item_id").alias("query_id"), "text")
+    ranked = retrieval.lexical_top_k(docs, items).join(docs, "chunk_id").join(items.select("query_id", F.col("text").alias("query_text")), "query_id")
+    seams.register("reranker", "toy", inference.reranker("toy_ranker", toy_ranker))
+    out = seams.part("reranker", "toy")(ranked.select("query_id", "chunk_id", "rank", "query_text", "text"))
+    return out.select("query_id", "chunk_id", F.col("model_score").cast("long").alias("score"), "rank")
+
+
+def toy_answers():
+    """Counts a turn's words; it has nothing to say to a question and can't stand a turn of three lines."""
+
+    def answer(batch):
+        out = []
+        for t in batch.column(0).to_pylist():
+            if (t or "").count("\n") == 2:
+                raise ValueError("three lines")
+            out.append(None if "?" in (t or "?") else str(len(t.split(" "))))
+        return out
+
+    return answer
+
+
+@query("""WITH t AS (SELECT *, length(text) - length(replace(text, chr(10), '')) = 2 AS bad, text IS NULL OR contains(text, '?') AS asks FROM conversations)
+SELECT conv_id, turn, CASE WHEN bad THEN 'failed' WHEN asks THEN 'empty' ELSE 'ok' END AS status, CASE WHEN bad OR asks THEN NULL ELSE cast(len(string_split(text, ' ')) AS VARCHAR) END AS raw FROM t""")
+def model_answers(spark, d):
+    """A model's answers to every turn of the conversations, with what became of each row."""
+    turns = spark.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", F.col("text").alias("prompt"))
+    return inference.proposer("toy_answers", toy_answers)(turns).select("conv_id", "turn", "status", "raw")
+
+
+_TEMPLATES = ", ".join(f"('{n}', '{m}')" for n, _, _ in sinks.TEMPLATES for m in ("bluepages", "whitepages"))
+
+
+@query(_with(_ISSUES + f""", seeds AS (SELECT doc_id, doc_id || ':' || s || ':' || code AS seed_id, suggestion FROM issues WHERE suggestion IS NOT NULL),
+g AS (SELECT doc_id, (row_number() OVER (ORDER BY sha256('7:' || doc_id)) - 1) % 10 AS r FROM (SELECT DISTINCT doc_id FROM seeds))
+SELECT seed_id, template, mode, CASE r WHEN 0 THEN 'test' WHEN 1 THEN 'validation' ELSE 'train' END AS split, suggestion AS proposed,
+row_number() OVER (ORDER BY sha256('7:' || seed_id || '|' || template || '|' || mode)) - 1 AS position FROM seeds JOIN g USING (doc_id), (VALUES {_TEMPLATES}) t(template, mode)"""))
+def training_order(spark, d):
+    """Training records of every edit that the rules suggest for the briefs: templates, modes, splits by brief and a seeded order."""
+    found = lint.issue_rows(briefs(spark, d)).where("suggestion is not null")
+    key = F.concat_ws(":", F.col("doc_id").cast("string"), F.col("start").cast("string"), "code")
+    seeds = found.select(key.alias("seed_id"), F.col("original").alias("citation"), F.col("suggestion").alias("proposed"), F.lit("case").alias("source_type"), F.col("code").alias("issue_code"), F.col("doc_id").alias("group"))
+    made = sinks.training_set(seeds, "7")
+    proposed = F.get_json_object(F.col("messages")[1]["content"], "$.proposed_citation")
+    return made.select("seed_id", "template", "mode", "split", proposed.alias("proposed"), "position")

@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators import evaluate
+
 _NS = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
 _TYPES = '<?xml version="1.0" encoding="UTF-8"?><Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/word/document.xml" ContentType="application/vnd.openxmlformats-officedocument.wordprocessingml.document.main+xml"/></Types>'
 _RELS = '<?xml version="1.0" encoding="UTF-8"?><Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/officeDocument" Target="word/document.xml"/></Relationships>'
@@ -117,3 +119,31 @@ def training_records(rows: DataFrame, modes: tuple[str, ...] = ("bluepages", "wh
     answer = F.to_json(F.struct(F.col("proposed").alias("proposed_citation"), F.col("proposed").isNull().alias("abstain")), {"ignoreNullFields": "false"})
     message = lambda role, c: F.struct(F.lit(role).alias("role"), c.alias("content"))
     return out.select(F.array(message("user", user), message("assistant", answer)).alias("messages"), F.struct("mode", "source_type", "group", F.col("proposed").isNull().alias("abstain")).alias("metadata"))
+
+
+#: Sentences that a citation is put into, with what stands before it.
+TEMPLATES = (("see", "See ", "."), ("holding", "That much was settled in ", " and has stood since."), ("contrast", "Contrast ", ", which turns on other facts."))
+
+
+def training_set(seeds: DataFrame, seed: str, templates: tuple = TEMPLATES, modes: tuple[str, ...] = ("bluepages", "whitepages")) -> DataFrame:
+    """Every seed (seed_id, citation, proposed, source_type, issue_code, group) in every template and mode: position, split, messages, metadata and the ids.
+
+    Splits (80/10/10) go by group, so no group is in two of them; the order is a seeded shuffle of all records. Both
+    follow from hashes, whatever the partitions. Write it with ``write_shuffled``.
+    """
+    forms = F.array(*[F.struct(F.lit(n).alias("template"), F.lit(a).alias("before"), F.lit(b).alias("after"), F.lit(m).alias("mode")) for n, a, b in templates for m in modes])
+    out = evaluate.assign_splits(seeds, "group", seed).withColumn("f", F.explode(forms)).select("*", "f.*").drop("f")
+    document = F.concat("before", "citation", "after")
+    start = F.length("before")
+    user = F.to_json(F.struct(document.alias("document"), F.col("citation").alias("citation_text"), start.alias("start"), (start + F.length("citation")).alias("end"), "mode", "source_type", "issue_code"))
+    answer = F.to_json(F.struct(F.col("proposed").alias("proposed_citation"), F.col("proposed").isNull().alias("abstain")), {"ignoreNullFields": "false"})
+    message = lambda role, c: F.struct(F.lit(role).alias("role"), c.alias("content"))
+    about = F.struct("mode", "source_type", "group", F.col("proposed").isNull().alias("abstain")).alias("metadata")
+    records = out.select("seed_id", "template", "mode", "split", F.array(message("user", user), message("assistant", answer)).alias("messages"), about)
+    return evaluate.hash_rank(records, ["seed_id", "template", "mode"], seed)
+
+
+def write_shuffled(records: DataFrame, path: str, files: int = 1) -> None:
+    """Records as JSON lines in the order of ``position``: ranges of it to files, each sorted, a folder a split."""
+    dealt = records.repartitionByRange(files, "position").sortWithinPartitions("split", "position")
+    dealt.select("split", "position", "messages", "metadata").write.mode("errorifexists").option("ignoreNullFields", "false").partitionBy("split").json(path)
