@@ -244,7 +244,8 @@ def cut_out(text: pa.Array, cut: pa.Array) -> pa.Array:
     return pa.array(out, pa.binary()).view(pa.string())
 
 
-without_lines = F.arrow_udf(cut_out, T.StringType())
+#: Marked so that a filter on its result doesn't make Spark work it out twice, in two Python workers a task.
+without_lines = F.arrow_udf(cut_out, T.StringType()).asNondeterministic()
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None, drop_emptied: bool = False, **options) -> DataFrame:
