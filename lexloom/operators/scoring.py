@@ -209,8 +209,8 @@ def release_gates(metrics: DataFrame, network_calls: int = 0, reproducible: bool
     return out.withColumn("passed", passed)
 
 
-def failure_taxonomy(metrics: DataFrame, proposal_accuracy: float | None = None) -> DataFrame:
-    """One row: failures (class, owner), retraining_recommended (only for measured failures of proposals)."""
+def failure_taxonomy(metrics: DataFrame, proposal_accuracy: float | None = None, keep: list[str] | None = None) -> DataFrame:
+    """A row per row of metrics: the columns ``keep``, failures (class, owner), retraining_recommended (only for measured failures of proposals)."""
     bad = proposal_accuracy is not None and proposal_accuracy < 0.95
     row = lambda kind, owner: F.struct(F.lit(kind).alias("class"), F.lit(owner).alias("owner"))
     found = F.filter(F.array(
@@ -219,7 +219,7 @@ def failure_taxonomy(metrics: DataFrame, proposal_accuracy: float | None = None)
         F.when(F.col("retrieval_recall_at_k") < 0.95, row("retrieval", "reference_library")),
         F.when(F.lit(bad), row("proposal_generation", "qwen_adapter")),
     ), lambda x: x.isNotNull())
-    return metrics.select(found.alias("failures"), F.lit(bad).alias("retraining_recommended"))
+    return metrics.select(*(keep or []), found.alias("failures"), F.lit(bad).alias("retraining_recommended"))
 
 
 def ablation_matrix(spark, measured: dict[str, DataFrame]) -> DataFrame:

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.patterns import Pattern
 from ..functions.spans import rows_of, spans
-from ..operators import lint, retrieval
+from ..operators import formats, lint, retrieval, scoring
 from ..operators.spanjoin import asof_join, nested, span_join
-from ..sources import sinks
+from ..sources import blocks, sinks
 from ..sources.briefs import briefs
 from ..sources.paths import shared_path
 from ..sources.rule_index import RuleIndex
@@ -165,3 +165,48 @@ def training_order(spark, d):
     made = sinks.training_set(seeds, "7")
     proposed = F.get_json_object(F.col("messages")[1]["content"], "$.proposed_citation")
     return made.select("seed_id", "template", "mode", "split", proposed.alias("proposed"), "position")
+
+
+_CLAUSES = "concat('Plain words first. Alpha ', repeat(concat('see 42 USC §', o_orderkey % 90 + 10, '; '), cast(o_custkey % 4 AS int)), 'and no more', CASE WHEN o_orderkey % 3 = 0 THEN '; 14 USC §9' ELSE '' END, '. Next; with a pause.')"
+
+
+@query("""WITH t AS (SELECT o_orderkey AS doc_id, o_custkey % 4 AS n, 'see 42 USC §' || (o_orderkey % 90 + 10) AS c, o_orderkey % 3 = 0 AS last FROM orders),
+x AS (SELECT doc_id, i AS clause, CASE WHEN i = 0 THEN 19 ELSE 25 + i * (length(c) + 2) END AS start, CASE WHEN i = 0 THEN 'Alpha ' ELSE '' END || c AS text FROM t, range(4) r(i) WHERE i < n
+UNION ALL SELECT doc_id, n + 1, 25 + n * (length(c) + 2) + length('and no more; '), '14 USC §9.' FROM t WHERE last)
+SELECT doc_id, 1::BIGINT AS sentence, clause::BIGINT AS clause, start::BIGINT AS start, (start + length(text))::BIGINT AS "end", text FROM x""")
+def citation_clauses(spark, d):
+    """Clauses with citations in sentences of none to five of them."""
+    docs = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("doc_id"), F.expr(_CLAUSES).alias("text"))
+    return blocks.clause_rows(docs).select("doc_id", "sentence", "clause", "start", "end", "text")
+
+
+@query("""WITH o AS (SELECT *, o_orderkey % 4 AS kind, 'T' || o_custkey AS t, cast(o_orderkey AS VARCHAR) AS n, o_custkey % 3 = 0 AS more, o_orderkey % 7 = 0 AS lacks, 1990 + o_orderkey % 30 AS y FROM orders)
+SELECT o_orderkey, CASE WHEN lacks THEN 'missing_facts' ELSE 'ok' END AS status, CASE WHEN lacks THEN NULL WHEN kind = 0 THEN 'Brief of ' || t || ', ' || t || ' v. State, No. ' || n || CASE WHEN more THEN ', ECF No. ' || (o_custkey % 50) ELSE '' END || ' (D. Or. ' || y || ')'
+WHEN kind = 1 THEN 'Model ' || n || ' (' || t || '), ' || CASE WHEN more THEN 'On ' || t ELSE 'Response to author query' END || ' (' || y || ')' || CASE WHEN more THEN ', https://kept.example/' || n ELSE ' (on file with author)' END
+WHEN kind = 2 THEN t || ', Letter ' || n || CASE WHEN more THEN ', ' || (o_custkey % 50) ELSE '' END || ' (' || y || ') (on file with ' || 'City Archive' || CASE WHEN more THEN ', Box ' || n ELSE '' END || ')'
+ELSE CASE WHEN more THEN t || ', ' ELSE '' END || 'Page ' || n || ', ' || t || '.org (' || y || '), https://x.example/' || n END AS citation FROM o""")
+def formatted_sources(spark, d):
+    """Filings, answers of models, archive papers and pages, with and without their optional facts; a seventh lacks the title or model."""
+    o = spark.read.parquet(f"{d}/orders.parquet")
+    k, t, n = F.col("o_orderkey"), F.concat(F.lit("T"), F.col("o_custkey").cast("string")), F.col("o_orderkey").cast("string")
+    more, lacks, y, place = F.col("o_custkey") % 3 == 0, k % 7 == 0, (1990 + k % 30).cast("string"), (F.col("o_custkey") % 50).cast("string")
+    of = lambda **facts: F.map_filter(F.create_map(*[x for a, b in facts.items() for x in (F.lit(a), b)]), lambda _, v: v.isNotNull())
+    say, need, maybe = (lambda a, x: F.concat(F.lit(a), x)), (lambda x: F.when(~lacks, x)), (lambda x: F.when(more, x))
+    filing = of(document_title=need(say("Brief of ", t)), case_name=F.concat(t, F.lit(" v. State")), docket_number=n, docket_entry=maybe(place), court=F.lit("D. Or."), date=y)
+    answer = of(model=need(say("Model ", n)), provider=t, prompt_title=maybe(say("On ", t)), date=y, archive_url=maybe(say("https://kept.example/", n)), on_file_with_author=F.lit("yes"))
+    paper = of(author=t, document_title=need(say("Letter ", n)), pincite=maybe(place), date=y, archive=F.lit("City Archive"), location=maybe(say("Box ", n)))
+    page = of(author=maybe(t), title=need(say("Page ", n)), site=F.concat(t, F.lit(".org")), date=y, url=say("https://x.example/", n))
+    kind = F.element_at(F.array(*map(F.lit, ("court_document", "ai_content", "archival", "internet"))), (k % 4 + 1).cast("int"))
+    facts = F.when(k % 4 == 0, filing).when(k % 4 == 1, answer).when(k % 4 == 2, paper).otherwise(page)
+    return formats.generate(o.select("o_orderkey", kind.alias("source_type"), facts.alias("fields"))).select("o_orderkey", "status", "citation")
+
+
+@query("""WITH m AS (SELECT s_suppkey, 0.95 + (s_suppkey % 7) / 100.0 AS f, 0.96 + (s_suppkey % 5) / 100.0 AS a, 0.92 + (s_suppkey % 11) / 100.0 AS r FROM supplier)
+SELECT s_suppkey, array_to_string(list_filter([CASE WHEN f < 0.985 THEN 'document_structure_or_parsing:deterministic_engine' END, CASE WHEN a < 0.985 THEN 'authority_identity:citation_graph' END,
+CASE WHEN r < 0.945 THEN 'retrieval:reference_library' END, 'proposal_generation:qwen_adapter'], lambda x: x IS NOT NULL), ' ') AS failures, true AS retraining_recommended FROM m""")
+def failure_classes(spark, d):
+    """What the failures of each supplier's made-up metrics are put down to."""
+    k = F.col("s_suppkey")
+    metrics = spark.read.parquet(f"{d}/supplier.parquet").select("s_suppkey", (0.955 + (k % 7) / 100).alias("citation_span_f1"), (0.965 + (k % 5) / 100).alias("authority_identity_accuracy"), (0.925 + (k % 11) / 100).alias("retrieval_recall_at_k"))
+    out = scoring.failure_taxonomy(metrics, 0.9, keep=["s_suppkey"])
+    return out.select("s_suppkey", F.array_join(F.transform("failures", lambda f: F.concat(f["class"], F.lit(":"), f["owner"])), " ").alias("failures"), "retraining_recommended")

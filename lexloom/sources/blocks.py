@@ -105,6 +105,22 @@ def sentence_rows(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id
     return out.select("doc_id", "block_id", "start", (F.col("start") + F.length("text")).alias("end"), "text", F.rlike("text", F.lit(P.CITATION_HINT)).alias("has_citation"))
 
 
+def clause_rows(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """Clauses that look like citations, in sentences that do: doc_id, block_id, sentence, clause, start, end, text.
+
+    ``sentence`` numbers a block's sentences from 0 (white space alone is none), ``clause`` what a sentence's semicolons part.
+    """
+    lead = lambda x: F.length(x) - F.length(F.regexp_replace(x, r"(?U)^\s+", ""))
+    blocks = block_rows(docs, text_col, id_col)
+    blocks = blocks.withColumn("__s", F.filter(spans(F.col("text"), P.SENTENCE), lambda s: strip(s["text"]) != "")).withColumnsRenamed({"start": "__b", "text": "__x0", "end": "__e"})
+    each = rows_of(blocks, "__s", F.col("doc_id"), F.col("block_id"), F.col("__b"), at="sentence")
+    each = each.select("doc_id", "block_id", "sentence", (F.col("__b") + F.col("start") + lead(F.col("text"))).alias("__from"), strip(F.col("text")).alias("__text")).where(F.rlike("__text", F.lit(P.CITATION_HINT)))
+    parts = rows_of(each.withColumn("__c", spans(F.col("__text"), P.Pattern("[^;]+"))), "__c", F.col("doc_id"), F.col("block_id"), F.col("sentence"), F.col("__from"), at="clause")
+    start, value = F.col("__from") + F.col("start") + lead(F.col("text")), strip(F.col("text"))
+    out = parts.select("doc_id", "block_id", "sentence", "clause", start.alias("start"), value.alias("text")).where(F.rlike("text", F.lit(P.CITATION_HINT)))
+    return out.select("doc_id", "block_id", "sentence", "clause", "start", (F.col("start") + F.length("text")).alias("end"), "text")
+
+
 def quotation_rows(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     blocks = block_rows(docs, text_col, id_col).withColumn("__q", spans(F.col("text"), P.QUOTATION)).withColumnsRenamed({"start": "__b", "text": "__x0", "end": "__e"})
     rows = rows_of(blocks, "__q", F.col("doc_id"), F.col("block_id"), F.col("__b"))
