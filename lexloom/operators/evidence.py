@@ -2,16 +2,54 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.spans import between
-from ..functions.udfs import nfkc, sequence_ratio
+from ..functions.spans import between, bound, let
+from ..functions.udfs import nfkc, with_best_ratios
 from .retrieval import comparison_text, dot, nearby_quotes, normalize_text, overlap, passages, pincite_status, proposition, quote_status
 
 PARTIAL = 0.55
 
 
+#: What a text in ``comparison_text`` form is made of.
+_LETTERS = "array(" + ", ".join(f"'{c}'" for c in "abcdefghijklmnopqrstuvwxyz0123456789 ") + ")"
+
+
+def _counts(text: Column) -> Column:
+    """How often each of _LETTERS comes in a text."""
+    return bound(f"transform({_LETTERS}, c -> length(x.t) - length(replace(x.t, c, '')))", t=text)
+
+
+def _most(a: Column, na: Column, b: Column, nb: Column) -> Column:
+    """At least the similarity of two texts in ``comparison_text`` form, from their letters alone: twice the letters they
+    have in common, in any order, over all letters. ``a`` and ``b``: counts; ``na``, ``nb``: lengths."""
+    return bound("if(x.n = 0, double(1), 2 * aggregate(zip_with(x.a, x.b, (p, q) -> least(p, q)), 0, (s, v) -> s + v) / x.n)", a=a, b=b, n=na + nb)
+
+
+def _best_passages(rows: DataFrame, text: Column, found: Column, k: int, share: Column | None = None) -> DataFrame:
+    """``rows`` with ``best``: the k passages (pos, passage, share, ratio, score) of the greatest scores, ties by place, and with ``n_passages`` and ``n_compared``.
+
+    score = 0.65 share + 0.35 ratio (to four places), or the ratio alone without ``share`` (a function of the passage). Bounds of all
+    ratios are worked out in the row; Python compares a passage only as long as it can come among the k best.
+    """
+    weights = (0.0, 1.0) if share is None else (0.65, 0.35)
+    score = (lambda s, r: r) if share is None else (lambda s, r: F.round(0.65 * s + 0.35 * r, 4))
+
+    def one(p, own):
+        most = lambda c: F.struct(c.alias("plain"), _most(own["counts"], own["n"], _counts(c), F.length(c)).alias("most"), (F.lit(0.0) if share is None else share(p)).alias("share"), p.alias("passage"))
+        return let(comparison_text(p), most)
+
+    own = F.struct(_counts(F.col("__q")).alias("counts"), F.length("__q").alias("n"))
+    df = rows.withColumns({"__q": text, "__p": found})
+    df = df.withColumn("__all", let(own, lambda o: F.transform("__p", lambda p: one(p, o))))
+    df = with_best_ratios(df.drop("__p"), "__q", "__all", "__r", k, *weights)
+    told = let(F.struct(F.col("__all").alias("all"), F.col("__r").alias("r")), lambda x: F.transform(x["r"], lambda r: let(F.element_at(x["all"], r["i"] + 1), lambda c: F.struct((-score(c["share"], r["ratio"])).alias("key"), r["i"].alias("pos"), c["passage"].alias("passage"), c["share"].alias("share"), r["ratio"].alias("ratio")))))
+    best = F.transform(F.slice(F.array_sort(told), 1, k), lambda c: F.struct(c["pos"], c["passage"], c["share"], c["ratio"], (-c["key"]).alias("score")))
+    out = df.withColumns({"best": best, "n_passages": F.size("__all"), "n_compared": F.size("__r")})
+    return out.drop(*[c for c in out.columns if c.startswith("__")])
+
+
 def match_quotes(df: DataFrame, around: int = 80) -> DataFrame:
     """``df`` (id, quote, source) with status (exact, normalized, partial, absent, not_supplied), score and excerpt.
 
@@ -29,9 +67,9 @@ def match_quotes(df: DataFrame, around: int = 80) -> DataFrame:
     sure = base.where("status != 'compare'").select("id", "status", F.when(F.col("status") == "exact", 1.0).when(F.col("status") == "normalized", 0.98).otherwise(0.0).alias("score"), found.alias("excerpt"))
     rest = base.where("status = 'compare'").withColumn("q", comparison_text(F.col("quote")))
     target = F.greatest(F.lit(12), F.size(F.split("q", " ")) + 8)
-    win = rest.select("id", "q", F.posexplode_outer(passages(F.col("source"), target)).alias("pos", "p"))
     # Of equal ratios the first passage counts.
-    best = win.select("id", "pos", "p", F.coalesce(sequence_ratio("q", comparison_text(F.col("p"))), F.lit(0.0)).alias("r")).groupBy("id").agg(F.max("r").alias("r"), F.min_by("p", F.struct(-F.col("r"), F.col("pos"))).alias("p"))
+    found = _best_passages(rest, F.col("q"), passages(F.col("source"), target), 1)
+    best = found.select("id", F.try_element_at("best", F.lit(1)).alias("b")).select("id", F.coalesce("b.ratio", F.lit(0.0)).alias("r"), F.col("b.passage").alias("p"))
     partial = F.col("r") >= PARTIAL
     rest = best.select("id", F.when(partial, "partial").otherwise("absent").alias("status"), F.round("r", 4).alias("score"), F.when(partial, F.col("p")).otherwise("").alias("excerpt"))
     return sure.unionByName(rest)
@@ -51,13 +89,20 @@ def hybrid_scores(rows: DataFrame, lexical_weight: float = 0.5) -> DataFrame:
 def rank_passages(df: DataFrame, k: int = 3) -> DataFrame:
     """``df`` (id, proposition, source): id, rank, passage, token_overlap, sequence_similarity, combined_score.
 
-    combined = 0.65 token overlap + 0.35 sequence similarity; ties keep the source's order.
+    combined = 0.65 token overlap + 0.35 sequence similarity; ties keep the source's order. Rows without a passage or a proposition give none. Narrow: no shuffle.
     """
-    win = df.select("id", "proposition", F.posexplode(passages(F.col("source"))).alias("pos", "passage"))
-    win = win.withColumn("token_overlap", overlap(F.col("proposition"), F.col("passage"))).withColumn("sequence_similarity", sequence_ratio(comparison_text(F.col("proposition")), comparison_text(F.col("passage"))))
-    win = win.withColumn("combined_score", F.round(0.65 * F.col("token_overlap") + 0.35 * F.col("sequence_similarity"), 4))
-    w = Window.partitionBy("id").orderBy(F.desc("combined_score"), "pos")
-    return win.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("proposition", "pos")
+    found = _ranked_rows(df, k)
+    rows = found.select("id", F.posexplode("best").alias("k", "b"))
+    return rows.select("id", "b.passage", F.col("b.share").alias("token_overlap"), F.col("b.ratio").alias("sequence_similarity"), F.col("b.score").alias("combined_score"), (F.col("k") + 1).alias("rank"))
+
+
+def _ranked_rows(df: DataFrame, k: int) -> DataFrame:
+    return _best_passages(df.select("id", "proposition", "source"), comparison_text(F.col("proposition")), passages(F.col("source")), k, lambda p: overlap(F.col("proposition"), p))
+
+
+def passage_costs(df: DataFrame, k: int = 3) -> DataFrame:
+    """id, n_passages, n_compared: how many passages of each row reached the comparison that ``rank_passages`` makes."""
+    return _ranked_rows(df, k).select("id", "n_passages", "n_compared")
 
 
 def case_evidence(citations: DataFrame, sources: DataFrame) -> DataFrame:
