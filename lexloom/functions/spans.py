@@ -123,7 +123,7 @@ def within(cut: Column, start: Column, end: Column) -> Column:
 
 
 #: A binary search in x.held, of fewer than 2^25 elements.
-_BELOW = "aggregate(array(" + ", ".join(str(1 << k) for k in range(24, -1, -1)) + "), 0, (n, step) -> if(coalesce(try_element_at(x.held, n + step){field} < x.at, false), n + step, n))"
+_BELOW = "aggregate(if(size(x.held) < 32, array(16, 8, 4, 2, 1), array(" + ", ".join(str(1 << k) for k in range(24, -1, -1)) + ")), 0, (n, step) -> if(coalesce(try_element_at(x.held, n + step){field} < x.at, false), n + step, n))"
 
 
 def below(ordered: Column, at: Column, field: str | None = None) -> Column:
