@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
-from ..functions.spans import apply_edits, below, let, part, pieces, rows_of, spans, within
+from ..functions.spans import apply_edits, below, let, pieces, rows_of, spans, within
 from ..functions.tables import LINT_RULES
 from .extract import canonical_reporter, neutralize, with_citations
 
@@ -43,29 +43,30 @@ def with_issues(docs: DataFrame, mode: str = "bluepages", text_col: str = "text"
     t, cites = F.col("__t"), F.col("citations")
 
     def spelled(p: P.Pattern, code: str, build) -> Column:
-        wrong = F.filter(spans(t, p), lambda s: s["text"] != build(s["text"]))
-        return F.transform(wrong, lambda s: _issue(code, mode, s["start"], s["end"], s["text"], "high", build(s["text"])))
+        right = F.transform(spans(t, p, groups=True), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("text"), build(lambda n: F.get(s["groups"], F.lit(p.parts.index(n)))).alias("to")))
+        wrong = let(right, lambda x: F.filter(x, lambda s: s["text"] != s["to"]))
+        return F.transform(wrong, lambda s: _issue(code, mode, s["start"], s["end"], s["text"], "high", s["to"]))
 
     def reporter(x):
-        return F.concat(part(x, P.REPORTER, "volume"), F.lit(" "), canonical_reporter(part(x, P.REPORTER, "reporter")), F.lit(" "), part(x, P.REPORTER, "page"))
+        return F.concat(x("volume"), F.lit(" "), canonical_reporter(x("reporter")), F.lit(" "), x("page"))
 
-    def code_form(p, code):
-        return lambda x: F.concat(part(x, p, "title"), F.lit(f" {code} "), part(x, p, "symbol"), F.lit(" "), part(x, p, "section"))
+    def code_form(code):
+        return lambda x: F.concat(x("title"), F.lit(f" {code} "), x("symbol"), F.lit(" "), x("section"))
 
     ends = F.transform(F.filter(cites, lambda c: ~c["source_type"].isin("short_form", "internet")), lambda c: c["end"])
     ids = F.filter(cites, lambda c: (c["source_type"] == "short_form") & (_form(c) == "id"))
     token = lambda c: F.regexp_extract(c["text"], r"(?iU)^id\.?", 0)
     small = F.transform(F.filter(ids, lambda c: (token(c) != "") & (token(c) != "Id.")), lambda c: _issue("SHORT_FORM_CAPITALIZATION", mode, c["start"], c["start"] + F.length(token(c)), token(c), "high", F.lit("Id.")))
     far = F.array(F.lit(-(1 << 30)))
-    orphans = let(F.array_sort(F.concat(far, ends)), lambda known: F.filter(ids, lambda c: F.element_at(known, below(known, c["start"])) < c["start"] - P.ID_WINDOW))
+    orphans = let(F.sort_array(F.concat(far, ends)), lambda known: F.filter(ids, lambda c: F.element_at(known, below(known, c["start"])) < c["start"] - P.ID_WINDOW))
     surface = lambda c: F.coalesce(F.nullif(F.regexp_extract(c["text"], r"^[A-Za-z]+\.?", 0), F.lit("")), F.lit("Id."))
     orphan = F.transform(orphans, lambda c: _issue("SHORT_FORM_ORPHAN_ID", mode, c["start"], c["end"], c["text"], "high", None, F.concat(F.lit("“"), surface(c), F.lit("” must unambiguously refer to the immediately preceding authority."))))
     loose = F.transform(F.filter(cites, lambda c: (c["source_type"] == "short_form") & _form(c).isin("supra", "short_case", "reference")), lambda c: _issue("SHORT_FORM_UNRESOLVED", mode, c["start"], c["end"], c["text"], "high"))
     pin = F.transform(F.filter(cites, lambda c: (c["source_type"] == "case") & c["components"]["pincite"].isNull()), lambda c: _issue("CASE_PINCITE_REVIEW", mode, c["start"], c["end"], c["text"], "low"))
     groups = [
         spelled(P.REPORTER, "REPORTER_ABBREVIATION", reporter),
-        spelled(P.STATUTE, "STATUTE_CODE_ABBREVIATION", code_form(P.STATUTE, "U.S.C.")),
-        spelled(P.REGULATION, "REGULATION_CODE_ABBREVIATION", code_form(P.REGULATION, "C.F.R.")),
+        spelled(P.STATUTE, "STATUTE_CODE_ABBREVIATION", code_form("U.S.C.")),
+        spelled(P.REGULATION, "REGULATION_CODE_ABBREVIATION", code_form("C.F.R.")),
         small, orphan, loose, pin,
     ]
     if mode == "whitepages":
@@ -74,7 +75,7 @@ def with_issues(docs: DataFrame, mode: str = "bluepages", text_col: str = "text"
         groups.append(F.transform(bare, lambda c: _issue("INTERNET_ARCHIVE_REVIEW", mode, c["start"], c["end"], c["text"], "medium")))
     # Structs sort by their fields in order: start, end, code. Equal ones then stand side by side.
     once = lambda x: F.filter(x, lambda i, k: (k == 0) | (i != F.element_at(x, F.greatest(k, F.lit(1)))))
-    return df.withColumn("issues", let(F.array_sort(F.concat(*groups)), once)).drop("__t")
+    return df.withColumn("issues", let(F.sort_array(F.concat(*groups)), once)).drop("__t")
 
 
 def issue_rows(docs: DataFrame, mode: str = "bluepages", text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
