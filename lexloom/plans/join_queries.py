@@ -10,7 +10,7 @@ from ..functions.spans import rows_of, spans
 from ..operators import formats, lint, retrieval, scoring
 from ..operators.spanjoin import asof_join, nested, span_join
 from ..sources import blocks, sinks
-from ..sources.briefs import briefs
+from ..sources.briefs import briefs, orders
 from ..sources.paths import shared_path
 from ..sources.rule_index import RuleIndex
 from ..streaming.state import revise, revision_table
@@ -176,7 +176,7 @@ UNION ALL SELECT doc_id, n + 1, 25 + n * (length(c) + 2) + length('and no more;
 SELECT doc_id, 1::BIGINT AS sentence, clause::BIGINT AS clause, start::BIGINT AS start, (start + length(text))::BIGINT AS "end", text FROM x""")
 def citation_clauses(spark, d):
     """Clauses with citations in sentences of none to five of them."""
-    docs = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("doc_id"), F.expr(_CLAUSES).alias("text"))
+    docs = orders(spark, d).select(F.col("o_orderkey").alias("doc_id"), F.expr(_CLAUSES).alias("text"))
     return blocks.clause_rows(docs).select("doc_id", "sentence", "clause", "start", "end", "text")
 
 

@@ -17,7 +17,7 @@ from ..functions import tables
 from ..functions.spans import merge_touching, rows_of
 from ..operators import context, evaluate, extract, findings, formats, graph, lint, mode, resolve, retrieval, review
 from ..sources.blocks import block_rows, html_text
-from ..sources.briefs import ORACLE_CTES, SOURCE_TYPE, briefs, segments
+from ..sources.briefs import ORACLE_CTES, SOURCE_TYPE, briefs, orders, segments
 from ..streaming.review import event_sessions, event_windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -291,7 +291,7 @@ _NOTES_TEXT = "concat('Body claim.[', cast(o_custkey % 7 + 1 as string), '] Doe,
 
 @query("WITH o AS (SELECT o_orderkey AS doc_id, o_orderkey % 5 = 0 AS other, o_orderkey % 3 = 0 AS two FROM orders) SELECT doc_id, NOT other AND NOT two AS resolved, CASE WHEN other THEN 'referenced_note_has_no_permitted_authority' WHEN two THEN 'referenced_note_has_multiple_authorities' ELSE '' END AS reasons FROM o")
 def resolve_supra_note(spark, d):
-    docs = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("doc_id"), F.expr(_NOTES_TEXT).alias("text"))
+    docs = orders(spark, d).select(F.col("o_orderkey").alias("doc_id"), F.expr(_NOTES_TEXT).alias("text"))
     return resolve.supra_notes(graph.occurrences(docs).persist()).select("doc_id", F.col("authority_id").isNotNull().alias("resolved"), F.array_join("reasons", ",").alias("reasons"))
 
 
@@ -300,7 +300,7 @@ _ALIAS_TEXT = "concat('Jane Doe, Some Title, ', cast(o_custkey % 60 + 1 as strin
 
 @query("SELECT o_orderkey AS doc_id, count(*) AS n, count(*) AS n_resolved FROM (SELECT o_orderkey FROM orders UNION ALL SELECT o_orderkey FROM orders WHERE o_orderkey % 4 = 0) GROUP BY 1")
 def resolve_hereinafter(spark, d):
-    docs = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("doc_id"), F.expr(_ALIAS_TEXT.replace('\\"', '"')).alias("text"))
+    docs = orders(spark, d).select(F.col("o_orderkey").alias("doc_id"), F.expr(_ALIAS_TEXT.replace('\\"', '"')).alias("text"))
     facts = graph.with_occurrences(docs)
     occ = graph.occurrences(docs).persist()
     out = resolve.hereinafters(occ, resolve.alias_targets(facts, occ))

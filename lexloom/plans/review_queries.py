@@ -8,7 +8,7 @@ from ..functions import guidance, tables
 from ..operators import context, evaluate, evidence, extract, findings, formats, graph, lint, proposals, reduce, resolve, retrieval, review, scoring, sessions
 from ..operators import mode as modes
 from ..sources import blocks, exports, files, sinks
-from ..sources.briefs import briefs
+from ..sources.briefs import briefs, orders
 from . import seams
 from .queries import _ALIAS_TEXT, _AT, _ISSUES, _NORMAL, _OCC, _PLAIN, _TYPE, _with, query
 
@@ -68,7 +68,7 @@ _EXPECTED = ", ".join(f"({i}, {_quoted(e)}, {_quoted(r)})" for i, (_, e, r) in e
 def _proposals(spark, d):
     k = F.element_at(F.array(*[F.lit(r) for r, _, _ in _raws()]), (F.col("o_orderkey") % _N + 1).cast("int"))
     text = F.lit("See 42 USC §1983 here.")
-    rows = _table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), k.alias("raw"), text.alias("text"), F.lit("bluepages").alias("expected_mode"), F.lit("statute").alias("expected_source_type"), F.lit(4).alias("expected_start"), F.lit(16).alias("expected_end"), F.array(F.lit("STATUTE_CODE_ABBREVIATION")).alias("issue_codes"), F.array(F.lit("c1")).alias("chunk_ids"))
+    rows = orders(spark, d).select(F.col("o_orderkey").alias("doc_id"), k.alias("raw"), text.alias("text"), F.lit("bluepages").alias("expected_mode"), F.lit("statute").alias("expected_source_type"), F.lit(4).alias("expected_start"), F.lit(16).alias("expected_end"), F.array(F.lit("STATUTE_CODE_ABBREVIATION")).alias("issue_codes"), F.array(F.lit("c1")).alias("chunk_ids"))
     return proposals.validate_proposals(proposals.parse_proposals(rows))
 
 
@@ -332,7 +332,7 @@ _NORMALISED = f"""(VALUES (0, {_SHA0}, 4, 16, '42 USC §1983', '42 U.S.C. § 198
 
 @query(f"SELECT o_orderkey AS session_id, id, cast(s AS BIGINT) AS start, cast(e AS BIGINT) AS \"end\", original, replacement, issue_code, message, correction_level, safe_to_apply FROM orders JOIN {_NORMALISED} ON o_orderkey % 6 = k")
 def normalized_issues(spark, d):
-    rows = _table(spark, d, "orders").select(F.col("o_orderkey").alias("session_id"), F.lit(_REVIEW_TEXT).alias("text"), F.element_at(F.array(*[F.lit(_review_json(k)) for k in range(6)]), (F.col("o_orderkey") % 6 + 1).cast("int")).alias("review"))
+    rows = orders(spark, d).select(F.col("o_orderkey").alias("session_id"), F.lit(_REVIEW_TEXT).alias("text"), F.element_at(F.array(*[F.lit(_review_json(k)) for k in range(6)]), (F.col("o_orderkey") % 6 + 1).cast("int")).alias("review"))
     return sessions.normalize_issues(rows).drop("provenance")
 
 
@@ -460,13 +460,13 @@ _PAREN = "concat('Cf. A v. B, 1 U.S. 2 (', CASE o_orderkey % 3 WHEN 0 THEN 'noti
 
 @query("SELECT o_orderkey AS doc_id, 'SIGNAL_PARENTHETICAL_REVIEW' AS code, 0::BIGINT AS start FROM orders WHERE o_orderkey % 3 <> 0")
 def findings_signal_parenthetical(spark, d):
-    docs = _table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.expr(_PAREN.replace(" (open.", ".")).alias("text"))
+    docs = orders(spark, d).select(F.col("o_orderkey").alias("doc_id"), F.expr(_PAREN.replace(" (open.", ".")).alias("text"))
     return findings.signal_findings(docs).where("code = 'SIGNAL_PARENTHETICAL_REVIEW'").select("doc_id", "code", "start")
 
 
 @query("WITH t AS (SELECT o_orderkey AS doc_id, length('Cf. A v. B, 1 U.S. 2 (' || CASE o_orderkey % 3 WHEN 0 THEN 'noting the rule' WHEN 1 THEN '9th Cir. 1990' ELSE '1990' END || '). Then ') AS n FROM orders) SELECT doc_id, 'CITATION_GROUP_SEPARATOR' AS code, n + length('Roe v. Doe, 3 U.S. 4 (1991)') AS start, '; ' AS suggestion FROM t UNION ALL SELECT doc_id, 'PARENTHETICAL_SYNTAX', n + length('Roe v. Doe, 3 U.S. 4 (1991), Xe v. Ye, 5 U.S. 6 (1992)'), NULL FROM t")
 def findings_separators(spark, d):
-    docs = _table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.expr(_PAREN).alias("text"))
+    docs = orders(spark, d).select(F.col("o_orderkey").alias("doc_id"), F.expr(_PAREN).alias("text"))
     out = findings.citation_findings(docs, graph.occurrences(docs)).where("code IN ('CITATION_GROUP_SEPARATOR', 'PARENTHETICAL_SYNTAX')")
     return out.select("doc_id", "code", "start", "suggestion")
 
@@ -481,7 +481,7 @@ def citation_resources(spark, d):
 
 @query("SELECT o_orderkey AS doc_id, 'hereinafter_definition' AS edge_type, '0' AS source, 'Title' || o_orderkey % 9 AS alias FROM orders")
 def definition_edges(spark, d):
-    docs = _table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.expr(_ALIAS_TEXT.replace('\\"', '"')).alias("text"))
+    docs = orders(spark, d).select(F.col("o_orderkey").alias("doc_id"), F.expr(_ALIAS_TEXT.replace('\\"', '"')).alias("text"))
     facts = graph.with_occurrences(docs)
     return resolve.definition_edges(facts, graph.occurrence_rows(facts)).select("doc_id", "edge_type", "source", "alias")
 
@@ -491,13 +491,13 @@ _TWO_NOTES = "concat('Body.[1] More.[2]', chr(10), chr(10), '[1] 1 U.S.C. § 2;
 
 @query("SELECT o_orderkey AS doc_id, 'same_footnote' AS edge_type, s AS source, t AS target FROM orders, (VALUES ('0', '1', false), ('2', '3', true), ('2', '4', true), ('3', '4', true)) v(s, t, long) WHERE NOT long OR o_orderkey % 2 = 0")
 def same_footnote_edges(spark, d):
-    docs = _table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.expr(_TWO_NOTES).alias("text"))
+    docs = orders(spark, d).select(F.col("o_orderkey").alias("doc_id"), F.expr(_TWO_NOTES).alias("text"))
     return graph.note_edges(graph.occurrences(docs))
 
 
 @query("SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 3 = 0 THEN '12-15' END AS pincite, '1990' AS year, 'Doe' AS guess FROM orders")
 def journal_details(spark, d):
-    docs = _table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.expr("concat('Jane Doe, Some Title, 9 Harv. L. Rev. 100', CASE WHEN o_orderkey % 3 = 0 THEN ', 12-15' ELSE '' END, ' (1990). As Doe, supra, said.')").alias("text"))
+    docs = orders(spark, d).select(F.col("o_orderkey").alias("doc_id"), F.expr("concat('Jane Doe, Some Title, 9 Harv. L. Rev. 100', CASE WHEN o_orderkey % 3 = 0 THEN ', 12-15' ELSE '' END, ' (1990). As Doe, supra, said.')").alias("text"))
     c = extract.citation_rows(docs)
     j = c.where("source_type = 'journal_article'").select("doc_id", F.col("components")["pincite"].alias("pincite"), F.col("components")["year"].alias("year"))
     return j.join(c.where("source_type = 'short_form'").select("doc_id", F.col("components")["antecedent_guess"].alias("guess")), "doc_id")
@@ -563,7 +563,7 @@ def claims_before_citations(spark, d):
 @query("SELECT o_orderkey AS id, 1::BIGINT AS rank, 'Beta ' || o_custkey || ' holds the office of keeper.' AS passage, 100::BIGINT AS score FROM orders")
 def passage_ranking(spark, d):
     words = "alpha " * 80
-    rows = _table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.concat(F.lit("Beta "), F.col("o_custkey"), F.lit(" holds the office of keeper.")).alias("proposition"), F.concat(F.lit(f"Long {words}ends. "), F.lit(f"More {words}ends. "), F.lit("Beta "), F.col("o_custkey"), F.lit(" holds the office of keeper.")).alias("source"))
+    rows = orders(spark, d).select(F.col("o_orderkey").alias("id"), F.concat(F.lit("Beta "), F.col("o_custkey"), F.lit(" holds the office of keeper.")).alias("proposition"), F.concat(F.lit(f"Long {words}ends. "), F.lit(f"More {words}ends. "), F.lit("Beta "), F.col("o_custkey"), F.lit(" holds the office of keeper.")).alias("source"))
     ranked = evidence.rank_passages(rows, 1)
     return ranked.select("id", "rank", "passage", F.round(F.col("combined_score") * 100).cast("long").alias("score"))
 
@@ -601,7 +601,7 @@ _UNRESOLVED = "concat('Id. at ', o_orderkey % 90 + 1, ' says so.', chr(10), 'Bax
 
 @query("SELECT o_orderkey AS doc_id, code, family, 'error' AS severity, 'review_required' AS correction_level, 'whitepages' AS mode FROM orders, (VALUES ('ID_AMBIGUOUS_ANTECEDENT', 'short forms: Id.'), ('SHORT_CASE_UNRESOLVED', 'short forms: cases'), ('SUPRA_AMBIGUOUS_ANTECEDENT', 'supra and hereinafter')) v(code, family)")
 def document_findings(spark, d):
-    docs = _table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.expr(_UNRESOLVED).alias("text"))
+    docs = orders(spark, d).select(F.col("o_orderkey").alias("doc_id"), F.expr(_UNRESOLVED).alias("text"))
     facts = graph.with_occurrences(docs)
     occ = graph.occurrence_rows(facts).persist()
     found = findings.findings(docs, occ, resolve.resolutions(occ, resolve.alias_targets(facts, occ)), "whitepages")
@@ -616,7 +616,7 @@ def lint_whitepages(spark, d):
 @query(r"SELECT o_orderkey AS doc_id, ord::BIGINT AS ord, kind, CASE ord WHEN 0 THEN 'Head ' || o_orderkey WHEN 1 THEN 'A claim.[^a] More [site](https://x.org/' || o_orderkey || ') here.' WHEN 2 THEN 'https://x.org/' || o_orderkey WHEN 3 THEN 'quoted ' || o_custkey ELSE 'The note ' || o_orderkey END AS text, CASE WHEN ord = 4 THEN '1' END AS note_number FROM orders, (VALUES (0, 'heading'), (1, 'paragraph'), (2, 'hyperlink'), (3, 'block_quotation'), (4, 'footnote')) v(ord, kind)")
 def markdown_blocks(spark, d):
     text = r"concat('# Head ', o_orderkey, '\n\nA claim.[^a] More [site](https://x.org/', o_orderkey, ') here.\n\n> quoted ', o_custkey, '\n\n[^a]: The note ', o_orderkey, '\n')"
-    docs = _table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.expr(text).alias("text"))
+    docs = orders(spark, d).select(F.col("o_orderkey").alias("doc_id"), F.expr(text).alias("text"))
     return blocks.markdown_rows(docs).select("doc_id", "ord", "kind", "text", "note_number")
 
 
@@ -625,13 +625,13 @@ _SENT = "concat('First one here. Second cites 42 U.S.C. § 5 there! It said “q
 
 @query("SELECT o_orderkey AS doc_id, text, has_citation FROM orders, LATERAL (SELECT 'First one here.' AS text, false AS has_citation UNION ALL SELECT 'Second cites 42 U.S.C.', true UNION ALL SELECT '§ 5 there!', false UNION ALL SELECT 'It said “quoted ' || o_orderkey || ' words” last.', false)")
 def block_sentences(spark, d):
-    docs = _table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.expr(_SENT).alias("text"))
+    docs = orders(spark, d).select(F.col("o_orderkey").alias("doc_id"), F.expr(_SENT).alias("text"))
     return blocks.sentence_rows(docs).select("doc_id", "text", "has_citation")
 
 
 @query("SELECT o_orderkey AS doc_id, 58 AS start, cast(58 + length('“quoted ' || o_orderkey || ' words”') AS BIGINT) AS \"end\" FROM orders")
 def block_quotations(spark, d):
-    docs = _table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.expr(_SENT).alias("text"))
+    docs = orders(spark, d).select(F.col("o_orderkey").alias("doc_id"), F.expr(_SENT).alias("text"))
     return blocks.quotation_rows(docs).select("doc_id", "start", "end")
 
 
@@ -699,7 +699,7 @@ _STATE_CASE = f"concat('As held, Smith & Sons v. Board of Trade, ', {_V}, ' ', {
 
 @query(f"SELECT o_orderkey AS doc_id, 'Smith & Sons v. Board of Trade' AS case_name, cast({_V} AS VARCHAR) AS volume, {_REP} AS reporter, cast({_PG} AS VARCHAR) AS first_page, CASE WHEN o_orderkey % 2 = 0 THEN cast({_PG} + 3 AS VARCHAR) END AS pincite, CASE o_orderkey % 3 WHEN 2 THEN NULL ELSE cast({_YR} AS VARCHAR) END AS year, CASE o_orderkey % 3 WHEN 2 THEN cast({_YR} AS VARCHAR) END AS date_year, CASE o_orderkey % 3 WHEN 1 THEN '9th Cir.' END AS court FROM orders")
 def extract_reported_cases(spark, d):
-    docs = _table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.expr(_STATE_CASE).alias("text"))
+    docs = orders(spark, d).select(F.col("o_orderkey").alias("doc_id"), F.expr(_STATE_CASE).alias("text"))
     c = extract.citation_rows(docs).where("source_type = 'case'")
     return c.select("doc_id", *[F.col("components")[n].alias(n) for n in ("case_name", "volume", "reporter", "first_page", "pincite", "year", "date_year", "court")])
 
@@ -709,7 +709,7 @@ _STATE_LAW = f"concat('Under ', CASE o_orderkey % 3 WHEN 0 THEN 'Cal. Penal Code
 
 @query(f"SELECT o_orderkey AS doc_id, CASE o_orderkey % 3 WHEN 0 THEN 'Cal. Penal Code' WHEN 1 THEN 'N.Y. Gen. Laws' ELSE 'Tex. Stat. Ann.' END AS code, CASE WHEN o_orderkey % 3 = 1 THEN cast(o_custkey % 90 + 1 AS VARCHAR) END AS chapter, ({_V}) || '.' || ({_PG}) AS section, CASE WHEN o_orderkey % 2 = 0 THEN cast({_YR} AS VARCHAR) END AS edition FROM orders")
 def extract_state_statutes(spark, d):
-    docs = _table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.expr(_STATE_LAW).alias("text"))
+    docs = orders(spark, d).select(F.col("o_orderkey").alias("doc_id"), F.expr(_STATE_LAW).alias("text"))
     c = extract.citation_rows(docs).where("source_type = 'statute'")
     return c.select("doc_id", *[F.col("components")[n].alias(n) for n in ("code", "chapter", "section", "edition")])
 
@@ -717,7 +717,7 @@ def extract_state_statutes(spark, d):
 @query("SELECT o_orderkey AS doc_id, 'Doe v. Roe' AS case_name, cast(1950 + o_orderkey % 60 AS VARCHAR) AS inline_year, 'Cal. 4th' AS reporter FROM orders")
 def extract_inline_years(spark, d):
     text = F.expr("concat('See Doe v. Roe (', 1950 + o_orderkey % 60, ') 5 Cal. 4th 100.')")
-    c = extract.citation_rows(_table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), text.alias("text")))
+    c = extract.citation_rows(orders(spark, d).select(F.col("o_orderkey").alias("doc_id"), text.alias("text")))
     return c.where("source_type = 'case'").select("doc_id", *[F.col("components")[n].alias(n) for n in ("case_name", "inline_year", "reporter")])
 
 
@@ -735,4 +735,4 @@ def explained_rules(spark, d):
 @query("SELECT o_orderkey AS doc_id, 4::BIGINT AS blocks, 2::BIGINT AS paragraphs, 2::BIGINT AS footnotes, 3::BIGINT AS \"references\", cast(length('Body.[1] More.[2]' || chr(10) || chr(10) || 'Next ' || o_orderkey || '.[1]' || chr(10) || chr(10) || '[1] One.' || chr(10) || chr(10) || '[2] Two.') AS BIGINT) AS characters FROM orders")
 def document_outline(spark, d):
     text = F.expr(r"concat('Body.[1] More.[2]\n\nNext ', o_orderkey, '.[1]\n\n[1] One.\n\n[2] Two.')")
-    return blocks.outline(_table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), text.alias("text")))
+    return blocks.outline(orders(spark, d).select(F.col("o_orderkey").alias("doc_id"), text.alias("text")))

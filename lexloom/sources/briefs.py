@@ -77,3 +77,18 @@ def briefs(spark: SparkSession, sf_dir: str) -> DataFrame:
     seg = F.struct(*by, F.concat(*[F.expr(_pick(i)) for i in range(3)]).alias("x"))
     rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy(F.col("l_orderkey").alias("doc_id"))
     return rows.agg(F.array_join(F.sort_array(F.collect_list(seg))["x"], "").alias("text"))
+
+
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` dealt over all tasks by a key, before much is made of few bytes.
+
+    A narrow table is read as one or two parts, whatever its number of rows, and adaptive execution would put small parts together
+    again if their number weren't given.
+    """
+    spark = rows.sparkSession
+    return rows.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), key)
+
+
+def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The orders that short texts are made of, over all tasks."""
+    return spread(spark.read.parquet(f"{sf_dir}/orders.parquet"), "o_orderkey")
