@@ -7,6 +7,8 @@ where they are; only scores are shuffled, after local sums and a local top-k.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -132,15 +134,58 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def vector_top_k(chunks: DataFrame, queries: DataFrame, k: int = 5, block: int = BLOCK) -> DataFrame:
-    """query_id, chunk_id, score, rank by dot product. ``chunks``: chunk_id, v; ``queries``: query_id, v (arrays of floats)."""
+    """query_id, chunk_id, score, rank by dot product. ``chunks``: chunk_id, v; ``queries``: query_id, v (arrays of floats).
+
+    Chunks are dealt into groups of about ``block``; each meets each block of queries in one task, which keeps the pairs that can
+    be among a query's best ``k`` by a matrix product with an exact bound of its error. ``dot`` then gives their scores. The
+    work is chunks x queries.
+    """
+    deals = max(1, -(-chunks.count() // block))
+    group = F.pmod(F.xxhash64("chunk_id"), F.lit(deals)).alias("g")
+    dealt = chunks.groupBy(group).agg(F.collect_list(F.struct("chunk_id", "v")).alias("cs"))
     out = None
     for part in _blocks(queries.select("query_id", F.col("v").alias("q")), block):
-        hits = chunks.select("chunk_id", "v").withColumn("qs", part.agg(F.collect_list(F.struct("query_id", "q"))).scalar())
-        hits = hits.select("chunk_id", F.explode_outer(F.transform("qs", lambda q: F.struct(q["query_id"].alias("query_id"), dot(F.col("v"), q["q"]).alias("score")))).alias("h")).select("h.query_id", "chunk_id", F.col("h.score").alias("score")).where("query_id is not null")
+        asked = part.agg(F.collect_list(F.struct("query_id", "q")).alias("qs"))
+        pairs = dealt.crossJoin(F.broadcast(asked)).withColumn("h", _nearest(k)(F.col("cs.v"), F.col("qs.q")))
+        pairs = pairs.select(F.explode_outer(F.transform("h", lambda h: F.struct(F.get("cs", h["c"]).alias("c"), F.get("qs", h["q"]).alias("q")))).alias("x")).where("x is not null")
+        hits = pairs.select("x.q.query_id", "x.c.chunk_id", dot(F.col("x.c.v"), F.col("x.q.q")).alias("score")).where("query_id is not null")
         out = hits if out is None else out.unionByName(hits)
     return _ranked(out, k)
 
 
+def _nearest(k: int):
+    """An Arrow UDF over rows of vectors and queries: the pairs (c, q) of their places that can be among a query's best ``k`` here.
+
+    A vector that is null, of another length, or not finite makes a pair that no bound holds for, so all of its pairs are kept.
+    """
+
+    @F.pandas_udf("array<struct<c:int,q:int>>")
+    def nearest(vs: pd.Series, qs: pd.Series) -> pd.Series:
+        def matrix(rows, d):
+            fit = np.array([x is not None and len(x) == d for x in rows], bool)
+            out = np.zeros((len(rows), d))
+            for i in np.flatnonzero(fit):
+                out[i] = rows[i]
+            sound = fit & (np.abs(out).max(axis=1, initial=0) < 1e150)  # false for nan and infinity, too
+            out[~sound] = 0
+            return out, sound
+
+        def one(v, q):
+            d = max((len(x) for x in q if x is not None), default=0)
+            (a, a_ok), (b, b_ok) = matrix(v, d), matrix(q, d)
+            s = a @ b.T
+            # The error of a sum of d products in any order, twice: of this sum and of the one in ``dot``.
+            slack = 4 * (d + 2) * np.finfo(float).eps * np.sqrt((a * a).sum(axis=1).max(initial=0)) * np.sqrt((b * b).sum(axis=1)) + 1e-300
+            best = s[a_ok]
+            least = np.partition(best, len(best) - k, axis=0)[len(best) - k] - slack if len(best) > k else np.full(len(q), -np.inf)
+            c, j = np.nonzero((s >= least) | ~a_ok[:, None] | ~b_ok[None, :])
+            return [{"c": int(x), "q": int(y)} for x, y in zip(c, j)]
+
+        return pd.Series([one(v, q) for v, q in zip(vs, qs)])
+
+    return nearest
+
+
 def normalize_text(text: Column) -> Column:
     """Dashes to hyphens, white space collapsed and trimmed (see ``lexloom.functions.udfs.nfkc`` for compatibility forms)."""
     return F.trim(F.regexp_replace(F.translate(text, "—–", "--"), r"(?U)\s+", " "))
