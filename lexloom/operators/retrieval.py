@@ -1,8 +1,8 @@
 """Ranking of guidance chunks and of vectors for queries, the best ``k`` each.
 
 Queries are a stated set: they are dealt into blocks of about ``BLOCK``, and a block
-is what is broadcast (tokens) or read as one array (vectors). Chunks are scored
-where they are; only scores are shuffled, after local sums and a local top-k.
+is what is broadcast. Chunks of a text search are scored where they are, and only
+scores are shuffled, after local sums and a local top-k; vectors are dealt into groups.
 """
 
 from __future__ import annotations
