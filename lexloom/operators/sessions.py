@@ -230,11 +230,13 @@ def export_summary(artifacts: DataFrame) -> DataFrame:
 def workspace_payload(docs: DataFrame, issues: DataFrame, most_chars: int = 100_000, most_items: int = 500) -> DataFrame:
     """What a workspace shows of each document: text (cut at ``most_chars``), text_truncated, items (the first ``most_items`` by place), items_truncated, n_items.
 
-    Only the items that are shown are gathered: places are ranked per document first.
+    Only the items that are shown are gathered: places are ranked per document first. Items and their number come from one
+    aggregation, so that ``issues`` are worked out once.
     """
     w = Window.partitionBy("doc_id").orderBy("start", "end", "code")
     ranked = issues.withColumn("__n", F.row_number().over(w))
-    shown = ranked.where(F.col("__n") <= most_items).groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("__n", F.struct("start", "end", "code", "suggestion").alias("item")))), lambda x: x["item"]).alias("items"))
-    n = issues.groupBy("doc_id").agg(F.count("*").alias("n"))
-    df = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("t")).join(shown, "doc_id", "left").join(n, "doc_id", "left")
+    item = F.when(F.col("__n") <= most_items, F.struct("__n", F.struct("start", "end", "code", "suggestion").alias("item")))
+    told = ranked.groupBy("doc_id").agg(F.collect_list(item).alias("x"), F.count("*").alias("n"))
+    told = told.select("doc_id", F.when(F.size("x") > 0, F.transform(F.array_sort("x"), lambda x: x["item"])).alias("items"), "n")
+    df = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("t")).join(told, "doc_id", "left")
     return df.select("doc_id", F.substring("t", 1, most_chars).alias("text"), (F.length("t") > most_chars).alias("text_truncated"), "items", (F.coalesce("n", F.lit(0)) > most_items).alias("items_truncated"), F.coalesce("n", F.lit(0)).alias("n_items"))
