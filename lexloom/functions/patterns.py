@@ -48,7 +48,7 @@ ID_PINCITE_AFTER = r"(?iuU)^\s*,?\s*at\s+\d"
 SIGNAL_BEFORE_ID = r"(?iuU)\b(?:see also|see generally|but see|but cf\.?|see|cf\.?|accord|compare|e\.g\.)\s*$"
 SENTENCE_END_BEFORE = r"(?U)[.!?][\"'”)\]]?\s*$"
 ID_WINDOW = 500
-SHORT_CASE = Pattern(r"(?U)(?=[A-Z])\b([A-Z][A-Za-z0-9.&' -]{1,50}),\s*(\d{1,4})\s+(U\.S\.|F\.(?:2d|3d|Supp\.?(?: 2d| 3d)?))\s+at\s+(\d{1,6}(?:[-–—]\d{1,6})?)\b", ("name", "volume", "reporter", "pincite"), needs="at", hint=r"(?U)[dp.]\s+at\s+\d")
+SHORT_CASE = Pattern(r"(?U)(?=[A-Z])\b([A-Z][A-Za-z0-9.&' -]{1,50}),\s*(\d{1,4})\s+(U\.S\.|F\.(?:2d|3d|Supp\.?(?: 2d| 3d)?))\s+at\s+(\d{1,6}(?:[-–—]\d{1,6})?)\b", ("name", "volume", "reporter", "pincite"), needs="at", hint=r"(?U)(?:U\.S\.|F\.(?:2d|3d|Supp\.?(?: 2d| 3d)?))\s+at\s+\d")
 ID_FORM = Pattern(r"(?iuU)(?=Id\.)\bId\.(?:\s+at\s+\d{1,6}(?:[-–—]\d{1,6})?)?", any_of=_cases("iIıİ", "dD", "."))
 SUPRA_NOTE = Pattern(r"(?iuU)(?=[A-Z])\b([A-Z][A-Za-z0-9.&' -]{0,60}?),\s+supra\s+note\s+(\d+)(?:,\s*at\s+\d{1,6}(?:[-–—]\d{1,6})?)?", ("label", "note"), needs="supra", hint=r"(?iuU)supra\s+note", any_of=_cases("pP", "rR"))
 SUPRA = Pattern(r"(?iuU)(?=[A-Z])\b([A-Z][A-Za-z0-9.&' -]{0,60}?),\s+supra(?:,\s*at\s+\d{1,6}(?:[-–—]\d{1,6})?)?", ("label",), needs="supra", any_of=_cases("pP", "rR"))
@@ -104,6 +104,11 @@ def _by_letter(words: tuple[str, ...]) -> str:
 _WORD = r"(?:[A-Z][\w&'’-]*|[A-Z][A-Za-z]{0,3}\.|(?:[A-Z]\.)+)"
 _PARTY = rf"{_WORD}(?:,? (?:{_any(CONNECTORS)}|{_WORD})){{0,8}}"
 
+#: What a text holds that has an edge of a clause; of a signal, a quotation or a parenthetical; an antecedent of a section's short form and that form.
+CLAUSE_EDGE = Pattern(";", needs=";")
+CONTEXT_EDGE = Pattern(r"(?iu)see|cf\.|accord|contra|[“\"”(]", hint=r"(?iu)see|cf\.|accord|contra|[“\"”(]")
+TWO_SECTIONS = Pattern(r"§[^§]+§", needs="§", hint=r"§[^§]+§")
+
 #: Case citations by a table of reporters: with or without a name, a pincite, a court and a year (also the year after the name).
 REPORTED_CASE = Pattern(
     rf"(?U)(?=[A-Z\d])(?:(?<![\w.])(?!(?:{_any(NOT_A_PARTY)})[ ])({_PARTY} v\. {_PARTY})(?: \((\d{{4}})\)|,) )?\b(\d{{1,4}}) ({_any(STATE_REPORTERS + FEDERAL_REPORTERS)})\s?(?<![\w])(\d{{1,6}})\b(?!\s+(?:U\.?S\.?C|C\.?F\.?R))(?:, (\d{{1,6}}(?:[-–]\d{{1,6}})?)\b(?! [A-Z]))?(?: \((?:[A-Z][a-z]{{2,8}}\.? \d{{1,2}}, (\d{{4}})|([^()]*?)\s?(\d{{4}}))\))?",

@@ -8,17 +8,23 @@ what identifies them, so they can be joined across documents.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
-from ..functions.spans import below, hit, in_order, let, named, pieces, rows_of, spans, within
+from ..functions.spans import below, hit, in_order, let, named, pieces, rows_of, spans, there, within
 from ..functions.tables import squeezed
 from ..sources.blocks import with_blocks
 from .extract import neutralize, with_citations
 
 OCC = "struct<start:int,end:int,text:string,source_type:string,form:string,components:map<string,string>>"
 FAR = 2147483647
+#: What can be asked for about an occurrence's surroundings: where its sentence and clause end, the gap to the one before, the
+#: texts at both sides, and those of its block (what stands beside an article is always worked out).
+SURROUNDINGS = ("breaks", "gap", "near", "beside")
 
 
 def norm(value: Column) -> Column:
@@ -29,12 +35,30 @@ def _occ(s: Column, source_type: str, form: str, components: Column) -> Column:
     return F.struct(s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("text"), F.lit(source_type).alias("source_type"), F.lit(form).alias("form"), components.alias("components")).cast(OCC)
 
 
-def with_occurrences(docs: DataFrame, text_col: str = "text", surroundings: bool = True) -> DataFrame:
+def _asked(surroundings: bool | Iterable[str]) -> set[str]:
+    asked = set(SURROUNDINGS if surroundings is True else surroundings or ())
+    if not asked <= set(SURROUNDINGS):
+        raise ValueError(f"surroundings must be of {SURROUNDINGS}")
+    return asked
+
+
+def holding(docs: DataFrame, *any_of: P.Pattern, text_col: str = "text") -> DataFrame:
+    """The documents whose text can hold a match of one of the patterns: the others have no row of a query that asks for such occurrences alone.
+
+    The test is what every match fulfils, so it drops no match; each text that stays is worked on whole.
+    """
+    t = neutralize(F.coalesce(F.col(text_col), F.lit("")))
+    return docs.where(reduce(Column.__or__, [F.lit(True) if there(t, p) is None else there(t, p) for p in any_of]))
+
+
+def with_occurrences(docs: DataFrame, text_col: str = "text", surroundings: bool | Iterable[str] = True) -> DataFrame:
     """``docs`` with ``occurrences``: full citations and short forms with facts about their surroundings, in logical order.
 
     A citation in a note stands where the note is referred to. Without ``surroundings`` only what identifies an
     authority is worked out, and texts beside articles alone: fields that are made inside a lambda are not pruned by Catalyst.
+    Some of SURROUNDINGS may be asked for by name.
     """
+    asked = _asked(surroundings)
     df = with_blocks(docs if "citations" in docs.columns else with_citations(docs, text_col), text_col).withColumn("__t", neutralize(F.coalesce(F.col(text_col), F.lit(""))))
     t = F.col("__t")
     full = F.transform(F.filter("citations", lambda c: c["source_type"] != "short_form"), lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["text"].alias("text"), c["source_type"].alias("source_type"), F.lit("full").alias("form"), c["components"].alias("components")).cast(OCC))
@@ -62,7 +86,7 @@ def with_occurrences(docs: DataFrame, text_col: str = "text", surroundings: bool
     alias = F.aggregate("definitions", F.struct(F.col("__held").alias("held"), empty.alias("out")), lambda acc, d: let(free(uses(d), acc["held"]), lambda new: F.struct(F.array_sort(F.concat(acc["held"], F.transform(new, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"))))).alias("held"), F.concat(acc["out"], new).alias("out"))), lambda acc: acc["out"])
     df = df.withColumn("__acc", F.concat("__acc", "__short", F.when(F.size("definitions") > 0, alias).otherwise(empty)))
     breaks, semis = F.array().cast("array<struct<start:int,end:int>>"), F.array().cast("array<int>")
-    if surroundings:
+    if "breaks" in asked:
         breaks = F.transform(spans(t, P.Pattern(P.GAP_SENTENCE_BREAK)), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
         semis = F.transform(spans(t, P.Pattern(";")), lambda s: s["start"])
     df = df.withColumn("__breaks", breaks).withColumn("__semis", semis)
@@ -97,16 +121,18 @@ def with_occurrences(docs: DataFrame, text_col: str = "text", surroundings: bool
 
     def facts(o, i, x):
         breaks, semis, cut = x["breaks"], x["semis"], x["cut"]
-        about = lambda value: value if surroundings else F.when(o["source_type"] == "journal_article", value)
+        about = lambda value: value if "beside" in asked else F.when(o["source_type"] == "journal_article", value)
         prev = F.try_element_at(x["placed"], F.greatest(i, F.lit(1)))
         gap = F.when(i > 0, within(cut, prev["end"], o["start"])).otherwise(F.lit(""))
         low = F.when(o["block_start"].isNotNull(), F.greatest(o["block_start"], o["start"] - 180)).otherwise(o["start"])
         high = F.when(o["block_end"].isNotNull(), F.least(o["block_end"], o["end"] + 30)).otherwise(o["end"])
         return F.struct(
             *[o[n].alias(n) for n in ("start", "end", "text", "source_type", "form", "components", "block_id", "note_id", "note_number")],
-            *([] if not surroundings else [F.coalesce(F.try_element_at(breaks, below(breaks, o["end"], "start") + 1)["end"], F.lit(FAR)).alias("break_end"),
-            F.coalesce(F.try_element_at(semis, below(semis, o["end"]) + 1), F.lit(FAR)).alias("semicolon"),
-            gap.alias("gap"), within(cut, o["start"] - 260, o["start"]).alias("lead"), within(cut, o["end"], o["end"] + 180).alias("tail")]), about(within(cut, low, o["start"])).alias("block_lead"), about(within(cut, o["end"], high)).alias("block_tail"),
+            *([F.coalesce(F.try_element_at(breaks, below(breaks, o["end"], "start") + 1)["end"], F.lit(FAR)).alias("break_end"),
+            F.coalesce(F.try_element_at(semis, below(semis, o["end"]) + 1), F.lit(FAR)).alias("semicolon")] if "breaks" in asked else []),
+            *([gap.alias("gap")] if "gap" in asked else []),
+            *([within(cut, o["start"] - 260, o["start"]).alias("lead"), within(cut, o["end"], o["end"] + 180).alias("tail")] if "near" in asked else []),
+            about(within(cut, low, o["start"])).alias("block_lead"), about(within(cut, o["end"], high)).alias("block_tail"),
         )
 
     bound = F.struct(F.col("__breaks").alias("breaks"), F.col("__semis").alias("semis"), F.col("__placed").alias("placed"), pieces(t).alias("cut"))
@@ -135,38 +161,36 @@ def _article(rows: DataFrame) -> list[Column]:
     return [F.regexp_extract("block_lead", P.ARTICLE_BEFORE, 1).alias("author"), F.regexp_extract("block_lead", P.ARTICLE_BEFORE, 2).alias("title"), F.regexp_extract("block_tail", P.YEAR_AFTER, 1).alias("year")]
 
 
-def _facts(rows: DataFrame) -> DataFrame:
+def _facts(rows: DataFrame, asked: set[str]) -> DataFrame:
     """What the surroundings of each occurrence say, as flags and short strings; the surroundings themselves go."""
+    of = lambda name, *facts: facts if name in asked else ()
     gap, lead, tail = F.col("gap"), F.col("lead"), F.col("tail")
     last = lambda n: F.substring(lead, F.greatest(F.length(lead) - n, F.lit(0)) + 1, F.lit(n))
     near = F.lower(F.concat(last(120), F.col("text"), tail))
     bare = F.regexp_replace(tail, r"(?U)^\s+", "")
     return rows.select(
-        "doc_id", "ord", "start", "end", "text", "source_type", "form", "components", "block_id", "note_id", "note_number", "break_end", "semicolon",
-        F.contains(gap, F.lit(";")).alias("gap_clause"), F.rlike(gap, F.lit(P.GAP_AUTHORITY)).alias("gap_authority"), F.contains(gap, F.lit("\n\n")).alias("gap_paragraph"),
-        (~F.rlike(gap, F.lit(P.GAP_SENTENCE_BREAK)) & ~F.rlike(gap, F.lit(P.GAP_WORD))).alias("gap_clean"), F.rlike(gap, F.lit(r"(?U)^\s*,\s*\z")).alias("gap_comma"),
-        F.regexp_extract(last(24), P.EDGE_SIGNAL, 1).alias("signal"), F.rlike(last(180), F.lit(P.EDGE_QUOTE)).alias("quote_before"), F.rlike(tail, F.lit(P.EDGE_PARENTHETICAL)).alias("paren_after"),
+        "doc_id", "ord", "start", "end", "text", "source_type", "form", "components", "block_id", "note_id", "note_number", *of("breaks", "break_end", "semicolon"),
+        *of("gap", F.contains(gap, F.lit(";")).alias("gap_clause"), F.rlike(gap, F.lit(P.GAP_AUTHORITY)).alias("gap_authority"), F.contains(gap, F.lit("\n\n")).alias("gap_paragraph"),
+        (~F.rlike(gap, F.lit(P.GAP_SENTENCE_BREAK)) & ~F.rlike(gap, F.lit(P.GAP_WORD))).alias("gap_clean"), F.rlike(gap, F.lit(r"(?U)^\s*,\s*\z")).alias("gap_comma")),
+        *of("near", F.regexp_extract(last(24), P.EDGE_SIGNAL, 1).alias("signal"), F.rlike(last(180), F.lit(P.EDGE_QUOTE)).alias("quote_before"), F.rlike(tail, F.lit(P.EDGE_PARENTHETICAL)).alias("paren_after")),
         *_article(rows),
-        F.contains(F.trim(F.regexp_extract(lead, P.QUOTED_BEFORE, 1)), F.lit(" ")).alias("quotes_words"), (F.contains(near, F.lit("perma.cc")) | F.contains(near, F.lit("on file with author"))).alias("archived"),
-        (F.length(tail) - F.length(bare)).alias("paren_gap"), bare.startswith("(").alias("paren_open"),
+        *of("near", F.contains(F.trim(F.regexp_extract(lead, P.QUOTED_BEFORE, 1)), F.lit(" ")).alias("quotes_words"), (F.contains(near, F.lit("perma.cc")) | F.contains(near, F.lit("on file with author"))).alias("archived"),
+        (F.length(tail) - F.length(bare)).alias("paren_gap"), bare.startswith("(").alias("paren_open")),
     )
 
 
-def occurrences(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", surroundings: bool = True) -> DataFrame:
+def occurrences(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", surroundings: bool | Iterable[str] = True) -> DataFrame:
     """A row per occurrence: doc_id, ord (logical order), its facts, authority_id (of full citations), display, identity.
 
-    Without ``surroundings`` the facts that edges and antecedents need are left out.
+    Without ``surroundings`` the facts that edges and antecedents need are left out; some of SURROUNDINGS may be asked for by name.
     """
     return occurrence_rows(with_occurrences(docs, text_col, surroundings), id_col, surroundings)
 
 
-def occurrence_rows(facts: DataFrame, id_col: str = "doc_id", surroundings: bool = True) -> DataFrame:
+def occurrence_rows(facts: DataFrame, id_col: str = "doc_id", surroundings: bool | Iterable[str] = True) -> DataFrame:
     """The rows of ``occurrences`` from texts that ``with_occurrences`` has parsed already."""
     rows = rows_of(facts, "occurrences", F.col(id_col).alias("doc_id"), at="ord")
-    if surroundings:
-        rows = _facts(rows)
-    else:
-        rows = rows.select("doc_id", "ord", "start", "end", "text", "source_type", "form", "components", "block_id", "note_id", "note_number", *_article(rows))
+    rows = _facts(rows, _asked(surroundings))
     key, display = _key(rows)
     full = F.col("form") == "full"
     rows = rows.withColumn("identity", F.when(full, key)).withColumn("display", F.when(full, display))

@@ -199,6 +199,16 @@ def _occ(spark, d) -> DataFrame:
     return graph.occurrences(briefs(spark, d)).persist()
 
 
+def _held(spark, d, p: P.Pattern, *surroundings: str) -> DataFrame:
+    """Occurrences of the briefs that can hold a match of a pattern, with the surroundings that are named."""
+    return graph.occurrences(graph.holding(briefs(spark, d), p), surroundings=surroundings)
+
+
+def _forms(spark, d, p: P.Pattern, *surroundings: str) -> DataFrame:
+    """``_held`` with what antecedents are found by; it is read more than once."""
+    return _held(spark, d, p, *surroundings).drop("start", "end", "text", "block_id", "year", "identity").persist()
+
+
 @query(_with(_OCC + 'SELECT doc_id, cast(ord AS BIGINT) AS ord, cast(s AS BIGINT) AS start, cast(e AS BIGINT) AS "end", form, source_type, authority_id FROM occ'))
 def graph_occurrences(spark, d):
     return graph.occurrences(briefs(spark, d), surroundings=False).select("doc_id", "ord", "start", "end", "form", "source_type", "authority_id")
@@ -231,7 +241,7 @@ def neighbour_edges(spark, d):
 
 @query(_with(_OCC + r", pairs AS (SELECT a.doc_id, a.ord AS source, b.ord AS target, substr(text, cast(a.e + 1 AS BIGINT), cast(greatest(b.s - a.e, 0) AS BIGINT)) AS gap FROM occ a JOIN occ b ON a.doc_id = b.doc_id AND b.s > a.s JOIN briefs t ON t.doc_id = a.doc_id) SELECT doc_id, unnest(['same_citation_sentence', 'same_citation_clause']) AS edge_type, cast(source AS VARCHAR) AS source, cast(target AS VARCHAR) AS target FROM pairs WHERE contains(gap, ';') AND NOT regexp_matches(gap, '\.\s+[A-Z]')"))
 def same_sentence_edges(spark, d):
-    return graph.sentence_edges(graph.occurrences(briefs(spark, d)))
+    return graph.sentence_edges(_held(spark, d, P.CLAUSE_EDGE, "breaks"))
 
 
 @query(_with(_OCC + r""", f AS (SELECT o.*, substr(text, cast(greatest(s - 24, 0) + 1 AS BIGINT), cast(s - greatest(s - 24, 0) AS BIGINT)) AS p24, substr(text, cast(greatest(s - 180, 0) + 1 AS BIGINT), cast(s - greatest(s - 180, 0) AS BIGINT)) AS p180, substr(text, cast(e + 1 AS BIGINT), 180) AS x180 FROM occ o JOIN briefs USING (doc_id))
@@ -239,22 +249,22 @@ SELECT doc_id, 'signal_linked_to_citation_group' AS edge_type, cast(ord AS VARCH
 UNION ALL SELECT doc_id, 'quotation_linked_to_authority', cast(ord AS VARCHAR), coalesce(authority_id, cast(ord AS VARCHAR)) FROM f WHERE regexp_matches(p180, '[“"][^”"]+[”"]\s*$')
 UNION ALL SELECT doc_id, 'parenthetical_linked_to_authority', cast(ord AS VARCHAR), coalesce(authority_id, cast(ord AS VARCHAR)) FROM f WHERE regexp_matches(x180, '^\s*\([^)]{2,160}\)')"""))
 def context_edges(spark, d):
-    return graph.context_edges(graph.occurrences(briefs(spark, d)))
+    return graph.context_edges(_held(spark, d, P.CONTEXT_EDGE, "near"))
 
 
 @query(_with(_OCC + ", found AS (SELECT o.doc_id, o.ord, f.authority_id FROM occ o JOIN occ f ON o.doc_id = f.doc_id AND f.ord < o.ord AND f.form = 'full' AND f.kind IN ('case', 'quoted') AND o.v = f.v AND o.n = f.n WHERE o.form = 'short_case'), c AS (SELECT doc_id, ord, count(DISTINCT authority_id) AS nk, min(authority_id) AS a FROM found GROUP BY ALL) SELECT o.doc_id, cast(o.ord AS BIGINT) AS ord, CASE WHEN nk = 1 THEN a END AS authority_id, CASE WHEN nk = 1 THEN '' WHEN nk > 1 THEN 'multiple_plausible_prior_cases' ELSE 'no_legally_possible_prior_antecedent' END AS reasons FROM occ o LEFT JOIN c USING (doc_id, ord) WHERE form = 'short_case'"))
 def resolve_short_case(spark, d):
-    return resolve.short_cases(_occ(spark, d)).select("doc_id", "ord", "authority_id", F.array_join("reasons", ",").alias("reasons"))
+    return resolve.short_cases(_forms(spark, d, P.SHORT_CASE)).select("doc_id", "ord", "authority_id", F.array_join("reasons", ",").alias("reasons"))
 
 
 @query(_with(_OCC + f", found AS (SELECT o.doc_id, o.ord, f.authority_id FROM occ o JOIN occ f ON o.doc_id = f.doc_id AND f.ord < o.ord AND f.form = 'full' AND (f.kind IN {_STATUTES} OR f.kind IN {_REGS}) AND o.b = f.b WHERE o.form = 'statutory_short'), c AS (SELECT doc_id, ord, count(DISTINCT authority_id) AS nk, min(authority_id) AS a FROM found GROUP BY ALL) SELECT o.doc_id, cast(o.ord AS BIGINT) AS ord, CASE WHEN nk = 1 THEN a END AS authority_id, CASE WHEN nk = 1 THEN '' WHEN nk > 1 THEN 'multiple_plausible_statutory_antecedents' ELSE 'no_legally_possible_prior_antecedent' END AS reasons FROM occ o LEFT JOIN c USING (doc_id, ord) WHERE form = 'statutory_short'"))
 def resolve_statutory_short(spark, d):
-    return resolve.statutory_shorts(_occ(spark, d)).select("doc_id", "ord", "authority_id", F.array_join("reasons", ",").alias("reasons"))
+    return resolve.statutory_shorts(_forms(spark, d, P.TWO_SECTIONS)).select("doc_id", "ord", "authority_id", F.array_join("reasons", ",").alias("reasons"))
 
 
 @query(_with(_OCC + ", found AS (SELECT o.doc_id, o.ord, CASE WHEN f.kind = 'journal' THEN f.authority_id END AS a, f.kind <> 'journal' AS bar FROM occ o JOIN occ f ON o.doc_id = f.doc_id AND f.ord < o.ord AND f.form = 'full' AND (f.kind = 'journal' OR (f.source_type = 'case' AND contains(lower(f.n || ' v. ' || f.m), 'doe'))) WHERE o.form = 'supra'), c AS (SELECT doc_id, ord, count(DISTINCT a) AS nk, min(a) AS a, bool_or(bar) AS bar FROM found GROUP BY ALL) SELECT o.doc_id, cast(o.ord AS BIGINT) AS ord, CASE WHEN nk = 1 THEN a END AS authority_id, CASE WHEN nk = 1 THEN '' WHEN nk > 1 THEN 'multiple_plausible_supra_antecedents' WHEN bar THEN 'source_type_does_not_permit_supra' ELSE 'no_legally_possible_prior_antecedent' END AS reasons FROM occ o LEFT JOIN c USING (doc_id, ord) WHERE form = 'supra'"))
 def resolve_supra(spark, d):
-    return resolve.supras(_occ(spark, d)).select("doc_id", "ord", "authority_id", F.array_join("reasons", ",").alias("reasons"))
+    return resolve.supras(_forms(spark, d, P.SUPRA, "beside")).select("doc_id", "ord", "authority_id", F.array_join("reasons", ",").alias("reasons"))
 
 
 _ID = r"""
@@ -274,7 +284,7 @@ res AS (SELECT doc_id, ord, form, bool_or(dq) OVER i AS barred, first_value(CASE
 
 @query(_with(_OCC + _ID + "SELECT doc_id, cast(ord AS BIGINT) AS ord, CASE WHEN NOT barred THEN base END AS authority_id FROM res WHERE form = 'id'"))
 def resolve_id_chain(spark, d):
-    occ = _occ(spark, d)
+    occ = _forms(spark, d, P.ID_FORM, "gap", "beside")
     others = resolve.short_cases(occ).unionByName(resolve.statutory_shorts(occ)).unionByName(resolve.supras(occ))
     return resolve.id_chains(occ, others).select("doc_id", "ord", "authority_id")
 
@@ -323,7 +333,7 @@ def findings_pincites(spark, d):
 
 @query(_with("SELECT doc_id, 'WHITEPAGES_ARCHIVE_REVIEW' AS code, " + _AT + " FROM cites WHERE kind = 'internet'"))
 def findings_archive(spark, d):
-    return findings.internet_findings(graph.occurrences(briefs(spark, d)), "whitepages").select("doc_id", "code", "start", "end")
+    return findings.internet_findings(_held(spark, d, P.URL, "near"), "whitepages").select("doc_id", "code", "start", "end")
 
 
 @query(_with("SELECT doc_id, count(*) FILTER (kind = 'string_cite') AS unbalanced, cast(coalesce(sum(CASE kind WHEN 'case' THEN 1 WHEN 'case_bad' THEN 1 WHEN 'journal' THEN 1 WHEN 'quoted' THEN 2 END), 0) AS BIGINT) AS balanced FROM segs GROUP BY doc_id HAVING unbalanced + balanced > 0"))
