@@ -8,6 +8,7 @@ points. No Python runs per row.
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -77,6 +78,42 @@ def there(text: Column, p: Pattern) -> Column | None:
     return out
 
 
+def _numbers(p: Pattern | Column, groups: bool | Sequence[str]) -> list[int]:
+    """The numbers of the groups asked for: all, none, or those of some parts."""
+    names = p.parts if groups is True else groups or ()
+    return [p.parts.index(n) + 1 for n in names]
+
+
+def _spelled(cut: str, n: int, groups: bool) -> tuple[str, str]:
+    """SQL: the spans of a text that is cut at its marks, if there is one match, and if there are more."""
+    fields, kind = (", 'groups', x.groups", ",groups:array<string>") if groups else ("", "")
+    # The pieces come in turns: what lies before a match, the match, its parts.
+    turn = n + 2
+    part = lambda at: f", 'groups', slice({cut}, {at}, {n})" if groups else ""
+    one = f"array(named_struct('start', length({cut}[0]), 'end', length({cut}[0]) + length({cut}[1]), 'text', {cut}[1]{part(3)}))"
+    steps = f"transform(sequence(0, cast(size({cut}) / {turn} as int) - 1), i -> named_struct('gap', length({cut}[i * {turn}]), 'len', length({cut}[i * {turn} + 1]), 'text', {cut}[i * {turn} + 1]{part(f'i * {turn} + 3')}))"
+    return one, f"element_at(transform(array({steps}), steps -> {_placed(fields, kind)}), 1)"
+
+
+def _split(text: Column, regex: Column, numbers: list[int]) -> Column:
+    """The text cut at marks around its matches and their groups: one piece if there is no match."""
+    marks = MARK + "$0" + "".join(f"{MARK}${i}" for i in numbers) + MARK
+    return F.call_function("split", F.regexp_replace(text, regex, F.lit(marks)), F.lit(MARK), F.lit(-1))
+
+
+def _summed(text: Column, regex: Column, numbers: list[int] | None) -> Column:
+    """Spans of a text that holds the mark itself: cut by the pattern."""
+    fields, kind = (", 'groups', x.groups", ",groups:array<string>") if numbers is not None else ("", "")
+    found = F.regexp_extract_all(text, regex, F.lit(0))
+    gaps = F.slice(F.call_function("split", text, regex, F.lit(-1)), 1, F.size(found))
+    if numbers is not None:
+        groups = lambda m: F.array(*[F.call_function("regexp_extract", m, regex, F.lit(i)) for i in numbers]).cast("array<string>")
+        steps = F.zip_with(gaps, found, lambda g, m: F.struct(F.length(g).alias("gap"), F.length(m).alias("len"), m.alias("text"), groups(m).alias("groups")))
+    else:
+        steps = written("zip_with", gaps, found, _STEP)
+    return F.element_at(written("transform", F.array(steps), f"steps -> {_placed(fields, kind)}"), 1)
+
+
 def spans(text: Column, p: Pattern | Column, groups: bool = False) -> Column:
     """array<struct<start,end,text>>: half-open, from 0, in order. ``p`` may be a column of expressions. With ``groups`` also
     what the parts of the pattern have matched, as an array.
@@ -85,28 +122,44 @@ def spans(text: Column, p: Pattern | Column, groups: bool = False) -> Column:
     (a regular expression would be compiled anew for each text). Mostly there is one match, whose place needs no sum.
     """
     regex = F.lit(p.regex) if isinstance(p, Pattern) else p
-    n = len(p.parts) if groups else 0
-    fields, kind = (", 'groups', x.groups", ",groups:array<string>") if groups else ("", "")
-    none = F.array().cast(f"array<struct<start:int,end:int,text:string{kind}>>")
-    marked = F.regexp_replace(text, regex, F.lit(MARK + "$0" + "".join(f"{MARK}${i + 1}" for i in range(n)) + MARK))
-    # The pieces come in turns: what lies before a match, the match, its parts.
-    turn = n + 2
-    part = lambda at: f", 'groups', slice(cut, {at}, {n})" if groups else ""
-    one = f"array(named_struct('start', length(cut[0]), 'end', length(cut[0]) + length(cut[1]), 'text', cut[1]{part(3)}))"
-    steps = f"transform(sequence(0, cast(size(cut) / {turn} as int) - 1), i -> named_struct('gap', length(cut[i * {turn}]), 'len', length(cut[i * {turn} + 1]), 'text', cut[i * {turn} + 1]{part(f'i * {turn} + 3')}))"
-    many = f"element_at(transform(array({steps}), steps -> {_placed(fields, kind)}), 1)"
-    quick = F.element_at(written("transform", F.array(F.call_function("split", marked, F.lit(MARK), F.lit(-1))), f"cut -> if(size(cut) = 1, null, if(size(cut) = {turn + 1}, {one}, {many}))"), 1)
-    found = F.regexp_extract_all(text, regex, F.lit(0))
-    gaps = F.slice(F.call_function("split", text, regex, F.lit(-1)), 1, F.size(found))
-    if groups:
-        slow = F.zip_with(gaps, found, lambda g, m: F.struct(F.length(g).alias("gap"), F.length(m).alias("len"), m.alias("text"), F.array(*[F.regexp_extract(m, p.regex, i + 1) for i in range(n)]).alias("groups")))
-    else:
-        slow = written("zip_with", gaps, found, _STEP)
-    placed = F.when(F.contains(text, F.lit(MARK)), F.element_at(written("transform", F.array(slow), f"steps -> {_placed(fields, kind)}"), 1)).otherwise(quick)
+    numbers = _numbers(p, groups)
+    none = F.array().cast(f"array<struct<start:int,end:int,text:string{',groups:array<string>' if groups else ''}>>")
+    one, many = _spelled("cut", len(numbers), groups)
+    quick = F.element_at(written("transform", F.array(_split(text, regex, numbers)), f"cut -> if(size(cut) = 1, null, if(size(cut) = {len(numbers) + 3}, {one}, {many}))"), 1)
+    placed = F.when(F.contains(text, F.lit(MARK)), _summed(text, regex, numbers if groups else None)).otherwise(quick)
     hint = there(text, p) if isinstance(p, Pattern) else None
     return F.when(text.isNull() if hint is None else (text.isNull() | ~hint), none).otherwise(F.coalesce(placed, none))
 
 
+def cut_at(text: Column, odd: Column, p: Pattern, parts: Sequence[str]) -> Column:
+    """The first step of ``spans`` with some parts, as a column of its own: the text cut at its matches; null if it has none. ``odd``: does it hold the mark?
+
+    What stands inside a lambda is interpreted. Kept as a column, the search and the places of few matches run as generated code.
+    """
+    hint = there(text, p)
+    return F.when(~odd if hint is None else ~odd & hint, _split(text, F.lit(p.regex), _numbers(p, parts)))
+
+
+#: As many matches are placed without a loop.
+UNROLLED = 3
+
+
+def spans_at(cut: str, text: Column, odd: Column, p: Pattern, parts: Sequence[str], shape=None) -> Column:
+    """The second step: the spans, with ``groups``, from the column that ``cut_at`` has made; null if there is none.
+
+    ``shape``: SQL of a span of another form from that of its start, text and groups.
+    """
+    shape = shape or (lambda start, text, groups: f"named_struct('start', {start}, 'end', {start} + length({text}), 'text', {text}, 'groups', {groups})")
+    n, turn = len(parts), len(parts) + 2
+    _, many = _spelled(cut, n, True)
+    start = lambda i: " + ".join(f"length({cut}[{q * turn + g}])" for q in range(i + 1) for g in ((0, 1) if q < i else (0,)))
+    match = lambda i: shape(start(i), f"{cut}[{i * turn + 1}]", f"slice({cut}, {i * turn + 3}, {n})" if n else "cast(array() as array<string>)")
+    few = " ".join(f"WHEN {k * turn + 1} THEN array({', '.join(match(i) for i in range(k))})" for k in range(1, UNROLLED + 1))
+    again = f"s -> {shape('s.start', 's.text', 's.groups')}"
+    slow = F.when(odd, written("transform", _summed(text, F.lit(p.regex), _numbers(p, parts)), again))
+    return F.when(F.col(cut).isNull(), slow).otherwise(F.expr(f"CASE size({cut}) WHEN 1 THEN null {few} ELSE transform({many}, {again}) END"))
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with the value worked out once.
 

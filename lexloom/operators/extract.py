@@ -7,12 +7,14 @@ accepted before; matches of one pattern never overlap each other.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import tables
-from ..functions.spans import any_of, below, hit, in_order, let, named, pieces, rows_of, spans, within
+from ..functions.spans import FEW, MARK, any_of, below, cut_at, hit, in_order, let, pieces, rows_of, spans, spans_at, within, written
 
 CITATION = "struct<start:int,end:int,text:string,source_type:string,components:map<string,string>>"
 
@@ -40,65 +42,66 @@ def trim_hereinafter(text: Column) -> Column:
     return F.regexp_replace(text, P.TRAILING_HEREINAFTER, "")
 
 
-def _more(cut: Column, s: Column, p: P.Pattern) -> Column:
-    """Parts that stand beside a match: pincite and year of an article, the name that a supra guesses at."""
-    keep = lambda m: F.map_filter(m, lambda _, v: v != "")
-    if p is P.JOURNAL:
-        tail = within(cut, s["end"], s["end"] + 40)
-        return keep(F.create_map(F.lit("pincite"), F.regexp_extract(tail, P.JOURNAL_AFTER, 1), F.lit("year"), F.regexp_extract(tail, P.JOURNAL_AFTER, 2)))
-    if p is P.SHORT_FORM:
-        return keep(F.create_map(F.lit("antecedent_guess"), F.when(F.lower(s["text"]) == "supra", F.regexp_extract(within(cut, s["start"] - 40, s["start"]), P.NAME_BEFORE, 1)).otherwise("")))
-    return F.create_map().cast("map<string,string>")
-
+#: What stands beside a match and belongs to it: pincite and year of an article, the name that a supra guesses at.
+BESIDE = {P.JOURNAL: ("pincite", "year"), P.SHORT_FORM: ("antecedent_guess",)}
 
-def candidates(text: Column, source_type: str, p: P.Pattern, cut: Column | None = None) -> Column:
-    """The matches of a pattern as citations; an address also with where the match itself ends (``reach``). ``cut``: the text in pieces, if at hand."""
 
-    def all_(cut):
-        def one(s):
-            net = source_type == "internet"
-            raw = F.rtrim(s["text"], F.lit(".,;:")) if net else s["text"]
-            end = s["start"] + F.length(raw) if net else s["end"]
-            of = named(s, p)
-            if p in (P.JOURNAL, P.SHORT_FORM):
-                of = F.map_concat(of, _more(cut, s, p))
-            return F.struct(s["start"].alias("start"), end.alias("end"), raw.alias("text"), F.lit(source_type).alias("source_type"), of.alias("components"), *([s["end"].alias("reach")] if net else []))
+def _beside(cut: Column, s: Column, name: str) -> Column:
+    if name == "antecedent_guess":
+        return F.when(F.lower(s["text"]) == "supra", F.regexp_extract(within(cut, s["start"] - 40, s["start"]), P.NAME_BEFORE, 1)).otherwise("")
+    return F.regexp_extract(within(cut, s["end"], s["end"] + 40), P.JOURNAL_AFTER, 1 if name == "pincite" else 2)
 
-        return F.transform(spans(text, p, groups=bool(p.parts)), one)
 
-    return let(pieces(text) if cut is None else cut, all_) if p in (P.JOURNAL, P.SHORT_FORM) else all_(None)
+def _candidate(k: int):
+    """A candidate of the k-th pattern: with where the match itself ends (``reach``; an address ends before its punctuation)."""
+    of = (lambda text: f"rtrim('.,;:', {text})") if SPECS[k][1] is P.URL else (lambda text: text)
+    return lambda start, text, groups: f"named_struct('start', {start}, 'end', {start} + length({of(text)}), 'reach', {start} + length({text}), 'text', {of(text)}, 'k', {k}, 'groups', {groups})"
 
 
-def with_citations(docs: DataFrame, text_col: str = "text", out: str = "citations") -> DataFrame:
+def with_citations(docs: DataFrame, text_col: str = "text", out: str = "citations", parts: Iterable[str] | None = None) -> DataFrame:
     """``docs`` with an array of CITATION, ordered by (start, end).
 
-    Accepted citations don't overlap, so a candidate is held against them, sorted, by a binary search.
+    Accepted citations don't overlap, so a candidate is held against them; many of them are sorted, and searched in halves.
+    ``parts``: the names that ``components`` should hold, if not all: what isn't asked for isn't worked out.
     """
-    df = docs.withColumn("__t", neutralize(F.coalesce(F.col(text_col), F.lit("")))).withColumns({"__cut": pieces(F.col("__t")), "__acc": F.array().cast(f"array<{CITATION}>")})
-    plain = lambda c: F.struct(*[c[n].alias(n) for n in ("start", "end", "text", "source_type", "components")])
-    for kind, p in SPECS:
-        ends = F.filter("__acc", lambda a: a["source_type"].isin(*P.SUBSTANTIVE))
-        known = [F.sort_array(F.concat(F.array(F.lit(-(1 << 30))), F.transform(ends, lambda a: a["end"]))).alias("ends"), F.col("__cut").alias("cut")] if p is P.ID else []
-        held = F.struct(in_order(F.col("__acc")).alias("spans"), *known)
-        df = df.withColumn("__new", candidates(F.col("__t"), kind, p, F.col("__cut")))
-
-        def fits(x, c, gated=p is P.ID):
-            free = ~hit(x["spans"], c["start"], c["reach"] if p is P.URL else c["end"])
-            if not gated:
-                return free
-            prior = F.element_at(x["ends"], below(x["ends"], c["start"] + 1)) >= c["start"] - P.ID_WINDOW
-            return free & id_gate(x["cut"], c["start"], c["end"], prior)
-
-        shape = (lambda found: F.transform(found, plain)) if p is P.URL else (lambda found: found)
-        kept = let(held, lambda x: F.filter("__new", lambda c: fits(x, c)))
-        all_ = F.concat(F.col("__acc"), shape(kept))
-        if p is not P.ID:
-            all_ = F.when(F.size("__acc") == 0, shape(F.col("__new"))).otherwise(all_)
-        # Most texts have no candidate of a pattern, and then nothing is sorted or searched.
-        df = df.withColumn("__acc", F.when(F.size("__new") > 0, all_).otherwise(F.col("__acc")))
-    # Maps can't be sorted, so places are, and each finds its citation again.
-    order = let(F.col("__acc"), lambda acc: F.transform(F.sort_array(F.transform(acc, lambda a, i: F.struct(a["start"].alias("start"), a["end"].alias("end"), i.alias("i")))), lambda k: F.get(acc, k["i"])))
-    return df.withColumn(out, F.when(F.size("__acc") > 1, order).otherwise(F.col("__acc"))).drop("__t", "__acc", "__new", "__cut")
+    asked = None if parts is None else set(parts)
+    want = lambda names: tuple(n for n in names if asked is None or n in asked)
+    own, beside = [want(p.parts) for _, p in SPECS], [want(BESIDE.get(p, ())) for _, p in SPECS]
+    t, odd, cut, acc = F.col("__t"), F.col("__odd"), F.col("__cut"), F.col("__acc")
+    df = docs.withColumn("__t", neutralize(F.coalesce(F.col(text_col), F.lit("")))).withColumn("__odd", F.contains(t, F.lit(MARK)))
+    df = df.withColumns({f"__m{k}": cut_at(t, odd, p, own[k]) for k, (_, p) in enumerate(SPECS)})
+    df = df.withColumns({"__cut": pieces(t), **{f"__m{k}": spans_at(f"__m{k}", t, odd, p, own[k], _candidate(k)) for k, (_, p) in enumerate(SPECS)}})
+    for k in (k for k, names in enumerate(beside) if names):
+        more = lambda c: c.withField("groups", F.concat(c["groups"], F.array(*[_beside(cut, c, n) for n in beside[k]])))
+        df = df.withColumn(f"__m{k}", F.when(F.col(f"__m{k}").isNotNull(), F.transform(f"__m{k}", more)))
+    df = df.withColumn("__acc", F.coalesce("__m0", F.array().cast("array<struct<start:int,end:int,reach:int,text:string,k:int,groups:array<string>>>")))
+    substantive = F.array(*[F.lit(k) for k, (kind, _) in enumerate(SPECS) if kind in P.SUBSTANTIVE])
+    for k, (_, p) in enumerate(SPECS[1:], 1):
+        new, gated = F.col(f"__m{k}"), p is P.ID
+        ends = lambda: F.sort_array(F.concat(F.array(F.lit(-(1 << 30))), F.transform(F.filter(acc, lambda a: F.array_contains(substantive, a["k"])), lambda a: a["end"])))
+        held = F.struct(in_order(acc).alias("spans"), *([ends().alias("ends")] if gated else []))
+
+        def few(c):
+            free = ~F.exists(acc, lambda a: (a["end"] > c["start"]) & (a["start"] < c["reach"]))
+            prior = F.exists(acc, lambda a: a["end"].between(c["start"] - P.ID_WINDOW, c["start"]) & F.array_contains(substantive, a["k"]))
+            return free & id_gate(cut, c["start"], c["end"], prior) if gated else free
+
+        def many(x, c):
+            free = ~hit(x["spans"], c["start"], c["reach"])
+            return free & id_gate(cut, c["start"], c["end"], F.element_at(x["ends"], below(x["ends"], c["start"] + 1)) >= c["start"] - P.ID_WINDOW) if gated else free
+
+        all_ = F.concat(acc, F.when(F.size(acc) <= FEW, F.filter(new, few)).otherwise(let(held, lambda x: F.filter(new, lambda c: many(x, c)))))
+        # Most texts have no candidate of a pattern, and then nothing is searched.
+        df = df.withColumn("__acc", F.when(new.isNull(), acc).otherwise(all_) if gated else F.when(new.isNull(), acc).when(F.size(acc) == 0, new).otherwise(all_))
+    df = df.withColumn("__acc", F.when(F.size(acc) > 1, F.sort_array(acc)).otherwise(acc))
+    names = F.array(*[F.array(*[F.lit(n) for n in own[k] + beside[k]]).cast("array<string>") for k in range(len(SPECS))])
+    kinds = F.array(*[F.lit(kind) for kind, _ in SPECS])
+
+    def citation(c):
+        of = written("map_filter", F.map_from_arrays(F.get(names, c["k"]), c["groups"]), "(k, v) -> v != ''") if any(own) or any(beside) else F.create_map().cast("map<string,string>")
+        return F.struct(c["start"].alias("start"), c["end"].alias("end"), c["text"].alias("text"), F.get(kinds, c["k"]).alias("source_type"), of.alias("components"))
+
+    return df.withColumn(out, F.transform(acc, citation)).drop("__t", "__odd", "__acc", "__cut", *[f"__m{k}" for k in range(len(SPECS))])
 
 
 def matches(docs: DataFrame, p: P.Pattern, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -107,9 +110,9 @@ def matches(docs: DataFrame, p: P.Pattern, text_col: str = "text", id_col: str =
     return rows.select("*", *[F.regexp_extract("text", p.regex, i + 1).alias(n) for i, n in enumerate(p.parts)])
 
 
-def citation_rows(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """A row per citation: doc_id, occ, start, end, text, source_type, components."""
-    return rows_of(with_citations(docs, text_col), "citations", F.col(id_col).alias("doc_id"), at="occ")
+def citation_rows(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", parts: Iterable[str] | None = None) -> DataFrame:
+    """A row per citation: doc_id, occ, start, end, text, source_type, components (all ``parts``, or those named)."""
+    return rows_of(with_citations(docs, text_col, parts=parts), "citations", F.col(id_col).alias("doc_id"), at="occ")
 
 
 def canonical_reporter(reporter: Column) -> Column:
@@ -124,4 +127,4 @@ def counts(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> D
     return docs.select(F.col(id_col).alias("doc_id"), words.alias("words"), cites.alias("citations"), F.greatest(F.lit(1), F.ceil(words / 500)).cast("int").alias("pages"))
 
 
-__all__ = ["CITATION", "SPECS", "canonical_reporter", "candidates", "citation_rows", "counts", "id_gate", "matches", "neutralize", "with_citations"]
+__all__ = ["CITATION", "SPECS", "canonical_reporter", "citation_rows", "counts", "id_gate", "matches", "neutralize", "with_citations"]

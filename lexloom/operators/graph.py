@@ -194,10 +194,47 @@ def occurrence_rows(facts: DataFrame, id_col: str = "doc_id", surroundings: bool
     key, display = _key(rows)
     full = F.col("form") == "full"
     rows = rows.withColumn("identity", F.when(full, key)).withColumn("display", F.when(full, display))
-    name = F.concat(F.lit("authority:"), F.col("source_type"), F.lit(":"), F.substring(F.sha2(F.concat_ws("\x1f", F.col("source_type"), F.array_join("identity", "\x1f")), 256), 1, 16))
+    name = named_by(F.col("source_type"), F.concat_ws("\x1f", F.col("source_type"), F.array_join("identity", "\x1f")))
     return rows.withColumn("authority_id", F.when(full, name))
 
 
+def cited(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """A row per full citation: doc_id, source_type, key (a string of what identifies its authority, see ``named_by``).
+
+    The same authorities as those of ``occurrences``, without the order and the short forms: these change no full citation. Blocks
+    are looked for in texts with an article alone.
+    """
+    df = docs if "citations" in docs.columns else with_citations(docs, text_col)
+    article = lambda c: c["source_type"] == "journal_article"
+    df = with_blocks(df.withColumn("__at", F.when(F.exists("citations", article), F.coalesce(F.col(text_col), F.lit("")))), "__at").withColumn("__cut", pieces(neutralize(F.col("__at"))))
+
+    def beside(c, x):
+        inside = let(below(x["blocks"], c["start"] + 1, "start"), lambda k: F.when(k > 0, F.try_element_at(x["blocks"], F.greatest(k, F.lit(1)))))
+        texts = lambda low, high: F.struct(within(x["cut"], low, c["start"]).alias("block_lead"), within(x["cut"], c["end"], high).alias("block_tail"))
+        return let(inside, lambda b: F.when((c["start"] < b["end"]) & (c["end"] <= b["end"]), texts(F.greatest(b["start"], c["start"] - 180), F.least(b["end"], c["end"] + 30))))
+
+    around = F.struct(F.transform("blocks", lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end"))).alias("blocks"), F.col("__cut").alias("cut"))
+    sides = F.when(F.col("__at").isNotNull(), let(around, lambda x: F.transform("citations", lambda c: F.when(article(c), beside(c, x)))))
+    df = df.select(F.col(id_col).alias("doc_id"), "citations", sides.alias("__sides"))
+    rows = df.select("doc_id", F.posexplode_outer("citations").alias("ord", "c"), "__sides").where("c.source_type != 'short_form'")
+    side = F.get("__sides", F.col("ord"))
+    rows = rows.select("doc_id", "ord", "c.text", "c.source_type", "c.components", *[F.coalesce(side[n], F.lit("")).alias(n) for n in ("block_lead", "block_tail")])
+    rows = rows.select("*", *_article(rows))
+    return rows.select("doc_id", "source_type", F.concat_ws("\x1f", "source_type", F.array_join(_key(rows)[0], "\x1f")).alias("key"))
+
+
+def named_by(source_type: Column, key: Column) -> Column:
+    """An authority's name."""
+    return F.concat(F.lit("authority:"), source_type, F.lit(":"), F.substring(F.sha2(key, 256), 1, 16))
+
+
+def top_cited(docs: DataFrame, n: int) -> DataFrame:
+    """The authorities cited most: authority_id, n_occurrences. Counted by what identifies them, and named when counted."""
+    rows = cited(docs).groupBy("source_type", "key").agg(F.count("*").alias("n"))
+    total = rows.groupBy(named_by(F.col("source_type"), F.col("key")).alias("authority_id")).agg(F.sum("n").alias("n_occurrences"))
+    return total.orderBy(F.desc("n_occurrences"), "authority_id").limit(n)
+
+
 def authorities(occ: DataFrame) -> DataFrame:
     """An authority of a document by its first full citation: doc_id, authority_id, source_type, display, n_occurrences, first_ord."""
     return occ.where("form = 'full'").groupBy("doc_id", "authority_id").agg(F.first("source_type").alias("source_type"), F.min_by("display", "ord").alias("display"), F.count("*").alias("n_occurrences"), F.min("ord").alias("first_ord"))

@@ -226,7 +226,7 @@ def authority_frequency(spark, d):
 
 @query(_with(_OCC + "SELECT authority_id, count(*) AS n_occurrences FROM occ WHERE form = 'full' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20"))
 def top_authorities(spark, d):
-    return graph.authority_frequency(graph.occurrences(briefs(spark, d), surroundings=False)).select("authority_id", "n_occurrences").orderBy(F.desc("n_occurrences"), "authority_id").limit(20)
+    return graph.top_cited(briefs(spark, d), 20)
 
 
 @query(_with(_OCC + ", a AS (SELECT DISTINCT doc_id, authority_id FROM occ WHERE form = 'full') SELECT x.authority_id AS left_id, y.authority_id AS right_id, count(*) AS n_documents FROM a x JOIN a y ON x.doc_id = y.doc_id AND x.authority_id < y.authority_id GROUP BY ALL"))

@@ -74,9 +74,9 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 def briefs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, text: one row per order. Segments stand in the order of ``ord``; those that tie there are equal."""
     by = ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
-    seg = F.struct(*by, F.concat(*[F.expr(_pick(i)) for i in range(3)]).alias("x"))
-    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy(F.col("l_orderkey").alias("doc_id"))
-    return rows.agg(F.array_join(F.sort_array(F.collect_list(seg))["x"], "").alias("text"))
+    # A step of its own: what stands inside collect_list is interpreted.
+    seg = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_orderkey").alias("doc_id"), *by, F.concat(*[F.expr(_pick(i)) for i in range(3)]).alias("x"))
+    return seg.groupBy("doc_id").agg(F.array_join(F.sort_array(F.collect_list(F.struct(*by, "x")))["x"], "").alias("text"))
 
 
 def spread(rows: DataFrame, key: str) -> DataFrame:
