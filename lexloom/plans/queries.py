@@ -487,7 +487,7 @@ def revision_cas(spark, d):
 
 @query(_with(f"SELECT {_TYPE} AS source_type, count(*) AS n_gold, count(*) AS tp, cast(1.0 AS DOUBLE) AS precision, cast(1.0 AS DOUBLE) AS recall FROM cites GROUP BY 1"))
 def eval_precision_recall(spark, d):
-    found = extract.citation_rows(briefs(spark, d)).select("doc_id", "start", "end", "source_type")
+    found = extract.citation_rows(briefs(spark, d), parts=()).select("doc_id", "start", "end", "source_type")
     seg = segments(spark, d)
     from pyspark.sql import Window
 
