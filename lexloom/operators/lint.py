@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
-from ..functions.spans import apply_edits, below, let, pieces, rows_of, spans, within
+from ..functions.spans import MARK, apply_edits, below, cut_at, let, pieces, rows_of, spans_at, within
 from ..functions.tables import LINT_RULES
 from .extract import canonical_reporter, neutralize, with_citations
 
@@ -35,17 +37,29 @@ def _form(c: Column) -> Column:
     return F.rtrim(F.lower(F.coalesce(c["components"]["form"], c["text"])), F.lit("."))
 
 
-def with_issues(docs: DataFrame, mode: str = "bluepages", text_col: str = "text") -> DataFrame:
-    """``docs`` with ``citations`` and ``issues`` (array of ISSUE by start, end, code). In-row: no shuffle."""
-    mode = check_mode(mode)
-    df = docs if "citations" in docs.columns else with_citations(docs, text_col)
-    df = df.withColumn("__t", neutralize(F.coalesce(F.col(text_col), F.lit(""))))
-    t, cites = F.col("__t"), F.col("citations")
+#: The parts of citations that issues depend on.
+PARTS = ("form", "pincite")
+
 
-    def spelled(p: P.Pattern, code: str, build) -> Column:
-        right = F.transform(spans(t, p, groups=True), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("text"), build(lambda n: F.get(s["groups"], F.lit(p.parts.index(n)))).alias("to")))
+def with_issues(docs: DataFrame, mode: str = "bluepages", text_col: str = "text", parts: Iterable[str] | None = None) -> DataFrame:
+    """``docs`` with ``citations`` (with all ``parts``, or those named) and ``issues`` (array of ISSUE by start, end, code). In-row: no shuffle."""
+    mode = check_mode(mode)
+    df = docs if "citations" in docs.columns else with_citations(docs, text_col, parts=parts)
+    df = df.withColumn("__t", neutralize(F.coalesce(F.col(text_col), F.lit("")))).withColumn("__odd", F.contains("__t", F.lit(MARK)))
+    t, odd, cites = F.col("__t"), F.col("__odd"), F.col("citations")
+    spelled_by = {"__reporter": P.REPORTER, "__statute": P.STATUTE, "__regulation": P.REGULATION}
+    df = df.withColumns({n: cut_at(t, odd, p, p.parts) for n, p in spelled_by.items()})
+    df = df.withColumns({n: spans_at(n, t, odd, p, p.parts) for n, p in spelled_by.items()})
+    df = df.withColumn("__short", F.filter(cites, lambda c: c["source_type"] == "short_form"))
+    df = df.withColumn("__ids", F.when(F.size("__short") > 0, F.filter("__short", lambda c: _form(c) == "id")))
+    none = F.array().cast(f"array<{ISSUE}>")
+    some = lambda array, issues: F.when(F.size(array) > 0, issues).otherwise(none)
+
+    def spelled(found: str, code: str, build) -> Column:
+        p = spelled_by[found]
+        right = F.transform(found, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("text"), build(lambda n: F.get(s["groups"], F.lit(p.parts.index(n)))).alias("to")))
         wrong = let(right, lambda x: F.filter(x, lambda s: s["text"] != s["to"]))
-        return F.transform(wrong, lambda s: _issue(code, mode, s["start"], s["end"], s["text"], "high", s["to"]))
+        return F.when(F.col(found).isNotNull(), F.transform(wrong, lambda s: _issue(code, mode, s["start"], s["end"], s["text"], "high", s["to"]))).otherwise(none)
 
     def reporter(x):
         return F.concat(x("volume"), F.lit(" "), canonical_reporter(x("reporter")), F.lit(" "), x("page"))
@@ -54,20 +68,20 @@ def with_issues(docs: DataFrame, mode: str = "bluepages", text_col: str = "text"
         return lambda x: F.concat(x("title"), F.lit(f" {code} "), x("symbol"), F.lit(" "), x("section"))
 
     ends = F.transform(F.filter(cites, lambda c: ~c["source_type"].isin("short_form", "internet")), lambda c: c["end"])
-    ids = F.filter(cites, lambda c: (c["source_type"] == "short_form") & (_form(c) == "id"))
+    ids = F.col("__ids")
     token = lambda c: F.regexp_extract(c["text"], r"(?iU)^id\.?", 0)
     small = F.transform(F.filter(ids, lambda c: (token(c) != "") & (token(c) != "Id.")), lambda c: _issue("SHORT_FORM_CAPITALIZATION", mode, c["start"], c["start"] + F.length(token(c)), token(c), "high", F.lit("Id.")))
     far = F.array(F.lit(-(1 << 30)))
     orphans = let(F.sort_array(F.concat(far, ends)), lambda known: F.filter(ids, lambda c: F.element_at(known, below(known, c["start"])) < c["start"] - P.ID_WINDOW))
     surface = lambda c: F.coalesce(F.nullif(F.regexp_extract(c["text"], r"^[A-Za-z]+\.?", 0), F.lit("")), F.lit("Id."))
     orphan = F.transform(orphans, lambda c: _issue("SHORT_FORM_ORPHAN_ID", mode, c["start"], c["end"], c["text"], "high", None, F.concat(F.lit("“"), surface(c), F.lit("” must unambiguously refer to the immediately preceding authority."))))
-    loose = F.transform(F.filter(cites, lambda c: (c["source_type"] == "short_form") & _form(c).isin("supra", "short_case", "reference")), lambda c: _issue("SHORT_FORM_UNRESOLVED", mode, c["start"], c["end"], c["text"], "high"))
+    loose = F.transform(F.filter("__short", lambda c: _form(c).isin("supra", "short_case", "reference")), lambda c: _issue("SHORT_FORM_UNRESOLVED", mode, c["start"], c["end"], c["text"], "high"))
     pin = F.transform(F.filter(cites, lambda c: (c["source_type"] == "case") & c["components"]["pincite"].isNull()), lambda c: _issue("CASE_PINCITE_REVIEW", mode, c["start"], c["end"], c["text"], "low"))
     groups = [
-        spelled(P.REPORTER, "REPORTER_ABBREVIATION", reporter),
-        spelled(P.STATUTE, "STATUTE_CODE_ABBREVIATION", code_form("U.S.C.")),
-        spelled(P.REGULATION, "REGULATION_CODE_ABBREVIATION", code_form("C.F.R.")),
-        small, orphan, loose, pin,
+        spelled("__reporter", "REPORTER_ABBREVIATION", reporter),
+        spelled("__statute", "STATUTE_CODE_ABBREVIATION", code_form("U.S.C.")),
+        spelled("__regulation", "REGULATION_CODE_ABBREVIATION", code_form("C.F.R.")),
+        some("__ids", small), some("__ids", orphan), some("__short", loose), some("citations", pin),
     ]
     if mode == "whitepages":
         near = lambda cut, c: F.lower(within(cut, c["start"] - 120, c["end"] + 160))
@@ -75,11 +89,12 @@ def with_issues(docs: DataFrame, mode: str = "bluepages", text_col: str = "text"
         groups.append(F.transform(bare, lambda c: _issue("INTERNET_ARCHIVE_REVIEW", mode, c["start"], c["end"], c["text"], "medium")))
     # Structs sort by their fields in order: start, end, code. Equal ones then stand side by side.
     once = lambda x: F.filter(x, lambda i, k: (k == 0) | (i != F.element_at(x, F.greatest(k, F.lit(1)))))
-    return df.withColumn("issues", let(F.sort_array(F.concat(*groups)), once)).drop("__t")
+    df = df.withColumn("issues", F.concat(*groups))
+    return df.withColumn("issues", F.when(F.size("issues") > 1, let(F.sort_array("issues"), once)).otherwise(F.col("issues"))).drop("__t", "__odd", "__short", "__ids", *spelled_by)
 
 
 def issue_rows(docs: DataFrame, mode: str = "bluepages", text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    return rows_of(with_issues(docs, mode, text_col), "issues", F.col(id_col).alias("doc_id"))
+    return rows_of(with_issues(docs, mode, text_col, PARTS), "issues", F.col(id_col).alias("doc_id"))
 
 
 def fix(docs: DataFrame, mode: str = "bluepages", text_col: str = "text") -> DataFrame:
@@ -100,7 +115,7 @@ def remaining(fixed: DataFrame, mode: str = "bluepages", id_col: str = "doc_id")
 
 def summary(docs: DataFrame, mode: str = "bluepages", text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """Counts per document: citations by source type, issues by severity, and how many can be fixed."""
-    df = with_issues(docs, mode, text_col)
+    df = with_issues(docs, mode, text_col, PARTS)
     kinds = ("case", "statute", "regulation", "constitution", "journal_article", "short_form", "internet")
     count = lambda array, cond: F.size(F.filter(array, cond))
     equal = lambda field, value: lambda x: x[field] == value
