@@ -27,8 +27,9 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 def with_best_ratios(df: DataFrame, text: str, others: str, out: str, k: int, share_weight: float, ratio_weight: float) -> DataFrame:
     """``df`` with ``out``: the Ratcliff/Obershelp similarity (i, ratio) of ``text`` with those of ``others`` (plain, share, most: at least the ratio) that can be among the ``k`` best.
 
-    The score is a weighted sum of share and ratio; ``bounds`` are at least the ratios. Texts are compared in the order of what they can
-    reach, until none that is left can reach the k-th best score (a ten-thousandth less counts as reaching it).
+    The score is a weighted sum of share and ratio. Texts are compared in the order of what they can reach, until none that is left
+    can reach the k-th best score (a ten-thousandth less counts as reaching it). Before a comparison the letters that both have in common, in any order,
+    lower what can be reached; equal texts need none.
     """
 
     kind = pa.list_(pa.struct([("i", pa.int32()), ("ratio", pa.float64())]))
@@ -36,13 +37,22 @@ def with_best_ratios(df: DataFrame, text: str, others: str, out: str, k: int, sh
     def compared(x: str | None, ys: list[dict] | None) -> list[dict]:
         got, best = [], []
         if x is not None and ys is not None:
-            most = [share_weight * y["share"] + ratio_weight * y["most"] for y in ys]
-            for i in sorted(range(len(ys)), key=lambda i: (-most[i], i)):
-                if len(best) == k and most[i] + 1e-4 < best[0]:
+            reach = lambda y, most: share_weight * y["share"] + ratio_weight * most
+            left = [(-reach(y, y["most"]), i, False) for i, y in enumerate(ys)]
+            heapq.heapify(left)
+            letters = {c: x.count(c) for c in set(x)}
+            while left:
+                most, i, sure = heapq.heappop(left)
+                if len(best) == k and -most + 1e-4 < best[0]:
                     break
-                r = SequenceMatcher(None, x, ys[i]["plain"]).ratio()
+                y = ys[i]["plain"]
+                n = len(x) + len(y)
+                if x != y and not sure:
+                    heapq.heappush(left, (-reach(ys[i], 2 * sum(min(m, y.count(c)) for c, m in letters.items()) / n), i, True))
+                    continue
+                r = 1.0 if x == y else SequenceMatcher(None, x, y).ratio()
                 got.append({"i": i, "ratio": r})
-                (heapq.heappush if len(best) < k else heapq.heappushpop)(best, share_weight * ys[i]["share"] + ratio_weight * r)
+                (heapq.heappush if len(best) < k else heapq.heappushpop)(best, reach(ys[i], r))
         return got
 
     at = df.columns.index(text), df.columns.index(others)

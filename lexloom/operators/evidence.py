@@ -7,47 +7,37 @@ from pyspark.sql import functions as F
 
 from ..functions.spans import between, bound, let
 from ..functions.udfs import nfkc, with_best_ratios
-from .retrieval import comparison_text, dot, nearby_quotes, normalize_text, overlap, passages, pincite_status, proposition, quote_status
+from .retrieval import comparison_text, dot, nearby_quotes, normalize_text, passages, pincite_status, proposition, quote_status, shared, words_longer
 
 PARTIAL = 0.55
 
 
-#: What a text in ``comparison_text`` form is made of.
-_LETTERS = "array(" + ", ".join(f"'{c}'" for c in "abcdefghijklmnopqrstuvwxyz0123456789 ") + ")"
+def _best_passages(rows: DataFrame, text: Column, found: Column, k: int, words: Column | None = None) -> DataFrame:
+    """id, ``best``: the k passages (pos, passage, share, ratio, score) of the greatest scores, ties by place, and ``n_passages`` and ``n_compared``.
 
-
-def _counts(text: Column) -> Column:
-    """How often each of _LETTERS comes in a text."""
-    return bound(f"transform({_LETTERS}, c -> length(x.t) - length(replace(x.t, c, '')))", t=text)
-
-
-def _most(a: Column, na: Column, b: Column, nb: Column) -> Column:
-    """At least the similarity of two texts in ``comparison_text`` form, from their letters alone: twice the letters they
-    have in common, in any order, over all letters. ``a`` and ``b``: counts; ``na``, ``nb``: lengths."""
-    return bound("if(x.n = 0, double(1), 2 * aggregate(zip_with(x.a, x.b, (p, q) -> least(p, q)), 0, (s, v) -> s + v) / x.n)", a=a, b=b, n=na + nb)
-
-
-def _best_passages(rows: DataFrame, text: Column, found: Column, k: int, share: Column | None = None) -> DataFrame:
-    """``rows`` with ``best``: the k passages (pos, passage, share, ratio, score) of the greatest scores, ties by place, and with ``n_passages`` and ``n_compared``.
-
-    score = 0.65 share + 0.35 ratio (to four places), or the ratio alone without ``share`` (a function of the passage). Bounds of all
-    ratios are worked out in the row; Python compares a passage only as long as it can come among the k best.
+    score = 0.65 share + 0.35 ratio (to four places), or the ratio alone without ``words`` (those whose share in a passage counts).
+    What a score is at least and at most follows from the share and the lengths, in the row: only passages that can come among the k best go to
+    Python, which compares one only as long as it can still win.
     """
-    weights = (0.0, 1.0) if share is None else (0.65, 0.35)
-    score = (lambda s, r: r) if share is None else (lambda s, r: F.round(0.65 * s + 0.35 * r, 4))
-
-    def one(p, own):
-        most = lambda c: F.struct(c.alias("plain"), _most(own["counts"], own["n"], _counts(c), F.length(c)).alias("most"), (F.lit(0.0) if share is None else share(p)).alias("share"), p.alias("passage"))
-        return let(comparison_text(p), most)
-
-    own = F.struct(_counts(F.col("__q")).alias("counts"), F.length("__q").alias("n"))
-    df = rows.withColumns({"__q": text, "__p": found})
-    df = df.withColumn("__all", let(own, lambda o: F.transform("__p", lambda p: one(p, o))))
-    df = with_best_ratios(df.drop("__p"), "__q", "__all", "__r", k, *weights)
-    told = let(F.struct(F.col("__all").alias("all"), F.col("__r").alias("r")), lambda x: F.transform(x["r"], lambda r: let(F.element_at(x["all"], r["i"] + 1), lambda c: F.struct((-score(c["share"], r["ratio"])).alias("key"), r["i"].alias("pos"), c["passage"].alias("passage"), c["share"].alias("share"), r["ratio"].alias("ratio")))))
+    ws, wr = (0.0, 1.0) if words is None else (0.65, 0.35)
+    score = (lambda s, r: r) if words is None else (lambda s, r: F.round(0.65 * s + 0.35 * r, 4))
+
+    def one(p, i, own):
+        share = F.lit(0.0) if words is None else shared(own["words"], words_longer(p))
+        # At most the shorter text is found in the longer one; equal texts have the ratio 1.
+        most = lambda c: bound("if(x.n + x.m = 0, double(1), 2 * least(x.n, x.m) / (x.n + x.m))", n=own["n"], m=F.length(c))
+        return let(comparison_text(p), lambda c: F.struct(i.alias("pos"), c.alias("plain"), most(c).alias("most"), share.alias("share"), p.alias("passage"), (c == own["q"]).alias("same")))
+
+    own = F.struct(F.col("__q").alias("q"), F.length("__q").alias("n"), (F.array().cast("array<string>") if words is None else words).alias("words"))
+    df = rows.select("id", text.alias("__q"), found.alias("__p"), *([] if words is None else [c for c in rows.columns if c != "id"]))
+    df = df.select("id", "__q", let(own, lambda o: F.transform("__p", lambda p, i: one(p, i, o))).alias("__all"))
+    least = F.sort_array(F.transform("__all", lambda a: ws * a["share"] + F.when(a["same"], wr).otherwise(0.0)), asc=False)
+    can_win = let(F.try_element_at(least, F.lit(k)), lambda low: F.filter("__all", lambda a: F.coalesce(ws * a["share"] + wr * a["most"] + 2e-4 >= low, F.lit(True))))
+    df = df.select("id", "__q", can_win.alias("__can"), F.size("__all").alias("n_passages"))
+    df = with_best_ratios(df, "__q", "__can", "__r", k, ws, wr)
+    told = let(F.struct(F.col("__can").alias("all"), F.col("__r").alias("r")), lambda x: F.transform(x["r"], lambda r: let(F.element_at(x["all"], r["i"] + 1), lambda c: F.struct((-score(c["share"], r["ratio"])).alias("key"), c["pos"].alias("pos"), c["passage"].alias("passage"), c["share"].alias("share"), r["ratio"].alias("ratio")))))
     best = F.transform(F.slice(F.array_sort(told), 1, k), lambda c: F.struct(c["pos"], c["passage"], c["share"], c["ratio"], (-c["key"]).alias("score")))
-    out = df.withColumns({"best": best, "n_passages": F.size("__all"), "n_compared": F.size("__r")})
-    return out.drop(*[c for c in out.columns if c.startswith("__")])
+    return df.select("id", best.alias("best"), "n_passages", F.size("__r").alias("n_compared"))
 
 
 def match_quotes(df: DataFrame, around: int = 80) -> DataFrame:
@@ -97,7 +87,7 @@ def rank_passages(df: DataFrame, k: int = 3) -> DataFrame:
 
 
 def _ranked_rows(df: DataFrame, k: int) -> DataFrame:
-    return _best_passages(df.select("id", "proposition", "source"), comparison_text(F.col("proposition")), passages(F.col("source")), k, lambda p: overlap(F.col("proposition"), p))
+    return _best_passages(df.select("id", "proposition", "source"), comparison_text(F.col("proposition")), passages(F.col("source")), k, words_longer(F.col("proposition")))
 
 
 def passage_costs(df: DataFrame, k: int = 3) -> DataFrame:

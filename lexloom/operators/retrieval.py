@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
-from ..functions.spans import between, let, spans, strip
+from ..functions.spans import any_of, between, bound, let, spans, strip
 
 BLOCK = 2000
 #: Rule chunks that are read as one array at a time.
@@ -192,28 +192,30 @@ def normalize_text(text: Column) -> Column:
 
 
 def comparison_text(text: Column) -> Column:
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(normalize_text(text)), "[^a-z0-9 ]+", " "), r"(?U)\s+", " "))
+    """Words of a-z and 0-9 with one space between them. Dashes and white space are none of these, so the text needn't be in the form of ``normalize_text``."""
+    return F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "))
 
 
 def sentences(text: Column) -> Column:
-    parts = F.split(text, r"(?U)(?<=[.!?])\s+|\n+", -1)
-    return F.filter(F.transform(parts, normalize_text), lambda x: x != "")
+    """Sentences in the form of ``normalize_text``; mostly there is nothing to change in one."""
+    plain = F.when(any_of(text, "—–"), F.translate(text, "—–", "--")).otherwise(text)
+    parts = F.split(plain, r"(?U)(?<=[.!?])\s+|\n+", -1)
+    tidy = lambda x: F.trim(F.when(F.rlike(x, F.lit(r"(?U)[\s&&[^ ]]|  ")), F.regexp_replace(x, r"(?U)\s+", " ")).otherwise(x))
+    return F.filter(F.transform(parts, tidy), lambda x: x != "")
 
 
 def passages(text: Column, target_words: int | Column = 70) -> Column:
     """Windows of up to three sentences that end once they hold ``target_words`` words."""
 
-    def all_windows(found):
-        def window(_, i):
-            def add(acc, s):
-                full = acc["n"] >= target_words
-                return F.when(full, acc).otherwise(F.struct((acc["n"] + F.size(F.split(s, " "))).alias("n"), F.concat(acc["x"], F.array(s)).alias("x")))
+    def window(counted, i):
+        a, b, c = (F.get(counted, i + k if k else i) for k in range(3))
+        full = lambda n: n >= target_words
+        second = F.when(~F.coalesce(full(a["n"]), F.lit(False)), b["s"])
+        third = F.when(~F.coalesce(full(a["n"]) | full(a["n"] + b["n"]), F.lit(False)), c["s"])
+        return F.concat_ws(" ", F.when(~F.coalesce(full(F.lit(0)), F.lit(False)), a["s"]), second, third)
 
-            return F.aggregate(F.slice(found, i + 1, F.lit(3)), F.struct(F.lit(0).alias("n"), F.array().cast("array<string>").alias("x")), add, lambda a: F.array_join(a["x"], " "))
-
-        return F.transform(found, window)
-
-    return let(sentences(text), all_windows)
+    counted = F.transform(sentences(text), lambda s: F.struct(s.alias("s"), F.size(F.split(s, " ")).alias("n")))
+    return let(counted, lambda found: F.transform(found, lambda _, i: window(found, i)))
 
 
 def proposition(text: Column, at: Column, most: int = 600) -> Column:
@@ -235,9 +237,12 @@ def words_longer(text: Column, n: int = 2) -> Column:
 
 def overlap(a: Column, b: Column) -> Column:
     """Jaccard similarity of the words longer than two letters."""
-    x, y = words_longer(a), words_longer(b)
-    union = F.size(F.array_union(x, y))
-    return F.when(union == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(x, y)) / union)
+    return let(F.struct(words_longer(a).alias("x"), words_longer(b).alias("y")), lambda w: shared(w["x"], w["y"]))
+
+
+def shared(x: Column, y: Column) -> Column:
+    """Jaccard similarity of two arrays of distinct words; 0 if both are empty."""
+    return bound("if(x.n + x.m = 0, double(0), x.both / (x.n + x.m - x.both))", n=F.size(x), m=F.size(y), both=F.size(F.array_intersect(x, y)))
 
 
 def quote_status(quote: Column, source: Column) -> Column:
