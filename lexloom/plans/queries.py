@@ -17,7 +17,7 @@ from ..functions import tables
 from ..functions.spans import merge_touching, rows_of
 from ..operators import context, evaluate, extract, findings, formats, graph, lint, mode, resolve, retrieval, review
 from ..sources.blocks import block_rows, html_text
-from ..sources.briefs import ORACLE_CTES, SOURCE_TYPE, briefs, orders, segments
+from ..sources.briefs import ORACLE_CTES, SOURCE_TYPE, briefs, orders, segments, spread
 from ..streaming.review import event_sessions, event_windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -438,8 +438,8 @@ def quote_match(spark, d):
 def passage_rank_ratio(spark, d):
     from ..operators.evidence import rank_passages
 
-    docs = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("id"), F.col("text").alias("source"), F.substring("text", 21, 80).alias("proposition"))
-    return rank_passages(docs, 1)
+    docs = spread(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text"), "doc_id")
+    return rank_passages(docs.select(F.col("doc_id").alias("id"), F.col("text").alias("source"), F.substring("text", 21, 80).alias("proposition")), 1)
 
 
 # Intervals, review, evaluation
