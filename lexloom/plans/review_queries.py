@@ -467,8 +467,8 @@ def findings_signal_parenthetical(spark, d):
 @query("WITH t AS (SELECT o_orderkey AS doc_id, length('Cf. A v. B, 1 U.S. 2 (' || CASE o_orderkey % 3 WHEN 0 THEN 'noting the rule' WHEN 1 THEN '9th Cir. 1990' ELSE '1990' END || '). Then ') AS n FROM orders) SELECT doc_id, 'CITATION_GROUP_SEPARATOR' AS code, n + length('Roe v. Doe, 3 U.S. 4 (1991)') AS start, '; ' AS suggestion FROM t UNION ALL SELECT doc_id, 'PARENTHETICAL_SYNTAX', n + length('Roe v. Doe, 3 U.S. 4 (1991), Xe v. Ye, 5 U.S. 6 (1992)'), NULL FROM t")
 def findings_separators(spark, d):
     docs = orders(spark, d).select(F.col("o_orderkey").alias("doc_id"), F.expr(_PAREN).alias("text"))
-    out = findings.citation_findings(docs, graph.occurrences(docs)).where("code IN ('CITATION_GROUP_SEPARATOR', 'PARENTHETICAL_SYNTAX')")
-    return out.select("doc_id", "code", "start", "suggestion")
+    occ = graph.occurrences(docs, surroundings=("gap", "near")).select("doc_id", "ord", "form", "start", "end", "gap_comma", "paren_gap", "paren_open").persist()
+    return findings.citation_syntax(docs, occ).select("doc_id", "code", "start", "suggestion")
 
 
 # Graph
