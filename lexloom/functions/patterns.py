@@ -33,6 +33,8 @@ CONSTITUTION = Pattern(r"(?iuU)(?=U\.S)\bU\.S\. Const\.\s+((?:art\.|amend\.)\s+[
 JOURNAL = Pattern(r"(?U)(?=\d)\b(\d{1,3})\s+([A-Z][A-Za-z.&'\- ]+L\.?\s*J\.?|[A-Z][A-Za-z.&'\- ]+L\.?\s*Rev\.?)\s+(\d{1,5})\b", ("volume", "journal", "page"), hint=r"(?U)L\.?\s*(?:J|Rev)", any_of=("J", "Rev"))
 SHORT_FORM = Pattern(r"(?iuU)(?=[sh])\b(supra|hereinafter)\b", ("form",), hint=r"(?iu)supra|hereinafter", any_of=_cases("pP", "rR") + _cases("fF", "tT"))
 ID = Pattern(r"(?iuU)(?=id)(?<!\w)(id)\.?(?!\w)", ("form",), any_of=_cases("iIıİ", "dD"))
+#: Where a match of ID can begin that is not written "Id.".
+ODD_ID = r"(?uU)(?<!\w)(?!Id\.(?!\w))(?i:id)(?!\w)"
 URL = Pattern(r"(?U)https?://[^\s<>\])}]+", needs="http")
 REPORTER = Pattern(
     r"(?iuU)(?=\d)\b(\d{1,4})\s+(U\s{0,2}\.?\s{0,2}S\s{0,2}\.?|S\s{0,2}\.?\s{0,2}Ct\s{0,2}\.?|F\s{0,2}\.?\s{0,2}(?:Supp\s{0,2}\.?\s{0,2}(?:2d|3d)?|2d|3d)|F\s{0,2}\.|L\s{0,2}\.?\s{0,2}Ed\s{0,2}\.?\s{0,2}(?:2d)?)\s+(\d{1,6})\b",

@@ -97,6 +97,14 @@ def issue_rows(docs: DataFrame, mode: str = "bluepages", text_col: str = "text",
     return rows_of(with_issues(docs, mode, text_col, PARTS), "issues", F.col(id_col).alias("doc_id"))
 
 
+def suggestion_rows(docs: DataFrame, mode: str = "bluepages", text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """The rows of ``issue_rows`` that have a suggestion. Only that of an id depends on citations: other texts are not searched for these."""
+    t = neutralize(F.coalesce(F.col(text_col), F.lit("")))
+    df = docs.withColumn("__c", F.when(F.rlike(t, F.lit(P.ODD_ID)), F.col(text_col)))
+    df = with_issues(with_citations(df, "__c", parts=PARTS).drop("__c"), mode, text_col)
+    return rows_of(df, "issues", F.col(id_col).alias("doc_id")).where("suggestion is not null")
+
+
 def fix(docs: DataFrame, mode: str = "bluepages", text_col: str = "text") -> DataFrame:
     """``docs`` with ``issues``, ``fixed_text`` and ``applied`` (start, end, suggestion): safe edits from right to left, none into another."""
     df = with_issues(docs, mode, text_col)

@@ -159,9 +159,9 @@ SELECT seed_id, template, mode, CASE r WHEN 0 THEN 'test' WHEN 1 THEN 'validatio
 row_number() OVER (ORDER BY sha256('7:' || seed_id || '|' || template || '|' || mode)) - 1 AS position FROM seeds JOIN g USING (doc_id), (VALUES {_TEMPLATES}) t(template, mode)"""))
 def training_order(spark, d):
     """Training records of every edit that the rules suggest for the briefs: templates, modes, splits by brief and a seeded order."""
-    found = lint.issue_rows(briefs(spark, d)).where("suggestion is not null")
+    found = lint.suggestion_rows(briefs(spark, d))
     key = F.concat_ws(":", F.col("doc_id").cast("string"), F.col("start").cast("string"), "code")
-    seeds = found.select(key.alias("seed_id"), F.col("original").alias("citation"), F.col("suggestion").alias("proposed"), F.lit("case").alias("source_type"), F.col("code").alias("issue_code"), F.col("doc_id").alias("group"))
+    seeds = found.select(key.alias("seed_id"), F.col("original").alias("citation"), F.col("suggestion").alias("proposed"), F.lit("case").alias("source_type"), F.col("code").alias("issue_code"), F.col("doc_id").alias("group")).persist()  # read for the splits and for the places
     made = sinks.training_set(seeds, "7")
     proposed = F.get_json_object(F.col("messages")[1]["content"], "$.proposed_citation")
     return made.select("seed_id", "template", "mode", "split", proposed.alias("proposed"), "position")

@@ -133,14 +133,15 @@ def training_set(seeds: DataFrame, seed: str, templates: tuple = TEMPLATES, mode
     """
     forms = F.array(*[F.struct(F.lit(n).alias("template"), F.lit(a).alias("before"), F.lit(b).alias("after"), F.lit(m).alias("mode")) for n, a, b in templates for m in modes])
     out = evaluate.assign_splits(seeds, "group", seed).withColumn("f", F.explode(forms)).select("*", "f.*").drop("f")
+    # Places first: messages are several times as long as what they are made of, and needn't be sorted.
+    out = evaluate.hash_rank(out, ["seed_id", "template", "mode"], seed)
     document = F.concat("before", "citation", "after")
     start = F.length("before")
     user = F.to_json(F.struct(document.alias("document"), F.col("citation").alias("citation_text"), start.alias("start"), (start + F.length("citation")).alias("end"), "mode", "source_type", "issue_code"))
     answer = F.to_json(F.struct(F.col("proposed").alias("proposed_citation"), F.col("proposed").isNull().alias("abstain")), {"ignoreNullFields": "false"})
     message = lambda role, c: F.struct(F.lit(role).alias("role"), c.alias("content"))
     about = F.struct("mode", "source_type", "group", F.col("proposed").isNull().alias("abstain")).alias("metadata")
-    records = out.select("seed_id", "template", "mode", "split", F.array(message("user", user), message("assistant", answer)).alias("messages"), about)
-    return evaluate.hash_rank(records, ["seed_id", "template", "mode"], seed)
+    return out.select("seed_id", "template", "mode", "split", F.array(message("user", user), message("assistant", answer)).alias("messages"), about, "position")
 
 
 def write_shuffled(records: DataFrame, path: str, files: int = 1) -> None:
